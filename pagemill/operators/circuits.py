@@ -1,0 +1,161 @@
+"""Circuit breaker states over a fetch log.
+
+The state after a request depends on every earlier request of its domain. To follow a
+domain of any size in parallel, its requests are cut into ordered blocks. Each block is
+first reduced to a table of "state before -> state after"; the tables of a domain are
+chained; then every block replays its own requests from its known first state."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagemill.operators.ordered import BLOCK, ordered_blocks
+
+# Send these functions to the executors with the job; the package need not be there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+CLOSED, HALF_OPEN, OPEN = "closed", "half_open", "open"
+
+# A state is (name, count, last failure in microseconds): failures while closed,
+# successes while half open; the time only matters while open.
+State = tuple[str, int, int]
+START: State = (CLOSED, 0, 0)
+
+
+def step(state: State, ts: int, ok: bool, threshold: int, timeout: int, successes: int) -> tuple[State, bool]:
+    """State after a request at ``ts`` and whether the request was let through."""
+    name, count, last = state
+    if name == OPEN:
+        if ts - last <= timeout:
+            return state, False
+        name, count = HALF_OPEN, 0
+    if ok:
+        if name == HALF_OPEN:
+            return ((CLOSED, 0, 0) if count + 1 >= successes else (HALF_OPEN, count + 1, 0)), True
+        return (name, count, 0), True
+    if name == HALF_OPEN or count + 1 >= threshold:
+        return (OPEN, 0, ts), True
+    return (CLOSED, count + 1, 0), True
+
+
+def _summary(times: list[int], oks: list[bool], threshold: int, timeout: int, successes: int):
+    """Rows (name, count, before, after): ``after`` of the block for each state before it.
+    An open state counts as ``before`` when its last failure lies before that time."""
+    size = len(times)
+    closed: list[State] = [(CLOSED, n, 0) for n in range(threshold)]
+    half: list[State] = [(HALF_OPEN, n, 0) for n in range(successes)]
+    # later[i]: state after the block when request i is the first one let through.
+    later: list[State | None] = [None] * size
+    follows, j = [size] * size, size
+    for i in range(size - 1, -1, -1):
+        while j > 0 and times[j - 1] - times[i] > timeout:
+            j -= 1
+        follows[i] = j
+    for i in range(size - 1, -1, -1):
+        opened = later[follows[i]] if follows[i] < size else (OPEN, 0, times[i])
+        if oks[i]:
+            half = [half[n + 1] if n + 1 < successes else closed[0] for n in range(successes)]
+        else:
+            closed = [closed[n + 1] if n + 1 < threshold else opened for n in range(threshold)]
+            half = [opened] * successes
+        later[i] = half[0]
+    rows = [(CLOSED, n, None, closed[n]) for n in range(threshold)]
+    rows += [(HALF_OPEN, n, None, half[n]) for n in range(successes)]
+    pieces: list[list] = []
+    for i in range(size):
+        bound = times[i] - timeout
+        if pieces and pieces[-1][1] == later[i]:
+            pieces[-1][0] = bound
+        else:
+            pieces.append([bound, later[i]])
+        if times[i] > times[0] + timeout:
+            break
+    rows += [(OPEN, 0, bound, after) for bound, after in pieces]
+    return rows
+
+
+def circuit_states(
+    log: DataFrame,
+    threshold: int = 5,
+    timeout_seconds: float = 60.0,
+    half_open_successes: int = 1,
+    order: str = "request_id",
+) -> DataFrame:
+    """``log(domain, ts, request_id, ok)`` with ``admitted`` and ``state`` after each
+    request. ``threshold`` failures (successes while closed do not reset them) open the
+    circuit; later than the timeout after the last failure it is half open; a failure
+    then opens it again, enough successes close it."""
+    timeout = round(timeout_seconds * 1e6)
+    rules = (threshold, timeout, half_open_successes)
+    rows = log.select("domain", "ts", order, "ok", F.unix_micros("ts").alias("_t"))
+    blocks = ordered_blocks(rows, ["domain"], ["_t", order])
+
+    def summarise(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["_t", order])
+        table = _summary(block["_t"].tolist(), block["ok"].tolist(), *rules)
+        return pd.DataFrame(
+            [(block["domain"].iloc[0], int(block[BLOCK].iloc[0]), n, c, b, *after) for n, c, b, after in table],
+            columns=["domain", BLOCK, "name", "count", "before", "to_name", "to_count", "to_last"],
+        ).astype({"before": "Int64"})
+
+    schema = f"domain string, {BLOCK} int, name string, count int, before long, to_name string, to_count int, to_last long"
+    tables = blocks.groupBy("domain", BLOCK).applyInPandas(summarise, schema)
+
+    def chain(domain_tables: pd.DataFrame) -> pd.DataFrame:
+        state, out = START, []
+        for number, table in domain_tables.sort_values([BLOCK]).groupby(BLOCK):
+            out.append((table["domain"].iloc[0], int(number), *state))
+            name, count, last = state
+            same = table[table["name"] == name]
+            if name == OPEN:
+                hit = same[same["before"] > last].sort_values("before").head(1)
+            else:
+                hit = same[same["count"] == count]
+            if len(hit):
+                row = hit.iloc[0]
+                state = (row["to_name"], int(row["to_count"]), int(row["to_last"]))
+        return pd.DataFrame(out, columns=["domain", BLOCK, "name", "count", "last"])
+
+    entries = tables.groupBy("domain").applyInPandas(
+        chain, f"domain string, {BLOCK} int, name string, count int, last long"
+    )
+
+    def replay(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["_t", order])
+        state: State = (block["name"].iloc[0], int(block["count"].iloc[0]), int(block["last"].iloc[0]))
+        names, passed = [], []
+        for ts, ok in zip(block["_t"].tolist(), block["ok"].tolist()):
+            state, admitted = step(state, ts, ok, *rules)
+            names.append(state[0])
+            passed.append(admitted)
+        out = block[["domain", "ts", order, "ok"]].copy()
+        out["admitted"], out["state"] = passed, names
+        return out
+
+    out_schema = f"domain string, ts timestamp, {order} long, ok boolean, admitted boolean, state string"
+    return blocks.join(entries, ["domain", BLOCK]).groupBy("domain", BLOCK).applyInPandas(replay, out_schema)
+
+
+def stream_step(rules: tuple[int, int, int], order: str):
+    """Function for a stateful stream: the same steps, one micro-batch per domain."""
+
+    def advance(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(chunks)).sort_values(["_t", order])
+        current: State = tuple(state.get) if state.exists else START
+        names, passed = [], []
+        for ts, ok in zip(rows["_t"].tolist(), rows["ok"].tolist()):
+            current, admitted = step(current, ts, ok, *rules)
+            names.append(current[0])
+            passed.append(admitted)
+        state.update((current[0], int(current[1]), int(current[2])))
+        out = rows[["domain", "ts", order, "ok"]].copy()
+        out["admitted"], out["state"] = passed, names
+        yield out
+
+    return advance

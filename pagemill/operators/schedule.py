@@ -1,0 +1,52 @@
+"""Times at which requests may start, and waits between retries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pagemill.operators.ordered import BLOCK, ordered_blocks, running_over
+
+
+def rate_schedule(requests: DataFrame, interval: Column, order: str = "request_id") -> DataFrame:
+    """``requests(domain, ts, ...)`` with ``start_at``: the earliest start when requests
+    of a domain keep ``interval`` seconds (one value per domain) apart.
+
+    The i-th start is the latest of arrival_j + (i - j) * interval over j <= i: a
+    running maximum, so a domain of any size is scheduled in parallel blocks."""
+    rows = requests.withColumns(
+        {"_arrived": F.unix_micros("ts"), "_gap": F.round(interval * 1e6).cast("long")}
+    )
+    keys, by = ["domain"], ["ts", order]
+    blocks = ordered_blocks(rows, keys, by)
+    placed = running_over(blocks, keys, by, {"_i": ("sum", F.lit(1).cast("long"))})
+    slack = F.col("_arrived") - F.col("_i") * F.col("_gap")
+    found = running_over(placed, keys, by, {"_m": ("max", slack)})
+    start = F.timestamp_micros(F.col("_i") * F.col("_gap") + F.col("_m"))
+    return found.withColumn("start_at", start).drop(BLOCK, "_arrived", "_gap", "_i", "_m")
+
+
+def retry_schedule(
+    tasks: DataFrame,
+    attempts: Column,
+    base: float = 1.0,
+    limit: float | None = 60.0,
+    jitter_key: Column | None = None,
+) -> DataFrame:
+    """One row per attempt with its wait: ``base * 2^attempt``, at most ``limit``. A key
+    for jitter scales the wait by 0.5 up to 1.5, the same in every run."""
+    rows = tasks.withColumn("attempt", F.explode(F.sequence(F.lit(0), attempts - 1)))
+    wait = F.lit(base) * F.pow(F.lit(2.0), F.col("attempt"))
+    if limit is not None:
+        wait = F.least(wait, F.lit(float(limit)))
+    if jitter_key is not None:
+        share = F.pmod(F.xxhash64(jitter_key, F.col("attempt")), F.lit(1_000_000)) / 1e6
+        wait = wait * (0.5 + share)
+    return rows.withColumn("wait", wait)
+
+
+def retry_waits(tasks: DataFrame, attempts: Column, delay: float = 1.0) -> DataFrame:
+    """Waits of the plain retry loop: none before the first attempt, then doubling."""
+    rows = tasks.withColumn("attempt", F.explode(F.sequence(F.lit(0), attempts - 1)))
+    wait = F.when(F.col("attempt") > 0, F.lit(delay) * F.pow(F.lit(2.0), F.col("attempt"))).otherwise(0.0)
+    return rows.withColumn("wait", wait)
