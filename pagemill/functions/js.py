@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,15 +77,23 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _holds_any(html: Column, marks: list[str]) -> Column:
+    """Does a long text hold any of the marks? Plain search, no pattern."""
+    return F.exists(F.split(F.lit("\n".join(marks)), "\n"), lambda m: F.contains(html, m))
+
+
 def js_frameworks(html: Column, strict: bool = True) -> Column:
     marks = FRAMEWORKS if strict else PRECISE_FRAMEWORKS
-    return F.array_compact(
-        F.array(*[F.when(contains_any(html, parts), F.lit(name)) for name, parts in marks.items()])
+    table = F.from_json(
+        F.lit(json.dumps([{"name": n, "marks": m} for n, m in marks.items()])),
+        "array<struct<name: string, marks: array<string>>>",
     )
+    hits = F.filter(table, lambda f: F.exists(f["marks"], lambda m: F.contains(html, m)))
+    return F.transform(hits, lambda f: f["name"])
 
 
 def js_indicators(html: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(F.contains(html, F.lit(m)), F.lit(m)) for m in INDICATORS]))
+    return F.filter(F.split(F.lit("\n".join(INDICATORS)), "\n"), lambda m: F.contains(html, m))
 
 
 def js_score(html: Column) -> Column:
@@ -96,10 +106,10 @@ def js_score(html: Column) -> Column:
 
     total = (
         F.least(scripts * 5, F.lit(30))
-        + points(contains_any(html, ["onclick=", "onload="]), 10)
-        + points(contains_any(html, ["XMLHttpRequest", "fetch("]), 20)
-        + points(contains_any(html, ["__INITIAL_DATA__", "window.__"]), 15)
-        + points(contains_any(html, SPA_MARKS), 20)
+        + points(_holds_any(html, ["onclick=", "onload="]), 10)
+        + points(_holds_any(html, ["XMLHttpRequest", "fetch("]), 20)
+        + points(_holds_any(html, ["__INITIAL_DATA__", "window.__"]), 15)
+        + points(_holds_any(html, SPA_MARKS), 20)
         + points(F.length(text) < 100, 15)
     )
     return F.least(total, F.lit(100))
@@ -156,9 +166,9 @@ def ajax_endpoints(html: Column, strict: bool = True) -> Column:
 def spa_routing(html: Column) -> Column:
     """struct(type, routes)."""
     kind = (
-        F.when(contains_any(html, ["react-router", "BrowserRouter"]), "react-router")
-        .when(contains_any(html, ["vue-router", "VueRouter"]), "vue-router")
-        .when(contains_any(html, ["RouterModule", "@angular/router"]), "angular-router")
+        F.when(_holds_any(html, ["react-router", "BrowserRouter"]), "react-router")
+        .when(_holds_any(html, ["vue-router", "VueRouter"]), "vue-router")
+        .when(_holds_any(html, ["RouterModule", "@angular/router"]), "angular-router")
         .otherwise("unknown")
     )
     return F.struct(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from html.entities import name2codepoint
 
@@ -28,7 +29,6 @@ _MARKUP = (
     r"|<[!?][^>]*>"
     rf"|</?[a-z][^\s>/]*{ATTRS}>"
 )
-_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,6 +36,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def apply_sql(value: Column, body: str) -> Column:
+    """``body``, an SQL expression over ``v``, applied to a column."""
+    return F.call_function("transform", F.array(value), F.expr(f"v -> {body}")).getItem(0)
+
+
+def let_sql(name: str, value: str, body: str) -> str:
+    """SQL expression ``body`` in which ``name`` stands for ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
@@ -44,36 +54,30 @@ def collapse_space(text: Column) -> Column:
     return F.regexp_replace(text, f"[{SPACE}]+", " ")
 
 
-def _code_point(number: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-
-
-def _decode_piece(piece: Column, named: Column) -> Column:
-    def decoded(name: Column) -> Column:
-        number = F.when(
-            F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 6), 16, 10)
-        ).otherwise(F.substring(name, 2, 7)).cast("long")
-        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-        char = F.when(name.startswith("#"), F.when(valid, _code_point(number))).otherwise(
-            F.try_element_at(named, name)
-        )
-        rest = F.substr(piece, F.length(name) + 2)
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
-
-    return let(F.regexp_extract(piece, _ENTITY, 1), decoded)
+# One piece after a "&": p is the piece, m the map of names, e the reference.
+_DECODE = let_sql(
+    "e",
+    "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);', 1)",
+    "coalesce(concat(if(startswith(e, '#'), "
+    + let_sql(
+        "n",
+        "cast(if(lower(e) like '#x%', conv(substr(e, 3), 16, 10), substr(e, 2)) as bigint)",
+        "if(n between 1 and 55295 or n between 57344 and 1114111,"
+        " decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32'), null)",
+    )
+    + ", try_element_at(v.m, e)), substr(p, length(e) + 2)), concat('&', p))",
+)
 
 
 def decode_entities(text: Column) -> Column:
     """Replace named and numeric character references; unknown ones stay as they are."""
-    names = {**name2codepoint, "apos": 39}
-    named = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(chr(c)) for c in names.values()])
-    )
-    pieces = F.split(text, "&")
-    decoded = F.transform(
-        pieces, lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p, named))
+    names = {name: chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
+    named = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    body = (
+        "if(contains(v.t, '&'), array_join(transform(split(v.t, '&'), (p, i) -> "
+        f"if(i = 0, p, {_DECODE})), ''), v.t)"
     )
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+    return apply_sql(F.named_struct(F.lit("t"), text, F.lit("m"), named), body)
 
 
 def strip_markup(html: Column) -> Column:

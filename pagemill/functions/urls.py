@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import WORD, let
+from pagemill.functions.text import WORD, apply_sql, let, let_sql
 
 # Schemes whose references resolve against a base, and those whose
 # paths carry ";parameters".
@@ -51,14 +52,11 @@ _CONTROL_OR_SPACE = "".join(map(chr, range(0x21)))
 
 
 def ends_with_any(text: Column, endings: Sequence[str]) -> Column:
-    return text.rlike("(?:" + "|".join(e.replace(".", r"\.") for e in endings) + r")\z")
+    return text.rlike("(?:" + "|".join(re.escape(e) for e in endings) + r")\z")
 
 
 def contains_any(text: Column, parts: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for part in parts:
-        found = found | F.contains(text, F.lit(part))
-    return found
+    return text.rlike("|".join(re.escape(p) for p in parts))
 
 
 def clean(url: Column) -> Column:
@@ -66,171 +64,171 @@ def clean(url: Column) -> Column:
     return F.translate(F.ltrim(url, F.lit(_CONTROL_OR_SPACE)), "\t\r\n", "")
 
 
-def _after(text: Column, mark: str) -> Column:
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substr(text, at + 1)).otherwise("")
+def _after(text: str, mark: str) -> str:
+    return f"if(instr({text}, '{mark}') > 0, substr({text}, instr({text}, '{mark}') + 1), '')"
 
 
-def _hierarchy(s: Column) -> Column:
-    """struct(scheme, netloc, path, query, fragment); path keeps its parameters."""
-    scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+def _matches(text: str, names: Sequence[str]) -> str:
+    return f"{text} rlike '^(?:{'|'.join(n.replace('+', '[+]') for n in names)})$'"
 
-    def with_rest(v: Column) -> Column:
-        rest = F.when(v["scheme"] != "", F.substr(v["s"], F.length(v["scheme"]) + 2)).otherwise(v["s"])
-        return let(
-            F.struct(v["scheme"].alias("scheme"), rest.alias("rest")),
-            lambda r: let(
-                F.struct(
-                    r["scheme"].alias("scheme"),
-                    r["rest"].alias("rest"),
-                    F.substring_index(F.substring_index(r["rest"], "#", 1), "?", 1).alias("hier"),
+
+_NO_FRAGMENT = "substring_index(r, '#', 1)"
+
+
+def _with_parts(url: str, name: str, body: str) -> str:
+    """SQL expression ``body`` in which ``name`` holds scheme, netloc, path, query and
+    fragment of a clean URL; the path keeps its parameters."""
+    split = let_sql(
+        "s",
+        f"named_struct('u', {url}, 'scheme', lower(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)))",
+        let_sql(
+            "r",
+            "if(s.scheme = '', s.u, substr(s.u, length(s.scheme) + 2))",
+            let_sql(
+                "h",
+                f"substring_index({_NO_FRAGMENT}, '?', 1)",
+                let_sql(
+                    "n",
+                    "if(startswith(h, '//'), substring_index(substr(h, 3), '/', 1), '')",
+                    "named_struct('scheme', s.scheme, 'netloc', n,"
+                    " 'path', if(startswith(h, '//'), substr(h, length(n) + 3), h),"
+                    f" 'query', {_after(_NO_FRAGMENT, '?')}, 'fragment', {_after('r', '#')})",
                 ),
-                finish,
             ),
-        )
+        ),
+    )
+    return let_sql(name, split, body)
 
-    def finish(h: Column) -> Column:
-        has_netloc = h["hier"].startswith("//")
-        netloc = F.when(has_netloc, F.substring_index(F.substr(h["hier"], F.lit(3)), "/", 1)).otherwise("")
-        path = F.when(has_netloc, F.substr(h["hier"], F.length(netloc) + 3)).otherwise(h["hier"])
-        return F.struct(
-            h["scheme"].alias("scheme"),
-            netloc.alias("netloc"),
-            path.alias("path"),
-            _after(F.substring_index(h["rest"], "#", 1), "?").alias("query"),
-            _after(h["rest"], "#").alias("fragment"),
-        )
 
-    return let(F.struct(s.alias("s"), scheme.alias("scheme")), with_rest)
-
-
-def _with_params(h: Column) -> Column:
-    last = F.substring_index(h["path"], "/", -1)
-    at = F.when(h["scheme"].isin(PARAM_SCHEMES), F.instr(last, ";")).otherwise(0)
-    params = F.when(at > 0, F.substr(last, at + 1)).otherwise("")
-    path = F.when(
-        at > 0, F.substr(h["path"], F.lit(1), F.length(h["path"]) - F.length(params) - 1)
-    ).otherwise(h["path"])
-    return F.struct(
-        h["scheme"].alias("scheme"),
-        h["netloc"].alias("netloc"),
-        path.alias("path"),
-        params.alias("params"),
-        h["query"].alias("query"),
-        h["fragment"].alias("fragment"),
+def _params(parts: str) -> str:
+    """SQL expression: the parameters of the last path part, with their semicolon."""
+    last = f"substring_index({parts}.path, '/', -1)"
+    at = f"instr({last}, ';')"
+    return (
+        f"if(contains({parts}.path, ';') and {at} > 0 and {_matches(parts + '.scheme', PARAM_SCHEMES)},"
+        f" substr({last}, {at}), '')"
     )
 
 
+def _path(parts: str, params: str) -> str:
+    return f"substr({parts}.path, 1, length({parts}.path) - length({params}))"
+
+
+_URL_PARTS = _with_parts(
+    "v",
+    "p",
+    let_sql(
+        "k",
+        _params("p"),
+        f"named_struct('scheme', p.scheme, 'netloc', p.netloc, 'path', {_path('p', 'k')},"
+        " 'params', substr(k, 2), 'query', p.query, 'fragment', p.fragment)",
+    ),
+)
+
+
 def url_parts(url: Column) -> Column:
     """struct(scheme, netloc, path, params, query, fragment); absent parts are empty."""
-    return let(_hierarchy(clean(url)), _with_params)
-
-
-def _join(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
-    slash = F.when((netloc != "") & (path != "") & ~path.startswith("/"), "/").otherwise("")
-    rooted = (netloc != "") | (scheme.isin([s for s in RELATIVE_SCHEMES if s]) & path.startswith("/"))
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(rooted | path.startswith("//"), F.concat(F.lit("//"), netloc)).otherwise(""),
-        slash,
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
+    return apply_sql(clean(url), _URL_PARTS)
 
 
-def _remove_dots(segments: Column) -> Column:
-    """Fold ``.`` and ``..`` path segments."""
-    start = F.slice(segments, 1, 0)
-    folded = F.aggregate(
-        segments,
-        start,
-        lambda acc, s: F.when(
-            s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        )
-        .when(s == ".", acc)
-        .otherwise(F.array_append(acc, s)),
+def _join(scheme: str, netloc: str, path: str, query: str, fragment: str) -> str:
+    """SQL expression of a URL put together; empty parts leave no mark."""
+    slash = f"if({netloc} <> '' and {path} <> '' and not startswith({path}, '/'), '/', '')"
+    rooted = (
+        f"({netloc} <> '' or startswith({path}, '//')"
+        f" or (startswith({path}, '/') and {_matches(scheme, RELATIVE_SCHEMES[1:])}))"
     )
-    ends_in_dots = F.element_at(segments, -1).isin(".", "..")
-    joined = F.array_join(
-        F.when(ends_in_dots, F.array_append(folded, F.lit(""))).otherwise(folded), "/"
+    return (
+        f"concat(if({scheme} <> '', concat({scheme}, ':'), ''), if({rooted}, concat('//', {netloc}), ''),"
+        f" {slash}, {path}, if({query} <> '', concat('?', {query}), ''),"
+        f" if({fragment} <> '', concat('#', {fragment}), ''))"
     )
-    return F.when(joined == "", "/").otherwise(joined)
 
 
-def _merge_path(base_path: Column, path: Column) -> Column:
-    last = F.substring_index(base_path, "/", -1)
-    folder = F.substr(base_path, F.lit(1), F.length(base_path) - F.length(last))
-    relative = F.split(F.concat(F.when(base_path == "", "/").otherwise(folder), path), "/")
-    inner = F.filter(F.slice(relative, F.lit(2), F.greatest(F.size(relative) - 2, F.lit(0))), lambda s: s != "")
-    squeezed = F.concat(F.slice(relative, 1, 1), inner, F.slice(relative, -1, 1))
-    squeezed = F.when(F.size(relative) == 1, relative).otherwise(squeezed)
-    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(squeezed)
-    plain = path.startswith("/") & ~F.contains(path, F.lit("/."))
-    return F.when(plain, path).otherwise(let(segments, _remove_dots))
+# Fold "." and ".." out of the path segments g.
+_NO_DOTS = let_sql(
+    "f",
+    "aggregate(g, slice(g, 1, 0), (acc, s) -> case when s = '..' then slice(acc, 1, greatest(size(acc) - 1, 0))"
+    " when s = '.' then acc else array_append(acc, s) end)",
+    let_sql(
+        "j",
+        "array_join(if(element_at(g, -1) in ('.', '..'), array_append(f, ''), f), '/')",
+        "if(j = '', '/', j)",
+    ),
+)
+
+
+def _merged(base: str, path: str) -> str:
+    """SQL expression: a relative path put on the folder of the base path."""
+    folder = f"if({base} = '', '/', substr({base}, 1, length({base}) - length(substring_index({base}, '/', -1))))"
+    relative = let_sql(
+        "l",
+        f"split(concat({folder}, {path}), '/')",
+        "if(size(l) < 3, l, concat(slice(l, 1, 1), filter(slice(l, 2, size(l) - 2), x -> x <> ''), slice(l, -1, 1)))",
+    )
+    segments = f"if(startswith({path}, '/'), split({path}, '/'), {relative})"
+    return f"if(startswith({path}, '/') and not contains({path}, '/.'), {path}, {let_sql('g', segments, _NO_DOTS)})"
+
+
+_RESOLVED = _with_parts(
+    "v.href",
+    "w",
+    let_sql(
+        "k",
+        _params("w"),
+        let_sql(
+            "q",
+            _path("w", "k"),
+            _with_parts(
+                "v.base",
+                "b",
+                let_sql(
+                    "c",
+                    "if(w.scheme = '', b.scheme, w.scheme)",
+                    "case when v.raw_href = '' then v.raw_base when v.raw_base = '' then v.raw_href"
+                    f" when c <> b.scheme or not {_matches('c', RELATIVE_SCHEMES)} then v.raw_href"
+                    f" when w.netloc <> '' then {_join('c', 'w.netloc', 'concat(q, k)', 'w.query', 'w.fragment')}"
+                    " when q = '' and k = '' then "
+                    + _join("c", "b.netloc", "b.path", "if(w.query <> '', w.query, b.query)", "w.fragment")
+                    + " else "
+                    + let_sql(
+                        "m",
+                        f"concat({_merged('b.path', 'q')}, k)",
+                        _join("c", "b.netloc", "m", "w.query", "w.fragment"),
+                    )
+                    + " end",
+                ),
+            ),
+        ),
+    ),
+)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` found on the page ``base``."""
-
-    def resolve(v: Column) -> Column:
-        b, r = v["b"], v["r"]
-        scheme = F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"])
-        foreign = (scheme != b["scheme"]) | ~scheme.isin(RELATIVE_SCHEMES)
-        fragment = r["fragment"]
-        tail = F.when(r["params"] != "", F.concat(F.lit(";"), r["params"])).otherwise("")
-        return (
-            F.when(v["href"] == "", v["base"])
-            .when(v["base"] == "", v["href"])
-            .when(foreign, v["href"])
-            .when(r["netloc"] != "", _join(scheme, r["netloc"], F.concat(r["path"], tail), r["query"], fragment))
-            .when(
-                (r["path"] == "") & (r["params"] == ""),
-                _join(
-                    scheme,
-                    b["netloc"],
-                    b["path"],
-                    F.when(r["query"] != "", r["query"]).otherwise(b["query"]),
-                    fragment,
-                ),
-            )
-            .otherwise(
-                _join(
-                    scheme,
-                    b["netloc"],
-                    F.concat(_merge_path(b["path"], r["path"]), tail),
-                    r["query"],
-                    fragment,
-                )
-            )
-        )
-
-    return let(
-        F.struct(
-            base.alias("base"),
-            href.alias("href"),
-            _hierarchy(clean(base)).alias("b"),
-            url_parts(href).alias("r"),
+    pieces = {"raw_base": base, "raw_href": href, "base": clean(base), "href": clean(href)}
+    named = F.named_struct(*[part for name, column in pieces.items() for part in (F.lit(name), column)])
+    return apply_sql(named, _RESOLVED)
+
+
+_NORMALIZED = _with_parts(
+    "v",
+    "p",
+    let_sql(
+        "k",
+        _path("p", _params("p")),
+        let_sql(
+            "w",
+            "concat(p.scheme, '://', p.netloc, k, if(p.query <> '', concat('?', p.query), ''))",
+            "if(endswith(w, '/') and length(k) > 1, substr(w, 1, length(w) - 1), w)",
         ),
-        resolve,
-    )
+    ),
+)
 
 
 def normalize_url(url: Column) -> Column:
     """Lower case, no fragment, no path parameters, at most one trailing slash removed."""
-
-    def build(p: Column) -> Column:
-        whole = F.concat(
-            p["scheme"],
-            F.lit("://"),
-            p["netloc"],
-            p["path"],
-            F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(""),
-        )
-        cut = F.endswith(whole, F.lit("/")) & (F.length(p["path"]) > 1)
-        return F.when(cut, F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
-
-    return let(url_parts(F.lower(url)), build)
+    return apply_sql(clean(F.lower(url)), _NORMALIZED)
 
 
 def is_valid_url_basic(url: Column) -> Column:
@@ -286,31 +284,28 @@ def unquote(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("%")), F.coalesce(decoded, text)).otherwise(text)
 
 
-def _unquote_plus(text: Column) -> Column:
-    return F.coalesce(F.try_url_decode(text), text)
+# Pairs of a query string; a plus sign is a blank, malformed text stays.
+_QUERY_MAP = let_sql(
+    "e",
+    "filter(transform(split(v, '&'), p -> named_struct('key', substring_index(p, '=', 1), 'value', "
+    + _after("p", "=")
+    + ")), e -> e.value <> '')",
+    let_sql(
+        "d",
+        "transform(e, x -> named_struct('key', coalesce(try_url_decode(x.key), x.key),"
+        " 'value', coalesce(try_url_decode(x.value), x.value)))",
+        let_sql(
+            "k",
+            "array_distinct(transform(d, x -> x.key))",
+            "map_from_arrays(k, transform(k, n -> transform(filter(d, x -> x.key = n), x -> x.value)))",
+        ),
+    ),
+)
 
 
 def query_map(query: Column) -> Column:
     """MAP<STRING, ARRAY<STRING>> of a query string; blank values are dropped."""
-
-    def build(pairs: Column) -> Column:
-        keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-        return F.map_from_arrays(
-            keys,
-            F.transform(
-                keys,
-                lambda k: F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"]),
-            ),
-        )
-
-    pairs = F.transform(
-        F.split(query, "&"),
-        lambda p: F.struct(
-            _unquote_plus(F.substring_index(p, "=", 1)).alias("key"),
-            _unquote_plus(_after(p, "=")).alias("value"),
-        ),
-    )
-    return let(F.filter(pairs, lambda p: p["value"] != ""), build)
+    return apply_sql(query, _QUERY_MAP)
 
 
 # Path parts that name a course, and query keys that hold its id.
@@ -324,8 +319,8 @@ def parse_course_url(url: Column) -> Column:
     def build(p: Column) -> Column:
         query = query_map(p["query"])
         parts = F.split(F.btrim(p["path"], F.lit("/")), "/")
-        named = F.filter(parts, lambda s: s.rlike(COURSE_PART)).getItem(0)
-        from_query = [F.try_element_at(query, F.lit(k)).getItem(0) for k in COURSE_KEYS]
+        named = F.get(F.filter(parts, lambda s: s.rlike(COURSE_PART)), F.lit(0))
+        from_query = [F.get(F.try_element_at(query, F.lit(k)), F.lit(0)) for k in COURSE_KEYS]
         return F.struct(
             p["netloc"].alias("domain"),
             p["path"].alias("path"),
@@ -341,7 +336,9 @@ def course_id(url: Column, name: Column) -> Column:
     """First path part that starts with a digit or holds a hyphen, else a course code
     at the start of the name, else the name as an identifier."""
     parts = F.split(url_parts(url)["path"], "/")
-    from_path = F.filter(parts, lambda s: s.rlike(r"^\p{Nd}") | F.contains(s, F.lit("-"))).getItem(0)
+    from_path = F.get(
+        F.filter(parts, lambda s: s.rlike(r"^\p{Nd}") | F.contains(s, F.lit("-"))), F.lit(0)
+    )
     code = F.replace(F.regexp_extract(name, r"^([A-Z]{2,4}\s?[0-9]{3,4})", 1), F.lit(" "), F.lit(""))
     plain = F.substring(F.regexp_replace(name, f"[^{WORD}]", "_"), 1, 50)
     return F.coalesce(from_path, F.when(code != "", code), plain)

@@ -61,7 +61,7 @@ def metadata_columns(doc: Column, html_tag: Column) -> dict[str, Column]:
         "meta": last_wins_map(_meta_entries(doc, either)),
         "open_graph": meta_prefix_map(_meta_entries(doc, lambda m: m["property"]), "og:"),
         "twitter_card": meta_prefix_map(_meta_entries(doc, lambda m: m["name"]), "twitter:"),
-        "canonical_url": canonical.getItem(0)["href"],
+        "canonical_url": F.get(canonical, F.lit(0))["href"],
         "language": F.when(attr(html_tag, "lang") != "", attr(html_tag, "lang")),
     }
 

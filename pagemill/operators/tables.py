@@ -20,7 +20,7 @@ from pagemill.functions.html import (
     void_pattern,
     without_code,
 )
-from pagemill.functions.text import last_wins_map
+from pagemill.functions.text import last_wins_map, let
 
 _SECTION_STOP = r"/?(?:thead|tbody|tfoot|table)[\s>]"
 _HEAD = element_pattern("thead", _SECTION_STOP)
@@ -37,59 +37,72 @@ def _first_cells(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, _cells(rows.getItem(0))).otherwise(empty)
 
 
-def extract_tables(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, row_no, cells MAP<STRING, STRING>). Header cells are those of
-    the head and of the first row of every other part of the table, in that order; a
-    cell past the headers is ``column_i`` and the last of equal headers counts."""
-    tables = pages.select("page_id", without_code(F.col("html")).alias("_doc")).select(
-        "page_id", F.posexplode(nested_elements(F.col("_doc"), "table")).alias("table_no", "_t")
-    )
-    loose = F.regexp_replace("_t", f"{_HEAD}|{_BODY}|{_FOOT}", "")
-    parts = tables.select(
-        "page_id",
-        "table_no",
-        F.flatten(F.transform(find_all(F.col("_t"), _HEAD), lambda p: find_all(p, ROW))).alias("head"),
-        find_all(loose, ROW).alias("loose"),
-        F.transform(find_all(F.col("_t"), _BODY), lambda p: find_all(p, ROW)).alias("bodies"),
-        F.transform(find_all(F.col("_t"), _FOOT), lambda p: find_all(p, ROW)).alias("feet"),
-    )
+def _rest(rows: Column) -> Column:
+    return F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
 
-    def rest(rows: Column) -> Column:
-        return F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
 
-    head_cells = F.flatten(
-        F.transform(
-            F.col("head"),
-            lambda r, i: F.transform(
-                F.filter(find_all(r, CELL), lambda c: (tag_name(c) == "th") | (i == 0)), element_text
-            ),
-        )
+def _headers(p: Column) -> Column:
+    head_cells = F.transform(
+        p["head"],
+        lambda r, i: F.transform(
+            F.filter(find_all(r, CELL), lambda c: (tag_name(c) == "th") | (i == 0)), element_text
+        ),
     )
-    headers = F.concat(
-        head_cells,
-        _first_cells(F.col("loose")),
-        F.flatten(F.transform(F.col("bodies"), _first_cells)),
-        F.flatten(F.transform(F.col("feet"), _first_cells)),
+    return F.concat(
+        F.flatten(head_cells),
+        _first_cells(p["loose"]),
+        F.flatten(F.transform(p["bodies"], _first_cells)),
+        F.flatten(F.transform(p["feet"], _first_cells)),
     )
+
+
+def _records(p: Column) -> Column:
+    """ARRAY<MAP<STRING, STRING>> of the data rows of a table cut into its parts."""
     rows = F.concat(
-        rest(F.col("head")),
-        rest(F.col("loose")),
-        F.flatten(F.col("bodies")),
-        F.flatten(F.transform(F.col("feet"), rest)),
-    )
-    lined = parts.select("page_id", "table_no", headers.alias("headers"), F.posexplode(rows).alias("row_no", "_row"))
-    cells = lined.select("page_id", "table_no", "row_no", "headers", _cells(F.col("_row")).alias("cells"))
-    pairs = F.transform(
-        F.col("cells"),
-        lambda c, i: F.struct(
-            F.coalesce(F.get(F.col("headers"), i), F.concat(F.lit("column_"), i.cast("string"))).alias("key"),
-            c.alias("value"),
-        ),
-    )
-    return cells.filter(F.size("cells") > 0).select(
-        "page_id", "table_no", "row_no", last_wins_map(pairs).alias("cells")
+        _rest(p["head"]), _rest(p["loose"]), F.flatten(p["bodies"]), F.flatten(F.transform(p["feet"], _rest))
     )
 
+    def record(headers: Column, cells: Column) -> Column:
+        return last_wins_map(
+            F.transform(
+                cells,
+                lambda c, i: F.struct(
+                    F.coalesce(F.get(headers, i), F.concat(F.lit("column_"), i.cast("string"))).alias("key"),
+                    c.alias("value"),
+                ),
+            )
+        )
+
+    def build(t: Column) -> Column:
+        filled = F.filter(F.transform(t["rows"], _cells), lambda cells: F.size(cells) > 0)
+        return F.transform(filled, lambda cells: record(t["headers"], cells))
+
+    return let(F.struct(_headers(p).alias("headers"), rows.alias("rows")), build)
+
+
+def table_records(table: Column) -> Column:
+    """ARRAY<MAP<STRING, STRING>> of the data rows of a ``table`` element. Header cells
+    are those of the head and of the first row of every other part of the table, in that
+    order; a cell past the headers is ``column_i``, the last of equal headers counts."""
+
+    def parts(t: Column) -> Column:
+        loose = F.regexp_replace(t, f"{_HEAD}|{_BODY}|{_FOOT}", "")
+        return F.struct(
+            F.flatten(F.transform(find_all(t, _HEAD), lambda p: find_all(p, ROW))).alias("head"),
+            find_all(loose, ROW).alias("loose"),
+            F.transform(find_all(t, _BODY), lambda p: find_all(p, ROW)).alias("bodies"),
+            F.transform(find_all(t, _FOOT), lambda p: find_all(p, ROW)).alias("feet"),
+        )
+
+    return let(let(table, parts), _records)
+
+
+def extract_tables(pages: DataFrame) -> DataFrame:
+    """(page_id, table_no, row_no, cells MAP<STRING, STRING>)."""
+    staged = pages.select("page_id", without_code(F.col("html")).alias("_doc"))
+    tables = staged.select("page_id", F.posexplode(nested_elements(F.col("_doc"), "table")).alias("table_no", "_t"))
+    return tables.select("page_id", "table_no", F.posexplode(table_records(F.col("_t"))).alias("row_no", "cells"))
+
 
 _FIELD = (
     rf"{void_pattern('(?:input|textarea)')}|{element_pattern('select', '/?form[\\s>]')}"
