@@ -4,7 +4,7 @@ Supported: ``//tag`` and ``//*`` steps (a ``/`` step counts like ``//``), the co
 ``[@a]``, ``[@a="v"]``, ``[contains(@a, "v")]``, ``[contains(text(), "v")]``, ``or``
 between them, ``[n]``, the tails ``/text()``, ``//text()``, ``/@a`` and
 ``/following-sibling::*/text()``, and unions with ``|``. ``text()`` inside a condition
-is the text before the first child. Siblings are the simple elements that follow."""
+is the text before the first child."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ from pagemill.functions.html import (
     inner,
     nested_elements,
     own_text_nodes,
+    sibling_elements,
     tag_name,
     text_nodes,
 )
@@ -92,12 +93,9 @@ def _inside(tag: str, conditions: list[str]):
     return lambda element: _elements(inner(element), tag, conditions)
 
 
-def _siblings(html: Column, tag: str, element: Column) -> Column:
-    run = rf"(?:[^<]*+<([a-z][a-z0-9]*){ATTRS}>[^<]*+</\2\s*+>)*+"
-    at = F.instr(html, element)
-    after = F.substr(html, at + F.length(element))
-    follows = F.regexp_extract(after, rf"(?is)\A</[a-z][a-z0-9]*\s*+>({run})", 1)
-    return text_nodes(F.array_join(F.regexp_extract_all(follows, F.lit(r">([^<]+)</"), F.lit(1)), "<i>"))
+def _siblings(html: Column, element: Column) -> Column:
+    after = F.substr(html, F.instr(html, element) + F.length(element))
+    return F.flatten(F.transform(sibling_elements(after), lambda e: own_text_nodes(inner(e))))
 
 
 def _parse(rule: str):
@@ -116,7 +114,7 @@ def _parse(rule: str):
     return steps, tail, attribute
 
 
-def _values(html: Column, found: Column, last_tag: str, tail, attribute, kind: str) -> Column:
+def _values(html: Column, found: Column, tail, attribute, kind: str) -> Column:
     if attribute:
         values = F.transform(found, lambda e: attr(e, attribute))
         return F.filter(values, lambda v: v.isNotNull())
@@ -125,7 +123,7 @@ def _values(html: Column, found: Column, last_tag: str, tail, attribute, kind: s
     if tail == "texts":
         return F.flatten(F.transform(found, lambda e: text_nodes(inner(e))))
     if tail == "siblings":
-        return F.flatten(F.transform(found, lambda e: _siblings(html, last_tag, e)))
+        return F.flatten(F.transform(found, lambda e: _siblings(html, e)))
     if kind == "html":
         return found
     return F.transform(found, element_text)
@@ -136,7 +134,7 @@ def _single(html: Column, rule: str, kind: str) -> Column:
     found = _elements(html, *steps[0])
     for step in steps[1:]:
         found = F.flatten(F.transform(found, _inside(*step)))
-    return _values(html, found, steps[-1][0], tail, attribute, kind)
+    return _values(html, found, tail, attribute, kind)
 
 
 def _merged(html: Column, parsed: list, kind: str) -> Column:
@@ -158,7 +156,7 @@ def _merged(html: Column, parsed: list, kind: str) -> Column:
 
     union = _ANY if _ANY in tags else "|".join(dict.fromkeys(tags))
     found = F.filter(nested_elements(html, union, "(?:" + "|".join(hints) + ")"), any_part)
-    return _values(html, found, "*", parsed[0][1], parsed[0][2], kind)
+    return _values(html, found, parsed[0][1], parsed[0][2], kind)
 
 
 def select(html: Column, rule: str, kind: str = "text") -> Column:
