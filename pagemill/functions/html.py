@@ -76,7 +76,8 @@ def attr(element: Column, name: str) -> Column:
     def unquoted(v: Column) -> Column:
         quoted = v.startswith('"') | v.startswith("'")
         bare = F.when(quoted, F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-        return F.when(v != "", decode_entities(bare))
+        decoded = F.when(F.contains(v, F.lit("&")), decode_entities(bare)).otherwise(bare)
+        return F.when(v != "", decoded)
 
     return let(raw, unquoted)
 

@@ -170,45 +170,113 @@ def _merged(base: str, path: str) -> str:
     return f"if(startswith({path}, '/') and not contains({path}, '/.'), {path}, {let_sql('g', segments, _NO_DOTS)})"
 
 
-_RESOLVED = _with_parts(
-    "v.href",
-    "w",
-    let_sql(
-        "k",
-        _params("w"),
+# A rooted path without query, fragment, parameters, "//" and dot segments.
+_PLAIN_ROOTED = "(startswith({0}, '/') and not {0} rlike '[?#;]|/[./]')"
+
+
+def _target(base: str, href: str) -> str:
+    """SQL expression: parts of the URL that a clean reference means on a page whose URL
+    has the parts ``base``; the path keeps its parameters."""
+
+    def parts(scheme: str, netloc: str, path: str, query: str, fragment: str) -> str:
+        return (
+            f"named_struct('scheme', {scheme}, 'netloc', {netloc}, 'path', {path},"
+            f" 'query', {query}, 'fragment', {fragment})"
+        )
+
+    full = _with_parts(
+        href,
+        "w",
         let_sql(
-            "q",
-            _path("w", "k"),
-            _with_parts(
-                "v.base",
-                "b",
+            "c",
+            f"if(w.scheme = '', {base}.scheme, w.scheme)",
+            f"case when c <> {base}.scheme or not {_matches('c', RELATIVE_SCHEMES)} then w"
+            " when w.netloc <> '' then "
+            + parts("c", "w.netloc", "w.path", "w.query", "w.fragment")
+            + " when w.path = '' then "
+            + parts("c", f"{base}.netloc", f"{base}.path", f"if(w.query <> '', w.query, {base}.query)", "w.fragment")
+            + " else "
+            + let_sql(
+                "k",
+                _params("w"),
                 let_sql(
-                    "c",
-                    "if(w.scheme = '', b.scheme, w.scheme)",
-                    "case when v.raw_href = '' then v.raw_base when v.raw_base = '' then v.raw_href"
-                    f" when c <> b.scheme or not {_matches('c', RELATIVE_SCHEMES)} then v.raw_href"
-                    f" when w.netloc <> '' then {_join('c', 'w.netloc', 'concat(q, k)', 'w.query', 'w.fragment')}"
-                    " when q = '' and k = '' then "
-                    + _join("c", "b.netloc", "b.path", "if(w.query <> '', w.query, b.query)", "w.fragment")
-                    + " else "
-                    + let_sql(
-                        "m",
-                        f"concat({_merged('b.path', 'q')}, k)",
-                        _join("c", "b.netloc", "m", "w.query", "w.fragment"),
-                    )
-                    + " end",
+                    "q",
+                    _path("w", "k"),
+                    parts(
+                        "c",
+                        f"{base}.netloc",
+                        f"concat({_merged(f'{base}.path', 'q')}, k)",
+                        "w.query",
+                        "w.fragment",
+                    ),
                 ),
-            ),
+            )
+            + " end",
         ),
-    ),
+    )
+    return (
+        f"case when {href} = '' then {base} when {_PLAIN_ROOTED.format(href)} then "
+        + parts(f"{base}.scheme", f"{base}.netloc", href, "''", "''")
+        + f" else {full} end"
+    )
+
+
+_RESOLVED = _with_parts(
+    "v.base",
+    "b",
+    "case when v.raw_href = '' then v.raw_base when v.raw_base = '' then v.raw_href else "
+    + let_sql(
+        "t",
+        _target("b", "v.href"),
+        f"if(t.scheme <> b.scheme or not {_matches('t.scheme', RELATIVE_SCHEMES)}, v.raw_href, "
+        + _join("t.scheme", "t.netloc", "t.path", "t.query", "t.fragment")
+        + ")",
+    )
+    + " end",
 )
 
 
+def _named(**columns: Column) -> Column:
+    return F.named_struct(*[part for name, column in columns.items() for part in (F.lit(name), column)])
+
+
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` found on the page ``base``."""
-    pieces = {"raw_base": base, "raw_href": href, "base": clean(base), "href": clean(href)}
-    named = F.named_struct(*[part for name, column in pieces.items() for part in (F.lit(name), column)])
-    return apply_sql(named, _RESOLVED)
+    pieces = _named(raw_base=base, raw_href=href, base=clean(base), href=clean(href))
+    return apply_sql(pieces, _RESOLVED)
+
+
+def _shown(parts: str) -> str:
+    """SQL expression: parts as a normalised URL and the parts that decide on a visit."""
+    rooted = f"if({parts}.netloc <> '' and {parts}.path <> '' and not startswith({parts}.path, '/'), '/', '')"
+    return let_sql(
+        "k",
+        f"concat({rooted}, {_path(parts, _params(parts))})",
+        let_sql(
+            "w",
+            f"concat({parts}.scheme, '://', {parts}.netloc, k, if({parts}.query <> '', concat('?', {parts}.query), ''))",
+            f"named_struct('url', lower(if(endswith(w, '/') and length(k) > 1, substr(w, 1, length(w) - 1), w)),"
+            f" 'scheme', {parts}.scheme, 'netloc', lower({parts}.netloc), 'path', lower(k))",
+        ),
+    )
+
+
+def link_targets(base: Column, hrefs: Column) -> Column:
+    """ARRAY<STRUCT<url, scheme, netloc, path>>: normalised targets of the references of
+    one page. The page URL is read once, and a target is not put together and read again."""
+    body = _with_parts(
+        "v.base",
+        "b",
+        "transform(v.hrefs, x -> "
+        + let_sql(
+            "h",
+            "translate(ltrim(v.blanks, x), '\t\r\n', '')",
+            let_sql("t", _target("b", "h"), _shown("t")),
+        )
+        + ")",
+    )
+    pieces = _named(base=clean(base), hrefs=hrefs, blanks=F.lit(_CONTROL_OR_SPACE))
+    return apply_sql(pieces, body)
 
 
 _NORMALIZED = _with_parts(
@@ -226,15 +294,29 @@ _NORMALIZED = _with_parts(
 )
 
 
+# A lower case URL that normalising leaves as it is.
+_ALREADY_NORMAL = r"^[a-z][a-z0-9+.\-]*://[^/?#;\s]+(?:/|/[^?#;\s]*[^/?#;\s])(?:\?[^#;\s]*[^/#;\s])?\z"
+
+
 def normalize_url(url: Column) -> Column:
     """Lower case, no fragment, no path parameters, at most one trailing slash removed."""
-    return apply_sql(clean(F.lower(url)), _NORMALIZED)
+    low = F.lower(url)
+    return F.when(low.rlike(_ALREADY_NORMAL), low).otherwise(apply_sql(clean(low), _NORMALIZED))
 
 
 def is_valid_url_basic(url: Column) -> Column:
     return let(url_parts(url), lambda p: (p["scheme"] != "") & (p["netloc"] != ""))
 
 
+def _crawlable(parts: Column, allowed_domains: Sequence[str] | None, strict: bool) -> Column:
+    ok = parts["scheme"].rlike("^https?$") & (parts["netloc"] != "")
+    if allowed_domains:
+        names = "|".join(re.escape(d if strict else d.lstrip(".")) for d in allowed_domains)
+        before = "" if strict else r"(?:^|\.)"
+        ok = ok & F.lower(parts["netloc"]).rlike(rf"{before}(?:{names})\z")
+    return ok & ~ends_with_any(F.lower(parts["path"]), SKIP_EXTENSIONS)
+
+
 def is_crawlable_url(
     url: Column,
     allowed_domains: Sequence[str] | None = None,
@@ -244,24 +326,26 @@ def is_crawlable_url(
     """Web page URL inside the allowed domains. ``url_filter`` maps the URL column to a
     boolean column. ``strict`` compares domains as bare text endings, so
     ``evilexample.com`` passes for ``example.com``; otherwise a dot must precede."""
-
-    def check(p: Column) -> Column:
-        ok = p["scheme"].isin("http", "https") & (p["netloc"] != "")
-        if allowed_domains:
-            host = F.lower(p["netloc"])
-            inside = F.lit(False)
-            for domain in allowed_domains:
-                if strict:
-                    inside = inside | host.endswith(domain)
-                else:
-                    inside = inside | (host == domain) | host.endswith("." + domain.lstrip("."))
-            ok = ok & inside
-        return ok & ~ends_with_any(F.lower(p["path"]), SKIP_EXTENSIONS)
-
-    ok = let(url_parts(url), check)
+    ok = let(url_parts(url), lambda p: _crawlable(p, allowed_domains, strict))
     return ok & url_filter(url) if url_filter is not None else ok
 
 
+def crawlable_targets(
+    base: Column,
+    hrefs: Column,
+    allowed_domains: Sequence[str] | None = None,
+    url_filter=None,
+    strict: bool = False,
+) -> Column:
+    """ARRAY<STRING>: distinct normalised targets of a page that may be crawled."""
+
+    def keep(t: Column) -> Column:
+        ok = _crawlable(t, allowed_domains, strict)
+        return ok & url_filter(t["url"]) if url_filter is not None else ok
+
+    return F.array_distinct(F.transform(F.filter(link_targets(base, hrefs), keep), lambda t: t["url"]))
+
+
 def is_navigation_url(url: Column) -> Column:
     return let(F.lower(url_parts(url)["path"]), lambda path: contains_any(path, NAVIGATION_PARTS))
 
@@ -351,7 +435,9 @@ def robots_url(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return url_parts(url)["netloc"]
+    """Host with port; most URLs are read by one pattern, the others in full."""
+    plain = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\s]+)", 1)
+    return F.when(plain != "", plain).otherwise(url_parts(url)["netloc"])
 
 
 def harvest_urls(text: Column) -> Column:

@@ -34,9 +34,9 @@ def crawl_frontier_join(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
 
 
-def _decide(level: DataFrame, known_pages: DataFrame, robots: DataFrame | None) -> DataFrame:
-    """(url, status, reason) of the URLs of one level."""
-    checked = robots_can_fetch(level, robots) if robots is not None else level.withColumn("allowed", F.lit(True))
+def _outcomes(urls: DataFrame, known_pages: DataFrame, robots: DataFrame | None) -> DataFrame:
+    """(url, reason): why a visit of each URL would fail; NULL when it would succeed."""
+    checked = robots_can_fetch(urls, robots) if robots is not None else urls.withColumn("allowed", F.lit(True))
     present = known_pages.withColumn("_page", F.lit(True))
     return checked.join(present, "url", "left").select(
         "url",
@@ -44,6 +44,10 @@ def _decide(level: DataFrame, known_pages: DataFrame, robots: DataFrame | None)
     )
 
 
+def _rows(level: DataFrame, depth: int, status: Column, reason: Column) -> DataFrame:
+    return level.select("url", F.lit(depth).alias("depth"), status.alias("status"), reason.alias("reason"))
+
+
 def crawl_bfs(
     pages: DataFrame,
     start: DataFrame,
@@ -60,57 +64,50 @@ def crawl_bfs(
     ``visited`` pages were found and read, ``failed`` ones refused by robots or not
     captured, ``discovered`` ones lie past ``max_depth`` or came after ``max_urls``
     visits, counted in (depth, url) order. Sitemap URLs enter at depth 1 as written. A
-    start that robots refuse ends with that failure alone."""
+    start that robots refuse ends with that failure alone.
+
+    Whether a visit succeeds does not depend on the way to the URL, so it is decided for
+    all URLs at once before the first level; a level is then one join and one anti join."""
     edges = edges if edges is not None else extract_edges(pages, allowed_domains)
     edges = cut(edges)
-    known_pages = cut(page_keys(pages))
-    level = start.select(normalize_url(F.col("url")).alias("url")).distinct()
-    if robots is not None:
-        refused = robots_can_fetch(level, robots).filter(~F.col("allowed"))
-        level = level.join(refused.select("url"), "url", "left_anti")
-        failed = refused.select("url", F.lit(REFUSED).alias("reason"))
-    else:
-        failed = None
-    level = cut(level)
-    decided: list[DataFrame] = []
-    known: list[DataFrame] = [level]
+    first = start.select(normalize_url(F.col("url")).alias("url")).distinct()
+    targets = edges.select(F.col("dst").alias("url")).unionByName(first)
+    extra = None
+    if sitemap_urls is not None:
+        extra = sitemap_urls.select("url").filter(is_crawlable_url(F.col("url"), allowed_domains)).distinct()
+        targets = targets.unionByName(extra)
+    nodes = cut(_outcomes(targets.distinct(), page_keys(pages), robots))
+    step = cut(edges.join(nodes.withColumnRenamed("url", "dst"), "dst"))
+    null = F.lit(None).cast("string")
+    level = cut(first.join(nodes, "url"))
+    refused = level.filter(F.col("reason") == REFUSED)
+    decided = [_rows(refused, 0, F.lit("failed"), F.col("reason"))]
+    level = level.filter(F.col("reason").isNull() | (F.col("reason") != REFUSED))
+    known: list[DataFrame] = [level.select("url")]
     visits, depth = 0, 0
     while not level.isEmpty() and depth < level_limit:
         if (max_depth >= 0 and depth > max_depth) or (0 < max_urls <= visits):
-            decided.append(_status(level, depth, F.lit("discovered")))
+            decided.append(_rows(level, depth, F.lit("discovered"), null))
             break
-        rows = _decide(level, known_pages, robots)
+        status = F.when(F.col("reason").isNull(), "visited").otherwise("failed")
         if max_urls > 0:
-            rows = cut(_before_limit(rows, max_urls - visits))
-            status = F.when(~F.col("_in"), "discovered").when(F.col("reason").isNull(), "visited").otherwise("failed")
-            rows = rows.select("url", F.when(F.col("_in"), F.col("reason")).alias("reason"), status.alias("status"))
-        else:
-            status = F.when(F.col("reason").isNull(), "visited").otherwise("failed")
-            rows = cut(rows.withColumn("status", status))
-        decided.append(rows.select("url", F.lit(depth).alias("depth"), "status", "reason"))
-        frontier = rows.filter(F.col("status") == "visited")
+            level = cut(_before_limit(level, max_urls - visits))
+            decided.append(_rows(level.filter(~F.col("_in")), depth, F.lit("discovered"), null))
+            level = level.filter("_in")
+        decided.append(_rows(level, depth, status, F.col("reason")))
+        frontier = level.filter(F.col("reason").isNull()).select(F.col("url").alias("src"))
         if max_urls > 0:
             visits += frontier.count()
-        found = crawl_frontier_join(frontier, edges)
-        if depth == 0 and sitemap_urls is not None:
-            extra = sitemap_urls.select("url").filter(is_crawlable_url(F.col("url"), allowed_domains))
-            found = found.unionByName(extra).distinct()
-        level = cut(found.join(reduce(DataFrame.unionByName, known), "url", "left_anti"))
-        known.append(level)
+        found = frontier.join(step, "src").select(F.col("dst").alias("url"), "reason")
+        if depth == 0 and extra is not None:
+            found = found.unionByName(extra.join(nodes, "url").select("url", "reason"))
+        found = found.distinct().join(reduce(DataFrame.unionByName, known), "url", "left_anti")
+        level = cut(found)
+        known.append(level.select("url"))
         depth += 1
-    if failed is not None:
-        decided.append(failed.select("url", F.lit(0).alias("depth"), F.lit("failed").alias("status"), "reason"))
-    if not decided:
-        decided.append(_status(level, 0, F.lit("discovered")))
     return reduce(DataFrame.unionByName, decided)
 
 
-def _status(level: DataFrame, depth: int, status: Column) -> DataFrame:
-    return level.select(
-        "url", F.lit(depth).alias("depth"), status.alias("status"), F.lit(None).cast("string").alias("reason")
-    )
-
-
 def _before_limit(rows: DataFrame, room: int) -> DataFrame:
     """Mark rows handled before the visit limit is reached, in URL order."""
     blocks = ordered_blocks(rows, [], ["url"])
@@ -126,16 +123,16 @@ def crawl_dfs(
     preorder of the discovery tree. The parent of a page is its smallest neighbour one
     level up, siblings go in URL order. Without caps the visited set is reachability, so
     no depth is cut."""
-    edges = cut(edges if edges is not None else extract_edges(pages))
+    edges = edges if edges is not None else extract_edges(pages)
     known_pages = cut(page_keys(pages))
+    step = cut(edges.join(known_pages.withColumnRenamed("url", "dst"), "dst", "left_semi"))
     level = start.select(normalize_url(F.col("url")).alias("url")).distinct().join(known_pages, "url", "left_semi")
     level = cut(level.select("url", F.lit(0).alias("depth"), F.array("url").alias("path")))
     seen = [level]
     for depth in range(1, max_levels + 1):
-        step = level.select(F.col("url").alias("src"), "path").join(edges, "src")
-        parent = step.groupBy(F.col("dst").alias("url")).agg(F.min_by("path", "src").alias("path"))
-        found = parent.join(known_pages, "url", "left_semi")
-        found = found.join(reduce(DataFrame.unionByName, seen).select("url"), "url", "left_anti")
+        pairs = level.select(F.col("url").alias("src"), "path").join(step, "src")
+        parent = pairs.groupBy(F.col("dst").alias("url")).agg(F.min_by("path", "src").alias("path"))
+        found = parent.join(reduce(DataFrame.unionByName, seen).select("url"), "url", "left_anti")
         level = cut(
             found.select("url", F.lit(depth).alias("depth"), F.array_append("path", F.col("url")).alias("path"))
         )

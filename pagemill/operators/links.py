@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.html import ANCHOR, attr, element_text, find_all, has_attr, void_pattern, without_code
 from pagemill.functions.text import strip
-from pagemill.functions.urls import is_crawlable_url, is_navigation_url, normalize_url, resolve_url
+from pagemill.functions.urls import crawlable_targets, is_crawlable_url, is_navigation_url, normalize_url, resolve_url
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -42,16 +42,14 @@ def extract_links(pages: DataFrame, use_base: bool = True) -> DataFrame:
     return rows.withColumn("link_url", resolve_url(F.col("url"), target)).drop("base")
 
 
-def link_targets(doc: Column, url: Column) -> Column:
-    """Distinct normalised link targets of a page, from ``a`` and from ``link`` elements
-    whose rel is alternate or canonical."""
-    hrefs = F.transform(find_all(doc, ANCHOR), lambda e: attr(e, "href"))
+def followed_hrefs(doc: Column) -> Column:
+    """Distinct hrefs of ``a`` elements, and of ``link`` elements whose rel is alternate
+    or canonical."""
     tags = F.filter(
-        find_all(doc, void_pattern("link")), lambda t: attr(t, "rel").isin("alternate", "canonical")
+        find_all(doc, void_pattern("link")), lambda t: attr(t, "rel").rlike("^(?:alternate|canonical)$")
     )
-    hrefs = F.concat(hrefs, F.transform(tags, lambda t: attr(t, "href")))
-    hrefs = F.filter(F.array_distinct(hrefs), lambda h: h.isNotNull() & (h != ""))
-    return F.array_distinct(F.transform(hrefs, lambda h: normalize_url(resolve_url(url, h))))
+    hrefs = F.transform(F.concat(find_all(doc, ANCHOR), tags), lambda e: attr(e, "href"))
+    return F.filter(F.array_distinct(hrefs), lambda h: h != "")
 
 
 def extract_edges(
@@ -60,9 +58,9 @@ def extract_edges(
     """(src, dst): normalised page URL to normalised crawlable link, each pair of a page
     once. Pairs are made unique inside the page row, so nothing is shuffled."""
     staged = pages.select("url", without_code(F.col("html")).alias("_doc"))
-    return staged.select(
-        normalize_url(F.col("url")).alias("src"), F.explode(link_targets(F.col("_doc"), F.col("url"))).alias("dst")
-    ).filter(is_crawlable_url(F.col("dst"), allowed_domains, url_filter, strict))
+    staged = staged.select("url", followed_hrefs(F.col("_doc")).alias("_hrefs"))
+    found = crawlable_targets(F.col("url"), F.col("_hrefs"), allowed_domains, url_filter, strict)
+    return staged.select(normalize_url(F.col("url")).alias("src"), F.explode(found).alias("dst"))
 
 
 def sitemap_html(pages: DataFrame) -> DataFrame:

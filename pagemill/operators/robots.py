@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import let, strip
-from pagemill.functions.urls import unquote, url_parts
+from pagemill.functions.urls import host_of, unquote, url_parts
 
 _LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
@@ -163,7 +163,9 @@ def _checked_path(url: Column) -> Column:
         )
         return F.when(whole == "", "/").otherwise(_quote(whole))
 
-    return let(url_parts(unquote(url)), rest)
+    # Most paths hold only characters that are never encoded.
+    plain = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#%;\s]+(/[A-Za-z0-9/._~\-]*)\z", 1)
+    return F.when(plain != "", plain).otherwise(let(url_parts(unquote(url)), rest))
 
 
 def robots_can_fetch(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
@@ -172,7 +174,7 @@ def robots_can_fetch(urls: DataFrame, robots: DataFrame, agent: str = "*") -> Da
     so a URL meets its rules inside its row and no URL-rule pairs are made; a host with
     many URLs is split by the adaptive skew join."""
     policy = robots_policy(robots, agent).withColumnRenamed("host", "_host")
-    keyed = urls.withColumns({"_host": url_parts(F.col("url"))["netloc"], "_path": _checked_path(F.col("url"))})
+    keyed = urls.withColumns({"_host": host_of(F.col("url")), "_path": _checked_path(F.col("url"))})
     hits = F.filter("rules", lambda r: F.startswith(F.col("_path"), r["path"]))
     joined = keyed.join(policy, "_host", "left")
     return joined.select(

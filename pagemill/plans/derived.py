@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.session import spread
+
 NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 
@@ -486,9 +488,12 @@ def with_derived(names: list[str], query: str) -> str:
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("pages", "documents") else rows
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = DERIVED[name]
-    return given(spark, sf_dir, table).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    # Only the columns in use are dealt out, the text is made afterwards.
+    return spread(rows).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
