@@ -95,6 +95,11 @@ def page_text(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]+>", " ")
 
 
+def micros(time: Column) -> Column:
+    """Microseconds of a time with or without zone."""
+    return F.unix_micros(time.cast("timestamp"))
+
+
 def format_bytes(size: Column) -> Column:
     """``1.5 KB`` style sizes; exact half steps round to the even digit."""
     size = size.cast("long")

@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import micros
 from pagemill.operators.ordered import BLOCK, ordered_blocks
 
 # Send these functions to the executors with the job; the package need not be there.
@@ -93,7 +94,7 @@ def circuit_states(
     then opens it again, enough successes close it."""
     timeout = round(timeout_seconds * 1e6)
     rules = (threshold, timeout, half_open_successes)
-    rows = log.select("domain", "ts", order, "ok", F.unix_micros("ts").alias("_t"))
+    rows = log.select("domain", "ts", order, "ok", micros(F.col("ts")).alias("_t"))
     blocks = ordered_blocks(rows, ["domain"], ["_t", order])
 
     def summarise(block: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +139,8 @@ def circuit_states(
         out["admitted"], out["state"] = passed, names
         return out
 
-    out_schema = f"domain string, ts timestamp, {order} long, ok boolean, admitted boolean, state string"
+    time = log.schema["ts"].dataType.simpleString()
+    out_schema = f"domain string, ts {time}, {order} long, ok boolean, admitted boolean, state string"
     return blocks.join(entries, ["domain", BLOCK]).groupBy("domain", BLOCK).applyInPandas(replay, out_schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.files import file_visible, suffix_of
-from pagemill.functions.text import format_bytes, format_duration
+from pagemill.functions.text import format_bytes, format_duration, micros
 
 
 def resume_anti(tasks: DataFrame, done: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def batch_summary(tasks: DataFrame) -> DataFrame:
         F.min("started_at").alias("start_time"),
         F.max("completed_at").alias("end_time"),
     )
-    seconds = F.unix_micros("end_time") - F.unix_micros("start_time")
+    seconds = micros(F.col("end_time")) - micros(F.col("start_time"))
     return out.withColumns(
         {
             "duration": seconds / 1e6,
@@ -210,7 +210,7 @@ def stale_workers(beats: DataFrame, as_of: Column, interval_seconds: float = 30.
     """(worker_id, last_heartbeat, silent_seconds): workers silent for more than twice
     the health check interval at time ``as_of``."""
     last = beats.groupBy("worker_id").agg(F.max("ts").alias("last_heartbeat"))
-    silent = (F.unix_micros(as_of) - F.unix_micros("last_heartbeat")) / 1e6
+    silent = (micros(as_of) - micros(F.col("last_heartbeat"))) / 1e6
     return last.withColumn("silent_seconds", silent).filter(F.col("silent_seconds") > 2 * interval_seconds)
 
 

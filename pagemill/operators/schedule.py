@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import micros
 from pagemill.operators.ordered import BLOCK, ordered_blocks, running_over
 
 
@@ -15,14 +16,15 @@ def rate_schedule(requests: DataFrame, interval: Column, order: str = "request_i
     The i-th start is the latest of arrival_j + (i - j) * interval over j <= i: a
     running maximum, so a domain of any size is scheduled in parallel blocks."""
     rows = requests.withColumns(
-        {"_arrived": F.unix_micros("ts"), "_gap": F.round(interval * 1e6).cast("long")}
+        {"_arrived": micros(F.col("ts")), "_gap": F.round(interval * 1e6).cast("long")}
     )
     keys, by = ["domain"], ["ts", order]
     blocks = ordered_blocks(rows, keys, by)
     placed = running_over(blocks, keys, by, {"_i": ("sum", F.lit(1).cast("long"))})
     slack = F.col("_arrived") - F.col("_i") * F.col("_gap")
     found = running_over(placed, keys, by, {"_m": ("max", slack)})
-    start = F.timestamp_micros(F.col("_i") * F.col("_gap") + F.col("_m"))
+    wait = F.col("_i") * F.col("_gap") + F.col("_m") - F.col("_arrived")
+    start = F.timestamp_add("MICROSECOND", wait, F.col("ts"))
     return found.withColumn("start_at", start).drop(BLOCK, "_arrived", "_gap", "_i", "_m")
 
 

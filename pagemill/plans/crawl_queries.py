@@ -29,7 +29,7 @@ _LINES = "string_split(body, chr(10))"
     "src_robots",
     with_derived(
         ["robots"],
-        f"""SELECT host, i - 1 AS line_no, l[i] AS line FROM (SELECT host, {_LINES} AS l FROM robots),
+        f"""SELECT host, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT host, {_LINES} AS l FROM robots),
         unnest(range(1, len(l) + 1)) AS t(i)""",
     ),
 )

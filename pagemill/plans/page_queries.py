@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 TITLE = f"trim({unescaped('''regexp_extract(html, '(?s)<title>(.*?)</title>', 1)''')})"
 
 
-@query("src_pages", "SELECT page_id, url, length(html) AS n FROM pages WHERE html IS NOT NULL AND html <> ''")
+@query("src_pages", "SELECT page_id, url, CAST(length(html) AS INTEGER) AS n FROM pages WHERE html IS NOT NULL AND html <> ''")
 def src_pages(spark, sf):
     return pages.usable_pages(given(spark, sf, "pages")).select("page_id", "url", F.length("html").alias("n"))
 

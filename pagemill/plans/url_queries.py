@@ -212,7 +212,7 @@ _NAV = "'/(contact|about|privacy|terms|login|logout|register|signup|search|help|
 
 @query(
     "is_navigation_url",
-    f"""WITH {PAGE_LINKS} SELECT page_id, pos, regexp_matches(lower({path(ROOTED)}), {_NAV}) AS navigation FROM links""",
+    f"""WITH {PAGE_LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_matches(lower({path(ROOTED)}), {_NAV}) AS navigation FROM links""",
 )
 def is_navigation_url(spark, sf):
     links = extract_links(given(spark, sf, "pages"))
@@ -618,7 +618,7 @@ def text_content(spark, sf):
     """WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages),
     m AS (SELECT page_id, 'the_words' AS field, regexp_extract_all(text, '(?i)\\bthe [a-z]+') AS vals FROM t
     UNION ALL SELECT page_id, 'capitals', regexp_extract_all(text, '(?i)\\b(of|in), [a-z]+') FROM t)
-    SELECT page_id, field, i - 1 AS pos, vals[i] AS value FROM m, unnest(range(1, len(vals) + 1)) AS u(i)""",
+    SELECT page_id, field, CAST(i - 1 AS INTEGER) AS pos, vals[i] AS value FROM m, unnest(range(1, len(vals) + 1)) AS u(i)""",
 )
 def patterns(spark, sf):
     return extract_patterns(

@@ -32,4 +32,6 @@ def write_catalog(files: DataFrame, path: str) -> None:
     """File catalog laid out by course and type folder."""
     folder = F.when(type_folder(F.col("type")) == "", ".").otherwise(type_folder(F.col("type")))
     laid = files.withColumns({"course": sanitize_filename(F.col("course")), "type_dir": folder})
+    # Rows of a folder go to few files; a folder with very many rows gets several tasks.
+    laid = laid.hint("rebalance", "course", "type_dir")
     laid.write.mode("errorifexists").partitionBy("course", "type_dir").parquet(path)

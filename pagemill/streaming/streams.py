@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from pagemill.functions.text import micros
 from pagemill.operators.circuits import stream_step
 
 
@@ -46,7 +47,7 @@ def stream_circuit_states(
     """State after each request of ``log(domain, ts, request_id, ok)``. Requests of one
     micro-batch are put in time order; the state holds three values per domain."""
     rules = (threshold, round(timeout_seconds * 1e6), half_open_successes)
-    rows = log.select("domain", "ts", order, "ok", F.unix_micros("ts").alias("_t"))
+    rows = log.select("domain", "ts", order, "ok", micros(F.col("ts")).alias("_t"))
     return rows.groupBy("domain").applyInPandasWithState(
         stream_step(rules, order),
         f"domain string, ts timestamp, {order} long, ok boolean, admitted boolean, state string",
