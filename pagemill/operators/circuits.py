@@ -96,17 +96,24 @@ def circuit_states(
     rules = (threshold, timeout, half_open_successes)
     rows = log.select("domain", "ts", order, "ok", micros(F.col("ts")).alias("_t"))
     blocks = ordered_blocks(rows, ["domain"], ["_t", order])
+    # A block holds a range of domains, so only its first and last one can reach into
+    # other blocks; just these need tables.
+    wide = blocks.groupBy("domain").agg(F.min(BLOCK).alias("a"), F.max(BLOCK).alias("b")).filter("a < b")
+
+    def in_order(block: pd.DataFrame) -> pd.DataFrame:
+        return block.sort_values(["domain", "_t", order], kind="stable")
 
     def summarise(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["_t", order])
-        table = _summary(block["_t"].tolist(), block["ok"].tolist(), *rules)
+        number, out = int(block[BLOCK].iloc[0]), []
+        for domain, rows in in_order(block).groupby("domain", sort=False):
+            table = _summary(rows["_t"].tolist(), rows["ok"].tolist(), *rules)
+            out += [(domain, number, n, c, b, *after) for n, c, b, after in table]
         return pd.DataFrame(
-            [(block["domain"].iloc[0], int(block[BLOCK].iloc[0]), n, c, b, *after) for n, c, b, after in table],
-            columns=["domain", BLOCK, "name", "count", "before", "to_name", "to_count", "to_last"],
+            out, columns=["domain", BLOCK, "name", "count", "before", "to_name", "to_count", "to_last"]
         ).astype({"before": "Int64"})
 
     schema = f"domain string, {BLOCK} int, name string, count int, before long, to_name string, to_count int, to_last long"
-    tables = blocks.groupBy("domain", BLOCK).applyInPandas(summarise, schema)
+    tables = blocks.join(wide, "domain", "left_semi").groupBy(BLOCK).applyInPandas(summarise, schema)
 
     def chain(domain_tables: pd.DataFrame) -> pd.DataFrame:
         state, out = START, []
@@ -128,10 +135,12 @@ def circuit_states(
     )
 
     def replay(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["_t", order])
-        state: State = (block["name"].iloc[0], int(block["count"].iloc[0]), int(block["last"].iloc[0]))
-        names, passed = [], []
-        for ts, ok in zip(block["_t"].tolist(), block["ok"].tolist()):
+        block = in_order(block)
+        names, passed, current, state = [], [], None, START
+        firsts = zip(block["name"].tolist(), block["count"].tolist(), block["last"].tolist())
+        for domain, ts, ok, first in zip(block["domain"].tolist(), block["_t"].tolist(), block["ok"].tolist(), firsts):
+            if domain != current:
+                current, state = domain, first
             state, admitted = step(state, ts, ok, *rules)
             names.append(state[0])
             passed.append(admitted)
@@ -141,7 +150,10 @@ def circuit_states(
 
     time = log.schema["ts"].dataType.simpleString()
     out_schema = f"domain string, ts {time}, {order} long, ok boolean, admitted boolean, state string"
-    return blocks.join(entries, ["domain", BLOCK]).groupBy("domain", BLOCK).applyInPandas(replay, out_schema)
+    placed = blocks.join(entries, ["domain", BLOCK], "left").fillna(
+        {"name": START[0], "count": START[1], "last": START[2]}
+    )
+    return placed.groupBy(BLOCK).applyInPandas(replay, out_schema)
 
 
 def stream_step(rules: tuple[int, int, int], order: str):

@@ -377,9 +377,7 @@ def filename_link(spark, sf):
     rows = derived(spark, sf, "file_urls").withColumn(
         "name", files.filename_link(F.col("url"), F.col("text"), F.col("download"))
     )
-    # The number in a made-up name depends on the hash function, so it is cut off here.
-    shown = F.when(F.col("name").rlike("^file_[0-9]+$"), "file_").otherwise(F.col("name"))
-    return rows.select("orderkey", "line", _kind_of_url().alias("kind"), shown.alias("name"))
+    return rows.select("orderkey", "line", _kind_of_url().alias("kind"), _without_number(F.col("name")).alias("name"))
 
 
 def _kind_of_url():
@@ -403,22 +401,29 @@ def filename_download(spark, sf):
     )
 
 
+def _without_number(name):
+    """The number in a made-up name depends on the hash function and is cut off."""
+    return F.regexp_replace(name, r"^file_[0-9]+", "file_")
+
+
 @query(
     "filename_url",
     f"""SELECT l_orderkey AS orderkey, l_linenumber AS line, l_partkey % 9 AS kind,
-    CASE WHEN {_LAST} = '' THEN 'file_' ELSE replace({_LAST}, ' ', '%20') END AS by_url,
-    CASE WHEN contains({_LAST}, '.') THEN replace({_LAST}, ' ', '%20') ELSE 'file_.bin' END AS by_async FROM lineitem""",
+    CASE WHEN {_LAST} = '' THEN 'file_' ELSE replace({_LAST}, ' ', '%20') END AS name FROM lineitem""",
 )
 def filename_url(spark, sf):
-    rows = derived(spark, sf, "file_urls")
-    cut = lambda c: F.regexp_replace(c, r"^file_[0-9]+", "file_")
-    return rows.select(
-        "orderkey",
-        "line",
-        _kind_of_url().alias("kind"),
-        cut(files.filename_url(F.col("url"))).alias("by_url"),
-        cut(files.filename_async(F.col("url"))).alias("by_async"),
-    )
+    name = _without_number(files.filename_url(F.col("url")))
+    return derived(spark, sf, "file_urls").select("orderkey", "line", _kind_of_url().alias("kind"), name.alias("name"))
+
+
+@query(
+    "filename_async",
+    f"""SELECT l_orderkey AS orderkey, l_linenumber AS line, l_partkey % 9 AS kind,
+    CASE WHEN contains({_LAST}, '.') THEN replace({_LAST}, ' ', '%20') ELSE 'file_.bin' END AS name FROM lineitem""",
+)
+def filename_async(spark, sf):
+    name = _without_number(files.filename_async(F.col("url")))
+    return derived(spark, sf, "file_urls").select("orderkey", "line", _kind_of_url().alias("kind"), name.alias("name"))
 
 
 _KEPT = choose(
