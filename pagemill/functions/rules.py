@@ -36,38 +36,41 @@ _TAILS = {
 
 
 def _condition(text: str):
-    """(column test, pattern hint) of one condition."""
+    """(column test, pattern hint, text the page must hold or None) of one condition."""
     found = re.fullmatch(r'contains\(\s*@([\w-]+)\s*,\s*["\'](.*)["\']\s*\)', text)
     if found:
         name, value = found.groups()
         test = lambda e: F.contains(F.coalesce(attr(e, name), F.lit("")), F.lit(value))
-        return test, rf"(?=[^>]*{name}\s*=[^>]*{re.escape(value)})"
+        return test, rf"(?=[^>]*{name}\s*=[^>]*{re.escape(value)})", value
     found = re.fullmatch(r'contains\(\s*text\(\)\s*,\s*["\'](.*)["\']\s*\)', text)
     if found:
         value = found.group(1)
         test = lambda e: F.contains(F.regexp_extract(inner(e), r"\A[^<]*", 0), F.lit(value))
-        return test, rf"(?=[^>]*>[^<]*{re.escape(value)})"
+        return test, rf"(?=[^>]*>[^<]*{re.escape(value)})", value
     found = re.fullmatch(r'@([\w-]+)\s*=\s*["\'](.*)["\']', text)
     if found:
         name, value = found.groups()
-        return lambda e: F.coalesce(attr(e, name) == value, F.lit(False)), rf"(?=[^>]*{name}\s*=)"
+        plain = value if re.fullmatch(r"[\w\s.:/-]+", value) else None
+        return lambda e: F.coalesce(attr(e, name) == value, F.lit(False)), rf"(?=[^>]*{name}\s*=)", plain
     found = re.fullmatch(r"@([\w-]+)", text)
     if found:
         name = found.group(1)
-        return lambda e: has_attr(e, name), rf"(?=[^>]*{name})"
+        return lambda e: has_attr(e, name), rf"(?=[^>]*{name})", None
     raise ValueError(f"condition not supported: {text}")
 
 
 def _step(tag: str, conditions: list[str]):
-    """(column test or None, pattern hint, place or None) of one step."""
-    tests, hint, place = [], "", None
+    """(column test or None, pattern hint, place or None, page test or None) of one step."""
+    tests, hint, place, needed = [], "", None, []
     for text in conditions:
         if text.isdigit():
             place = int(text)
             continue
         options = [_condition(part.strip()) for part in re.split(r"\s+or\s+", text)]
-        tests.append([test for test, _ in options])
-        hint += "(?:" + "|".join(h for _, h in options) + ")"
+        tests.append([test for test, _, _ in options])
+        hint += "(?:" + "|".join(h for _, h, _ in options) + ")"
+        if all(value for _, _, value in options):
+            needed.append([value for _, _, value in options])
 
     def passes(e: Column) -> Column:
         ok = F.lit(True)
@@ -78,12 +81,32 @@ def _step(tag: str, conditions: list[str]):
             ok = ok & any_of
         return ok
 
-    return passes if tests else None, hint, place
+    def possible(html: Column) -> Column:
+        """Plain search for the texts the conditions need, before any pattern is tried."""
+        ok = F.lit(True)
+        for values in needed:
+            any_of = F.lit(False)
+            for value in values:
+                any_of = any_of | F.contains(html, F.lit(value))
+            ok = ok & any_of
+        return ok
+
+    return passes if tests else None, hint, place, possible if needed else None
+
+
+def _when_possible(html: Column, tests: list, found: Column) -> Column:
+    if not all(tests):
+        return found
+    ok = F.lit(False)
+    for test in tests:
+        ok = ok | test(html)
+    return F.when(ok, found).otherwise(F.array().cast("array<string>"))
 
 
 def _elements(html: Column, tag: str, conditions: list[str]) -> Column:
-    passes, hint, place = _step(tag, conditions)
+    passes, hint, place, possible = _step(tag, conditions)
     found = nested_elements(html, _ANY if tag == "*" else tag, hint)
+    found = _when_possible(html, [possible], found)
     if passes:
         found = F.filter(found, passes)
     return F.slice(found, place, 1) if place else found
@@ -139,11 +162,12 @@ def _single(html: Column, rule: str, kind: str) -> Column:
 
 def _merged(html: Column, parsed: list, kind: str) -> Column:
     """A union of one-step rules: one pass over the page, document order."""
-    tests, hints, tags = [], [], []
+    tests, hints, tags, needs = [], [], [], []
     for steps, _, _ in parsed:
         tag, conditions = steps[0]
-        passes, hint, _ = _step(tag, conditions)
+        passes, hint, _, possible = _step(tag, conditions)
         tests.append((tag, passes))
+        needs.append(possible)
         hints.append(hint if tag == "*" else rf"(?={tag}[\s/>]){hint}")
         tags.append(_ANY if tag == "*" else tag)
 
@@ -156,6 +180,7 @@ def _merged(html: Column, parsed: list, kind: str) -> Column:
 
     union = _ANY if _ANY in tags else "|".join(dict.fromkeys(tags))
     found = F.filter(nested_elements(html, union, "(?:" + "|".join(hints) + ")"), any_part)
+    found = _when_possible(html, needs, found)
     return _values(html, found, parsed[0][1], parsed[0][2], kind)
 
 

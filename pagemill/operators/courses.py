@@ -256,9 +256,8 @@ def _or_empty(items: Column) -> Column:
     return F.coalesce(items, F.array().cast("array<string>"))
 
 
-def course_catalog(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, id, name, course_url, instructor, semester): items of the first
-    container rule that matches, else links whose href speaks of courses or classes."""
+def _catalogs(pages: DataFrame) -> DataFrame:
+    """(page_id, url, courses ARRAY<STRUCT<...>>), read in one scan."""
     doc, url = F.col("_doc"), F.col("url")
     staged = pages.select("page_id", "url", without_code(F.col("html")).alias("_doc"))
     items = F.coalesce(
@@ -289,8 +288,18 @@ def course_catalog(pages: DataFrame) -> DataFrame:
         select(doc, '//a[contains(@href, "course") or contains(@href, "class")]', "html"), plain
     )
     courses = F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(fallback)
-    return staged.select("page_id", F.posexplode(courses).alias("pos", "c")).select(
-        "page_id", "pos", "c.id", "c.name", F.col("c.url").alias("course_url"), "c.instructor", "c.semester"
+    return staged.select("page_id", "url", courses.alias("courses"))
+
+
+def course_catalog(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, id, name, course_url, instructor, semester): items of the first
+    container rule that matches, else links whose href speaks of courses or classes."""
+    return _course_rows(_catalogs(pages), "page_id")
+
+
+def _course_rows(catalogs: DataFrame, *keys: str) -> DataFrame:
+    return catalogs.select(*keys, F.posexplode("courses").alias("pos", "c")).select(
+        *keys, "pos", "c.id", "c.name", F.col("c.url").alias("course_url"), "c.instructor", "c.semester"
     )
 
 
@@ -310,15 +319,12 @@ def catalog_candidates(sites: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("url").alias("site"),
         F.posexplode(F.array(*[F.lit(p) for p in CATALOG_PATHS])).alias("place", "path"),
     ).select("site", "place", resolve_url(F.col("site"), F.col("path")).alias("catalog_url"))
-    courses = course_catalog(pages).join(
-        pages.select("page_id", F.col("url").alias("catalog_url")), "page_id"
-    )
-    listing = pages.select("page_id", F.col("url").alias("catalog_url"))
-    found = listing.join(courses.select("page_id").distinct(), "page_id", "left_semi")
+    # The page with its courses travels as one value, so pages are scanned once.
+    listing = _catalogs(pages).filter(F.size("courses") > 0)
     best = (
-        tries.join(found, "catalog_url")
+        tries.join(listing.withColumnRenamed("url", "catalog_url"), "catalog_url")
         .groupBy("site")
-        .agg(F.min_by(F.struct("catalog_url", "page_id"), "place").alias("b"))
+        .agg(F.min_by(F.struct("catalog_url", "page_id", "courses"), "place").alias("b"))
         .select("site", "b.*")
     )
-    return best.join(courses.drop("catalog_url"), "page_id")
+    return _course_rows(best, "site", "catalog_url", "page_id")
