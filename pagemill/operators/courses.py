@@ -31,7 +31,7 @@ from pagemill.functions.rules import (
 )
 from pagemill.functions.text import collapse_space, find_date, first_semester, let, strip, text_content
 from pagemill.functions.urls import course_id, is_downloadable, resolve_url
-from pagemill.operators.links import extract_links
+from pagemill.operators.links import extract_links, keep_rows
 from pagemill.operators.pages import extract_rules
 
 # Hosts whose frames are videos.
@@ -139,15 +139,20 @@ def media_files(pages: DataFrame) -> DataFrame:
 
 def linked_files(pages: DataFrame, strict: bool = True) -> DataFrame:
     """(page_id, pos, name, file_url, type, description, file_date) of links to files."""
-    links = extract_links(pages, use_base=False).filter(F.col("href") != "")
-    links = links.filter(
-        is_downloadable(F.col("link_url"), F.col("text"), F.col("download").isNotNull())
-        & ~F.lower(F.col("link_url")).rlike("^(?:mailto|javascript):")
-    )
-    named = links.withColumn("name", filename_link(F.col("link_url"), F.col("text"), F.col("download")))
+
+    def wanted(link: Column) -> Column:
+        return (
+            (link["href"] != "")
+            & ~F.lower(link["link_url"]).rlike("^(?:mailto|javascript):")
+            & is_downloadable(link["link_url"], link["text"], link["download"].isNotNull())
+        )
+
+    links = keep_rows(extract_links(pages, use_base=False), wanted)
+    links = links.withColumn("name", filename_link(F.col("link_url"), F.col("text"), F.col("download")))
+    named = keep_rows(links, lambda link: link["name"] != "")
     described = F.when(F.col("text") != "", F.col("text")).when(F.col("title") != "", strip(F.col("title")))
     date = F.lit(None).cast("date") if strict else find_date(F.col("text"))
-    return named.filter(F.col("name") != "").select(
+    return named.select(
         "page_id",
         "pos",
         "name",
@@ -287,7 +292,7 @@ def _catalogs(pages: DataFrame) -> DataFrame:
     fallback = F.transform(
         select(doc, '//a[contains(@href, "course") or contains(@href, "class")]', "html"), plain
     )
-    courses = F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(fallback)
+    courses = let(F.col("_listed"), lambda c: F.when(F.size(c) > 0, c).otherwise(fallback))
     return staged.select("page_id", "url", courses.alias("courses"))
 
 
@@ -298,7 +303,10 @@ def course_catalog(pages: DataFrame) -> DataFrame:
 
 
 def _course_rows(catalogs: DataFrame, *keys: str) -> DataFrame:
-    return catalogs.select(*keys, F.posexplode("courses").alias("pos", "c")).select(
+    # The outer form infers no filter on the array; pushed to the scan, such a filter would
+    # work out the whole array a second time.
+    rows = catalogs.select(*keys, F.posexplode_outer("courses").alias("pos", "c")).filter("pos IS NOT NULL")
+    return rows.select(
         *keys, "pos", "c.id", "c.name", F.col("c.url").alias("course_url"), "c.instructor", "c.semester"
     )
 
@@ -320,9 +328,10 @@ def catalog_candidates(sites: DataFrame, pages: DataFrame) -> DataFrame:
         F.posexplode(F.array(*[F.lit(p) for p in CATALOG_PATHS])).alias("place", "path"),
     ).select("site", "place", resolve_url(F.col("site"), F.col("path")).alias("catalog_url"))
     # The page with its courses travels as one value, so pages are scanned once.
-    listing = _catalogs(pages).filter(F.size("courses") > 0)
+    listing = _catalogs(pages).withColumnRenamed("url", "catalog_url")
     best = (
-        tries.join(listing.withColumnRenamed("url", "catalog_url"), "catalog_url")
+        tries.join(listing, "catalog_url")
+        .filter(F.size("courses") > 0)
         .groupBy("site")
         .agg(F.min_by(F.struct("catalog_url", "page_id", "courses"), "place").alias("b"))
         .select("site", "b.*")

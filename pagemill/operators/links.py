@@ -12,6 +12,13 @@ from pagemill.functions.text import strip
 from pagemill.functions.urls import crawlable_targets, is_crawlable_url, is_navigation_url, normalize_url, resolve_url
 
 
+def keep_rows(rows: DataFrame, test) -> DataFrame:
+    """Rows that pass ``test``, a function of the row as a struct. A plain filter would be
+    pushed below the projection and work out its costly columns a second time."""
+    row = F.struct(*rows.columns)
+    return rows.select(F.inline(F.filter(F.array(row), test)))
+
+
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, url, base, pos, element): one row per ``a`` element with an href."""
     staged = pages.select("page_id", "url", without_code(F.col("html")).alias("_doc"))
@@ -65,8 +72,9 @@ def extract_edges(
 
 def sitemap_html(pages: DataFrame) -> DataFrame:
     """(page_id, link_url): distinct links of HTML sitemaps that are not navigation."""
-    links = extract_links(pages, use_base=False).filter(F.col("href") != "")
-    return links.filter(~is_navigation_url(F.col("link_url"))).select("page_id", "link_url").distinct()
+    links = extract_links(pages, use_base=False).select("page_id", "href", "link_url")
+    kept = keep_rows(links, lambda l: (l["href"] != "") & ~is_navigation_url(l["link_url"]))
+    return kept.select("page_id", "link_url").distinct()
 
 
 def urls_union(*urls: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
         return F.when(c != "", strip(c))
 
     return (
-        rows.select(F.col("url").alias("sitemap"), F.posexplode("_x.url").alias("pos", "e"))
+        rows.select(F.col("url").alias("sitemap"), F.posexplode_outer("_x.url").alias("pos", "e"))
         .filter(F.col("e.loc").isNotNull() & (F.col("e.loc") != ""))
         .select(
             "sitemap",
