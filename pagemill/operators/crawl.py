@@ -18,7 +18,7 @@ from pagemill.operators.links import extract_edges
 from pagemill.operators.ordered import BLOCK, ordered_blocks, running_over
 from pagemill.operators.pages import extract_metadata, usable_pages
 from pagemill.operators.robots import robots_can_fetch
-from pagemill.session import cut
+from pagemill.session import cut, gather
 
 REFUSED = "Disallowed by robots.txt"
 MISSING = "Failed to fetch"
@@ -57,7 +57,6 @@ def crawl_bfs(
     max_urls: int = -1,
     allowed_domains: Sequence[str] | None = None,
     edges: DataFrame | None = None,
-    level_limit: int = 1000,
 ) -> DataFrame:
     """(url, depth, status, reason): breadth first from ``start(url)`` over captured pages.
 
@@ -85,16 +84,16 @@ def crawl_bfs(
     level = level.filter(F.col("reason").isNull() | (F.col("reason") != REFUSED))
     known: list[DataFrame] = [level.select("url")]
     visits, depth = 0, 0
-    while not level.isEmpty() and depth < level_limit:
+    while not level.isEmpty():
         if (max_depth >= 0 and depth > max_depth) or (0 < max_urls <= visits):
-            decided.append(_rows(level, depth, F.lit("discovered"), null))
+            decided = gather(decided, _rows(level, depth, F.lit("discovered"), null))
             break
         status = F.when(F.col("reason").isNull(), "visited").otherwise("failed")
         if max_urls > 0:
             level = cut(_before_limit(level, max_urls - visits))
-            decided.append(_rows(level.filter(~F.col("_in")), depth, F.lit("discovered"), null))
+            decided = gather(decided, _rows(level.filter(~F.col("_in")), depth, F.lit("discovered"), null))
             level = level.filter("_in")
-        decided.append(_rows(level, depth, status, F.col("reason")))
+        decided = gather(decided, _rows(level, depth, status, F.col("reason")))
         frontier = level.filter(F.col("reason").isNull()).select(F.col("url").alias("src"))
         if max_urls > 0:
             visits += frontier.count()
@@ -103,7 +102,7 @@ def crawl_bfs(
             found = found.unionByName(extra.join(nodes, "url").select("url", "reason"))
         found = found.distinct().join(reduce(DataFrame.unionByName, known), "url", "left_anti")
         level = cut(found)
-        known.append(level.select("url"))
+        known = gather(known, level.select("url"))
         depth += 1
     return reduce(DataFrame.unionByName, decided)
 
@@ -116,9 +115,7 @@ def _before_limit(rows: DataFrame, room: int) -> DataFrame:
     return counted.withColumn("_in", F.col("_n") - F.col("reason").isNull().cast("long") < room).drop("_n")
 
 
-def crawl_dfs(
-    pages: DataFrame, start: DataFrame, edges: DataFrame | None = None, max_levels: int = 1000
-) -> DataFrame:
+def crawl_dfs(pages: DataFrame, start: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(url, depth, visit_order): every captured page reachable from the start, in the
     preorder of the discovery tree. The parent of a page is its smallest neighbour one
     level up, siblings go in URL order. Without caps the visited set is reachability, so
@@ -128,17 +125,16 @@ def crawl_dfs(
     step = cut(edges.join(known_pages.withColumnRenamed("url", "dst"), "dst", "left_semi"))
     level = start.select(normalize_url(F.col("url")).alias("url")).distinct().join(known_pages, "url", "left_semi")
     level = cut(level.select("url", F.lit(0).alias("depth"), F.array("url").alias("path")))
-    seen = [level]
-    for depth in range(1, max_levels + 1):
+    seen, depth = [level], 0
+    while not level.isEmpty():
+        depth += 1
         pairs = level.select(F.col("url").alias("src"), "path").join(step, "src")
         parent = pairs.groupBy(F.col("dst").alias("url")).agg(F.min_by("path", "src").alias("path"))
         found = parent.join(reduce(DataFrame.unionByName, seen).select("url"), "url", "left_anti")
         level = cut(
             found.select("url", F.lit(depth).alias("depth"), F.array_append("path", F.col("url")).alias("path"))
         )
-        if level.isEmpty():
-            break
-        seen.append(level)
+        seen = gather(seen, level)
     rows = reduce(DataFrame.unionByName, seen)
     blocks = ordered_blocks(rows, [], ["path"])
     ranked = running_over(blocks, [], ["path"], {"visit_order": ("sum", F.lit(1).cast("long"))})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.files import prepare_filename, target_dir
 from pagemill.operators.ordered import BLOCK, numbered, ordered_blocks, running_over
+from pagemill.session import cut
 
 
 
@@ -24,6 +25,8 @@ def dup_suffix(files: DataFrame, order: str = "seq") -> DataFrame:
         }
     )
     rows = rows.withColumn("_stem", F.when(F.col("_ext") == "", F.col("name")).otherwise(F.col("_stem")))
+    # Read four times below.
+    rows = cut(rows)
     firsts = rows.filter("_k = 1")
     again = rows.filter("_k > 1").withColumn("_k", F.col("_k") - 1)
     # Names of the form stem_number.ext occupy that number of (stem, ext).
@@ -41,7 +44,11 @@ def dup_suffix(files: DataFrame, order: str = "seq") -> DataFrame:
     # duplicate whose rank is above b - i.
     ranked = numbered(taken, family, ["_number"], "_i")
     steps = ranked.select(
-        *family, (F.col("_number") - F.col("_i") + 1).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_k"), F.lit(None).cast("string").alias("_id")
+        *family,
+        (F.col("_number") - F.col("_i") + 1).alias("_at"),
+        F.lit(0).alias("_kind"),
+        F.lit(None).cast("long").alias("_k"),
+        F.lit(None).cast("string").alias("_id"),
     )
     ids = again.withColumn("_id", F.col(order).cast("string"))
     asks = ids.select(*family, F.col("_k").alias("_at"), F.lit(1).alias("_kind"), "_k", "_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import strip
 from pagemill.functions.urls import resolve_url, url_parts
-from pagemill.session import cut
+from pagemill.session import cut, gather
 
 # The sitemap namespace and the places a site may keep its sitemap.
 NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -101,19 +101,17 @@ def sitemap_children(sitemaps: DataFrame) -> DataFrame:
     return rows.select(F.col("url").alias("sitemap"), F.explode(locs).alias("child"))
 
 
-def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, max_levels: int = 50) -> DataFrame:
+def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, url): page URLs reached from each root sitemap through index files; a
     sitemap is read once per root, so cycles end. One step per level of nesting."""
     children = cut(sitemap_children(sitemaps))
     level = cut(roots.select(F.col("url").alias("root"), F.col("url").alias("sitemap")).distinct())
     seen = [level]
-    for _ in range(max_levels):
+    while not level.isEmpty():
         found = level.join(children, "sitemap").select("root", F.col("child").alias("sitemap")).distinct()
         known = reduce(DataFrame.unionByName, seen)
         level = cut(found.join(known, ["root", "sitemap"], "left_anti"))
-        if level.isEmpty():
-            break
-        seen.append(level)
+        seen = gather(seen, level)
     reached = reduce(DataFrame.unionByName, seen)
     return reached.join(sitemap_urls(sitemaps), "sitemap").select("root", "url").distinct()
 

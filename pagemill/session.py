@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gather(parts: list[DataFrame], more: DataFrame, most: int = 20) -> list[DataFrame]:
+    """``parts`` with one more. Many parts become one table, so plans over a long chain of
+    levels stay short."""
+    parts = [*parts, more]
+    return parts if len(parts) < most else [cut(reduce(DataFrame.unionByName, parts))]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out evenly when a scan has fewer partitions than the cluster has cores.
     Reading pages costs far more time than their bytes suggest, so a small file must not

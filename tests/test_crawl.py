@@ -67,3 +67,14 @@ def test_bfs_equals_plain_search(spark):
     start = spark.createDataFrame([(name(0),)], "url string")
     got = {r.url: (r.depth, r.status) for r in crawl.crawl_bfs(pages, start, edges=frame).collect()}
     assert got == {name(n): (d, "visited" if n < 200 else "failed") for n, d in depth.items()}
+
+
+def test_long_chain(spark):
+    name = lambda n: f"http://n/{n}"
+    edges = spark.createDataFrame([(name(n), name(n + 1)) for n in range(25)], "src string, dst string")
+    pages = spark.createDataFrame([(n, name(n), "x") for n in range(26)], "page_id long, url string, html string")
+    start = spark.createDataFrame([(name(0),)], "url string")
+    got = {r.url: r.depth for r in crawl.crawl_bfs(pages, start, edges=edges).collect()}
+    assert got == {name(n): n for n in range(26)}
+    order = crawl.crawl_dfs(pages, start, edges=edges).orderBy("visit_order").collect()
+    assert [r.url for r in order] == [name(n) for n in range(26)]
