@@ -24,7 +24,6 @@ from pagemill.functions.html import (
     tag_name,
     text_nodes,
 )
-from pagemill.functions.text import ATTRS
 
 _ANY = "[a-z][a-z0-9]*"
 _STEP = re.compile(r"//?(\*|[a-z][a-z0-9]*)((?:\[[^\]]*\])*)")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import js
-from pagemill.functions.html import attr, element_pattern, find_all, first_text, void_pattern, without_code
+from pagemill.functions.html import attr, find_all, first_text, void_pattern, without_code
 from pagemill.functions.rules import select
 from pagemill.functions.text import last_wins_map, meta_prefix_map, page_text, text_content
 

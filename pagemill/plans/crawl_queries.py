@@ -8,8 +8,7 @@ from pagemill.functions.urls import normalize_url
 from pagemill.operators import crawl, links, robots, sitemaps
 from pagemill.operators.ordered import first_rows
 from pagemill.operators.sitemaps import sitemap_kind
-from pagemill.plans.derived import choose, derived, given, with_derived
-from pagemill.sources import readers
+from pagemill.plans.derived import derived, given, with_derived
 
 QUERIES = {}
 
@@ -296,7 +295,7 @@ def crawl_dfs(spark, sf):
 
 @query(
     "crawl_frontier_join",
-    f"""SELECT DISTINCT {SITE} || t AS url FROM (WITH {EDGES.replace('edges AS', 'edges AS')} SELECT t FROM edges WHERE k % 5 = 0)
+    f"""SELECT DISTINCT {SITE} || t AS url FROM (WITH {EDGES} SELECT t FROM edges WHERE k % 5 = 0)
     UNION SELECT 'http://shop.example.com/private/' || (o_orderkey % 3) FROM orders WHERE o_orderkey % 5 = 0""",
 )
 def frontier_join(spark, sf):

@@ -8,8 +8,8 @@ from pagemill.functions import js
 from pagemill.functions.rules import css_rule
 from pagemill.functions.text import map_json
 from pagemill.operators import courses, links, pages, scrape, tables
-from pagemill.plans.derived import choose, derived, given, template, with_derived
-from pagemill.plans.url_queries import ENTITIES, PAGE_LINKS, ROOTED, netloc, normalized, part, unescaped
+from pagemill.plans.derived import choose, derived, given, with_derived
+from pagemill.plans.url_queries import PAGE_LINKS, ROOTED, netloc, normalized, unescaped
 
 QUERIES = {}
 
@@ -58,8 +58,7 @@ def extract_links(spark, sf):
 
 @query(
     "extract_edges",
-    f"""WITH {PAGE_LINKS} SELECT DISTINCT {normalized('url')} AS src, {normalized(ROOTED)} AS dst, page_id FROM links
-    """.replace(", page_id FROM", " FROM"),
+    f"""WITH {PAGE_LINKS} SELECT DISTINCT {normalized('url')} AS src, {normalized(ROOTED)} AS dst FROM links""",
 )
 def extract_edges(spark, sf):
     return links.extract_edges(given(spark, sf, "pages")).distinct()
@@ -79,9 +78,6 @@ def page_titles(spark, sf):
     return pages.extract_metadata(given(spark, sf, "pages")).select("page_id", "title", "language")
 
 
-_K = "p_partkey"
-
-
 @query(
     "extract_metadata",
     """SELECT p_partkey AS page_id, p_name || ' & notes' AS title,
@@ -201,9 +197,7 @@ def extract_rules(spark, sf):
 @query(
     "extract_css",
     """SELECT p_partkey AS page_id, 'Lecture slides' AS buttons, 'x' AS area,
-    'a,Two' AS options, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS instructor FROM part""".replace(
-        "'a,Two'", "p_brand || ',Two'"
-    ),
+    p_brand || ',Two' AS options, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS instructor FROM part""",
 )
 def extract_css(spark, sf):
     page = derived(spark, sf, "course_pages")
