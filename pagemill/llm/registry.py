@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import mixing, quality_rules
+from pagemill.llm import mixing, quality_rules, substring_dedup
 
-_MODULES = [quality_rules, mixing]
+_MODULES = [quality_rules, mixing, substring_dedup]
 QUERIES = {name: both for module in _MODULES for name, both in module.QUERIES.items()}
