@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import mixing, quality_rules, substring_dedup
+from pagemill.llm import mixing, near_dedup, quality_rules, substring_dedup
 
-_MODULES = [quality_rules, mixing, substring_dedup]
+_MODULES = [near_dedup, substring_dedup, quality_rules, mixing]
 QUERIES = {name: both for module in _MODULES for name, both in module.QUERIES.items()}

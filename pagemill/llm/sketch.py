@@ -86,3 +86,14 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
         place = place.astype(np.int64)
         out &= (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
     return out
+
+
+def filter_column(held: Broadcast):
+    """A function of a bigint column: whether the value may be in the filter. Null is not."""
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        known = keys.notna().to_numpy()
+        return pd.Series(may_hold(held.value, keys.fillna(0).to_numpy().astype(np.int64).view(np.uint64)) & known)
+
+    return hit

@@ -13,7 +13,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import table, word_hashes
 from pagemill.llm.fm_index import FMIndex
-from pagemill.llm.sketch import _ODD, chunks, filter_of, grams, may_hold, mix
+from pagemill.llm.sketch import _ODD, chunks, filter_column, filter_of, grams, may_hold, mix
 from pagemill.session import cut
 
 WINDOW = 13
@@ -296,7 +295,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     if digest:
         docs = docs.drop("n_words", "n_removed", "kept_sha256")
     ident = F.col(id_column).cast("bigint")
-    hit = _hit(held)
+    hit = filter_column(held)
     marked = docs.withColumn("_hit", hit(ident))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if not (digest and c == text))
     if digest:
@@ -308,16 +307,6 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return whole.unionByName(joined.mapInArrow(run, schema))
 
 
-def _hit(held: Broadcast):
-    @F.pandas_udf("boolean")
-    def hit(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        keys = ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64)
-        return pd.Series(may_hold(held.value, keys) & known)
-
-    return hit
-
-
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated windows of every whole document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
