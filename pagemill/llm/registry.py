@@ -2,7 +2,29 @@
 
 from __future__ import annotations
 
-from pagemill.llm import mixing, near_dedup, quality_rules, substring_dedup
+from pagemill.llm import (
+    html_extract,
+    mixing,
+    near_dedup,
+    quality_model,
+    quality_rules,
+    sentence_pieces,
+    substring_dedup,
+    token_counts,
+    topk_search,
+    url_filter,
+)
 
-_MODULES = [near_dedup, substring_dedup, quality_rules, mixing]
+_MODULES = [
+    near_dedup,
+    html_extract,
+    url_filter,
+    substring_dedup,
+    token_counts,
+    topk_search,
+    sentence_pieces,
+    quality_rules,
+    quality_model,
+    mixing,
+]
 QUERIES = {name: both for module in _MODULES for name, both in module.QUERIES.items()}
