@@ -94,47 +94,3 @@ def first_text(html: Column, tag: str) -> Column:
     """Trimmed text of the first element with this tag; NULL when there is none."""
     el = F.regexp_extract(html, element_pattern(tag), 0)
     return F.when(el != "", element_text(el))
-
-
-def _body(depth: int, group: int = 2) -> str:
-    """Content of the element whose tag is ``group``, same tags nested up to ``depth``."""
-    plain = rf"[^<]++|<(?!/?\{group}[\s/>])"
-    if depth == 0:
-        return f"(?:{plain})*+"
-    return rf"(?:{plain}|<\{group}(?=[\s/>]){ATTRS}>{_body(depth - 1, group)}</\{group}\s*+>)*+"
-
-
-def _whole(group: int) -> str:
-    """An element with its closing tag; ``group`` is the number of its tag's group."""
-    return rf"<([a-z][a-z0-9]*)(?=[\s/>]){ATTRS}>{_body(2, group)}</\{group}\s*+>"
-
-
-# Elements without content.
-_VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
-
-
-def nested_elements(html: Column, tag: str = "[a-z][a-z0-9]*", hint: str = "") -> Column:
-    """All elements of a tag in document order, also those inside one another (same
-    tags up to four deep). ``hint`` is a pattern the text after ``<`` must match."""
-    pattern = rf"(?is)(?=(<{hint}({tag})(?=[\s/>]){ATTRS}>{_body(3)}))<"
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-
-
-def text_nodes(fragment: Column) -> Column:
-    """Text between tags, in order, with character references decoded."""
-    pieces = F.filter(F.split(fragment, rf"(?is)</?[a-z][^\s>/]*{ATTRS}>"), lambda p: p != "")
-    return F.transform(pieces, decode_entities)
-
-
-def own_text_nodes(fragment: Column) -> Column:
-    """Text nodes outside child elements."""
-    return text_nodes(F.regexp_replace(fragment, rf"(?is){_whole(1)}", "<i>"))
-
-
-def sibling_elements(after: Column) -> Column:
-    """Elements that follow in the same parent, given the page from where the first
-    element ends (its closing tag still there)."""
-    void = rf"<(?:{_VOID})(?=[\s/>]){ATTRS}>"
-    run = rf"(?:[^<]++|{_whole(2)}|{void})*+"
-    followers = F.regexp_extract(after, rf"(?is)\A</[a-z][a-z0-9]*\s*+>({run})", 1)
-    return F.regexp_extract_all(followers, F.lit(rf"(?is){_whole(1)}"), F.lit(0))

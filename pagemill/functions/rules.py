@@ -1,32 +1,24 @@
-"""Extraction rules: a subset of path selectors as columns over one page.
+"""Extraction rules: a subset of path selectors as columns over the elements of a page.
 
-Supported: ``//tag`` and ``//*`` steps (a ``/`` step counts like ``//``), the conditions
-``[@a]``, ``[@a="v"]``, ``[contains(@a, "v")]``, ``[contains(text(), "v")]``, ``or``
-between them, ``[n]``, the tails ``/text()``, ``//text()``, ``/@a`` and
-``/following-sibling::*/text()``, and unions with ``|``. ``text()`` inside a condition
-is the text before the first child."""
+Supported: ``//tag`` and ``//*`` steps, ``/`` for children, the conditions ``[@a]``, ``[@a="v"]``,
+``[contains(@a, "v")]``, ``[contains(text(), "v")]``, ``or`` between them, ``[n]`` (the n-th in its parent of
+those that pass the conditions before it), the tails ``/text()``, ``//text()``, ``/@a`` and
+``/following-sibling::*/text()``, and unions with ``|``. ``text()`` inside a condition is the first text node
+outside child elements. Results are in document order."""
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.html import (
-    attr,
-    element_text,
-    has_attr,
-    inner,
-    nested_elements,
-    own_text_nodes,
-    sibling_elements,
-    tag_name,
-    text_nodes,
-)
-
-_ANY = "[a-z][a-z0-9]*"
-_STEP = re.compile(r"//?(\*|[a-z][a-z0-9]*)((?:\[[^\]]*\])*)")
+from pagemill.functions.elements import ELEMENT, attribute, elements, has_attribute, inner_html, inside, outer_html
+from pagemill.functions.html import without_code
+from pagemill.functions.text import let, text_content, text_nodes
+
+_STEP = re.compile(r"(//?)(\*|[a-z][a-z0-9]*)((?:\[[^\]]*\])*)")
 _TAILS = {
     "/following-sibling::*/text()": "siblings",
     "//text()": "texts",
@@ -34,175 +26,190 @@ _TAILS = {
 }
 
 
+class Page(NamedTuple):
+    """The page without code, its elements, and the element that rules look inside (NULL: the whole page)."""
+
+    doc: Column
+    all: Column
+    around: Column | None = None
+
+    def within(self, element: Column) -> Page:
+        return self._replace(around=element)
+
+
+def staged(pages, *more: str | Column):
+    """``pages`` with ``_doc`` and ``_all``, and the ``Page`` over them."""
+    code_free = pages.select(*more, without_code(F.col("html")).alias("_doc"))
+    return code_free.withColumn("_all", elements(F.col("_doc"))), Page(F.col("_doc"), F.col("_all"))
+
+
 def _condition(text: str):
-    """(column test, pattern hint, text the page must hold or None) of one condition."""
+    """Column test of one condition."""
     found = re.fullmatch(r'contains\(\s*@([\w-]+)\s*,\s*["\'](.*)["\']\s*\)', text)
     if found:
         name, value = found.groups()
-        test = lambda e: F.contains(F.coalesce(attr(e, name), F.lit("")), F.lit(value))
-        return test, rf"(?=[^>]*{name}\s*=[^>]*{re.escape(value)})", value
+        return lambda e: F.contains(F.coalesce(attribute(e, name), F.lit("")), F.lit(value))
     found = re.fullmatch(r'contains\(\s*text\(\)\s*,\s*["\'](.*)["\']\s*\)', text)
     if found:
         value = found.group(1)
-        test = lambda e: F.contains(F.regexp_extract(inner(e), r"\A[^<]*", 0), F.lit(value))
-        return test, rf"(?=[^>]*>[^<]*{re.escape(value)})", value
+        return lambda e: F.contains(F.coalesce(F.get(e["own"], F.lit(0)), F.lit("")), F.lit(value))
     found = re.fullmatch(r'@([\w-]+)\s*=\s*["\'](.*)["\']', text)
     if found:
         name, value = found.groups()
-        plain = value if re.fullmatch(r"[\w\s.:/-]+", value) else None
-        return lambda e: F.coalesce(attr(e, name) == value, F.lit(False)), rf"(?=[^>]*{name}\s*=)", plain
+        return lambda e: F.coalesce(attribute(e, name) == value, F.lit(False))
     found = re.fullmatch(r"@([\w-]+)", text)
     if found:
         name = found.group(1)
-        return lambda e: has_attr(e, name), rf"(?=[^>]*{name})", None
+        return lambda e: has_attribute(e, name)
     raise ValueError(f"condition not supported: {text}")
 
 
-def _step(tag: str, conditions: list[str]):
-    """(column test or None, pattern hint, place or None, page test or None) of one step."""
-    tests, hint, place, needed = [], "", None, []
+def _passes(e: Column, tag: str, groups: list) -> Column:
+    ok = F.lit(True) if tag == "*" else e["tag"] == tag
+    for group in groups:
+        any_of = F.lit(False)
+        for test in group:
+            any_of = any_of | test(e)
+        ok = ok & any_of
+    return ok
+
+
+def _placed(found: Column, n: int) -> Column:
+    """Of the elements found, the n-th of every parent."""
+    return let(
+        found,
+        lambda all_: F.filter(
+            all_, lambda e: F.size(F.filter(all_, lambda x: (x["parent"] == e["parent"]) & (x["no"] <= e["no"]))) == n
+        ),
+    )
+
+
+def _step(found: Column, tag: str, conditions: list[str]) -> Column:
+    """Elements that pass a step's tag and conditions, in the order these are written."""
+    groups: list = []
+    first = True
     for text in conditions:
-        if text.isdigit():
-            place = int(text)
+        if not text.strip().isdigit():
+            groups.append([_condition(part.strip()) for part in re.split(r"\s+or\s+", text)])
+            first = False
             continue
-        options = [_condition(part.strip()) for part in re.split(r"\s+or\s+", text)]
-        tests.append([test for test, _, _ in options])
-        hint += "(?:" + "|".join(h for _, h, _ in options) + ")"
-        if all(value for _, _, value in options):
-            needed.append([value for _, _, value in options])
-
-    def passes(e: Column) -> Column:
-        ok = F.lit(True)
-        for group in tests:
-            any_of = F.lit(False)
-            for test in group:
-                any_of = any_of | test(e)
-            ok = ok & any_of
-        return ok
+        n, now = int(text), groups
+        if first:
+            place = "nth_any" if tag == "*" else "nth"
+            found = F.filter(found, lambda e: _passes(e, tag, []) & (e[place] == n))
+        else:
+            found = _placed(F.filter(found, lambda e: _passes(e, tag, now)), n)
+        groups, first = [], False
+    return F.filter(found, lambda e: _passes(e, tag, groups))
 
-    def possible(html: Column) -> Column:
-        """Plain search for the texts the conditions need, before any pattern is tried."""
-        ok = F.lit(True)
-        for values in needed:
-            any_of = F.lit(False)
-            for value in values:
-                any_of = any_of | F.contains(html, F.lit(value))
-            ok = ok & any_of
-        return ok
 
-    return passes if tests else None, hint, place, possible if needed else None
+def _parse(rule: str):
+    """(steps, tail, attribute) of a rule; a step is (axis, tag, conditions)."""
+    tail, name, path = None, None, rule
+    for ending, kind in _TAILS.items():
+        if path.endswith(ending):
+            path, tail = path[: -len(ending)], kind
+            break
+    found = re.search(r"/@([\w-]+)$", path)
+    if found:
+        path, name = path[: found.start()], found.group(1)
+    path = path.removeprefix(".")
+    if not path or "".join(m.group(0) for m in _STEP.finditer(path)) != path:
+        raise ValueError(f"rule not supported: {rule}")
+    return [(axis, tag, re.findall(r"\[([^\]]*)\]", tests)) for axis, tag, tests in _STEP.findall(path)], tail, name
 
 
-def _when_possible(html: Column, tests: list, found: Column) -> Column:
-    if not all(tests):
-        return found
-    ok = F.lit(False)
-    for test in tests:
-        ok = ok | test(html)
-    return F.when(ok, found).otherwise(F.array().cast("array<string>"))
+def _related(here: Column, axis: str, to: Column) -> Column:
+    """Of the elements ``here``, those inside one of ``to``, or its children."""
 
+    def near(e: Column, a: Column) -> Column:
+        return inside(e, a) if axis == "//" else e["parent"] == a["no"]
 
-def _elements(html: Column, tag: str, conditions: list[str]) -> Column:
-    passes, hint, place, possible = _step(tag, conditions)
-    found = nested_elements(html, _ANY if tag == "*" else tag, hint)
-    found = _when_possible(html, [possible], found)
-    if passes:
-        found = F.filter(found, passes)
-    return F.slice(found, place, 1) if place else found
+    return let(to, lambda others: F.filter(here, lambda e: F.exists(others, lambda a: near(e, a))))
 
 
-def _inside(tag: str, conditions: list[str]):
-    return lambda element: _elements(inner(element), tag, conditions)
+def _found(page: Page, steps: list) -> Column:
+    """The elements that the steps of a rule lead to, each once, in document order."""
+    found = None if page.around is None else F.array(page.around)
+    for axis, tag, conditions in steps:
+        here = _step(page.all, tag, conditions)
+        if found is not None:
+            found = _related(here, axis, found)
+        elif axis == "/":
+            found = F.filter(here, lambda e: e["parent"] == -1)
+        else:
+            found = here
+    return found
 
 
-def _siblings(html: Column, element: Column) -> Column:
-    after = F.substr(html, F.instr(html, element) + F.length(element))
-    return F.flatten(F.transform(sibling_elements(after), lambda e: own_text_nodes(inner(e))))
+def _attributes(found: Column, name: str) -> Column:
+    return F.filter(F.transform(found, lambda e: attribute(e, name)), lambda v: v.isNotNull())
 
 
-def _parse(rule: str):
-    """(steps, tail, attribute) of a rule; a step is (tag, conditions)."""
-    tail, attribute, path = None, None, rule
-    for ending, name in _TAILS.items():
-        if path.endswith(ending):
-            path, tail = path[: -len(ending)], name
-            break
-    found = re.search(r"/@([\w-]+)$", path)
-    if found:
-        path, attribute = path[: found.start()], found.group(1)
-    if not path or "".join(m.group(0) for m in _STEP.finditer(path)) != path:
-        raise ValueError(f"rule not supported: {rule}")
-    steps = [(tag, re.findall(r"\[([^\]]*)\]", tests)) for tag, tests in _STEP.findall(path)]
-    return steps, tail, attribute
-
-
-def _values(html: Column, found: Column, tail, attribute, kind: str) -> Column:
-    if attribute:
-        values = F.transform(found, lambda e: attr(e, attribute))
-        return F.filter(values, lambda v: v.isNotNull())
-    if tail == "own":
-        return F.flatten(F.transform(found, lambda e: own_text_nodes(inner(e))))
-    if tail == "texts":
-        return F.flatten(F.transform(found, lambda e: text_nodes(inner(e))))
-    if tail == "siblings":
-        return F.flatten(F.transform(found, lambda e: _siblings(html, e)))
-    if kind == "html":
-        return found
-    return F.transform(found, element_text)
-
-
-def _single(html: Column, rule: str, kind: str) -> Column:
-    steps, tail, attribute = _parse(rule)
-    found = _elements(html, *steps[0])
-    for step in steps[1:]:
-        found = F.flatten(F.transform(found, _inside(*step)))
-    return _values(html, found, tail, attribute, kind)
-
-
-def _merged(html: Column, parsed: list, kind: str) -> Column:
-    """A union of one-step rules: one pass over the page, document order."""
-    tests, hints, tags, needs = [], [], [], []
-    for steps, _, _ in parsed:
-        tag, conditions = steps[0]
-        passes, hint, _, possible = _step(tag, conditions)
-        tests.append((tag, passes))
-        needs.append(possible)
-        hints.append(hint if tag == "*" else rf"(?={tag}[\s/>]){hint}")
-        tags.append(_ANY if tag == "*" else tag)
-
-    def any_part(e: Column) -> Column:
-        ok = F.lit(False)
-        for tag, passes in tests:
-            part = F.lit(True) if tag == "*" else tag_name(e) == tag
-            ok = ok | (part & passes(e) if passes else part)
-        return ok
-
-    union = _ANY if _ANY in tags else "|".join(dict.fromkeys(tags))
-    found = F.filter(nested_elements(html, union, "(?:" + "|".join(hints) + ")"), any_part)
-    found = _when_possible(html, needs, found)
-    return _values(html, found, parsed[0][1], parsed[0][2], kind)
-
-
-def select(html: Column, rule: str, kind: str = "text") -> Column:
-    """ARRAY<STRING> of what a rule finds, in document order. The parts of a union with
-    several steps follow one another instead. ``kind`` is ``text`` or ``html``."""
-    parts = [part.strip() for part in re.split(r"\s\|\s", rule)]
+def select_elements(page: Page, rule: str) -> Column:
+    """The elements of a rule without a tail, those of a union in document order."""
+    parts = [_parse(part.strip()) for part in re.split(r"\s\|\s", rule)]
+    if any(tail or name for _, tail, name in parts):
+        raise ValueError(f"rule names no elements: {rule}")
     if len(parts) == 1:
-        return _single(html, parts[0], kind)
-    parsed = [_parse(part) for part in parts]
-    alike = len({(tail, attribute) for _, tail, attribute in parsed}) == 1
-    plain = all(
-        len(steps) == 1 and not any(c.isdigit() for c in steps[0][1]) for steps, _, _ in parsed
+        return _found(page, parts[0][0])
+    places = F.flatten(F.array(*[F.transform(_found(page, steps), lambda e: e["no"]) for steps, _, _ in parts]))
+    return let(
+        F.array_sort(F.array_distinct(places)), lambda numbers: F.transform(numbers, lambda i: F.get(page.all, i))
     )
-    if alike and plain:
-        return _merged(html, parsed, kind)
-    return F.concat(*[_single(html, part, kind) for part in parts])
 
 
-def select_all(html: Column, rule: str) -> Column:
-    """ARRAY<STRUCT<text, html>> of the elements a rule finds."""
+def _siblings(page: Page, e: Column) -> Column:
+    after = F.filter(page.all, lambda x: (x["parent"] == e["parent"]) & (x["no"] > e["no"]))
+    return F.flatten(F.transform(after, lambda x: x["own"]))
+
+
+def _texts(page: Page, e: Column) -> Column:
+    return text_nodes(inner_html(page.doc, e))
+
+
+def element_value(page: Page, e: Column, kind: str) -> Column:
+    """``text`` (trimmed) or ``html`` of an element."""
+    return outer_html(page.doc, e) if kind == "html" else text_content(inner_html(page.doc, e))
+
+
+def select(page: Page, rule: str, kind: str = "text") -> Column:
+    """ARRAY<STRING> of what a rule finds, in document order. The parts of a union that end in texts or
+    attributes follow one another. ``kind`` is ``text`` or ``html`` of elements found."""
+    parts = [part.strip() for part in re.split(r"\s\|\s", rule)]
+    parsed = [_parse(part) for part in parts]
+    if not any(tail or name for _, tail, name in parsed):
+        return F.transform(select_elements(page, rule), lambda e: element_value(page, e, kind))
+    values = []
+    for steps, tail, name in parsed:
+        found = _found(page, steps)
+        if name:
+            values.append(_attributes(found, name))
+        elif tail == "own":
+            values.append(F.flatten(F.transform(found, lambda e: e["own"])))
+        elif tail == "texts":
+            values.append(F.flatten(F.transform(found, lambda e: _texts(page, e))))
+        elif tail == "siblings":
+            values.append(F.flatten(F.transform(found, lambda e: _siblings(page, e))))
+        else:
+            values.append(F.transform(found, lambda e: element_value(page, e, kind)))
+    return values[0] if len(values) == 1 else F.concat(*values)
+
+
+def select_all(page: Page, rule: str) -> Column:
+    """ARRAY<STRUCT<text, html, attributes>> of what a rule finds; a text or an attribute has no attributes."""
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    if any(tail or name for _, tail, name in map(_parse, (p.strip() for p in re.split(r"\s\|\s", rule)))):
+        return F.transform(
+            select(page, rule), lambda v: F.struct(v.alias("text"), v.alias("html"), none.alias("attributes"))
+        )
     return F.transform(
-        select(html, rule, "html"), lambda e: F.struct(element_text(e).alias("text"), e.alias("html"))
+        select_elements(page, rule),
+        lambda e: F.struct(
+            element_value(page, e, "text").alias("text"),
+            outer_html(page.doc, e).alias("html"),
+            e["attrs"].alias("attributes"),
+        ),
     )
 
 
@@ -211,15 +218,19 @@ def first(values: Column, default: str | None = None) -> Column:
     return F.when(F.size(values) > 0, values.getItem(0)).otherwise(F.lit(default))
 
 
+def no_elements() -> Column:
+    return F.array().cast(f"array<{ELEMENT}>")
+
+
 def css_rule(selector: str) -> str:
-    """The path rule for a simple CSS selector."""
+    """The path rule for a simple CSS selector; ``>`` is a child."""
     steps = []
-    for part in re.split(r"\s*>\s*|\s+", selector.strip()):
+    for child, part in re.findall(r"(>?)\s*([^\s>]+)", selector.strip()):
         tag = re.match(r"[a-zA-Z*][a-zA-Z0-9]*", part)
         rest = part[tag.end() :] if tag else part
         rest = re.sub(r"#([\w-]+)", r'[@id="\1"]', rest)
         rest = re.sub(r"\.([\w-]+)", r'[contains(@class, "\1")]', rest)
-        steps.append(f"//{tag.group(0).lower() if tag else '*'}{rest}")
+        steps.append(f"{'/' if child and steps else '//'}{tag.group(0).lower() if tag else '*'}{rest}")
     return "".join(steps)
 
 

@@ -57,7 +57,7 @@ def collapse_space(text: Column) -> Column:
 # One piece after a "&": p is the piece, m the map of names, e the reference.
 _DECODE = let_sql(
     "e",
-    "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);', 1)",
+    "regexp_extract(p, '^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);', 1)",
     "coalesce(concat(if(startswith(e, '#'), "
     + let_sql(
         "n",
@@ -90,6 +90,12 @@ def text_content(html: Column) -> Column:
     return strip(decode_entities(strip_markup(html)))
 
 
+def text_nodes(fragment: Column) -> Column:
+    """Text between tags, in order, with character references decoded."""
+    pieces = F.filter(F.split(fragment, rf"(?is)</?[a-z][^\s>/]*{ATTRS}>"), lambda p: p != "")
+    return F.transform(pieces, decode_entities)
+
+
 def page_text(html: Column) -> Column:
     """Every tag replaced by one space, for pattern search."""
     return F.regexp_replace(html, "<[^>]+>", " ")

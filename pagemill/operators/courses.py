@@ -7,14 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.elements import attribute, inner_html
 from pagemill.functions.files import file_type, file_type_simple, filename_link, filename_url, stable_number
 from pagemill.functions.html import (
-    ANCHOR,
     attr,
     element_pattern,
-    element_text,
     find_all,
-    has_attr,
     inner,
     void_pattern,
     without_code,
@@ -27,11 +25,17 @@ from pagemill.functions.rules import (
     MATERIAL_RULES,
     NAME_RULES,
     SEMESTER_RULES,
+    Page,
+    element_value,
+    no_elements,
     select,
+    select_elements,
+    staged,
 )
-from pagemill.functions.text import collapse_space, find_date, first_semester, let, strip, text_content
+from pagemill.functions.text import collapse_space, find_date, first_semester, let, strip, text_content, text_nodes
 from pagemill.functions.urls import course_id, is_downloadable, resolve_url
 from pagemill.operators.links import extract_links, keep_rows
+from pagemill.operators.ordered import dedup_first_by_url
 from pagemill.operators.pages import extract_rules
 
 # Hosts whose frames are videos.
@@ -45,9 +49,9 @@ def _joined(values: Column) -> Column:
     return F.array_join(F.transform(values, strip), " ")
 
 
-def _first_passing(doc: Column, rules: Sequence[str], read, passes) -> Column:
+def _first_passing(page: Page, rules: Sequence[str], read, passes) -> Column:
     return F.coalesce(
-        *[let(read(select(doc, rule)), lambda v: F.when(passes(v), v)) for rule in rules]
+        *[let(read(select(page, rule)), lambda v: F.when(passes(v), v)) for rule in rules]
     )
 
 
@@ -64,21 +68,20 @@ def sanity_filters(name: Column, instructor: Column, semester: Column, descripti
 def course_page(pages: DataFrame) -> DataFrame:
     """(page_id, url, name, instructor, semester, description); the first rule whose
     result passes its length bound counts."""
-    doc = F.col("_doc")
+    rows, page = staged(pages, "page_id", "url", "html")
 
     def head(values: Column) -> Column:
         return strip(F.get(values, F.lit(0)))
 
-    staged = pages.select("page_id", "url", "html", without_code(F.col("html")).alias("_doc"))
     name = _first_passing(
-        doc, NAME_RULES, lambda v: collapse_space(head(v)), lambda v: (v != "") & (F.length(v) < 200)
+        page, NAME_RULES, lambda v: collapse_space(head(v)), lambda v: (v != "") & (F.length(v) < 200)
     )
     instructor = _first_passing(
-        doc, INSTRUCTOR_RULES, _joined, lambda v: (v != "") & (F.length(v) < 100)
+        page, INSTRUCTOR_RULES, _joined, lambda v: (v != "") & (F.length(v) < 100)
     )
-    semester = _first_passing(doc, SEMESTER_RULES, head, lambda v: (v != "") & (F.length(v) < 50))
-    description = _first_passing(doc, DESCRIPTION_RULES, _joined, lambda v: F.length(v) > 20)
-    return staged.select(
+    semester = _first_passing(page, SEMESTER_RULES, head, lambda v: (v != "") & (F.length(v) < 50))
+    description = _first_passing(page, DESCRIPTION_RULES, _joined, lambda v: F.length(v) > 20)
+    return rows.select(
         "page_id",
         "url",
         F.coalesce(name, F.lit("Unknown Course")).alias("name"),
@@ -172,50 +175,23 @@ def course_files(pages: DataFrame, strict: bool = True) -> DataFrame:
 
 def course_materials(pages: DataFrame, custom_rules: Mapping[str, str] | None = None) -> DataFrame:
     """(page_id, rule_no, pos, name, file_url, type, description): links that match a
-    rule, each URL of a page once, in rule order. Duplicates go inside the page row."""
+    rule, each URL of a page once, in rule order."""
     rules = {**MATERIAL_RULES, **(custom_rules or {})}
-    doc = F.col("_doc")
+    base, page = staged(pages, "page_id", "url")
 
-    def numbered(number: int):
+    def link(number: int):
         return lambda e, i: F.struct(
-            F.lit(number).alias("rule_no"), i.alias("pos"), e.alias("element")
+            F.lit(number).alias("rule_no"),
+            i.alias("pos"),
+            F.coalesce(attribute(e, "href"), F.lit("")).alias("href"),
+            element_value(page, e, "text").alias("text"),
+            F.coalesce(attribute(e, "title"), F.lit("")).alias("description"),
         )
 
-    found = F.concat(
-        *[
-            F.transform(select(doc, rule, "html"), numbered(number))
-            for number, rule in enumerate(rules.values())
-        ]
-    )
-    rows = F.filter(
-        F.transform(
-            found,
-            lambda f: F.struct(
-                f["rule_no"].alias("rule_no"),
-                f["pos"].alias("pos"),
-                F.coalesce(attr(f["element"], "href"), F.lit("")).alias("href"),
-                element_text(f["element"]).alias("text"),
-                F.coalesce(attr(f["element"], "title"), F.lit("")).alias("description"),
-            ),
-        ),
-        lambda f: f["href"] != "",
-    )
-    staged = pages.select("page_id", "url", without_code(F.col("html")).alias("_doc")).select(
-        "page_id", "url", rows.alias("_rows")
-    )
-    resolved = staged.select(
-        "page_id",
-        F.transform(
-            "_rows", lambda f: f.withField("file_url", resolve_url(F.col("url"), f["href"]))
-        ).alias("_rows"),
-    )
-    urls = F.transform("_rows", lambda f: f["file_url"])
-    firsts = F.filter("_rows", lambda f, i: F.array_position(F.col("_urls"), f["file_url"]) == i + 1)
-    rows = (
-        resolved.withColumn("_urls", urls)
-        .select("page_id", F.explode(firsts).alias("f"))
-        .select("page_id", "f.*")
-    )
+    found = [F.transform(select_elements(page, rule), link(n)) for n, rule in enumerate(rules.values())]
+    rows = base.select("page_id", "url", F.explode_outer(F.concat(*found)).alias("f")).select("page_id", "url", "f.*")
+    rows = rows.filter(F.col("href") != "").withColumn("file_url", resolve_url(F.col("url"), F.col("href")))
+    rows = dedup_first_by_url(rows.drop("url", "href"), ["page_id", "file_url"], ["rule_no", "pos"])
     name = F.when(F.col("text") != "", F.col("text")).otherwise(filename_url(F.col("file_url")))
     return rows.withColumn("name", name).select(
         "page_id",
@@ -228,17 +204,20 @@ def course_materials(pages: DataFrame, custom_rules: Mapping[str, str] | None =
     )
 
 
-def _course(el: Column, url: Column) -> Column:
-    """struct(id, name, url, instructor, semester) of a catalog item; NULL without link."""
-    link = F.get(F.filter(find_all(el, ANCHOR), lambda a: has_attr(a, "href")), F.lit(0))
+def _course(page: Page, item: Column, url: Column) -> Column:
+    """struct(id, name, url, instructor, semester) of a catalog item; NULL without link. A link of blank text
+    names the course by that, so its name is empty."""
+    inner_page = page.within(item)
+    link = F.get(select_elements(inner_page, "//a[@href]"), F.lit(0))
 
     def build(v: Column) -> Column:
-        target = resolve_url(url, F.coalesce(attr(v["link"], "href"), F.lit("")))
-        text = element_text(v["link"])
-        name = strip(collapse_space(F.when(text != "", text).otherwise(element_text(v["el"]))))
-        person = F.get(select(v["el"], '//*[contains(@class, "instructor")]'), F.lit(0))
+        target = resolve_url(url, F.coalesce(attribute(v["link"], "href"), F.lit("")))
+        raw = F.array_join(_raw_texts(page, v["link"]), "")
+        text = F.when(raw != "", raw).otherwise(element_value(page, v["item"], "text"))
+        name = strip(collapse_space(text))
+        person = F.get(select(page.within(v["item"]), '//*[contains(@class, "instructor")]'), F.lit(0))
         term = F.get(
-            select(v["el"], '//*[contains(@class, "term") or contains(@class, "semester")]'), F.lit(0)
+            select(page.within(v["item"]), '//*[contains(@class, "term") or contains(@class, "semester")]'), F.lit(0)
         )
         return F.when(
             v["link"].isNotNull(),
@@ -254,32 +233,31 @@ def _course(el: Column, url: Column) -> Column:
             ),
         )
 
-    return let(F.struct(link.alias("link"), el.alias("el")), build)
+    return let(F.struct(link.alias("link"), item.alias("item")), build)
 
 
-def _or_empty(items: Column) -> Column:
-    return F.coalesce(items, F.array().cast("array<string>"))
+def _raw_texts(page: Page, e: Column) -> Column:
+    """The text nodes of an element as they stand."""
+    return text_nodes(inner_html(page.doc, e))
 
 
 def _catalogs(pages: DataFrame) -> DataFrame:
     """(page_id, url, courses ARRAY<STRUCT<...>>), read in one scan."""
-    doc, url = F.col("_doc"), F.col("url")
-    staged = pages.select("page_id", "url", without_code(F.col("html")).alias("_doc"))
+    url = F.col("url")
+    rows, page = staged(pages, "page_id", "url")
     items = F.coalesce(
-        *[let(select(doc, rule, "html"), lambda v: F.when(F.size(v) > 0, v)) for rule in CATALOG_RULES]
-    )
-    staged = staged.select("page_id", "url", "_doc", items.alias("_items"))
-    listed = F.filter(
-        F.transform(_or_empty(F.col("_items")), lambda e: _course(e, url)), lambda c: c.isNotNull()
+        *[let(select_elements(page, rule), lambda v: F.when(F.size(v) > 0, v)) for rule in CATALOG_RULES], no_elements()
     )
-    staged = staged.select("page_id", "url", "_doc", listed.alias("_listed"))
+    rows = rows.withColumn("_items", items)
+    listed = F.filter(F.transform("_items", lambda e: _course(page, e, url)), lambda c: c.isNotNull())
+    rows = rows.withColumn("_listed", listed)
     null = F.lit(None).cast("string")
 
     def plain(a: Column) -> Column:
-        text = element_text(a)
-        name = F.when(text != "", text).otherwise("Unknown Course")
+        raw = F.array_join(_raw_texts(page, a), "")
+        name = F.when(raw != "", strip(raw)).otherwise("Unknown Course")
         return let(
-            F.struct(resolve_url(url, attr(a, "href")).alias("url"), name.alias("name")),
+            F.struct(resolve_url(url, attribute(a, "href")).alias("url"), name.alias("name")),
             lambda c: F.struct(
                 course_id(c["url"], c["name"]).alias("id"),
                 c["name"].alias("name"),
@@ -289,11 +267,9 @@ def _catalogs(pages: DataFrame) -> DataFrame:
             ),
         )
 
-    fallback = F.transform(
-        select(doc, '//a[contains(@href, "course") or contains(@href, "class")]', "html"), plain
-    )
+    fallback = F.transform(select_elements(page, '//a[contains(@href, "course") or contains(@href, "class")]'), plain)
     courses = let(F.col("_listed"), lambda c: F.when(F.size(c) > 0, c).otherwise(fallback))
-    return staged.select("page_id", "url", courses.alias("courses"))
+    return rows.select("page_id", "url", courses.alias("courses"))
 
 
 def course_catalog(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import js
 from pagemill.functions.html import attr, find_all, first_text, void_pattern, without_code
-from pagemill.functions.rules import select
+from pagemill.functions.rules import first, select, select_all, staged
 from pagemill.functions.text import last_wins_map, meta_prefix_map, page_text, text_content
 
 
@@ -101,11 +101,19 @@ def extract_patterns(pages: DataFrame, patterns: Mapping[str, str], group: int =
 
 
 def extract_rules(pages: DataFrame, rules: Mapping[str, str], kind: str = "text") -> DataFrame:
-    """One ARRAY<STRING> column per rule."""
-    staged = pages.select("page_id", "url", without_code(F.col("html")).alias("_doc"))
-    return staged.select(
-        "page_id", "url", *[select(F.col("_doc"), rule, kind).alias(f) for f, rule in rules.items()]
-    )
+    """One column per rule: ARRAY<STRING> for the kinds ``text`` and ``html``, ARRAY<STRUCT<text, html,
+    attributes>> for ``all``."""
+    rows, page = staged(pages, "page_id", "url")
+    read = select_all if kind == "all" else lambda p, rule: select(p, rule, kind)
+    return rows.select("page_id", "url", *[read(page, rule).alias(f) for f, rule in rules.items()])
+
+
+def extract_single(
+    pages: DataFrame, rules: Mapping[str, str], defaults: Mapping[str, str] | None = None, kind: str = "text"
+) -> DataFrame:
+    """One STRING column per rule: the first value found, else the field's default (NULL if none is given)."""
+    found = extract_rules(pages, rules, kind)
+    return found.withColumns({f: first(F.col(f), (defaults or {}).get(f)) for f in rules})
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import js
-from pagemill.functions.html import ANCHOR, attr, element_text, find_all, has_attr, nested_elements, void_pattern, without_code
-from pagemill.functions.rules import select, select_all
+from pagemill.functions.html import ANCHOR, attr, element_text, find_all, has_attr, void_pattern
+from pagemill.functions.rules import Page, select, select_all, staged
 from pagemill.functions.text import strip
 from pagemill.functions.urls import resolve_url
 from pagemill.operators.pages import metadata_columns
-from pagemill.operators.tables import form_structs, table_records
+from pagemill.operators.tables import form_structs, table_structs
 
 
 def link_structs(doc: Column, url: Column) -> Column:
@@ -29,29 +29,24 @@ def link_structs(doc: Column, url: Column) -> Column:
     )
 
 
-def _staged(pages: DataFrame) -> DataFrame:
-    return pages.select(
-        "page_id",
-        "url",
-        "html",
-        without_code(F.col("html")).alias("_doc"),
-        F.regexp_extract("html", void_pattern("html"), 0).alias("_html"),
-    )
+def _staged(pages: DataFrame) -> tuple[DataFrame, Page]:
+    return staged(pages, "page_id", "url", "html", F.regexp_extract("html", void_pattern("html"), 0).alias("_html"))
 
 
 def scrape_page(pages: DataFrame, rules: Mapping[str, str] | None = None) -> DataFrame:
     """(page_id, url, metadata fields, one column per rule, structured_data, forms, links,
     error); a page without body has only the error."""
-    doc = F.col("_doc")
+    rows, page = _staged(pages)
+    doc = page.doc
     facts = {
         **metadata_columns(doc, F.col("_html")),
-        **{field: select(doc, rule) for field, rule in (rules or {}).items()},
+        **{field: select(page, rule) for field, rule in (rules or {}).items()},
         "structured_data": js.jsonld(F.col("html")),
         "forms": form_structs(doc),
         "links": link_structs(doc, F.col("url")),
     }
     has_body = F.col("html").isNotNull() & (F.col("html") != "")
-    return _staged(pages).select(
+    return rows.select(
         "page_id",
         "url",
         *[F.when(has_body, c).alias(n) for n, c in facts.items()],
@@ -61,21 +56,22 @@ def scrape_page(pages: DataFrame, rules: Mapping[str, str] | None = None) -> Dat
 
 def analyze_pages(pages: DataFrame, rules: Sequence[str] = (), strict: bool = True) -> DataFrame:
     """(page_id, url, javascript, extracted_data, found, tables, forms, links)."""
-    doc, html = F.col("_doc"), F.col("html")
+    rows, page = _staged(pages)
+    doc, html = page.doc, F.col("html")
     found = (
         F.map_from_arrays(
-            F.array(*[F.lit(r) for r in rules]), F.array(*[select_all(doc, r) for r in rules])
+            F.array(*[F.lit(r) for r in rules]), F.array(*[select_all(page, r) for r in rules])
         )
         if rules
         else F.lit(None)
     )
-    return _staged(pages).select(
+    return rows.select(
         "page_id",
         "url",
         js.js_detect(html, strict).alias("javascript"),
         F.struct(js.jsonld(html).alias("json_ld"), js.window_vars(html).alias("window_vars")).alias("extracted_data"),
         found.alias("found"),
-        F.flatten(F.transform(nested_elements(doc, "table"), table_records)).alias("tables"),
+        F.flatten(table_structs(page)).alias("tables"),
         form_structs(doc).alias("forms"),
         link_structs(doc, F.col("url")).alias("links"),
     )

@@ -15,11 +15,12 @@ from pagemill.functions.html import (
     find_all,
     has_attr,
     inner,
-    nested_elements,
     tag_name,
     void_pattern,
     without_code,
 )
+from pagemill.functions.elements import inside, outer_html
+from pagemill.functions.rules import Page, element_value, select, select_elements, staged
 from pagemill.functions.text import last_wins_map, let
 
 _SECTION_STOP = r"/?(?:thead|tbody|tfoot|table)[\s>]"
@@ -62,6 +63,13 @@ def _records(p: Column) -> Column:
         _rest(p["head"]), _rest(p["loose"]), F.flatten(p["bodies"]), F.flatten(F.transform(p["feet"], _rest))
     )
 
+    cells = F.transform(rows, _cells)
+    return _records_of(F.struct(_headers(p).alias("headers"), cells.alias("rows")))
+
+
+def _records_of(parts: Column) -> Column:
+    """Records from header texts and the cell texts of each row; rows without cells are left out."""
+
     def record(headers: Column, cells: Column) -> Column:
         return last_wins_map(
             F.transform(
@@ -74,10 +82,10 @@ def _records(p: Column) -> Column:
         )
 
     def build(t: Column) -> Column:
-        filled = F.filter(F.transform(t["rows"], _cells), lambda cells: F.size(cells) > 0)
+        filled = F.filter(t["rows"], lambda cells: F.size(cells) > 0)
         return F.transform(filled, lambda cells: record(t["headers"], cells))
 
-    return let(F.struct(_headers(p).alias("headers"), rows.alias("rows")), build)
+    return let(parts, build)
 
 
 def table_records(table: Column) -> Column:
@@ -97,11 +105,36 @@ def table_records(table: Column) -> Column:
     return let(let(table, parts), _records)
 
 
-def extract_tables(pages: DataFrame) -> DataFrame:
+def _ruled_records(page: Page, table: Column, header_rule: str, row_rule: str) -> Column:
+    """Records of a table whose header cells and rows are found by rules inside it."""
+    headers = select(page.within(table), header_rule)
+    rows = F.transform(
+        select_elements(page.within(table), row_rule),
+        lambda r: F.transform(
+            F.filter(page.all, lambda c: inside(c, r) & c["tag"].isin("td", "th")), lambda c: element_value(page, c, "text")
+        ),
+    )
+    return _records_of(F.struct(headers.alias("headers"), rows.alias("rows")))
+
+
+def table_structs(page: Page, rule: str = "//table", header_rule: str | None = None, row_rule: str | None = None) -> Column:
+    """ARRAY of the records of each table that ``rule`` finds, in document order; with the other rules, these
+    name the header cells and the rows inside it."""
+    if (header_rule is None) != (row_rule is None):
+        raise ValueError("give both the rule of the headers and that of the rows, or none")
+    tables = select_elements(page, rule)
+    if header_rule is None:
+        return F.transform(tables, lambda t: table_records(outer_html(page.doc, t)))
+    return F.transform(tables, lambda t: _ruled_records(page, t, header_rule, row_rule))
+
+
+def extract_tables(
+    pages: DataFrame, rule: str = "//table", header_rule: str | None = None, row_rule: str | None = None
+) -> DataFrame:
     """(page_id, table_no, row_no, cells MAP<STRING, STRING>)."""
-    staged = pages.select("page_id", without_code(F.col("html")).alias("_doc"))
-    tables = staged.select("page_id", F.posexplode(nested_elements(F.col("_doc"), "table")).alias("table_no", "_t"))
-    return tables.select("page_id", "table_no", F.posexplode(table_records(F.col("_t"))).alias("row_no", "cells"))
+    rows, page = staged(pages, "page_id")
+    tables = rows.select("page_id", F.posexplode_outer(table_structs(page, rule, header_rule, row_rule)).alias("table_no", "_t"))
+    return tables.select("page_id", "table_no", F.posexplode("_t").alias("row_no", "cells"))
 
 
 _FIELD = (

@@ -62,7 +62,7 @@ _COURSE_HTML = (
     + template('<h1 class="course-title">  [[p_name]]   [[p_type]] </h1>')
     + " ELSE '' END || "
     + "CASE WHEN p_partkey % 2 = 0 THEN "
-    + template('<span class="instructor">[[p_brand]]</span>')
+    + template('<span class="instructor">' + "<span>" * 12 + "[[p_brand]]" + "</span>" * 12 + "</span>")
     + " ELSE "
     + template("<strong>Instructor:</strong> <em>[[p_brand]]</em>")
     + " END || CASE WHEN p_partkey % 3 = 0 THEN "
@@ -86,23 +86,31 @@ _COURSE_HTML = (
         '<video src="/v/[[p_partkey]].mp4"></video><video><source src="alt.webm"></video>'
         '<audio src=/a/[[p_partkey]].mp3></audio><iframe src="https://www.youtube.com/embed/[[p_partkey]]"></iframe>'
         '<iframe src="https://maps.example/[[p_partkey]]"></iframe>'
-        "<p>Office Hours: day [[p_size]]</p></body></html>"
+        "<p><i></i>Office &#0072;ours: day [[p_size]]</p></body></html>"
     )
     + ")"
 )
 
+# What stands inside an item: the same tag many times over, as on real pages.
+_DEEP = {
+    "div": ("<div>" * 12, "</div>" * 12),
+    "li": ("<ul><li>" * 12, "</li></ul>" * 12),
+    "tr": ("<td>" + "<table><tr><td>" * 12, "</td></tr></table>" * 12 + "</td>"),
+}
+
 _ITEM = (
-    '<{open}><b><a href="/courses/[[c_custkey]]{n}">{title} [[c_mktsegment]]</a></b>'
-    '<span class="instructor">[[c_name]]</span><span class="term">Fall {year}</span></{tag}>'
+    '<{open}>{before}<b><a href="/courses/[[c_custkey]]{n}">{title} [[c_mktsegment]]</a></b>'
+    '<span class="instructor">[[c_name]]</span><span class="term">Fall {year}</span>{behind}</{tag}>'
 )
 
 
 def _items(tag: str, cls: str) -> str:
     opened = f'{tag} class="{cls}"'
+    before, behind = _DEEP[tag]
     return template(
         f"<html><body><nav><a href=\"/class\">All</a></nav><{ 'table' if tag == 'tr' else 'section' }>"
-        + _ITEM.format(open=opened, tag=tag, n="-a", title="CS101", year=2024)
-        + _ITEM.format(open=opened, tag=tag, n="", title="CS 102:", year=2025)
+        + _ITEM.format(open=opened, tag=tag, n="-a", title="CS101", year=2024, before=before, behind=behind)
+        + _ITEM.format(open=opened, tag=tag, n="", title="CS 102:", year=2025, before=before, behind=behind)
         + f"<{opened}>none</{tag}></{ 'table' if tag == 'tr' else 'section' }></body></html>"
     )
 

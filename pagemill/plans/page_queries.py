@@ -294,7 +294,7 @@ _CATALOG = """SELECT c_custkey AS page_id, f.* FROM customer, LATERAL (VALUES
     (1, '' || c_custkey, 'CS 102: ' || c_mktsegment, '/courses/' || c_custkey, c_name, 'Fall 2025'))
     AS f(pos, id, name, path, instructor, semester) WHERE c_custkey % 4 <> 3
     UNION ALL SELECT c_custkey, f.*, NULL, NULL FROM customer, LATERAL (VALUES
-    (0, 'MATH2001', 'MATH 2001 ' || c_mktsegment, '/courses/x' || c_custkey), (1, '7', 'Unknown Course', '/class/7'))
+    (0, 'MATH2001', 'MATH 2001 ' || c_mktsegment, '/courses/x' || c_custkey), (1, '7', '', '/class/7'))
     AS f(pos, id, name, path) WHERE c_custkey % 4 = 3"""
 _CATALOG_URL = f"SELECT page_id, pos, id, name, 'http://c' || page_id || '.example.edu' || path AS course_url, instructor, semester FROM ({_CATALOG})"
 

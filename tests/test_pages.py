@@ -1,6 +1,6 @@
-from pyspark.sql import functions as F
+import pytest
 
-from pagemill.functions.rules import css_rule, select
+from pagemill.functions.rules import css_rule, select, select_all, staged
 from pagemill.operators import courses, links, pages as page_ops, scrape, tables
 
 PAGE = """<html lang="en"><head><title> A &amp; B </title><meta name="description" content="A long description of the course">
@@ -79,7 +79,7 @@ def test_course_files(pages):
 
 def test_course_materials_and_catalog(pages):
     rows = courses.course_materials(pages((URL, PAGE)), {"extra": '//a[contains(@href, "courses")]'}).collect()
-    assert [(r.rule_no, r.name) for r in rows] == [(0, "Homework 1"), (2, "lec.ppt"), (4, "z"), (5, "C"), (5, "CS102 Data")]
+    assert sorted((r.rule_no, r.name) for r in rows) == [(0, "Homework 1"), (2, "lec.ppt"), (4, "z"), (5, "C"), (5, "CS102 Data")]
     row = courses.course_catalog(pages((URL, PAGE))).collect()
     assert [(r.id, r.name, r.instructor, r.semester) for r in row] == [("cs-102", "CS102 Data", "Y", "Fall")]
 
@@ -87,10 +87,10 @@ def test_course_materials_and_catalog(pages):
 def test_rules(pages, spark):
     page = (
         '<title>T</title><h1 class="course-title">A</h1><p class="x office">B</p><h1>A</h1><p>Office Hours: 9</p>'
-        "<div>Instructor:</div><b>Q<i>no</i></b><br><u>R</u></body><s>out</s>"
+        "<section><div>Instructor:</div><b>Q<i>no</i></b><br><u>R</u></section><s>out</s>"
     )
-    df = spark.createDataFrame([(page,)], "h string")
-    found = lambda rule, kind="text": df.select(select(F.col("h"), rule, kind)).first()[0]
+    df, one = staged(spark.createDataFrame([(page,)], "html string"))
+    found = lambda rule, kind="text": df.select(select(one, rule, kind)).first()[0]
     assert found('//h1[@class="course-title"] | //h1 | //title') == ["T", "A", "A"]
     assert found('//*[contains(text(), "Office Hours")] | //*[contains(@class, "office")]') == ["B", "Office Hours: 9"]
     assert found('//*[contains(text(), "Instructor:")]/following-sibling::*/text()') == ["Q", "R"]
@@ -99,8 +99,47 @@ def test_rules(pages, spark):
     assert found("//b", "html") == ["<b>Q<i>no</i>"]
 
 
+def test_rule_steps(spark):
+    page = (
+        "<ul><li>a</li><li>b</li></ul><ul><li>c<li>d</ul><div><a href='1'>1</a><p><a href='2'>2</a></p></div>"
+        "<p><b>x</b>Professor Y</p><p>Q&amp;A</p><a href='x&#46;pdf' Class=k>f</a>"
+    )
+    df, one = staged(spark.createDataFrame([(page,)], "html string"))
+    found = lambda rule, kind="text": df.select(select(one, rule, kind)).first()[0]
+    assert found("//li[1]") == ["a", "c"]
+    assert found("//div/a") == ["1"] and found("//div//a") == ["1", "2"]
+    assert found('//*[contains(text(), "Professor")]') == ["xProfessor Y"]
+    assert found('//p[contains(text(), "Q&A")]') == ["Q&A"]
+    assert found('//a[contains(@href, ".pdf")]/@class') == ["k"]
+    assert found('//a[@href][2]') == []
+    everything = df.select(select_all(one, '//a[@class]')).first()[0][0]
+    assert everything.attributes == {"href": "x.pdf", "class": "k"} and everything.text == "f"
+    single = page_ops.extract_single(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"),
+                                     {"one": "//li", "none": "//h6"}, {"none": "-"}).first()
+    assert (single.one, single.none) == ("a", "-")
+
+
+@pytest.mark.parametrize("depth", [4, 200])
+def test_any_depth(pages, depth):
+    inner = "<div>" * depth + "a long enough description text here" + "</div>" * depth
+    row = courses.course_page(pages((URL, f'<div class="course-description">a {inner}</div><div>no</div>'))).first()
+    assert row.description is None or "long enough" in row.description
+    deep = f'<div class="course-item">{"<div>" * depth}<a href="/c/CS1">CS1</a><i class="instructor">I</i>{"</div>" * depth}</div>'
+    (course,) = courses.course_catalog(pages((URL, deep))).collect()
+    assert (course.name, course.instructor) == ("CS1", "I")
+    table = "<table>" + "<tr><td><table>" * depth + "<tr><td>i</td></tr>" + "</table></td></tr>" * depth + "<tr><td>last</td></tr></table>"
+    rows = tables.extract_tables(pages((URL, table))).filter("table_no = 0").collect()
+    assert "last" in str(rows[-1].cells)
+
+
+def test_tables_by_rules(pages):
+    page = "<div class=t><p class=h>A</p><p class=h>B</p><section><td>1</td><td>2</td></section></div>"
+    rows = tables.extract_tables(pages((URL, page)), "//div[@class='t']", "//p[@class='h']", "//section").collect()
+    assert [r.cells for r in rows] == [{"A": "1", "B": "2"}]
+
+
 def test_css_rules():
-    assert css_rule("div.course-item > a") == '//div[contains(@class, "course-item")]//a'
+    assert css_rule("div.course-item > a") == '//div[contains(@class, "course-item")]/a'
     assert css_rule("#f input") == '//*[@id="f"]//input'
 
 
