@@ -185,7 +185,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
             ),
         ),
     ).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint>>"))
-    out = joined.withColumns({"copies": F.when(n > 0, F.floor(F.col("_quota") / n)).otherwise(0).cast("bigint"), "pieces": spans})
+    out = joined.withColumns({"copies": F.when(size > 0, F.floor(F.col("_quota") / n)).otherwise(0).cast("bigint"), "pieces": spans})
     part = F.aggregate("pieces", F.lit(0).cast("bigint"), lambda a, p: a + p.stop - p.start)
     out = out.withColumn("taken", F.col("copies") * size + part)
     return out.drop("_doc", "_s", "_no", "_shard", "_shards", "_from", "_all", "_blocks", "_quota")
