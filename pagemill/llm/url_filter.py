@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pagemill.llm.common import ascii_lower, table
 from pagemill.session import cut
@@ -49,7 +50,7 @@ def rule_columns(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return (none, none) if chosen is None else (chosen, verdict)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _entropy(urls: pd.Series) -> pd.Series:
     """Shannon entropy of the characters, in bits."""
 
