@@ -192,17 +192,18 @@ def meta_prefix_map(entries: Column, prefix: str) -> Column:
 
 
 def last_wins_map(entries: Column) -> Column:
-    """Map from an array of (key, value); the last of equal keys counts."""
+    """Map from an array of (key, value); the last of equal keys counts. Sorted by key and place, so that the
+    last of a run of equal keys is found by a look at the next entry; keys stay in the order of their last place."""
 
-    def build(rows: Column) -> Column:
-        keys = F.array_distinct(F.transform(rows, lambda e: e["key"]))
-        flipped = F.reverse(rows)
-        values = F.transform(
-            keys, lambda k: F.filter(flipped, lambda e: e["key"] == k).getItem(0)["value"]
-        )
-        return F.map_from_arrays(keys, values)
+    def lasts(rows: Column) -> Column:
+        return F.filter(rows, lambda r, i: F.coalesce(F.get(rows, i + 1)["key"] != r["key"], F.lit(True)))
 
-    return let(entries, build)
+    placed = F.transform(
+        entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))
+    )
+    kept = let(F.array_sort(placed), lasts)
+    ordered = F.array_sort(F.transform(kept, lambda r: F.struct(r["i"].alias("i"), r["key"].alias("key"), r["value"].alias("value"))))
+    return F.map_from_entries(F.transform(ordered, lambda r: F.struct(r["key"], r["value"])))
 
 
 def map_json(entries: Column) -> Column:

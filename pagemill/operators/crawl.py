@@ -7,7 +7,7 @@ distinct before the joins and by the adaptive skew join."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +24,9 @@ REFUSED = "Disallowed by robots.txt"
 MISSING = "Failed to fetch"
 
 
-def page_keys(pages: DataFrame) -> DataFrame:
+def page_keys(pages: DataFrame, content_type: str | None = None) -> DataFrame:
     """(url): normalised URLs that have a usable page."""
-    return usable_pages(pages).select(normalize_url(F.col("url")).alias("url")).distinct()
+    return usable_pages(pages, content_type).select(normalize_url(F.col("url")).alias("url")).distinct()
 
 
 def crawl_frontier_join(frontier: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,25 +57,29 @@ def crawl_bfs(
     max_urls: int = -1,
     allowed_domains: Sequence[str] | None = None,
     edges: DataFrame | None = None,
+    url_filter: Callable[[Column], Column] | None = None,
+    content_type: str | None = None,
 ) -> DataFrame:
     """(url, depth, status, reason): breadth first from ``start(url)`` over captured pages.
 
     ``visited`` pages were found and read, ``failed`` ones refused by robots or not
     captured, ``discovered`` ones lie past ``max_depth`` or came after ``max_urls``
-    visits, counted in (depth, url) order. Sitemap URLs enter at depth 1 as written. A
+    visits, counted in (depth, url) order. ``url_filter`` is a test of link URLs; those that
+    fail it are not followed. ``content_type`` names the column that tells which pages are
+    HTML (see ``usable_pages``). Sitemap URLs enter at depth 1 as written. A
     start that robots refuse ends with that failure alone.
 
     Whether a visit succeeds does not depend on the way to the URL, so it is decided for
     all URLs at once before the first level; a level is then one join and one anti join."""
     edges = edges if edges is not None else extract_edges(pages, allowed_domains)
-    edges = cut(edges)
+    edges = cut(edges.filter(url_filter(F.col("dst"))) if url_filter else edges)
     first = start.select(normalize_url(F.col("url")).alias("url")).distinct()
     targets = edges.select(F.col("dst").alias("url")).unionByName(first)
     extra = None
     if sitemap_urls is not None:
         extra = sitemap_urls.select("url").filter(is_crawlable_url(F.col("url"), allowed_domains)).distinct()
         targets = targets.unionByName(extra)
-    nodes = cut(_outcomes(targets.distinct(), page_keys(pages), robots))
+    nodes = cut(_outcomes(targets.distinct(), page_keys(pages, content_type), robots))
     step = cut(edges.join(nodes.withColumnRenamed("url", "dst"), "dst"))
     null = F.lit(None).cast("string")
     level = cut(first.join(nodes, "url"))
@@ -154,11 +158,10 @@ def crawl_summary(crawl: DataFrame) -> DataFrame:
 
 
 def crawl_and_extract(pages: DataFrame, crawl: DataFrame) -> DataFrame:
-    """Metadata of every visited page with its depth."""
+    """Metadata of every visited page with its depth, which travels with the page."""
     visited = crawl.filter(F.col("status") == "visited").select(F.col("url").alias("_u"), "depth")
     kept = pages.withColumn("_u", normalize_url(F.col("url"))).join(visited, "_u")
-    facts = extract_metadata(kept)
-    return facts.join(kept.select("page_id", "depth"), "page_id")
+    return extract_metadata(kept, keep=["depth"])
 
 
 def filter_urls(urls: DataFrame, pattern: str, column: str = "url") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,17 +66,19 @@ def metadata_columns(doc: Column, html_tag: Column) -> dict[str, Column]:
     }
 
 
-def extract_metadata(pages: DataFrame) -> DataFrame:
-    """Title, meta map, Open Graph and Twitter maps, canonical link, language."""
-    staged = pages.select(
+def extract_metadata(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Title, meta map, Open Graph and Twitter maps, canonical link, language, and the columns ``keep``."""
+    staged_pages = pages.select(
         "page_id",
         "url",
+        *keep,
         without_code(F.col("html")).alias("_doc"),
         F.regexp_extract("html", void_pattern("html"), 0).alias("_html"),
     )
-    return staged.select(
+    return staged_pages.select(
         "page_id",
         "url",
+        *keep,
         *[c.alias(n) for n, c in metadata_columns(F.col("_doc"), F.col("_html")).items()],
     )
 

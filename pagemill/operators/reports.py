@@ -158,33 +158,34 @@ def _kept_latencies(log: DataFrame, keep: int) -> DataFrame:
     return ok.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= keep)
 
 
-def domain_metrics(log: DataFrame, keep: int = 100) -> DataFrame:
-    """Per domain: requests, errors, bytes, mean latency of the last ``keep`` requests."""
-    counts = log.groupBy("domain").agg(
+def _domain_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("domain").agg(
         F.count_if("ok").alias("requests"),
         F.count_if(~F.col("ok")).alias("errors"),
         F.sum(F.when(F.col("ok"), F.col("bytes")).otherwise(0)).alias("bytes"),
     )
+
+
+def domain_metrics(log: DataFrame, keep: int = 100) -> DataFrame:
+    """Per domain: requests, errors, bytes, mean latency of the last ``keep`` requests."""
+    counts = _domain_counts(log)
     means = _kept_latencies(log, keep).groupBy("domain").agg(F.avg("latency").alias("avg_latency"))
     return counts.join(means, "domain", "left").fillna({"avg_latency": 0.0})
 
 
 def global_metrics(log: DataFrame, keep: int = 100) -> DataFrame:
-    """One row over all domains; ``domains`` counts those with a successful request."""
-    per_domain = log.groupBy("domain").agg(
-        F.count_if("ok").alias("requests"),
-        F.count_if(~F.col("ok")).alias("errors"),
-        F.sum(F.when(F.col("ok"), F.col("bytes")).otherwise(0)).alias("bytes"),
-    )
-    totals = per_domain.agg(
-        F.coalesce(F.sum("requests"), F.lit(0)).alias("total_requests"),
-        F.coalesce(F.sum("errors"), F.lit(0)).alias("total_errors"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"),
+    """One row over all domains; ``domains`` counts those with a successful request. The mean latency is that of
+    the rows ``domain_metrics`` keeps, so each domain counts with as many as it has."""
+    kept = _kept_latencies(log, keep).groupBy("domain").agg(F.sum("latency").alias("_l"), F.count("latency").alias("_k"))
+    per_domain = _domain_counts(log).join(kept, "domain", "left")
+    none = F.lit(0)
+    return per_domain.agg(
+        F.coalesce(F.sum("requests"), none).alias("total_requests"),
+        F.coalesce(F.sum("errors"), none).alias("total_errors"),
+        F.coalesce(F.sum("bytes"), none).alias("total_bytes"),
         F.count_if(F.col("requests") > 0).alias("domains"),
+        F.coalesce(F.sum("_l") / F.nullif(F.sum("_k"), none), F.lit(0.0)).alias("avg_latency"),
     )
-    mean = _kept_latencies(log, keep).agg(F.coalesce(F.avg("latency"), F.lit(0.0)).alias("avg_latency"))
-    # Both sides are one row.
-    return totals.join(mean, F.lit(True))
 
 
 def latest_heartbeats(beats: DataFrame) -> DataFrame:

@@ -44,6 +44,12 @@ def robots_groups(robots: DataFrame) -> DataFrame:
     )
 
 
+def one_per_host(robots: DataFrame) -> DataFrame:
+    """(host, body): one file per host, letter case of the host ignored; of several captures the one whose text
+    comes first counts. Reduced before the shuffle."""
+    return robots.groupBy(F.lower("host").alias("host")).agg(F.min("body").alias("body"))
+
+
 def _for_agent(groups: DataFrame, agent: str) -> DataFrame:
     """Directives of groups without agent, for everyone or for exactly this agent."""
     named = F.col("agent")
@@ -51,7 +57,8 @@ def _for_agent(groups: DataFrame, agent: str) -> DataFrame:
 
 
 def robots_crawl_delay(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """(host, delay): the last readable delay; 0 when there is none."""
+    """(host, delay): the last readable delay of a host's file; 0 when there is none."""
+    robots = one_per_host(robots)
     groups = _for_agent(robots_groups(robots), agent).filter(F.col("directive") == "crawl-delay")
     seconds = groups.withColumn("delay", F.col("value").try_cast("double")).filter("delay IS NOT NULL")
     last = seconds.groupBy("host").agg(F.max_by("delay", F.struct("group_no", "pos")).alias("delay"))
@@ -173,8 +180,8 @@ def robots_can_fetch(urls: DataFrame, robots: DataFrame, agent: str = "*") -> Da
     path decides; no rule, no robots file: allowed. One policy row per host is joined,
     so a URL meets its rules inside its row and no URL-rule pairs are made; a host with
     many URLs is split by the adaptive skew join."""
-    policy = robots_policy(robots, agent).withColumnRenamed("host", "_host")
-    keyed = urls.withColumns({"_host": host_of(F.col("url")), "_path": _checked_path(F.col("url"))})
+    policy = robots_policy(one_per_host(robots), agent).withColumnRenamed("host", "_host")
+    keyed = urls.withColumns({"_host": F.lower(host_of(F.col("url"))), "_path": _checked_path(F.col("url"))})
     hits = F.filter("rules", lambda r: F.startswith(F.col("_path"), r["path"]))
     joined = keyed.join(policy, "_host", "left")
     return joined.select(

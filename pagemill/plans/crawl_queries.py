@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import map_json
 from pagemill.functions.urls import normalize_url
 from pagemill.operators import crawl, links, robots, sitemaps
 from pagemill.operators.ordered import first_rows
@@ -61,13 +62,19 @@ def robots_groups(spark, sf):
     return robots.robots_groups(derived(spark, sf, "robots")).drop("pos")
 
 
+def _captured_twice(files):
+    """Every third file again, under its host in capitals and with a later text."""
+    again = files.filter(F.length("host") % 3 == 0)
+    return files.unionByName(again.select(F.upper("host").alias("host"), F.concat(F.lit("~"), "body").alias("body")))
+
+
 @query(
     "robots_crawl_delay",
     f"""SELECT {_HOST} AS host, CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey % 7 AS DOUBLE) WHEN 2 THEN 2.5 ELSE 0.0 END AS delay
     FROM customer""".replace("2.5 ELSE 0.0", "CAST(2.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"),
 )
 def robots_crawl_delay(spark, sf):
-    return robots.robots_crawl_delay(derived(spark, sf, "robots"))
+    return robots.robots_crawl_delay(_captured_twice(derived(spark, sf, "robots")))
 
 
 @query(
@@ -110,7 +117,7 @@ _ALLOWED = """CASE o_custkey % 4
 @query("robots_can_fetch", f"SELECT o_orderkey AS url_id, {_ALLOWED} AS allowed FROM orders")
 def robots_can_fetch(spark, sf):
     urls = derived(spark, sf, "robots_urls")
-    return robots.robots_can_fetch(urls, derived(spark, sf, "robots")).select("url_id", "allowed")
+    return robots.robots_can_fetch(urls, _captured_twice(derived(spark, sf, "robots"))).select("url_id", "allowed")
 
 
 @query(
@@ -119,8 +126,8 @@ def robots_can_fetch(spark, sf):
     count(*) FILTER (WHERE CASE WHEN o_custkey % 4 = 0 THEN false ELSE {_ALLOWED} END) AS allowed FROM orders GROUP BY 1""",
 )
 def robots_prefix_join(spark, sf):
-    checked = robots.robots_can_fetch(derived(spark, sf, "robots_urls"), derived(spark, sf, "robots"), "WorseBot/1.0")
-    number = F.regexp_extract("url", r"//c([0-9]+)\.", 1).cast("long")
+    checked = robots.robots_can_fetch(derived(spark, sf, "robots_urls"), _captured_twice(derived(spark, sf, "robots")), "WorseBot/1.0")
+    number = F.regexp_extract("url", r"//[cC]([0-9]+)\.", 1).cast("long")
     return checked.groupBy((number % 4 == 0).alias("named")).agg(
         F.count("*").alias("urls"), F.count_if("allowed").alias("allowed")
     )
@@ -135,7 +142,7 @@ def robots_prefix_join(spark, sf):
 )
 def kind(spark, sf):
     endings = F.array(F.lit(""), F.lit(".html"), F.lit(".xml.gz"))
-    number = F.regexp_extract("url", r"//c([0-9]+)\.", 1).cast("long")
+    number = F.regexp_extract("url", r"//[cC]([0-9]+)\.", 1).cast("long")
     rows = derived(spark, sf, "sitemaps").withColumns(
         {
             "body": F.when(number % 3 == 0, F.concat(F.lit("  <!doctype html><HTML>"), "body"))
@@ -207,10 +214,16 @@ SITE = "'http://shop.example.com/o/'"
 EDGES = """edges AS (SELECT o_orderkey AS k, unnest([o_orderkey * 2 + 1, o_orderkey * 2 + 2,
     CAST(floor(o_orderkey / 2) AS BIGINT), (o_orderkey * 31 + 17) % 1000]) AS t FROM orders),
     last AS (SELECT max(o_orderkey) AS m FROM orders)"""
-DEPTH = 6
-REACH = f"""{EDGES}, reach(k, d) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT t, d + 1 FROM reach JOIN edges USING (k) WHERE d <= {DEPTH}),
+# No page of the site is deeper than the longest chain of left links, 2 ** n.
+FULL, DEPTH = 24, 6
+
+
+def reach(depth: int) -> str:
+    return f"""{EDGES}, reach(k, d) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT t, d + 1 FROM reach JOIN edges USING (k) WHERE d <= {depth}),
     best AS (SELECT k, min(d) AS depth FROM reach GROUP BY k),
-    closed AS (SELECT k % 3 AS p, min(depth) + 1 AS depth FROM best WHERE k <= (SELECT m FROM last) AND depth <= {DEPTH} GROUP BY 1)"""
+    closed AS (SELECT k % 3 AS p, min(depth) + 1 AS depth FROM best WHERE k <= (SELECT m FROM last) AND depth <= {depth} GROUP BY 1)"""
+
+
 
 
 def _site(spark, sf):
@@ -229,25 +242,43 @@ def _closed(spark, sf):
     )
 
 
-CRAWL = f"""SELECT {SITE} || k AS url, depth, CASE WHEN depth > {DEPTH} THEN 'discovered' WHEN k <= (SELECT m FROM last)
-    THEN 'visited' ELSE 'failed' END AS status, CASE WHEN depth <= {DEPTH} AND k > (SELECT m FROM last)
+def crawled(depth: int) -> str:
+    return f"""SELECT {SITE} || k AS url, depth, CASE WHEN depth > {depth} THEN 'discovered' WHEN k <= (SELECT m FROM last)
+    THEN 'visited' ELSE 'failed' END AS status, CASE WHEN depth <= {depth} AND k > (SELECT m FROM last)
     THEN 'Failed to fetch' END AS reason FROM best
-    UNION ALL SELECT 'http://shop.example.com/private/' || p, depth, CASE WHEN depth > {DEPTH} THEN 'discovered' ELSE 'failed' END,
-    CASE WHEN depth <= {DEPTH} THEN 'Disallowed by robots.txt' END FROM closed"""
+    UNION ALL SELECT 'http://shop.example.com/private/' || p, depth, CASE WHEN depth > {depth} THEN 'discovered' ELSE 'failed' END,
+    CASE WHEN depth <= {depth} THEN 'Disallowed by robots.txt' END FROM closed"""
 
 
-def _crawl(spark, sf):
-    return crawl.crawl_bfs(_site(spark, sf), _start(spark, sf), robots=_closed(spark, sf), max_depth=DEPTH)
+def _crawl(spark, sf, **limits):
+    return crawl.crawl_bfs(_site(spark, sf), _start(spark, sf), robots=_closed(spark, sf), **limits)
 
 
-@query("crawl_bfs", f"WITH RECURSIVE {REACH} {CRAWL}")
+@query("crawl_bfs", f"WITH RECURSIVE {reach(FULL)} {crawled(FULL)}")
 def crawl_bfs(spark, sf):
     return _crawl(spark, sf)
 
 
+@query("crawl_depth_limit", f"WITH RECURSIVE {reach(DEPTH)} {crawled(DEPTH)}")
+def crawl_depth_limit(spark, sf):
+    """The limit is the feature."""
+    return _crawl(spark, sf, max_depth=DEPTH)
+
+
+@query(
+    "crawl_url_filter",
+    f"""WITH RECURSIVE {EDGES}, reach(k, d) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT t, d + 1 FROM reach JOIN edges USING (k)
+    WHERE t % 2 = 1 AND d <= {FULL}) SELECT {SITE} || k AS url, min(d) AS depth FROM reach WHERE k <= (SELECT m FROM last) GROUP BY k""",
+)
+def crawl_url_filter(spark, sf):
+    """Only links to odd orders are followed."""
+    rows = _crawl(spark, sf, url_filter=lambda url: url.rlike("/o/[0-9]*[13579]$"))
+    return rows.filter("status = 'visited'").select("url", "depth")
+
+
 @query(
     "crawl_summary",
-    f"""WITH RECURSIVE {REACH}, crawl AS ({CRAWL}) SELECT count(*) AS discovered, count(*) FILTER (status = 'visited') AS visited,
+    f"""WITH RECURSIVE {reach(FULL)}, crawl AS ({crawled(FULL)}) SELECT count(*) AS discovered, count(*) FILTER (status = 'visited') AS visited,
     count(*) FILTER (status = 'failed') AS failed, max(depth) FILTER (status <> 'discovered') AS max_depth,
     count(*) FILTER (status = 'visited') / count(*) FILTER (status <> 'discovered') AS success_rate FROM crawl""",
 )
@@ -260,13 +291,11 @@ LIMIT = 100
 
 @query(
     "max_urls_limit",
-    f"""WITH RECURSIVE {REACH}, crawl AS ({CRAWL}) SELECT url, depth FROM crawl WHERE status = 'visited'
+    f"""WITH RECURSIVE {reach(DEPTH)}, crawl AS ({crawled(DEPTH)}) SELECT url, depth FROM crawl WHERE status = 'visited'
     ORDER BY depth, url LIMIT {LIMIT}""",
 )
 def max_urls_limit(spark, sf):
-    rows = crawl.crawl_bfs(
-        _site(spark, sf), _start(spark, sf), robots=_closed(spark, sf), max_depth=DEPTH, max_urls=LIMIT
-    )
+    rows = _crawl(spark, sf, max_urls=LIMIT)
     return rows.filter("status = 'visited'").select("url", "depth")
 
 
@@ -317,24 +346,28 @@ def visited_anti(spark, sf):
 
 @query(
     "crawl_and_extract",
-    f"""WITH RECURSIVE {REACH} SELECT k AS page_id, {SITE} || k AS url, depth FROM best
-    WHERE depth <= {DEPTH} AND k <= (SELECT m FROM last)""",
+    f"""WITH RECURSIVE {reach(FULL)} SELECT k AS page_id, {SITE} || k AS url, depth, 'Order ' || k AS title,
+    '{{"keywords":"o' || k || '"}}' AS meta, 'en' AS language FROM best
+    WHERE depth <= {FULL} AND k <= (SELECT m FROM last)""",
 )
 def crawl_and_extract(spark, sf):
-    return crawl.crawl_and_extract(_site(spark, sf), _crawl(spark, sf)).select("page_id", "url", "depth")
+    rows = crawl.crawl_and_extract(_site(spark, sf), _crawl(spark, sf))
+    return rows.select(
+        "page_id", "url", "depth", "title", map_json(F.col("meta")).alias("meta"), "language"
+    )
 
 
 # A second graph: suppliers and parts of line items.
 @query(
     "graph_reach",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem
-    WHERE l_returnflag = 'R' AND l_linestatus = 'F'), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r(v, d) AS (SELECT 's0', 0 UNION SELECT b, d + 1 FROM r JOIN g ON a = v WHERE d < 2)
+    """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem),
+    g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r(v, d) AS (SELECT 's0', 0 UNION SELECT b, d + 1 FROM r JOIN g ON a = v WHERE d < 10)
     SELECT 'http://' || v || '.example/' AS url, min(d) AS depth FROM r GROUP BY v""",
 )
 def graph_reach(spark, sf):
-    """Depths of suppliers and parts joined by returned line items, as a crawl."""
-    items = given(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'F'")
+    """Depths of suppliers and parts joined by line items, as a crawl."""
+    items = given(spark, sf, "lineitem")
     a = F.concat(F.lit("http://s"), F.col("l_suppkey"), F.lit(".example/"))
     b = F.concat(F.lit("http://p"), F.col("l_partkey"), F.lit(".example/"))
     pairs = items.select(a.alias("src"), b.alias("dst")).distinct()
@@ -342,4 +375,4 @@ def graph_reach(spark, sf):
     nodes = edges.select(F.col("src").alias("url")).distinct()
     pages = nodes.select(F.xxhash64("url").alias("page_id"), "url", F.lit("x").alias("html"))
     start = given(spark, sf, "supplier").filter("s_suppkey = 0").select(F.lit("http://s0.example/").alias("url"))
-    return crawl.crawl_bfs(pages, start, edges=edges, max_depth=1).select("url", "depth")
+    return crawl.crawl_bfs(pages, start, edges=edges).select("url", "depth")

@@ -172,7 +172,8 @@ _SITEMAP_BODY = choose(
 )
 
 _SITE_HTML = template(
-    '<html><body><a href="/o/[[o_orderkey * 2 + 1]]">left</a><a href="/o/[[o_orderkey * 2 + 2]]/">right</a>'
+    '<html lang="en"><head><title>Order [[o_orderkey]]</title><meta name="keywords" content="o[[o_orderkey]]">'
+    '</head><body><a href="/o/[[o_orderkey * 2 + 1]]">left</a><a href="/o/[[o_orderkey * 2 + 2]]/">right</a>'
     '<a href="../o/[[CAST(floor(o_orderkey / 2) AS BIGINT)]]#up">up</a><a href="/O/[[(o_orderkey * 31 + 17) % 1000]]">side</a>'
     '<a href="/f[[o_orderkey]].pdf">file</a><a href="/private/[[o_orderkey % 3]]">staff</a></body></html>'
 )
@@ -202,7 +203,11 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "orders",
         {
             "url_id": "o_orderkey",
-            "url": template("http://c[[o_custkey]].example.edu") + f" || {_ROBOTS_PATH}",
+            "url": "CASE WHEN o_orderkey % 3 = 0 THEN "
+            + template("http://C[[o_custkey]].Example.EDU")
+            + " ELSE "
+            + template("http://c[[o_custkey]].example.edu")
+            + f" END || {_ROBOTS_PATH}",
         },
     ),
     "sitemaps": (

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import layout, ordered, reports, schedule
-from pagemill.operators.circuits import circuit_states
+from pagemill.operators import layout, log_runs, ordered, reports
 from pagemill.plans.derived import derived, given, with_derived
 from pagemill.plans.url_queries import _bytes_sql
 from pagemill.session import shared_path
@@ -139,7 +138,7 @@ def download_report(spark, sf):
 
 
 _KEPT = """kept AS (SELECT domain, latency FROM fetch_log WHERE ok
-    QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, request_id DESC) <= 20)"""
+    QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, request_id DESC) <= 100)"""
 
 
 @query(
@@ -153,7 +152,7 @@ _KEPT = """kept AS (SELECT domain, latency FROM fetch_log WHERE ok
     ),
 )
 def domain_metrics(spark, sf):
-    rows = reports.domain_metrics(derived(spark, sf, "fetch_log"), keep=20)
+    rows = reports.domain_metrics(derived(spark, sf, "fetch_log"), keep=100)
     return rows.withColumn("avg_latency", F.round("avg_latency", 6))
 
 
@@ -167,7 +166,7 @@ def domain_metrics(spark, sf):
     ),
 )
 def global_metrics(spark, sf):
-    rows = reports.global_metrics(derived(spark, sf, "fetch_log"), keep=20)
+    rows = reports.global_metrics(derived(spark, sf, "fetch_log"), keep=100)
     return rows.withColumn("avg_latency", F.round("avg_latency", 6))
 
 
@@ -296,57 +295,31 @@ def chunk(spark, sf):
     return ordered.chunk(derived(spark, sf, "tasks").select("task_id", "seq"), ["seq"], 64).select("task_id", "chunk_no")
 
 
-# Gaps of an hour or a quarter make requests of a domain wait for one another.
-_RATE = """WITH RECURSIVE r AS (SELECT request_id, domain, ts, row_number() OVER (PARTITION BY domain ORDER BY ts, request_id) AS i,
-    CASE WHEN domain LIKE '%7' THEN 28800000000 ELSE 7200000000 END AS gap FROM fetch_log),
-    s(domain, i, request_id, start_us) AS (SELECT domain, i, request_id, epoch_us(ts) FROM r WHERE i = 1
-    UNION ALL SELECT r.domain, r.i, r.request_id, greatest(epoch_us(r.ts), s.start_us + r.gap) FROM s JOIN r ON r.domain = s.domain AND r.i = s.i + 1)
-    SELECT request_id, domain, make_timestamp(start_us) AS start_at FROM s"""
-
-
-@query("rate_schedule", with_derived(["fetch_log"], _RATE))
-def rate_schedule(spark, sf):
-    log = derived(spark, sf, "fetch_log").select("request_id", "domain", "ts")
-    gap = F.when(F.col("domain").endswith("7"), 28800.0).otherwise(7200.0)
-    return schedule.rate_schedule(log, gap).select("request_id", "domain", "start_at")
-
-
 @query(
-    "retry_schedule",
-    """SELECT o_orderkey AS task_id, CAST(a AS INTEGER) AS attempt, CAST(least(1.5 * pow(2, a), 60) AS DOUBLE) AS wait,
-    CAST(CASE WHEN a = 0 THEN 0 ELSE 2 * pow(2, a) END AS DOUBLE) AS plain_wait
-    FROM orders, unnest(range(0, 1 + o_orderkey % 8)) AS t(a)""",
+    "short_gaps",
+    with_derived(
+        ["fetch_log"],
+        """SELECT * FROM (SELECT request_id, domain, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY domain ORDER BY ts, request_id)))
+        / 1000000.0 AS gap_seconds FROM fetch_log) WHERE gap_seconds < CASE WHEN domain LIKE '%7' THEN 28800 ELSE 7200 END""",
+    ),
 )
-def retry_schedule(spark, sf):
-    tasks = derived(spark, sf, "tasks").select("task_id")
-    attempts = (F.col("task_id") % 8 + 1).cast("int")
-    waits = schedule.retry_schedule(tasks, attempts, base=1.5)
-    plain = schedule.retry_waits(tasks, attempts, delay=2.0).withColumnRenamed("wait", "plain_wait")
-    return waits.join(plain, ["task_id", "attempt"])
-
-
-_STEP = """CASE WHEN s.mode = 'open' AND epoch_us(r.ts) - s.last <= 86400000000 THEN {refused}
-    WHEN r.ok THEN {good} WHEN s.mode = 'open' OR s.n + 1 >= 3 THEN {opened} ELSE {failed} END"""
+def short_gaps(spark, sf):
+    delay = F.when(F.col("domain").endswith("7"), 28800.0).otherwise(7200.0)
+    return log_runs.short_gaps(derived(spark, sf, "fetch_log"), delay)
 
 
 @query(
-    "circuit_states",
+    "failure_runs",
     with_derived(
         ["fetch_log"],
-        f"""WITH RECURSIVE r AS (SELECT request_id, domain, ts, ok, row_number() OVER (PARTITION BY domain ORDER BY ts, request_id) AS i FROM fetch_log),
-        s(domain, i, request_id, mode, n, last, admitted) AS (SELECT DISTINCT domain, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), 'closed', 0, CAST(0 AS BIGINT), true FROM fetch_log
-        UNION ALL SELECT r.domain, r.i, r.request_id, {_STEP.format(refused="'open'", good="'closed'", opened="'open'", failed="'closed'")},
-        {_STEP.format(refused='0', good="CASE WHEN s.mode = 'open' THEN 0 ELSE s.n END", opened='0', failed='s.n + 1')},
-        {_STEP.format(refused='s.last', good='0', opened='epoch_us(r.ts)', failed='0')},
-        {_STEP.format(refused='false', good='true', opened='true', failed='true')}
-        FROM s JOIN r ON r.domain = s.domain AND r.i = s.i + 1)
-        SELECT request_id, domain, admitted, mode AS state FROM s WHERE i > 0""",
+        """WITH r AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY ts, request_id) AS k FROM fetch_log),
+        t AS (SELECT domain, count(*) FILTER (ok) AS s FROM fetch_log GROUP BY domain)
+        SELECT domain, CAST(k AS BIGINT) AS successes_before, count(*) AS failures, min(ts) AS first_failure, max(ts) AS last_failure,
+        s > k AS recovered FROM r JOIN t USING (domain) WHERE NOT ok GROUP BY domain, k, s""",
     ),
 )
-def circuits(spark, sf):
-    log = derived(spark, sf, "fetch_log")
-    rows = circuit_states(log, threshold=3, timeout_seconds=86400.0)
-    return rows.select("request_id", "domain", "admitted", "state")
+def failure_runs(spark, sf):
+    return log_runs.failure_runs(derived(spark, sf, "fetch_log"))
 
 
 # Sources and sinks: write to a new place in the shared folder, read back.

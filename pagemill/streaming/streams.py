@@ -1,4 +1,4 @@
-"""Structured Streaming forms: domain metrics, circuit states, silent workers, resume."""
+"""Structured Streaming forms: domain metrics, silent workers, resume."""
 
 from __future__ import annotations
 
@@ -6,10 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from pagemill.functions.text import micros
-from pagemill.operators.circuits import stream_step
 
 
 def stream_domain_metrics(log: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -37,26 +34,6 @@ def stream_domain_metrics(log: DataFrame, window: str = "1 hour", late: str = "1
     )
 
 
-def stream_circuit_states(
-    log: DataFrame,
-    threshold: int = 5,
-    timeout_seconds: float = 60.0,
-    half_open_successes: int = 1,
-    order: str = "request_id",
-) -> DataFrame:
-    """State after each request of ``log(domain, ts, request_id, ok)``. Requests of one
-    micro-batch are put in time order; the state holds three values per domain."""
-    rules = (threshold, round(timeout_seconds * 1e6), half_open_successes)
-    rows = log.select("domain", "ts", order, "ok", micros(F.col("ts")).alias("_t"))
-    return rows.groupBy("domain").applyInPandasWithState(
-        stream_step(rules, order),
-        f"domain string, ts timestamp, {order} long, ok boolean, admitted boolean, state string",
-        "name string, count int, last long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def stream_silent_workers(beats: DataFrame, interval_seconds: int = 30, late: str = "1 minute") -> DataFrame:
     """(worker_id, first_beat, last_beat): runs of heartbeats that ended because the worker
     was silent for twice the health check interval."""
@@ -92,8 +69,8 @@ def incremental_extract(
     extract: Callable[[DataFrame], DataFrame],
     source_format: str = "parquet",
 ) -> None:
-    """Run ``extract`` over page files that arrived since the last run. The file source
-    remembers finished files in the checkpoint; extraction is row by row, so the stream
-    keeps no state."""
+    """Run ``extract`` over pages that arrived since the last run. The file source remembers finished files in
+    the checkpoint, and the stream's state remembers URLs, so a page captured again is not read again; of captures
+    that arrive together, one is read."""
     pages = spark.readStream.schema(schema).format(source_format).load(source)
-    run_available(extract(pages), sink, checkpoint)
+    run_available(extract(pages.dropDuplicates(["url"])), sink, checkpoint)

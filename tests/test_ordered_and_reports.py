@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import circuits, layout, ordered, reports, schedule
+from pagemill.operators import layout, log_runs, ordered, reports
 
 START = dt.datetime(2024, 1, 1)
 
@@ -37,30 +37,25 @@ def test_results_do_not_depend_on_partitions(spark, log, requests, partitions):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         numbers = {r.request_id: r.row_no for r in ordered.numbered(log, ["domain"], ["ts", "request_id"]).collect()}
-        states = {r.request_id: (r.admitted, r.state) for r in circuits.circuit_states(log, 3, 60.0, 2).collect()}
-        gap = F.when(F.col("domain") == "hot", 2.5).otherwise(20.0)
-        starts = {r.request_id: r.start_at for r in schedule.rate_schedule(log, gap).collect()}
+        runs = {(r.domain, r.successes_before): r for r in log_runs.failure_runs(log).collect()}
+        gaps = {r.request_id: r.gap_seconds for r in log_runs.short_gaps(log, 20.0).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     for domain, rows in by_domain(requests):
-        state, last = circuits.START, None
-        wait = dt.timedelta(seconds=2.5 if domain == "hot" else 20)
+        good, last, failed = 0, None, {}
         for number, (_, ts, request, ok) in enumerate(rows, 1):
             assert numbers[request] == number
-            state, admitted = circuits.step(state, int((ts - START).total_seconds() * 1e6), ok, 3, 60 * 10**6, 2)
-            assert states[request] == (admitted, state[0])
-            last = ts if last is None else max(ts, last + wait)
-            assert starts[request] == last
-
-
-def test_circuit_example(spark):
-    offsets = [(0, False), (1, False), (2, False), (3, False), (4, False), (34, True), (66, True), (67, False)]
-    rows = [("d", START + dt.timedelta(seconds=s), n, ok) for n, (s, ok) in enumerate(offsets)]
-    log = spark.createDataFrame(rows, "domain string, ts timestamp, request_id long, ok boolean")
-    got = circuits.circuit_states(log).orderBy("request_id").collect()
-    assert [r.state for r in got] == ["closed"] * 4 + ["open", "open", "closed", "closed"]
-    assert [r.admitted for r in got] == [True] * 5 + [False, True, True]
+            gap = (ts - last).total_seconds() if last else 99
+            assert gaps.get(request) == (gap if gap < 20 else None)
+            last = ts
+            good += ok
+            if not ok:
+                failed.setdefault(good, []).append(ts)
+        assert {k for d, k in runs if d == domain} == set(failed)
+        for k, times in failed.items():
+            run = runs[domain, k]
+            assert (run.failures, run.first_failure, run.last_failure, run.recovered) == (len(times), times[0], times[-1], good > k)
 
 
 def test_null_keys_are_a_group(spark):
@@ -108,16 +103,6 @@ def test_organize_defaults(spark):
     assert got == {1: ("out/Unknown/misc", "x_.pdf"), 2: ("out/C_1/readings", "x_.pdf")}
 
 
-def test_retries(spark):
-    tasks = spark.createDataFrame([(1,)], "task_id long")
-    assert [r.wait for r in schedule.retry_schedule(tasks, F.lit(8)).orderBy("attempt").collect()] == [1, 2, 4, 8, 16, 32, 60, 60]
-    assert [r.wait for r in schedule.retry_waits(tasks, F.lit(3)).orderBy("attempt").collect()] == [0, 2, 4]
-    shaken = schedule.retry_schedule(tasks, F.lit(6), jitter_key=F.col("task_id"))
-    for r in shaken.collect():
-        assert 0.5 <= r.wait / min(2.0**r.attempt, 60) < 1.5
-    assert shaken.collect() == shaken.collect()
-
-
 def test_recent_files_cut_before_the_shuffle(spark):
     files = spark.createDataFrame([("c", f"n{n}", START, n) for n in range(9)], "course string, name string, mtime timestamp, seq long")
     plan = reports.recent_files(files)._jdf.queryExecution().executedPlan().toString()
@@ -128,4 +113,4 @@ def test_empty_log(spark):
     empty = spark.createDataFrame([], "domain string, ts timestamp, request_id long, ok boolean, latency double, bytes long")
     row = reports.global_metrics(empty).first()
     assert (row.total_requests, row.avg_latency, row.domains) == (0, 0.0, 0)
-    assert circuits.circuit_states(empty).count() == 0
+    assert log_runs.failure_runs(empty).count() == 0 and log_runs.short_gaps(empty, 5.0).count() == 0

@@ -73,3 +73,13 @@ def test_index_cycle_ends(spark, maps):
         ("http://h/i.xml", "http://h/1?a=1&b=2"), ("http://h/i.xml", "http://h/2"), ("http://h/i.xml", "http://h/3"),
         ("http://h/b.xml", "http://h/3"),
     }
+
+
+def test_one_policy_per_host(spark):
+    """Letter case of hosts and repeated captures do not multiply or change answers."""
+    files = [("H", "User-agent: *\nDisallow: /x\nCrawl-delay: 3"), ("h", "User-agent: *\nDisallow: /x\nCrawl-delay: 3"), ("h", "~")]
+    frame = spark.createDataFrame(files, "host string, body string")
+    urls = spark.createDataFrame([("http://H/x",), ("http://h/y",)], "url string")
+    got = {r.url: r.allowed for r in robots.robots_can_fetch(urls, frame).collect()}
+    assert got == {"http://H/x": False, "http://h/y": True} and robots.robots_can_fetch(urls, frame).count() == 2
+    assert [tuple(r) for r in robots.robots_crawl_delay(frame).collect()] == [("h", 3.0)]

@@ -4,7 +4,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagemill.operators.circuits import circuit_states
 from pagemill.operators.pages import extract_metadata
 from pagemill.sources import readers, writers
 from pagemill.streaming import streams
@@ -58,23 +57,6 @@ def test_writers(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("C_1", ".", "s"), ("C_1", "readings", "r")]
 
 
-def test_stream_states_equal_batch(spark, tmp_path):
-    dice, rows, second = random.Random(4), [], 0
-    for n in range(400):
-        second += dice.choice([0, 2, 20, 70])
-        rows.append((dice.choice("ab"), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=second), n, dice.random() < 0.4))
-    log = spark.createDataFrame(rows, "domain string, ts timestamp, request_id long, ok boolean")
-    for n in range(4):
-        log.filter(f"request_id div 100 = {n}").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
-    sink = str(tmp_path / "out")
-    for n in range(4):
-        # Each run takes up the state the last one left.
-        stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in" / f"[0-{n}]"))
-        streams.run_available(streams.stream_circuit_states(stream, 3), sink, str(tmp_path / "progress"))
-    got = {r.request_id: (r.admitted, r.state) for r in spark.read.parquet(sink).collect()}
-    assert got == {r.request_id: (r.admitted, r.state) for r in circuit_states(log, 3).collect()}
-
-
 def test_incremental_extract_reads_new_files_only(spark, pages, tmp_path):
     source, sink, progress = [str(tmp_path / n) for n in ("in", "out", "progress")]
     schema = "page_id long, url string, html string"
@@ -83,6 +65,6 @@ def test_incremental_extract_reads_new_files_only(spark, pages, tmp_path):
     streams.incremental_extract(spark, source, schema, sink, progress, titles)
     streams.incremental_extract(spark, source, schema, sink, progress, titles)
     assert spark.read.parquet(sink).count() == 1
-    pages(("http://b/", "<title>two</title>")).write.mode("append").parquet(source)
+    pages(("http://b/", "<title>two</title>"), ("http://a/", "<title>again</title>")).write.mode("append").parquet(source)
     streams.incremental_extract(spark, source, schema, sink, progress, titles)
     assert sorted(r.title for r in spark.read.parquet(sink).collect()) == ["one", "two"]
