@@ -151,7 +151,9 @@ def linked_files(pages: DataFrame, strict: bool = True) -> DataFrame:
         )
 
     links = keep_rows(extract_links(pages, use_base=False), wanted)
-    links = links.withColumn("name", filename_link(F.col("link_url"), F.col("text"), F.col("download")))
+    # A text of white space only names a file by that, which leaves no name, so the link gives no file.
+    text = F.when((F.col("text") == "") & F.col("has_text"), " ").otherwise(F.col("text"))
+    links = links.withColumn("name", filename_link(F.col("link_url"), text, F.col("download")))
     named = keep_rows(links, lambda link: link["name"] != "")
     described = F.when(F.col("text") != "", F.col("text")).when(F.col("title") != "", strip(F.col("title")))
     date = F.lit(None).cast("date") if strict else find_date(F.col("text"))

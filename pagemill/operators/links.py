@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.html import ANCHOR, attr, element_text, find_all, has_attr, void_pattern, without_code
-from pagemill.functions.text import strip
+from pagemill.functions.html import ANCHOR, attr, element_text, find_all, has_attr, inner, void_pattern, without_code
+from pagemill.functions.text import strip, strip_markup
 from pagemill.functions.urls import crawlable_targets, is_crawlable_url, is_navigation_url, normalize_url, resolve_url
 
 
@@ -29,7 +29,8 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 
 def extract_links(pages: DataFrame, use_base: bool = True) -> DataFrame:
-    """(page_id, url, pos, href, text, link_url, title, download, css_class). ``use_base`` resolves
+    """(page_id, url, pos, href, text, link_url, title, download, css_class, has_text). ``has_text`` also
+    counts white space. ``use_base`` resolves
     against the ``base`` element of the page when there is one."""
     el = F.col("element")
     rows = anchors(pages).select(
@@ -42,6 +43,7 @@ def extract_links(pages: DataFrame, use_base: bool = True) -> DataFrame:
         F.coalesce(attr(el, "title"), F.lit("")).alias("title"),
         F.when(has_attr(el, "download"), F.coalesce(attr(el, "download"), F.lit(""))).alias("download"),
         F.coalesce(attr(el, "class"), F.lit("")).alias("css_class"),
+        (strip_markup(inner(el)) != "").alias("has_text"),
     )
     target = strip(F.col("href"))
     if use_base:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -87,17 +88,25 @@ def extract_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", text_content(F.col("html")).alias("text"))
 
 
-def extract_patterns(pages: DataFrame, patterns: Mapping[str, str], group: int = 0) -> DataFrame:
-    """(page_id, field, pos, value): every match of every named pattern in the page text,
-    letter case ignored; ``group`` picks the group to return."""
-    staged = pages.select("page_id", page_text(F.col("html")).alias("_text"))
+def _found(text: Column, pattern: str, group: int | None) -> Column:
+    """What a search for all matches gives: the whole match without groups, the group if there is one, else the
+    groups as a JSON array."""
+    flags = f"(?iU){pattern}"
+    groups = re.compile(pattern).groups
+    if group is not None or groups < 2:
+        return F.regexp_extract_all(text, F.lit(flags), F.lit(min(groups, 1) if group is None else group))
+    each = [F.regexp_extract_all(text, F.lit(flags), F.lit(n)) for n in range(1, groups + 1)]
+    return F.transform(each[0], lambda m, i: F.to_json(F.array(*[F.get(e, i) for e in each])))
+
+
+def extract_patterns(pages: DataFrame, patterns: Mapping[str, str], group: int | None = None) -> DataFrame:
+    """(page_id, field, pos, value): every match of every named pattern in the page text, letter case ignored in any
+    script. A pattern with one group gives that group, one with several a JSON array of them; ``group`` picks one."""
+    staged_pages = pages.select("page_id", page_text(F.col("html")).alias("_text"))
     found = F.map_from_arrays(
-        F.array(*[F.lit(f) for f in patterns]),
-        F.array(
-            *[F.regexp_extract_all("_text", F.lit(f"(?i){p}"), F.lit(group)) for p in patterns.values()]
-        ),
+        F.array(*[F.lit(f) for f in patterns]), F.array(*[_found(F.col("_text"), p, group) for p in patterns.values()])
     )
-    return staged.select("page_id", F.explode(found).alias("field", "values")).select(
+    return staged_pages.select("page_id", F.explode(found).alias("field", "values")).select(
         "page_id", "field", F.posexplode("values").alias("pos", "value")
     )
 

@@ -621,8 +621,8 @@ def text_content(spark, sf):
 @query(
     "extract_patterns",
     """WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages),
-    m AS (SELECT page_id, 'the_words' AS field, regexp_extract_all(text, '(?i)\\bthe [a-z]+') AS vals FROM t
-    UNION ALL SELECT page_id, 'capitals', regexp_extract_all(text, '(?i)\\b(of|in), [a-z]+') FROM t)
+    m AS (SELECT page_id, 'the_words' AS field, regexp_extract_all(text, '(?i)(?:^|[^\\pL\\pN_])(the [a-z]+)', 1) AS vals FROM t
+    UNION ALL SELECT page_id, 'capitals', regexp_extract_all(text, '(?i)(?:^|[^\\pL\\pN_])(of|in), [a-z]+', 1) FROM t)
     SELECT page_id, field, CAST(i - 1 AS INTEGER) AS pos, vals[i] AS value FROM m, unnest(range(1, len(vals) + 1)) AS u(i)""",
 )
 def patterns(spark, sf):

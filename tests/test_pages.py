@@ -152,6 +152,14 @@ def test_scrape_keeps_failures(pages):
 def test_patterns(pages):
     rows = page_ops.extract_patterns(pages((URL, "<b>Room</b>1 room2")), {"room": r"room\s*(\d)"}, group=1).collect()
     assert [r.value for r in rows] == ["1", "2"]
+    page = pages((URL, "<b>Room 12 was ÉTÉ</b>"))
+    rows = page_ops.extract_patterns(page, {"one": r"room (\d+)", "none": "été", "two": r"(room) (\d)"}).collect()
+    assert {r.field: r.value for r in rows} == {"one": "12", "none": "ÉTÉ", "two": '["Room","1"]'}
+
+
+def test_blank_link_text_gives_no_file(pages):
+    rows = courses.linked_files(pages((URL, '<a href="/f" download> </a><a href="/g" download></a><a href="/h.pdf"> </a>'))).collect()
+    assert [r.file_url for r in rows] == ["http://u.edu/g", "http://u.edu/h.pdf"]
 
 
 def test_long_pages_do_not_overflow(pages):
