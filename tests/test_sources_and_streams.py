@@ -1,6 +1,4 @@
-import datetime as dt
 import gzip
-import random
 
 from pyspark.sql import functions as F
 
