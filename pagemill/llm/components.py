@@ -17,6 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
     known = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    total = F.sum(F.col("root").cast("decimal(38,0)")).alias("total")
+    was = known.agg(total).first()["total"]
     while True:
         # Besides the node itself, its present root hears of the smaller root, which joins whole trees.
         near = both.join(known.withColumnsRenamed({"node": "b", "root": "r"}), "b").select("a", "r")
@@ -27,7 +29,25 @@ def components(edges: DataFrame) -> DataFrame:
         after = cut(
             least.join(jump, "root", "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"))
         )
-        moved = after.join(known.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
+        # Roots only fall, so a round that leaves their sum has moved none.
+        now = after.agg(total).first()["total"]
         known = after
-        if not moved:
+        if now == was:
             return known
+        was = now
+
+
+def joined_components(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """``known`` (``node, root``) after more edges: their ends are replaced by roots first, so that what is searched
+    is only as large as what they join."""
+    for end in ("a", "b"):
+        root = known.select(F.col("node").alias(end), F.col("root").alias("_r"))
+        edges = edges.join(root, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+    edges = cut(edges.filter("a <> b").distinct())
+    if edges.isEmpty():
+        return known
+    found = components(edges)
+    moved = known.join(found.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+    moved = moved.select("node", F.coalesce("_to", "root").alias("root"))
+    new = found.join(known.select("node"), "node", "left_anti")
+    return cut(moved.unionByName(new))

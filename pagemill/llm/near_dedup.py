@@ -3,8 +3,8 @@
 Documents of equal shingle sets become one class. A class is posted under the pairs (coordinate,
 value) of its signature; pairs that nobody else has are counted and dropped, and of the others only
 the rarest are posted: two signatures that agree in ``MATCHES`` coordinates share one of the
-``COORDINATES - MATCHES + 1`` rarest of either. Inside a posting list classes meet its first member
-first; lists whose members are linked by then are skipped, and only members of different
+``COORDINATES - MATCHES + 1`` rarest of either. Inside a posting list classes meet its most widely
+shared member first; lists whose members are linked by then are skipped, and only members of different
 components meet after that. Pairs that agree often enough are confirmed on the full sets."""
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import ascii_lower, let, ngram_hashes, table, word_hashes, words
-from pagemill.llm.components import components
-from pagemill.llm.sketch import _ODD, chunks, filter_column, filter_of, grams, mix
+from pagemill.llm.components import components, joined_components
+from pagemill.llm.sketch import _ODD, chunks, filter_column, filter_of, grams, may_hold, mix
 from pagemill.session import cut
 
 SHINGLE = 5
@@ -28,6 +29,8 @@ COORDINATES = 64
 #: Coordinates that must agree. Of 64, sets at the limit of 75 % agree in 48 on average, and in fewer
 #: than 28 with a chance of 2.5e-8.
 MATCHES = 28
+#: Shingles of a set that tell whether a pair has met already.
+HEAD = 24
 #: Shingles that are hashed at once.
 BLOCK = 1 << 14
 
@@ -93,35 +96,52 @@ def _shingle_set(text: Column) -> Column:
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """``token, c``: the posting lists of the classes that could agree with another one."""
+    """``token, c, fame``: the posting lists of the classes that could agree with another one. ``fame`` sums how
+    many classes have each of the class's tokens; the text that others were made from has most."""
     spread = classes.select("c", F.posexplode("sign").alias("i", "v"))
     tokens = spread.select("c", F.shiftleft(F.col("i").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint")).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
     mine = Window.partitionBy("c")
     ranked = tokens.join(shared, "token").withColumns(
-        {"known": F.count(F.lit(1)).over(mine), "place": F.row_number().over(mine.orderBy("seen", "token"))}
+        {
+            "known": F.count(F.lit(1)).over(mine),
+            "fame": F.sum("seen").over(mine),
+            "place": F.row_number().over(mine.orderBy("seen", "token")),
+        }
     )
     # A coordinate that nobody shares comes first in the order, so it uses up a place of the prefix.
-    return ranked.filter(F.col("place") <= F.col("known") - MATCHES + 1).select("token", "c")
+    return ranked.filter(F.col("place") <= F.col("known") - MATCHES + 1).select("token", "c", "fame")
+
+
+def _agree(a: Column, b: Column) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= MATCHES
+
+
+def _sizes_fit(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose signatures agree in enough coordinates."""
-    signs = classes.select("c", "sign")
-    both = pairs.join(signs.withColumnsRenamed({"c": "a", "sign": "sa"}), "a").join(
-        signs.withColumnsRenamed({"c": "b", "sign": "sb"}), "b"
+    """Pairs ``a, b`` whose sizes and signatures agree."""
+    signs = classes.select("c", "n", "sign")
+    both = pairs.join(signs.withColumnsRenamed({"c": "a", "n": "na", "sign": "sa"}), "a").join(
+        signs.withColumnsRenamed({"c": "b", "n": "nb", "sign": "sb"}), "b"
     )
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return both.filter(same >= MATCHES).select("a", "b")
+    return both.filter(_sizes_fit(F.col("na"), F.col("nb")) & _agree(F.col("sa"), F.col("sb"))).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets agree; the sets of the classes named are read anew from the texts."""
-    named = cut(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.drop("sign"), "c"))
-    hit = filter_column(filter_of(named.select("row")))
-    owners = named.select("c", F.col("row").alias("_row"), F.col("doc").alias("_own"))
-    held = docs.filter(hit("_row")).join(owners, ["_row"]).filter(F.col("_doc").eqNullSafe(F.col("_own")))
-    sets = cut(held.dropDuplicates(["c"]).select("c", _shingle_set(F.col("_text")).alias("s")))
+def _sets(named: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``c, s``: the full sets of the classes ``c``, read anew from the texts."""
+    owners = cut(named.join(classes.select("c", "doc", "row"), "c"))
+    hit = filter_column(filter_of(owners.select("row")))
+    keyed = owners.select("c", F.col("row").alias("_row"), F.col("doc").alias("_own"))
+    held = docs.filter(hit("_row")).join(keyed, ["_row"]).filter(F.col("_doc").eqNullSafe(F.col("_own")))
+    return cut(held.dropDuplicates(["c"]).select("c", _shingle_set(F.col("_text")).alias("s")))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets agree."""
     both = pairs.join(sets.withColumnsRenamed({"c": "b", "s": "sb"}), "b").join(
         sets.withColumnsRenamed({"c": "a", "s": "sa"}), "a"
     )
@@ -129,23 +149,88 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     return cut(both.filter(inter).select("a", "b"))
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+
+
+def _heads(two: Broadcast, many: Broadcast):
+    """The first shared shingles of each set in an order that all sets have in common: shingles that one member has,
+    then those of a few, then the rest, each by value. The filters may take a rare shingle for a shared one, but
+    then they do so for every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = batch.column("root").to_pylist()
+            ids = batch.column("c").to_pylist()
+            for row, flat, offsets in chunks(batch, "s"):
+                level = may_hold(two.value, flat).astype(np.int8) + may_hold(many.value, flat)
+                out = []
+                for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    n, rare = z - a, int((level[a:z] == 0).sum())
+                    stop = n - -(-PERCENT * n // 100) + 1
+                    if rare < stop:
+                        order = np.lexsort((flat[a:z], level[a:z]))[rare:stop]
+                        out.append((ids[row + i], roots[row + i], n, flat[a:z][order], np.arange(rare + 1, stop + 1)))
+                if out:
+                    size = [len(x[3]) for x in out]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[pa.array(np.repeat(np.array([x[k] for x in out], np.int64), size)) for k in range(3)],
+                            pa.array(np.concatenate([x[3] for x in out]).view(np.int64)),
+                            pa.array(np.concatenate([x[4] for x in out])),
+                        ],
+                        ["c", "root", "n", "x", "at"],
+                    )
+
+    return run
+
+
+def _close(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of members (``c, root``) of different components whose full sets may be similar enough.
+
+    A set similar to one of ``n`` shingles has ``PERCENT`` of these at least. Shingles that no other member has
+    come first in the order, so similar sets share one among the first of either, and what follows there must be
+    long enough for the overlap still missing. Shingles that one component has alone part nothing and go."""
+    seen = cut(sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1"))
+    two, many = filter_of(seen.select("x")), filter_of(seen.filter("seen > 8").select("x"))
+    first = sets.join(members, "c").mapInArrow(_heads(two, many), "c bigint, root bigint, n bigint, x bigint, at bigint")
+    first = cut(first)
+    apart = first.groupBy("x").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("x")
+    first = cut(first.join(apart, "x"))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "x")))
+    heads = first.groupBy("c").agg(F.transform(F.slice(in_order, 1, HEAD), lambda e: e.x).alias("head"))
+    here = cut(first.join(heads, "c"))
+    other = here.select([F.col(x).alias(f"{x}_b") for x in here.columns])
+    # Pairs meet at the first shingle their heads share; those that share none there may meet more than once.
+    once = F.coalesce(F.get(F.array_intersect("head", "head_b"), F.lit(0)), F.col("x")) == F.col("x")
+    least = F.ceil(PERCENT * (F.col("n") + F.col("n_b")) / (100 + PERCENT))
+    enough = 1 + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= least
+    both = here.join(other, (F.col("x") == F.col("x_b")) & (F.col("root") < F.col("root_b")) & enough & once)
+    return cut(both.select(F.col("c").alias("a"), F.col("c_b").alias("b")).distinct())
+
+
+def _met(lists: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Pairs of each list's chosen member with the others."""
+    both = lists.join(firsts, "token").filter("c <> a")
+    return both.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+
+
 def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node, root`` of the classes that are linked with another one."""
-    lists = cut(_prefixes(classes))
-    firsts = lists.groupBy("token").agg(F.min("c").alias("a"))
-    star = lists.join(firsts, "token").filter("a < c").select("a", F.col("c").alias("b")).distinct()
-    edges = _confirmed(cut(_agreeing(star, classes)), classes, docs)
-    known = components(edges).withColumnRenamed("node", "c")
-    rooted = lists.join(known, "c", "left").select("token", "c", F.coalesce("root", "c").alias("root"))
-    apart = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("token")
-    rest = cut(rooted.join(apart, "token"))
-    other = rest.withColumnsRenamed({"c": "b", "root": "other"})
-    # The first member of a list has met all others; each pair meets at its least shared token.
-    cross = rest.join(firsts.withColumnRenamed("a", "met"), "token").join(other, "token")
-    cross = cross.filter("root < other AND c <> met AND b <> met")
-    cross = cross.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
-    more = _confirmed(cut(_agreeing(cross, classes)), classes, docs)
-    return components(edges.unionByName(more))
+    """``node, root`` of the classes that are linked with another one.
+
+    First the members of each list meet its most famous one. In lists whose members are not all linked by then, those
+    of different components meet. Copies of one text are linked by that time, so what is left are groups that are
+    alike but not similar enough; a prefix of their full sets tells most of them apart before they meet."""
+    lists = cut(_prefixes(classes).withColumn("root", F.col("c")))
+    firsts = lists.groupBy("token").agg(F.min_by("c", F.struct(-F.col("fame"), "c")).alias("a"))
+    pairs = cut(_agreeing(_met(lists, firsts), classes))
+    known = components(_confirmed(pairs, _sets(_named(pairs), classes, docs)))
+    roots = known.withColumnsRenamed({"node": "c", "root": "now"})
+    moved = cut(lists.join(roots, "c", "left").select("token", "c", F.coalesce("now", "root").alias("root")))
+    apart = moved.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("token")
+    members = cut(moved.join(apart, "token").select("c", "root").distinct())
+    sets = _sets(members.select("c"), classes, docs)
+    return joined_components(known, _confirmed(_close(members, sets), sets))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,10 +247,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     classes = cut(
         signed.filter("n > 0")
         .groupBy("print")
-        .agg(F.min("doc").alias("lo"), F.min(F.struct("doc", "row")).alias("one"), F.first("sign").alias("sign"))
-        .select("print", "lo", "one.doc", "one.row", "sign", F.monotonically_increasing_id().alias("c"))
+        .agg(F.min("doc").alias("lo"), F.min(F.struct("doc", "row")).alias("one"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+        .select("print", "lo", "one.doc", "one.row", "n", "sign", F.monotonically_increasing_id().alias("c"))
     )
-    linked = _linked(classes.select("c", "doc", "row", "sign"), plain)
+    linked = _linked(classes.select("c", "doc", "row", "n", "sign"), plain)
     rooted = classes.select("c", "print", "lo").join(linked.withColumnRenamed("node", "c"), "c", "left")
     rooted = rooted.select("print", "lo", F.coalesce("root", "c").alias("root"))
     least = rooted.groupBy("root").agg(F.min("lo").alias("component"))
