@@ -29,6 +29,8 @@ COORDINATES = 64
 #: Coordinates that must agree. Of 64, sets at the limit of 75 % agree in 48 on average, and in fewer
 #: than 28 with a chance of 2.5e-8.
 MATCHES = 28
+#: Members that must have a shingle for each step up in the order of shingles.
+STEPS = (1, 8, 64, 512)
 #: Shingles of a set that tell whether a pair has met already.
 HEAD = 24
 #: Shingles that are hashed at once.
@@ -153,9 +155,9 @@ def _named(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
 
 
-def _heads(two: Broadcast, many: Broadcast):
+def _heads(held: list[Broadcast]):
     """The first shared shingles of each set in an order that all sets have in common: shingles that one member has,
-    then those of a few, then the rest, each by value. The filters may take a rare shingle for a shared one, but
+    then those of more and more (one filter per step of ``STEPS``), each by value. The filters may take a rare shingle for a shared one, but
     then they do so for every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def _heads(two: Broadcast, many: Broadcast):
             roots = batch.column("root").to_pylist()
             ids = batch.column("c").to_pylist()
             for row, flat, offsets in chunks(batch, "s"):
-                level = may_hold(two.value, flat).astype(np.int8) + may_hold(many.value, flat)
+                level = sum(may_hold(f.value, flat).astype(np.int8) for f in held)
                 out = []
                 for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                     n, rare = z - a, int((level[a:z] == 0).sum())
@@ -192,8 +194,8 @@ def _close(members: DataFrame, sets: DataFrame) -> DataFrame:
     come first in the order, so similar sets share one among the first of either, and what follows there must be
     long enough for the overlap still missing. Shingles that one component has alone part nothing and go."""
     seen = cut(sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1"))
-    two, many = filter_of(seen.select("x")), filter_of(seen.filter("seen > 8").select("x"))
-    first = sets.join(members, "c").mapInArrow(_heads(two, many), "c bigint, root bigint, n bigint, x bigint, at bigint")
+    held = [filter_of(seen.filter(F.col("seen") > step).select("x")) for step in STEPS]
+    first = sets.join(members, "c").mapInArrow(_heads(held), "c bigint, root bigint, n bigint, x bigint, at bigint")
     first = cut(first)
     apart = first.groupBy("x").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("x")
     first = cut(first.join(apart, "x"))
