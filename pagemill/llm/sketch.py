@@ -88,12 +88,17 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def held_rows(bits: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """Which of a column of bigints may be in the filter. Null is not."""
+    known = keys.is_valid().to_numpy(zero_copy_only=False)
+    return may_hold(bits, keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & known
+
+
 def filter_column(held: Broadcast):
     """A function of a bigint column: whether the value may be in the filter. Null is not."""
 
-    @F.pandas_udf("boolean")
-    def hit(keys: pd.Series) -> pd.Series:
-        known = keys.notna().to_numpy()
-        return pd.Series(may_hold(held.value, keys.fillna(0).to_numpy().astype(np.int64).view(np.uint64)) & known)
+    @F.arrow_udf("boolean")
+    def hit(keys: pa.Array) -> pa.Array:
+        return pa.array(held_rows(held.value, keys))
 
     return hit

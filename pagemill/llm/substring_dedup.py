@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import table, word_hashes
 from pagemill.llm.fm_index import FMIndex
-from pagemill.llm.sketch import _ODD, chunks, filter_column, filter_of, grams, may_hold, mix
+from pagemill.llm.sketch import _ODD, chunks, filter_column, filter_of, grams, held_rows, may_hold, mix
 from pagemill.session import cut
 
 WINDOW = 13
@@ -228,7 +228,8 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     shards = whole.unionByName(split).repartition("k").sortWithinPartitions("k")
     matched = shards.mapInArrow(_matched, "h bigint, f bigint, j int, lo bigint")
     found = matched.groupBy("h", "f").agg(F.collect_list(F.struct("j", "lo")).alias("others"))
-    known = passages.join(found, ["h", "f"], "left").filter("lo < hi OR others IS NOT NULL")
+    # Written, so that the join below has two plain sides and a passage of very many documents is split.
+    known = cut(passages.join(found, ["h", "f"], "left").filter("lo < hi OR others IS NOT NULL"))
     none = F.array().cast("array<struct<s:int,e:int>>")
     a, last = F.col("a"), F.col("a") + F.col("n") - 1
     ranges = F.when(F.col("lo") < F.col("doc"), F.array(F.struct(a.alias("s"), last.alias("e")))).otherwise(
@@ -266,11 +267,14 @@ def _finish(text: str, starts: list[dict] | None) -> tuple[int, int, str, str]:
     return len(listed), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), left
 
 
-def _finished(text: str, digest: bool, drop: str):
-    """Replaces ``text`` by what is left of it, or adds the digest columns and leaves the text out."""
+def _finished(text: str, digest: bool, drop: str, outside: tuple[Broadcast, str] | None = None):
+    """Replaces ``text`` by what is left of it, or adds the digest columns and leaves the text out. With
+    ``outside``, a filter and an id column, only rows whose id is not in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if outside is not None:
+                batch = batch.filter(pa.array(~held_rows(outside[0].value, batch.column(outside[1]))))
             ranges = batch.column(drop).to_pylist() if drop in batch.schema.names else [None] * batch.num_rows
             done = [_finish(t or "", r) for t, r in zip(batch.column(text).to_pylist(), ranges)]
             names = [n for n in batch.schema.names if n != drop]
@@ -295,15 +299,14 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     if digest:
         docs = docs.drop("n_words", "n_removed", "kept_sha256")
     ident = F.col(id_column).cast("bigint")
-    hit = filter_column(held)
-    marked = docs.withColumn("_hit", hit(ident))
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if not (digest and c == text))
+    plain = docs if dict(docs.dtypes)[id_column] == "bigint" else docs.withColumn(id_column, ident)
+    schema = ", ".join(f"`{c}` {t}" for c, t in plain.dtypes if not (digest and c == text))
     if digest:
         schema += ", n_words bigint, n_removed bigint, kept_sha256 string"
-    run = _finished(text, digest, "_starts")
-    whole = marked.filter("NOT _hit").drop("_hit").mapInArrow(run, schema)
-    loses = marked.filter("_hit").drop("_hit").withColumn("_doc", ident)
+    whole = plain.mapInArrow(_finished(text, digest, "_starts", (held, id_column)), schema)
+    loses = plain.filter(filter_column(held)(ident)).withColumn("_doc", ident)
     joined = loses.join(ranges.withColumnsRenamed({"doc": "_doc", "starts": "_starts"}), "_doc", "left").drop("_doc")
+    run = _finished(text, digest, "_starts")
     return whole.unionByName(joined.mapInArrow(run, schema))
 
 
