@@ -23,38 +23,37 @@ from pagemill.llm.sketch import filter_column, filter_of
 from pagemill.session import cut
 
 ORDER = 4
-SYMBOLS = 64
+SYMBOLS = 48
 #: Share of a language's trusted documents that are kept, and how far above their limit others may be.
 QUANTILE = 0.995
 SLACK = 1.05
 #: Characters that are worked on at once.
 CHUNK_CHARS = 1 << 20
-_OWN = "abcdefghijklmnopqrstuvwxyz \n.,;:!?'\"-()|#*$%&<>/@=_"
+#: Characters that share a class.
+_GROUPS = (*"abcdefghijklmnopqrstuvwxyz", " ", "\n", ".", ",", "!?", ";:'\"-()", "|", "#", "*", "$", "%", "&", "<>/@=_")
+_CAPITAL, _DIGIT, _ACCENTED, _SIGN, _OTHER = (len(_GROUPS) + i for i in (0, 1, 2, 6, 7))
+assert _OTHER + 2 <= SYMBOLS
 
 
 def _fold_table() -> np.ndarray:
-    """Classes of the characters below 0x250: some of their own, else capitals, digits, accented letters by
-    their place, control characters and the rest."""
-    out = np.zeros(0x250, np.int64)
+    """Classes of the characters below 0x250: the groups above, else capitals, digits, accented letters by
+    their place, and the rest."""
+    own = {c: i for i, group in enumerate(_GROUPS) for c in group}
+    out = np.full(0x250, _SIGN)
     for code in range(0x250):
         letter = chr(code)
-        at = _OWN.find(letter)
-        if at >= 0:
-            out[code] = at
+        if letter in own:
+            out[code] = own[letter]
         elif letter.isupper():
-            out[code] = len(_OWN)
+            out[code] = _CAPITAL
         elif letter.isdigit():
-            out[code] = len(_OWN) + 1
+            out[code] = _DIGIT
         elif letter.isalpha():
-            out[code] = len(_OWN) + 2 + code % 6
-        else:
-            out[code] = len(_OWN) + 8 + letter.isprintable()
+            out[code] = _ACCENTED + code % 4
     return out
 
 
 _FOLD = _fold_table()
-_OTHER = len(_OWN) + 10
-assert _OTHER + 2 <= SYMBOLS
 
 
 def runs(text: str) -> np.ndarray:
@@ -100,7 +99,7 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 def train(texts: DataFrame) -> DataFrame:
     """The model of the column ``text``: ``size, code, p`` for every run of 1 to ``ORDER`` symbols that occurs, and
-    ``gamma``, the back-off weight of the run as a context (null if it is none)."""
+    ``gamma``, the back-off weight of the run as a context; one of the two may be null."""
     counts = texts.mapInArrow(_counted, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     orders = {ORDER: cut(counts)}
     for size in range(ORDER - 1, 0, -1):
@@ -132,26 +131,28 @@ def train(texts: DataFrame) -> DataFrame:
     for size in range(ORDER + 1):
         p = model[size] if size else texts.sparkSession.createDataFrame([(0, 1.0)], "code bigint, p double")
         gamma = gammas[size + 1] if size < ORDER else None
-        both = p.join(gamma, "code", "left") if gamma is not None else p.withColumn("gamma", F.lit(None).cast("double"))
+        # The first symbols of a text are a context, though nothing stands before them that would count them.
+        both = p.join(gamma, "code", "full") if gamma is not None else p.withColumn("gamma", F.lit(None).cast("double"))
         parts.append(both.select(F.lit(size).alias("size"), "code", "p", "gamma"))
     return cut(reduce(DataFrame.unionByName, parts))
 
 
 def log_probabilities(model: DataFrame) -> np.ndarray:
     """Natural logarithm of the last symbol's probability for each of the ``SYMBOLS ** ORDER`` runs."""
-    rows = model.toPandas()
-    below = np.full(1, 1.0 / SYMBOLS)
-    for size in range(1, ORDER + 1):
-        context = rows[(rows["size"] == size - 1) & rows["gamma"].notna()]
-        gamma = np.ones(SYMBOLS ** (size - 1))
-        gamma[context["code"].to_numpy()] = context["gamma"].to_numpy()
-        # Rows are contexts; below a context stand the same last symbols as below its tail.
-        lower = np.full((len(gamma), SYMBOLS), 1.0 / SYMBOLS) if size == 1 else np.tile(below.reshape(-1, SYMBOLS), (SYMBOLS, 1))
-        here = (gamma[:, None] * lower).ravel() if size > 1 else lower.ravel() * gamma[0]
-        seen = rows[rows["size"] == size]
-        here[seen["code"].to_numpy()] = seen["p"].to_numpy()
-        below = here
-    return np.log(below).astype(np.float32)
+    rows = model.toArrow()
+    size, code, p, gamma = (rows.column(n).to_numpy() for n in ("size", "code", "p", "gamma"))
+    below = np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)
+    for n in range(1, ORDER + 1):
+        # A row per context; behind a context stand the same symbols as behind its tail, weighted.
+        context = (size == n - 1) & ~np.isnan(gamma)
+        weight = np.ones(SYMBOLS ** (n - 1), np.float32)
+        weight[code[context]] = gamma[context]
+        here = np.tile(below, (SYMBOLS if n > 1 else 1, 1))
+        here *= weight[:, None]
+        seen = (size == n) & ~np.isnan(p)
+        here.ravel()[code[seen]] = p[seen]
+        below = here.reshape(-1, SYMBOLS)
+    return np.log(below, out=below).ravel()
 
 
 def _perplexities(held: Broadcast, text: str):
@@ -182,19 +183,26 @@ def quality(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", quan
     ids of trusted documents.
 
     The limit is the quantile over the trusted documents of the language (a null language is one of
-    its own), times ``SLACK``; a language without any takes that over all. A document too short for a perplexity is not kept. Equal rows
+    its own), each half of them scored by a model of the other, times ``SLACK``; a language without any takes
+    that over all. A document too short for a perplexity is not kept. Equal rows
     are judged alike. Without any trusted text all perplexities are null and nothing is kept."""
     ids = trusted.select(F.col(trusted.columns[0]).cast("bigint").alias("_id")).filter("_id IS NOT NULL").distinct()
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), "lang", "text")
     ids = cut(ids)
     likely = docs.filter(filter_column(filter_of(ids))(F.col("doc_id")))
-    known = likely.join(ids.withColumnRenamed("_id", "doc_id"), "doc_id", "left_semi").select("text")
-    model = train(known)
+    # The same join whatever the size of the labels.
+    known = cut(likely.join(ids.withColumnRenamed("_id", "doc_id").hint("merge"), "doc_id", "left_semi"))
+    model = train(known.select("text"))
     if model.filter(F.col("size") == ORDER).isEmpty():
         empty = F.lit(None).cast("double")
         return docs.select("doc_id", "lang", empty.alias("perplexity"), empty.alias("limit"), F.lit(False).alias("kept"))
     scored = cut(perplexities(docs, model))
-    sure = scored.join(ids.withColumnRenamed("_id", "doc_id"), "doc_id", "left_semi")
+    # Text that a model has seen looks better to it than other text, so limits come from halves it has not seen.
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    halves = [known.filter(half == i) for i in range(2)]
+    sure = cut(
+        perplexities(halves[0], train(halves[1].select("text"))).unionByName(perplexities(halves[1], train(halves[0].select("text"))))
+    )
     limit = (F.percentile_approx("perplexity", quantile, 10_000) * SLACK).alias("limit")
     overall = sure.agg(limit).first()["limit"]
     limits = sure.groupBy(F.col("lang").alias("_lang")).agg(limit)
