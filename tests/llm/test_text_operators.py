@@ -410,6 +410,44 @@ def test_language_model_against_plain_counts(spark):
     assert np.allclose(logs[codes], np.log([p(c, 4) for c in codes]), atol=1e-4)
 
 
+def test_perplexities_are_those_of_the_table_of_all_runs(spark, monkeypatch):
+    """Blocks joined with the model give what the plain table gives."""
+    monkeypatch.setattr(quality_model, "BLOCK_CHARS", 20)
+    model = quality_model.train(spark.createDataFrame([("the cat sat on the mat. " * 3,), ("a dog!",)], "text string"))
+    logs = quality_model.log_probabilities(model).astype(float)
+    texts = ["the cat", "a dog sat! on 3 Mats", "zzz|#*", "the mat " * 9, "no", None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
+    got = dict(map(tuple, quality_model.perplexities(frame, model, alphabet=quality_model.CLASSES).collect()))
+    for i, text in enumerate(texts):
+        codes = quality_model.runs(text or "")
+        assert got[i] == pytest.approx(np.exp(-logs[codes].mean()), rel=1e-4) if len(codes) else got[i] is None
+
+
+def test_quality_model_knows_text_of_every_script(spark):
+    """Characters of other scripts in random order are worse than the text they are from."""
+    rng = random.Random(5)
+    scripts = {"ru": "добрый день дорогие друзья сегодня", "el": "καλημέρα σας αγαπητοί φίλοι", "ja": "今日は良い天気ですね明日", "ko": "안녕하세요 오늘은 날씨가"}
+    rows = []
+    for lang, words in scripts.items():
+        parts = words.split() if " " in words else [words[i : i + 3] for i in range(0, len(words), 3)]
+        for i in range(40):
+            good = " ".join(rng.choice(parts) for _ in range(40))
+            if i >= 30:
+                good = "".join(rng.sample(good, len(good)))
+            rows.append((len(rows), lang, good, i < 30))
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string, good boolean")
+    kept = {r.doc_id: r.kept for r in quality_model.quality(docs, docs.filter("good").select("doc_id")).collect()}
+    assert not any(kept[r[0]] for r in rows if not r[3])
+    assert np.mean([kept[r[0]] for r in rows if r[3]]) > 0.95
+
+
+def test_characters_are_told_apart():
+    texts = ["abcd", "Abcd", "добр", "бодр", "你好世界", "世界你好", "안녕하세", "😀😁😂", "😂😁😀", "ＡＢＣ", "\ua000\uabff\ue000"]
+    found = [tuple(quality_model.CHARACTERS.of(np.array([ord(c) for c in t]))) for t in texts]
+    assert len(set(found)) == len(texts) and max(map(max, found)) < quality_model.CHARACTERS.symbols
+    assert len(found[7]) == 6 and len(found[6]) == 4
+
+
 def test_quality_model_on_held_out_labels(spark):
     """Trained on half of the good documents, it parts the other half from the bad ones."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
