@@ -4,7 +4,9 @@ Two equal windows of 13 words hold the same least 5-word hash, their anchor. Pas
 (all windows that share it) therefore need to meet only passages of the same anchor. Anchors that
 occur in one document only go first; of equal passages one stays, with its smallest document.
 Passages are dealt to shards by anchor, a shard indexes its passages, and backward search streams their
-windows through the index. What broadcasts is filters of a fixed size."""
+windows through the index. Passages of an anchor that has very many are not indexed: their equal windows
+are grouped, and those of more than one document are joined back. What broadcasts is filters of a
+fixed size."""
 
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ WINDOW = 13
 GRAM = 5
 #: Words that a shard indexes at once.
 INDEX_WORDS = 300_000
-#: Anchors with more different passages than this are dealt out window by window.
+#: Anchors with more different passages than this are settled window by window, by grouping.
 HOT_ANCHOR = 5_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _WORD_AND_SPACE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -218,15 +220,26 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     several = passages.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("l"), F.max("hi").alias("m"))
     several = several.filter("kinds > 1 AND l < m").select("h", (F.col("kinds") > HOT_ANCHOR).alias("hot"))
     to_index = cut(passages.join(several, "h").select("h", "f", "lo", "hot"))
-    wanted = filter_of(to_index.select("h", "f", "lo").mapInArrow(_keys, "key bigint"))
-    texts = hashed.mapInArrow(_words_of(wanted), "h bigint, f bigint, w array<bigint>")
-    listed = to_index.join(texts.groupBy("h", "f").agg(F.first("w").alias("w")), ["h", "f"])
-    whole = listed.filter("NOT hot").select(F.col("h").alias("k"), "h", "f", "lo", F.lit(0).alias("j"), "w")
-    split = listed.filter("hot").select("h", "f", "lo", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("j"))
-    split = split.withColumn("w", F.slice("w", F.col("j") + 1, WINDOW))
-    split = split.select(F.hash("w").cast("bigint").alias("k"), "h", "f", "lo", "j", "w")
-    shards = whole.unionByName(split).repartition("k").sortWithinPartitions("k")
+
+    def listed(rows: DataFrame) -> DataFrame:
+        """Passages with their words."""
+        wanted = filter_of(rows.select("h", "f", "lo").mapInArrow(_keys, "key bigint"))
+        texts = hashed.mapInArrow(_words_of(wanted), "h bigint, f bigint, w array<bigint>")
+        return rows.join(texts.groupBy("h", "f").agg(F.first("w").alias("w")), ["h", "f"])
+
+    hot = to_index.filter("hot")
+    whole = listed(to_index.filter("NOT hot")).select(F.col("h").alias("k"), "h", "f", "lo", F.lit(0).alias("j"), "w")
+    shards = whole.repartition("k").sortWithinPartitions("k")
     matched = shards.mapInArrow(_matched, "h bigint, f bigint, j int, lo bigint")
+    if not hot.isEmpty():
+        prints = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda j: F.xxhash64(F.slice("w", j + 1, WINDOW)))
+        split = cut(listed(hot).select("h", "f", "lo", F.posexplode(prints).alias("j", "k")))
+        # Equal windows have one anchor and one print; they become one row before they travel, and the join with
+        # the written rows may be split.
+        least = split.groupBy("h", "k").agg(F.min("lo").alias("least"), F.max("lo").alias("most"))
+        least = cut(least.filter("least < most").drop("most"))
+        others = split.join(least, ["h", "k"]).filter("least < lo")
+        matched = matched.unionByName(others.select("h", "f", "j", F.col("least").alias("lo")))
     found = matched.groupBy("h", "f").agg(F.collect_list(F.struct("j", "lo")).alias("others"))
     # Written, so that the join below has two plain sides and a passage of very many documents is split.
     known = cut(passages.join(found, ["h", "f"], "left").filter("lo < hi OR others IS NOT NULL"))

@@ -153,6 +153,27 @@ def test_substring_dedup_against_all_windows(docs, monkeypatch, hot):
     assert key(map(tuple, found.collect())) == key(brute_removed(ROWS))
 
 
+def test_substring_dedup_of_a_window_in_very_many_documents(spark, monkeypatch):
+    """Equal windows between different words are not indexed together."""
+    matched, most = substring_dedup._matched, 20
+
+    def counted(batches):
+        held = list(batches)
+        keys = Counter(k for b in held for k in b.column("k").to_pylist())
+        assert max(keys.values(), default=0) <= most
+        yield from matched(iter(held))
+
+    monkeypatch.setattr(substring_dedup, "HOT_ANCHOR", most)
+    monkeypatch.setattr(substring_dedup, "_matched", counted)
+    rng = random.Random(11)
+    shared = " ".join(f"p{i}" for i in range(14))
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 30)))
+    rows = [(i, f"{own()} {shared} {own()}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = substring_dedup.without_repeats(frame, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert key(map(tuple, found.collect())) == key(brute_removed(rows))
+
+
 def test_substring_dedup_keeps_the_rest_of_the_text(spark, none):
     shared = " ".join(f"p{i}" for i in range(15))
     rows = [(1, f"one\n{shared} two"), (2, f"three\t{shared}\nfour\n\nfive"), (3, None)]
