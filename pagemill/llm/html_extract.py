@@ -91,13 +91,15 @@ TRAINING = (
 )
 DEPTH = 6
 
-#: Elements that end a block, and those whose text is never shown as text.
+#: Elements that end a block, and those whose text is never shown as text: that of ``RAW`` has no tags and ends at their own
+#: closing tag only.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure"
     " footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup"
     " option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-HIDDEN = frozenset("script style noscript template textarea title svg math iframe object canvas audio video noframes".split())
+RAW = frozenset("script style textarea title iframe noframes".split())
+HIDDEN = frozenset("noscript template svg math object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav aside footer form button select fieldset menu dialog".split())
 #: Words in class and id names, and roles, that mark page furniture.
@@ -111,7 +113,11 @@ ROLES = frozenset("navigation banner complementary contentinfo search dialog ale
 #: Elements whose class says something about the whole page.
 WHOLE = frozenset(("html", "body", "article", "main"))
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(!--)|[!?/][^>]*+>)")
-_NAMED = re.compile(r"""\b(class|id|role|style|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(
+    r"""([^\x20\t\n\f\r/>=]++)(?:[\x20\t\n\f\r]*+=[\x20\t\n\f\r]*+(?:"([^"]*+)"|'([^']*+)'|([^\x20\t\n\f\r>"'][^\x20\t\n\f\r>]*+)))?"""
+)
+_NAMED = frozenset(("class", "id", "role", "style", "hidden"))
+_CLOSING = {tag: re.compile(rf"</{tag}(?=[\x20\t\n\f\r/>]|\Z)[^>]*+(?:>|\Z)", re.I | re.A) for tag in RAW}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -127,8 +133,13 @@ class Block:
 def _names(attributes: str) -> tuple[bool, bool, bool]:
     """(furniture by class, id or role; a header by them; hidden)."""
     marked = header = hidden = False
-    for name, a, b, c in _NAMED.findall(attributes):
+    seen: set[str] = set()
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
+        # Of attributes of one name the first counts.
+        if name not in _NAMED or name in seen:
+            continue
+        seen.add(name)
         if name == "hidden":
             hidden = True
         elif name == "style":
@@ -149,7 +160,7 @@ def blocks(html: str) -> list[Block]:
     # Open elements as (tag, furniture, article, hidden, link), each with what holds above it.
     stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
     opened: dict[str, int] = {}
-    lower = None
+    unclosed: set[str] = set()
 
     def close_block() -> None:
         if pieces:
@@ -171,6 +182,17 @@ def blocks(html: str) -> list[Block]:
             if top == tag:
                 return
 
+    def end_link() -> None:
+        """Ends the open link; block-level elements inside it stay open."""
+        place = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "a")
+        if not any(e[0] in BLOCKS for e in stack[place + 1 :]):
+            pop("a")
+            return
+        stack[place] = ("", *stack[place][1:])
+        stack[place:] = [(*e[:4], False) for e in stack[place:]]
+        opened["a"] -= 1
+        opened[""] = opened.get("", 0) + 1
+
     at = 0
     while True:
         start = html.find("<", at)
@@ -192,28 +214,37 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
-        if tag in BLOCKS:
+        # Tags inside a hidden element end no block, unless they end an element around it.
+        inside = stack[-1][3]
+        if tag in BLOCKS and (not inside or slash and opened.get(tag) and not next(e[3] for e in reversed(stack) if e[0] == tag)):
             close_block()
         elif tag == "br":
             add(" ")
         if slash:
             pop(tag)
             continue
-        if tag in HIDDEN and not attributes.endswith("/"):
-            lower = html.lower() if lower is None else lower
-            lower = lower if len(lower) == len(html) else html
-            end = lower.find(f"</{tag}", at)
-            at = len(html) if end < 0 else (lower.find(">", end) + 1 or len(html))
-            continue
+        if tag in RAW and not attributes.endswith("/"):
+            end = None if tag in unclosed else _CLOSING[tag].search(html, at)
+            if end is None:
+                unclosed.add(tag)
+            # In drawings and formulas these are elements like others, which end with their parent.
+            if end or not (opened.get("svg") or opened.get("math")):
+                at = end.end() if end else len(html)
+                continue
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag != "a":
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag or tag == "a" and opened.get("a"):
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
             pop(tag)
+        elif tag == "a" and opened.get("a"):
+            end_link()
         _, furniture, article, hidden, link = stack[-1]
         marked, header, gone = _names(attributes) if attributes and tag not in WHOLE else (False, False, False)
-        main = article or tag in ("article", "main")
-        furniture = furniture or tag in FURNITURE or marked or (tag == "header" or header) and not article
-        stack.append((tag, furniture, main, hidden or gone, link or tag == "a"))
+        hidden = hidden or gone or tag in HIDDEN
+        main = article
+        if not hidden:
+            main = article or tag in ("article", "main")
+            furniture = furniture or tag in FURNITURE or marked or (tag == "header" or header) and not article
+        stack.append((tag, furniture, main, hidden, link or tag == "a"))
         opened[tag] = opened.get(tag, 0) + 1
     close_block()
     return found

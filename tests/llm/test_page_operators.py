@@ -43,6 +43,25 @@ def test_odd_markup_is_read_in_one_pass(tree):
     assert html_extract.main_text(tree, "<" * 50_000) is not None
 
 
+def test_no_text_is_lost_to_attributes_and_open_elements(tree):
+    words = " ".join(f"w{i}" for i in range(30))
+    more = " ".join(f"m{i}" for i in range(30))
+    for attributes in ('href="/hidden-gems.html"', 'title="The hidden river"', 'aria-hidden="false"', 'href="/x?id=comments"', "href=/x?id=comments", 'data-class="ad"'):
+        assert html_extract.main_text(tree, f"<article><p>{words} <a {attributes}>link</a></p></article>") == f"{words} link"
+        assert html_extract.main_text(tree, f"<article><p {attributes}>{words}</p></article>") == words
+    for attributes in ("hidden", 'HIDDEN=""', 'class="x" hidden', "hidden=until-found", "style='display: none'", 'id="comments"', "class=ad"):
+        assert html_extract.main_text(tree, f"<article><p>{words}</p><p {attributes}>{more}</p></article>") == words
+    for tag in ("svg", "canvas", "object", "audio", "video", "math", "template", "noscript"):
+        page = f"<article><p>{words}</p><div><{tag} class=ad>gone</div><p>{more}</p></article>"
+        assert html_extract.main_text(tree, page) == f"{words}\n{more}"
+        page = f"<article><p>{words} <{tag}><div>gone</div><p>gone</{tag}> {more}</p></article>"
+        assert html_extract.main_text(tree, page) == f"{words} {more}"
+    assert html_extract.main_text(tree, f"<article><div><svg><title>gone</svg></div><p>{words}</p></article>") == words
+    assert html_extract.main_text(tree, f"<article><p>\u0130 {words}</p><SCRIPT>gone</SCRIPT><p>{more}</p></article>") == f"\u0130 {words}\n{more}"
+    page = f"<a href=/x><article><p>{words}</p><p><a href=/y>next</a> {more}</p></article>"
+    assert html_extract.main_text(tree, page) == f"{words}\nnext {more}"
+
+
 def test_labelled_blocks_are_learnt(tree):
     hit = [html_extract.judge(tree, row[:-1]) == bool(row[-1]) for row in html_extract.TRAINING]
     assert sum(hit) >= 0.9 * len(hit)
