@@ -8,9 +8,10 @@ under its id; running it again replaces it, which changes nothing."""
 from __future__ import annotations
 
 import base64
+import time
+import uuid
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BPE, WORDS = "byte_bpe_50k", "words-1"
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
+MANIFEST = "batch string, version string"
 
 
 def bpe_counts(docs: DataFrame, text: str = "text", ranks: str = RANKS) -> DataFrame:
@@ -67,15 +69,21 @@ def deltas(
 
 
 def commit(changes: DataFrame, state: str, batch: str) -> None:
-    """Write the sums of batch ``batch``. Committing the same id again replaces it."""
-    changes.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in SCHEMA.split(", ")]).coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{state}/batch={quote(batch, safe='')}")
+    """Write the sums of batch ``batch``, in as many files as they come in. Committing the same id again replaces it:
+    each commit is a version of its own, and the last that the manifest names counts. A row of the
+    manifest is written after all others, so readers see a batch whole, as it was or as it is."""
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    rows = changes.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in SCHEMA.split(", ")])
+    rows.write.parquet(f"{state}/sums/version={version}")
+    named = changes.sparkSession.createDataFrame([(batch, version)], MANIFEST).coalesce(1)
+    named.write.mode("append").parquet(f"{state}/manifest")
 
 
 def totals(spark: SparkSession, state: str) -> DataFrame:
     """``source, lang, tokenizer, docs, tokens`` over all committed batches; groups without documents are left out."""
-    rows = spark.read.schema(f"{SCHEMA}, batch string").parquet(state)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{state}/manifest")
+    last = manifest.groupBy("batch").agg(F.max("version").alias("version"))
+    rows = spark.read.schema(f"{SCHEMA}, version string").parquet(f"{state}/sums").join(last, "version")
     sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     return sums.filter("docs <> 0 OR tokens <> 0")
 

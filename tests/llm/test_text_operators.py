@@ -339,6 +339,21 @@ def test_token_rollups(spark, folder, tmp_path):
     assert key((str(r[0]), *r[1:]) for r in token_counts.totals(spark, state).collect()) == key(expected)
 
 
+def test_token_batches_are_switched_whole(spark, tmp_path):
+    state = f"{tmp_path}/state"
+    rows = [(f"s{i}", "en", "t", 1) for i in range(40)]
+    frame = spark.createDataFrame(rows, "source string, lang string, tokenizer string, tokens bigint")
+    changes = token_counts.deltas(inserted=frame).repartition(4)
+    token_counts.commit(changes, state, "b")
+    assert len([f for f in tmp_path.rglob("part-*.parquet") if "manifest" not in str(f)]) == 4
+    broken = changes.withColumn("tokens", F.when(F.col("source") == "s7", F.raise_error(F.lit("no"))).otherwise(2))
+    with pytest.raises(Exception, match="no"):
+        token_counts.commit(broken, state, "b")
+    assert token_counts.totals(spark, state).agg(F.sum("tokens")).first()[0] == 40
+    token_counts.commit(changes.withColumn("tokens", F.lit(3)), state, "b")
+    assert token_counts.totals(spark, state).agg(F.sum("tokens")).first()[0] == 120
+
+
 def test_token_query(spark, folder):
     path = folder(documents=(ROWS, SCHEMA))
     got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in token_counts.op5_token_counts(spark, path).collect()}
