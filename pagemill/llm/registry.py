@@ -9,6 +9,7 @@ from pagemill.llm import (
     quality_model,
     quality_rules,
     sentence_pieces,
+    spelling_variants,
     substring_dedup,
     token_counts,
     topk_search,
@@ -26,5 +27,6 @@ _MODULES = [
     quality_rules,
     quality_model,
     mixing,
+    spelling_variants,
 ]
 QUERIES = {name: both for module in _MODULES for name, both in module.QUERIES.items()}
