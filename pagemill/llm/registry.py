@@ -8,12 +8,14 @@ from pagemill.llm import (
     near_dedup,
     quality_model,
     quality_rules,
+    secret_scan,
     sentence_pieces,
     spelling_variants,
     substring_dedup,
     token_counts,
     topk_search,
     url_filter,
+    whitening,
 )
 
 _MODULES = [
@@ -28,5 +30,7 @@ _MODULES = [
     quality_model,
     mixing,
     spelling_variants,
+    whitening,
+    secret_scan,
 ]
 QUERIES = {name: both for module in _MODULES for name, both in module.QUERIES.items()}
