@@ -7,7 +7,10 @@ from __future__ import annotations
 import html as references
 import re
 import sys
+from collections.abc import Iterator
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -17,26 +20,20 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: ``start``, ``inner`` and ``stop`` are places in the page: of the open tag, behind it, and of the closing tag or
-#: what else ends the element. ``parent`` is the ``no`` of the element around it (-1: none); ``nth`` counts the
+#: what else ends the element. ``parent`` is the ``no`` of the element around it (-1: none), ``last`` that of the last
+#: element inside it (its own: none), so elements inside have the numbers up to it; ``nth`` counts the
 #: elements of the same tag in that parent up to this one, ``nth_any`` those of any tag. ``own`` has the
-#: text nodes outside child elements, references decoded, ``attrs`` the attributes, the first of a name.
+#: text nodes outside child elements, references decoded, ``attrs`` the attributes, the first of a name. ``c0``,
+#: ``c1`` and ``c2`` are the chunks of the page that begin at ``start``, ``inner`` and ``stop``.
 ELEMENT = (
     "struct<no:int,tag:string,start:int,inner:int,stop:int,parent:int,nth:int,nth_any:int,"
-    "attrs:map<string,string>,own:array<string>>"
+    "attrs:map<string,string>,own:array<string>,last:int,c0:int,c1:int,c2:int>"
 )
-_FIELDS = [
-    ("no", pa.int32()),
-    ("tag", pa.string()),
-    ("start", pa.int32()),
-    ("inner", pa.int32()),
-    ("stop", pa.int32()),
-    ("parent", pa.int32()),
-    ("nth", pa.int32()),
-    ("nth_any", pa.int32()),
-    ("attrs", pa.map_(pa.string(), pa.string())),
-    ("own", pa.list_(pa.string())),
-]
-_TYPE = pa.list_(pa.struct(_FIELDS))
+#: The elements of a page, and the page cut where they begin and end: what an element holds is a run of chunks, found
+#: without reading the page from its start.
+SCANNED = f"struct<all:array<{ELEMENT}>,chunks:array<string>>"
+#: Characters of pages whose elements are held at once.
+SCAN_CHARS = 4_000_000
 
 # Elements without content, elements whose content is text only, and tags that end an open
 # element: (the ones they end, what shields those from them).
@@ -70,130 +67,186 @@ _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[
 _ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 
 
-def _attributes(text: str) -> dict[str, str]:
-    found: dict[str, str] = {}
-    for name, *values in _ATTRIBUTE.findall(text):
-        value = next((v for v in values if v), "")
-        found.setdefault(name.lower(), references.unescape(value) if "&" in value else value)
-    return found
-
-
-def scan(page: str | None) -> list[list]:
-    """The elements of a page in the order of their open tags, as lists of ``_FIELDS``."""
-    page = page or ""
-    out: list[list] = []
-    stack: list[int] = []
-    # Per tag the places in the stack where it is open; per parent how often each tag came.
-    opened: dict[str, list[int]] = {}
-    children: dict[int, dict[str, int]] = {-1: {}}
-    lower = None
-
-    def last(tags) -> int:
-        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
-
-    def close(depth: int, at: int) -> None:
-        """End the elements from this depth of the stack on."""
-        while len(stack) > depth:
-            element = out[stack.pop()]
-            opened[element[1]].pop()
-            element[4] = at
-
-    def text(start: int, end: int) -> None:
-        if end > start and stack:
-            piece = page[start:end]
-            own = out[stack[-1]][9]
-            piece = references.unescape(piece) if "&" in piece else piece
-            # What a stray "<" or an ignored closing tag cuts is one text node.
-            if own and joined[0]:
-                own[-1] += piece
-            else:
-                own.append(piece)
-            joined[0] = True
-
-    joined = [False]
-    at = 0
-    while True:
-        start = page.find("<", at)
-        if start < 0:
-            text(at, len(page))
-            break
-        match = _TAG.match(page, start)
-        if match is None:
-            text(at, start + 1)
-            at = start + 1
-            continue
-        text(at, start)
-        at = match.end()
-        slash, tag, attributes = match.groups()
-        if not tag:
-            continue
-        tag = tag.lower()
-        if slash:
-            depth = last((tag,))
-            if depth >= 0 and (tag in _TABLE_TAGS or depth > last(("td", "th", "table"))):
-                close(depth, start)
-                joined[0] = False
-            continue
-        ended = ENDS.get(tag)
-        if ended:
-            depth = last(ended[0])
-            if depth > last(ended[1]):
-                # The outermost of the ended ones that nothing shields.
-                shield = last(ended[1])
-                close(min(p for t in ended[0] for p in opened.get(t, ()) if p > shield), start)
-        parent = stack[-1] if stack else -1
-        counts = children[parent]
-        counts[tag] = counts.get(tag, 0) + 1
-        counts["*"] = counts.get("*", 0) + 1
-        no = len(out)
-        out.append([no, tag, start, at, at, parent, counts[tag], counts["*"], _attributes(attributes), []])
-        joined[0] = False
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            lower = page.lower() if lower is None else lower
-            lower = lower if len(lower) == len(page) else page
-            end = lower.find(f"</{tag}", at)
-            end = len(page) if end < 0 else end
-            if end > at:
-                out[no][9].append(references.unescape(page[at:end]) if tag in ("title", "textarea") else page[at:end])
-            out[no][4] = end
-            at = (page.find(">", end) + 1 or len(page)) if end < len(page) else end
-            continue
-        children[no] = {}
-        opened.setdefault(tag, []).append(len(stack))
-        stack.append(no)
-    close(0, len(page))
-    return out
-
-
-_NAMES = [name for name, _ in _FIELDS]
-
-
-def _scan_all(pages: pa.Array) -> pa.Array:
-    rows = []
-    for page in pages:
-        found = scan(page.as_py())
-        for element in found:
-            element[8] = list(element[8].items())
-        rows.append([dict(zip(_NAMES, e)) for e in found])
-    return pa.array(rows, _TYPE)
+class _Elements:
+    """The elements of some pages as columns, in the order of their open tags."""
+
+    def __init__(self) -> None:
+        self.pages, self.tag, self.start, self.inner, self.stop = [0], [], [], [], []
+        self.parent, self.nth, self.nth_any, self.last = [], [], [], []
+        self.c0, self.c1, self.c2 = [], [], []
+        self.attributes, self.names, self.values = [0], [], []
+        self.own: list[list[str]] = []
+        self.chunks: list[list[str]] = []
+
+    def add_attributes(self, text: str) -> None:
+        """The attributes of the next element, the first of a name."""
+        if text:
+            found: dict[str, str] = {}
+            for name, *values in _ATTRIBUTE.findall(text):
+                value = next((v for v in values if v), "")
+                found.setdefault(name.lower(), references.unescape(value) if "&" in value else value)
+            self.names += found
+            self.values += found.values()
+        self.attributes.append(len(self.names))
+
+    def array(self) -> pa.Array:
+        """A ``SCANNED`` for each page."""
+        own = [0, *accumulate(map(len, self.own))]
+        counts = np.diff(self.pages)
+        number = np.arange(len(self.tag)) - np.repeat(self.pages[:-1], counts)
+        columns = {
+            "no": pa.array(number, pa.int32()),
+            "tag": pa.array(self.tag, pa.string()),
+            **{n: pa.array(getattr(self, n), pa.int32()) for n in ("start", "inner", "stop", "parent", "nth", "nth_any")},
+            "attrs": pa.MapArray.from_arrays(
+                pa.array(self.attributes, pa.int32()), pa.array(self.names, pa.string()), pa.array(self.values, pa.string())
+            ),
+            "own": pa.ListArray.from_arrays(
+                pa.array(own, pa.int32()), pa.array(list(chain.from_iterable(self.own)), pa.string())
+            ),
+            **{n: pa.array(getattr(self, n), pa.int32()) for n in ("last", "c0", "c1", "c2")},
+        }
+        structs = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+        elements_of = pa.ListArray.from_arrays(pa.array(self.pages, pa.int32()), structs)
+        return pa.StructArray.from_arrays([elements_of, pa.array(self.chunks, pa.list_(pa.string()))], ["all", "chunks"])
+
+    def scan(self, page: str | None) -> None:
+        """Add the elements of a page, and the page cut at their places."""
+        page = page or ""
+        first = len(self.tag)
+        starts, stops, lasts, ends, owns = self.start, self.stop, self.last, self.c2, self.own
+        stack: list[int] = []
+        # Per tag the places in the stack where it is open; per parent how often each tag came.
+        opened: dict[str, list[int]] = {}
+        children: dict[int, dict[str, int]] = {}
+        # The places to cut at come in rising order.
+        places: list[int] = []
+        lower = None
+        # Whether the next text goes on with the last text node: what a stray "<" or an ignored closing tag cuts is one.
+        joined = False
+
+        def mark(at: int) -> int:
+            if not places or places[-1] != at:
+                places.append(at)
+            return len(places) - 1
+
+        def deepest(tags) -> int:
+            return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
+        def close(depth: int, at: int) -> None:
+            """End the elements from this depth of the stack on."""
+            chunk, newest = mark(at), len(self.tag) - 1 - first
+            while len(stack) > depth:
+                i = stack.pop()
+                opened[self.tag[i]].pop()
+                stops[i], ends[i], lasts[i] = at, chunk, newest
+
+        at = 0
+        while True:
+            start = page.find("<", at)
+            match = _TAG.match(page, start) if start >= 0 else None
+            until = len(page) if start < 0 else start if match else start + 1
+            if until > at and stack:
+                piece = page[at:until]
+                piece = references.unescape(piece) if "&" in piece else piece
+                own = owns[stack[-1]]
+                if own and joined:
+                    own[-1] += piece
+                else:
+                    own.append(piece)
+                joined = True
+            if start < 0:
+                break
+            if match is None:
+                at = until
+                continue
+            at = match.end()
+            slash, tag, attributes = match.groups()
+            if not tag:
+                continue
+            tag = tag.lower()
+            if slash:
+                places_open = opened.get(tag)
+                if places_open and (tag in _TABLE_TAGS or places_open[-1] > deepest(("td", "th", "table"))):
+                    close(places_open[-1], start)
+                    joined = False
+                continue
+            ended = ENDS.get(tag)
+            if ended:
+                depth = deepest(ended[0])
+                if depth >= 0:
+                    shield = deepest(ended[1])
+                    if depth > shield:
+                        # The outermost of the ended ones that nothing shields.
+                        close(min(p for t in ended[0] for p in opened.get(t, ()) if p > shield), start)
+            i = len(self.tag)
+            parent = stack[-1] - first if stack else -1
+            counts = children.setdefault(parent, {})
+            counts[tag] = counts.get(tag, 0) + 1
+            counts["*"] = counts.get("*", 0) + 1
+            self.tag.append(tag)
+            starts.append(start)
+            self.inner.append(at)
+            stops.append(at)
+            self.parent.append(parent)
+            self.nth.append(counts[tag])
+            self.nth_any.append(counts["*"])
+            lasts.append(i - first)
+            self.c0.append(mark(start))
+            chunk = mark(at)
+            self.c1.append(chunk)
+            ends.append(chunk)
+            self.add_attributes(attributes)
+            owns.append([])
+            joined = False
+            if tag in VOID:
+                continue
+            if tag in RAW:
+                lower = page.lower() if lower is None else lower
+                lower = lower if len(lower) == len(page) else page
+                end = lower.find(f"</{tag}", at)
+                end = len(page) if end < 0 else end
+                if end > at:
+                    owns[i].append(references.unescape(page[at:end]) if tag in ("title", "textarea") else page[at:end])
+                stops[i], ends[i] = end, mark(end)
+                at = (page.find(">", end) + 1 or len(page)) if end < len(page) else end
+                continue
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append(i)
+        close(0, len(page))
+        self.pages.append(len(self.tag))
+        self.chunks.append([page[a:b] for a, b in zip(places, places[1:])])
+
+
+def _scan_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Scans run by run of ``SCAN_CHARS``, so that the elements held do not grow with the batch."""
+    for batch in batches:
+        run, size = _Elements(), 0
+        for page in batch:
+            text = page.as_py()
+            run.scan(text)
+            size += len(text or "")
+            if size >= SCAN_CHARS:
+                yield run.array()
+                run, size = _Elements(), 0
+        if len(run.pages) > 1 or not len(batch):
+            yield run.array()
 
 
 def elements(doc: Column) -> Column:
-    """ARRAY<STRUCT> of the elements of a page without code; a null page has none."""
+    """``SCANNED`` of a page without code; a null page has no elements."""
     # Not deterministic for the planner: a filter pushed below would scan every page twice.
-    return F.arrow_udf(_scan_all, f"array<{ELEMENT}>").asNondeterministic()(doc)
+    return F.arrow_udf(_scan_all, SCANNED).asNondeterministic()(doc)
 
 
-def inner_html(doc: Column, e: Column) -> Column:
+def inner_html(chunks: Column, e: Column) -> Column:
     """The element's content as it stands in the page."""
-    return F.substr(doc, e["inner"] + 1, e["stop"] - e["inner"])
+    return F.array_join(F.slice(chunks, e["c1"] + 1, e["c2"] - e["c1"]), "")
 
 
-def outer_html(doc: Column, e: Column) -> Column:
+def outer_html(chunks: Column, e: Column) -> Column:
     """The element from its open tag up to (not including) its closing tag."""
-    return F.substr(doc, e["start"] + 1, F.greatest(e["stop"], e["inner"]) - e["start"])
+    return F.array_join(F.slice(chunks, e["c0"] + 1, e["c2"] - e["c0"]), "")
 
 
 def attribute(e: Column, name: str) -> Column:
@@ -203,8 +256,3 @@ def attribute(e: Column, name: str) -> Column:
 
 def has_attribute(e: Column, name: str) -> Column:
     return F.map_contains_key(e["attrs"], F.lit(name.lower()))
-
-
-def inside(e: Column, around: Column) -> Column:
-    """Whether an element stands inside another one."""
-    return (e["start"] > around["start"]) & (e["start"] < around["stop"])

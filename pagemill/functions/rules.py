@@ -14,8 +14,9 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.elements import ELEMENT, attribute, elements, has_attribute, inner_html, inside, outer_html
+from pagemill.functions.elements import ELEMENT, attribute, elements, has_attribute, inner_html, outer_html
 from pagemill.functions.html import without_code
+from pagemill.functions.structure import inside_each, path_numbers, ranks
 from pagemill.functions.text import let, text_content, text_nodes
 
 _STEP = re.compile(r"(//?)(\*|[a-z][a-z0-9]*)((?:\[[^\]]*\])*)")
@@ -27,20 +28,23 @@ _TAILS = {
 
 
 class Page(NamedTuple):
-    """The page without code, its elements, and the element that rules look inside (NULL: the whole page)."""
+    """The page without code, its elements, and the chunks it is cut into."""
 
     doc: Column
     all: Column
-    around: Column | None = None
+    chunks: Column
 
-    def within(self, element: Column) -> Page:
-        return self._replace(around=element)
+    def at(self, numbers: Column) -> Column:
+        """The elements with these numbers."""
+        return F.transform(numbers, lambda i: F.get(self.all, i))
 
 
 def staged(pages, *more: str | Column):
-    """``pages`` with ``_doc`` and ``_all``, and the ``Page`` over them."""
+    """``pages`` with ``_doc``, ``_all`` and ``_chunks``, and the ``Page`` over them."""
     code_free = pages.select(*more, without_code(F.col("html")).alias("_doc"))
-    return code_free.withColumn("_all", elements(F.col("_doc"))), Page(F.col("_doc"), F.col("_all"))
+    scanned = code_free.withColumn("_scan", elements(F.col("_doc")))
+    rows = scanned.withColumns({"_all": F.col("_scan.all"), "_chunks": F.col("_scan.chunks")}).drop("_scan")
+    return rows, Page(F.col("_doc"), F.col("_all"), F.col("_chunks"))
 
 
 def _condition(text: str):
@@ -76,12 +80,7 @@ def _passes(e: Column, tag: str, groups: list) -> Column:
 
 def _placed(found: Column, n: int) -> Column:
     """Of the elements found, the n-th of every parent."""
-    return let(
-        found,
-        lambda all_: F.filter(
-            all_, lambda e: F.size(F.filter(all_, lambda x: (x["parent"] == e["parent"]) & (x["no"] <= e["no"]))) == n
-        ),
-    )
+    return let(ranks(found), lambda r: F.filter(found, lambda e, i: F.get(r, i) == n))
 
 
 def _step(found: Column, tag: str, conditions: list[str]) -> Column:
@@ -119,27 +118,32 @@ def _parse(rule: str):
     return [(axis, tag, re.findall(r"\[([^\]]*)\]", tests)) for axis, tag, tests in _STEP.findall(path)], tail, name
 
 
-def _related(here: Column, axis: str, to: Column) -> Column:
-    """Of the elements ``here``, those inside one of ``to``, or its children."""
-
-    def near(e: Column, a: Column) -> Column:
-        return inside(e, a) if axis == "//" else e["parent"] == a["no"]
-
-    return let(to, lambda others: F.filter(here, lambda e: F.exists(others, lambda a: near(e, a))))
+def _step_lists(page: Page, steps: list) -> tuple[list[str], list[Column]]:
+    """The axes of a rule's steps, and the elements of the page that pass each step's tests."""
+    return [axis for axis, _, _ in steps], [_step(page.all, tag, conditions) for _, tag, conditions in steps]
 
 
 def _found(page: Page, steps: list) -> Column:
     """The elements that the steps of a rule lead to, each once, in document order."""
-    found = None if page.around is None else F.array(page.around)
-    for axis, tag, conditions in steps:
-        here = _step(page.all, tag, conditions)
-        if found is not None:
-            found = _related(here, axis, found)
-        elif axis == "/":
-            found = F.filter(here, lambda e: e["parent"] == -1)
-        else:
-            found = here
-    return found
+    axes, lists = _step_lists(page, steps)
+    if len(steps) > 1:
+        return page.at(path_numbers(axes, lists))
+    return F.filter(lists[0], lambda e: e["parent"] == -1) if axes[0] == "/" else lists[0]
+
+
+def numbers_inside(page: Page, outers: Column, rule: str, first: bool = False) -> Column:
+    """For each of the elements ``outers``, the numbers of the elements that a rule without a tail finds inside it;
+    with ``first``, only the first one's, -1 without one. Parts of a union are put in document order."""
+    each = []
+    for part in re.split(r"\s\|\s", rule):
+        steps, tail, name = _parse(part.strip())
+        if tail or name:
+            raise ValueError(f"rule names no elements: {rule}")
+        each.append(inside_each(outers, *_step_lists(page, steps), first=first and "|" not in rule))
+    if len(each) == 1:
+        return each[0]
+    both = F.transform(each[0], lambda numbers, i: F.array_sort(F.array_distinct(F.flatten(F.array(numbers, *[F.get(e, i) for e in each[1:]])))))
+    return F.transform(both, lambda numbers: F.coalesce(F.get(numbers, F.lit(0)), F.lit(-1))) if first else both
 
 
 def _attributes(found: Column, name: str) -> Column:
@@ -154,9 +158,7 @@ def select_elements(page: Page, rule: str) -> Column:
     if len(parts) == 1:
         return _found(page, parts[0][0])
     places = F.flatten(F.array(*[F.transform(_found(page, steps), lambda e: e["no"]) for steps, _, _ in parts]))
-    return let(
-        F.array_sort(F.array_distinct(places)), lambda numbers: F.transform(numbers, lambda i: F.get(page.all, i))
-    )
+    return page.at(F.array_sort(F.array_distinct(places)))
 
 
 def _siblings(page: Page, e: Column) -> Column:
@@ -165,12 +167,12 @@ def _siblings(page: Page, e: Column) -> Column:
 
 
 def _texts(page: Page, e: Column) -> Column:
-    return text_nodes(inner_html(page.doc, e))
+    return text_nodes(inner_html(page.chunks, e))
 
 
 def element_value(page: Page, e: Column, kind: str) -> Column:
     """``text`` (trimmed) or ``html`` of an element."""
-    return outer_html(page.doc, e) if kind == "html" else text_content(inner_html(page.doc, e))
+    return outer_html(page.chunks, e) if kind == "html" else text_content(inner_html(page.chunks, e))
 
 
 def select(page: Page, rule: str, kind: str = "text") -> Column:
@@ -207,7 +209,7 @@ def select_all(page: Page, rule: str) -> Column:
         select_elements(page, rule),
         lambda e: F.struct(
             element_value(page, e, "text").alias("text"),
-            outer_html(page.doc, e).alias("html"),
+            outer_html(page.chunks, e).alias("html"),
             e["attrs"].alias("attributes"),
         ),
     )

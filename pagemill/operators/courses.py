@@ -28,6 +28,7 @@ from pagemill.functions.rules import (
     Page,
     element_value,
     no_elements,
+    numbers_inside,
     select,
     select_elements,
     staged,
@@ -206,41 +207,35 @@ def course_materials(pages: DataFrame, custom_rules: Mapping[str, str] | None =
     )
 
 
-def _course(page: Page, item: Column, url: Column) -> Column:
-    """struct(id, name, url, instructor, semester) of a catalog item; NULL without link. A link of blank text
-    names the course by that, so its name is empty."""
-    inner_page = page.within(item)
-    link = F.get(select_elements(inner_page, "//a[@href]"), F.lit(0))
+def _course(page: Page, item: Column, link: Column, person: Column, term: Column, url: Column) -> Column:
+    """struct(id, name, url, instructor, semester) of a catalog item and the numbers of what is found inside it; NULL
+    without link. A link of blank text names the course by that, so its name is empty."""
+
+    def text_of(number: Column) -> Column:
+        return F.when(number >= 0, element_value(page, F.get(page.all, number), "text"))
 
     def build(v: Column) -> Column:
         target = resolve_url(url, F.coalesce(attribute(v["link"], "href"), F.lit("")))
         raw = F.array_join(_raw_texts(page, v["link"]), "")
         text = F.when(raw != "", raw).otherwise(element_value(page, v["item"], "text"))
-        name = strip(collapse_space(text))
-        person = F.get(select(page.within(v["item"]), '//*[contains(@class, "instructor")]'), F.lit(0))
-        term = F.get(
-            select(page.within(v["item"]), '//*[contains(@class, "term") or contains(@class, "semester")]'), F.lit(0)
-        )
-        return F.when(
-            v["link"].isNotNull(),
-            let(
-                F.struct(target.alias("url"), name.alias("name")),
-                lambda c: F.struct(
-                    course_id(c["url"], c["name"]).alias("id"),
-                    c["name"].alias("name"),
-                    c["url"].alias("url"),
-                    person.alias("instructor"),
-                    term.alias("semester"),
-                ),
+        return let(
+            F.struct(target.alias("url"), strip(collapse_space(text)).alias("name")),
+            lambda c: F.struct(
+                course_id(c["url"], c["name"]).alias("id"),
+                c["name"].alias("name"),
+                c["url"].alias("url"),
+                text_of(person).alias("instructor"),
+                text_of(term).alias("semester"),
             ),
         )
 
-    return let(F.struct(link.alias("link"), item.alias("item")), build)
+    whole = F.struct(F.get(page.all, F.greatest(link, F.lit(0))).alias("link"), item.alias("item"))
+    return F.when(link >= 0, let(whole, build))
 
 
 def _raw_texts(page: Page, e: Column) -> Column:
     """The text nodes of an element as they stand."""
-    return text_nodes(inner_html(page.doc, e))
+    return text_nodes(inner_html(page.chunks, e))
 
 
 def _catalogs(pages: DataFrame) -> DataFrame:
@@ -251,7 +246,15 @@ def _catalogs(pages: DataFrame) -> DataFrame:
         *[let(select_elements(page, rule), lambda v: F.when(F.size(v) > 0, v)) for rule in CATALOG_RULES], no_elements()
     )
     rows = rows.withColumn("_items", items)
-    listed = F.filter(F.transform("_items", lambda e: _course(page, e, url)), lambda c: c.isNotNull())
+    # What is looked for inside a container.
+    inside = {
+        "_links": "//a[@href]",
+        "_persons": '//*[contains(@class, "instructor")]',
+        "_terms": '//*[contains(@class, "term") or contains(@class, "semester")]',
+    }
+    rows = rows.withColumns({c: numbers_inside(page, F.col("_items"), rule, first=True) for c, rule in inside.items()})
+    parts = lambda i: [F.get(F.col(c), i) for c in inside]
+    listed = F.filter(F.transform("_items", lambda e, i: _course(page, e, *parts(i), url)), lambda c: c.isNotNull())
     rows = rows.withColumn("_listed", listed)
     null = F.lit(None).cast("string")
 

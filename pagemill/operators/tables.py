@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.html import (
-    CELL,
     OPTION,
-    ROW,
     attr,
     element_pattern,
     element_text,
@@ -19,54 +17,10 @@ from pagemill.functions.html import (
     void_pattern,
     without_code,
 )
-from pagemill.functions.elements import inside, outer_html
-from pagemill.functions.rules import Page, element_value, select, select_elements, staged
+from pagemill.functions.rules import Page, element_value, numbers_inside, select_elements, staged
+from pagemill.functions.structure import inside_each, table_cells
 from pagemill.functions.text import last_wins_map, let
 
-_SECTION_STOP = r"/?(?:thead|tbody|tfoot|table)[\s>]"
-_HEAD = element_pattern("thead", _SECTION_STOP)
-_BODY = element_pattern("tbody", _SECTION_STOP)
-_FOOT = element_pattern("tfoot", _SECTION_STOP)
-
-
-def _cells(row: Column) -> Column:
-    return F.transform(find_all(row, CELL), element_text)
-
-
-def _first_cells(rows: Column) -> Column:
-    empty = F.array().cast("array<string>")
-    return F.when(F.size(rows) > 0, _cells(rows.getItem(0))).otherwise(empty)
-
-
-def _rest(rows: Column) -> Column:
-    return F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
-
-
-def _headers(p: Column) -> Column:
-    head_cells = F.transform(
-        p["head"],
-        lambda r, i: F.transform(
-            F.filter(find_all(r, CELL), lambda c: (tag_name(c) == "th") | (i == 0)), element_text
-        ),
-    )
-    return F.concat(
-        F.flatten(head_cells),
-        _first_cells(p["loose"]),
-        F.flatten(F.transform(p["bodies"], _first_cells)),
-        F.flatten(F.transform(p["feet"], _first_cells)),
-    )
-
-
-def _records(p: Column) -> Column:
-    """ARRAY<MAP<STRING, STRING>> of the data rows of a table cut into its parts."""
-    rows = F.concat(
-        _rest(p["head"]), _rest(p["loose"]), F.flatten(p["bodies"]), F.flatten(F.transform(p["feet"], _rest))
-    )
-
-    cells = F.transform(rows, _cells)
-    return _records_of(F.struct(_headers(p).alias("headers"), cells.alias("rows")))
-
-
 def _records_of(parts: Column) -> Column:
     """Records from header texts and the cell texts of each row; rows without cells are left out."""
 
@@ -88,44 +42,51 @@ def _records_of(parts: Column) -> Column:
     return let(parts, build)
 
 
-def table_records(table: Column) -> Column:
-    """ARRAY<MAP<STRING, STRING>> of the data rows of a ``table`` element. Header cells
-    are those of the head and of the first row of every other part of the table, in that
-    order; a cell past the headers is ``column_i``, the last of equal headers counts."""
-
-    def parts(t: Column) -> Column:
-        loose = F.regexp_replace(t, f"{_HEAD}|{_BODY}|{_FOOT}", "")
-        return F.struct(
-            F.flatten(F.transform(find_all(t, _HEAD), lambda p: find_all(p, ROW))).alias("head"),
-            find_all(loose, ROW).alias("loose"),
-            F.transform(find_all(t, _BODY), lambda p: find_all(p, ROW)).alias("bodies"),
-            F.transform(find_all(t, _FOOT), lambda p: find_all(p, ROW)).alias("feet"),
-        )
-
-    return let(let(table, parts), _records)
-
-
-def _ruled_records(page: Page, table: Column, header_rule: str, row_rule: str) -> Column:
-    """Records of a table whose header cells and rows are found by rules inside it."""
-    headers = select(page.within(table), header_rule)
-    rows = F.transform(
-        select_elements(page.within(table), row_rule),
-        lambda r: F.transform(
-            F.filter(page.all, lambda c: inside(c, r) & c["tag"].isin("td", "th")), lambda c: element_value(page, c, "text")
-        ),
-    )
-    return _records_of(F.struct(headers.alias("headers"), rows.alias("rows")))
+def _tagged(page: Page, *tags: str) -> Column:
+    return F.filter(page.all, lambda e: e["tag"].isin(*tags))
 
 
 def table_structs(page: Page, rule: str = "//table", header_rule: str | None = None, row_rule: str | None = None) -> Column:
     """ARRAY of the records of each table that ``rule`` finds, in document order; with the other rules, these
-    name the header cells and the rows inside it."""
+    name the header cells and the rows inside it.
+
+    By default header cells are the ``th`` cells of the head and all cells of a row that is the first of its parent; data
+    rows are those of a body and those that are not the first of their parent. All descendants count: a nested
+    table is found on its own, and its rows and cells count for the outer one as well. A cell past the headers is
+    ``column_i``, the last of equal headers counts."""
     if (header_rule is None) != (row_rule is None):
         raise ValueError("give both the rule of the headers and that of the rows, or none")
     tables = select_elements(page, rule)
+
+    def text(number: Column) -> Column:
+        return element_value(page, F.get(page.all, number), "text")
+
     if header_rule is None:
-        return F.transform(tables, lambda t: table_records(outer_html(page.doc, t)))
-    return F.transform(tables, lambda t: _ruled_records(page, t, header_rule, row_rule))
+        rows = _tagged(page, "tr")
+        firsts = F.filter(rows, lambda e: e["nth"] == 1)
+        found = table_cells(
+            tables, _tagged(page, "thead"), _tagged(page, "tbody"), rows, firsts, _tagged(page, "td", "th"), _tagged(page, "th")
+        )
+        return F.transform(found, lambda t: texts_of(t["headers"], t["rows"], text))
+    headers = numbers_inside(page, tables, header_rule)
+    rows = numbers_inside(page, tables, row_rule)
+    # The cells of every element that may be a row of a table, looked up by its place among them.
+    flat = F.array_sort(F.array_distinct(F.flatten(rows)))
+    cells = inside_each(page.at(flat), ["//"], [_tagged(page, "td", "th")])
+    of_row = F.map_from_arrays(flat, cells)
+    return let(
+        F.struct(headers.alias("headers"), rows.alias("rows"), of_row.alias("cells")),
+        lambda t: F.transform(
+            t["headers"],
+            lambda header, i: texts_of(header, F.transform(F.get(t["rows"], i), lambda r: F.try_element_at(t["cells"], r)), text),
+        ),
+    )
+
+
+def texts_of(headers: Column, rows: Column, text) -> Column:
+    """Records of a table from the numbers of its header cells and of the cells of its rows."""
+    cells = F.transform(rows, lambda row: F.transform(row, text))
+    return _records_of(F.struct(F.transform(headers, text).alias("headers"), cells.alias("rows")))
 
 
 def extract_tables(
