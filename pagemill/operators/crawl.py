@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.urls import is_crawlable_url, normalize_url
 from pagemill.operators.graph_store import Stored
-from pagemill.operators.links import extract_edges
+from pagemill.operators.links import extract_edges, in_domains
 from pagemill.operators.ordered import BLOCK, ordered_blocks, running_over
 from pagemill.operators.pages import extract_metadata, usable_pages
 from pagemill.operators.robots import robots_can_fetch
@@ -83,7 +83,7 @@ def crawl_bfs(
     sitemap_urls: DataFrame | None = None,
     max_depth: int = -1,
     max_urls: int = -1,
-    allowed_domains: Sequence[str] | None = None,
+    allowed_domains: Sequence[str] | DataFrame | None = None,
     edges: DataFrame | None = None,
     url_filter: Callable[[Column], Column] | None = None,
     content_type: str | None = None,
@@ -106,7 +106,9 @@ def crawl_bfs(
     targets = edges.select(F.col("dst").alias("url")).unionByName(first)
     extra = None
     if sitemap_urls is not None:
-        extra = sitemap_urls.select("url").filter(is_crawlable_url(F.col("url"), allowed_domains)).distinct()
+        listed = isinstance(allowed_domains, DataFrame)
+        extra = sitemap_urls.select("url").filter(is_crawlable_url(F.col("url"), None if listed else allowed_domains)).distinct()
+        extra = in_domains(extra, allowed_domains) if listed else extra
         targets = targets.unionByName(extra)
     nodes = cut(_outcomes(targets.distinct(), page_keys(pages, content_type), robots))
     links = LinkStore(edges.join(nodes.withColumnRenamed("url", "dst"), "dst"), most_links)

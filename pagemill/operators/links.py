@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.html import ANCHOR, attr, element_text, find_all, has_attr, inner, void_pattern, without_code
 from pagemill.functions.text import strip, strip_markup
-from pagemill.functions.urls import crawlable_targets, is_crawlable_url, is_navigation_url, normalize_url, resolve_url
+from pagemill.functions.urls import (
+    crawlable_targets,
+    is_crawlable_url,
+    is_navigation_url,
+    normalize_url,
+    resolve_url,
+    url_parts,
+)
 
 
 def keep_rows(rows: DataFrame, test) -> DataFrame:
@@ -62,16 +69,36 @@ def followed_hrefs(doc: Column) -> Column:
 
 
 def extract_edges(
-    pages: DataFrame, allowed_domains: Sequence[str] | None = None, url_filter=None, strict: bool = False
+    pages: DataFrame, allowed_domains: Sequence[str] | DataFrame | None = None, url_filter=None, strict: bool = False
 ) -> DataFrame:
     """(src, dst): normalised page URL to normalised crawlable link, each pair of a page
-    once. Pairs are made unique inside the page row, so nothing is shuffled."""
+    once. Pairs are made unique inside the page row, so nothing is shuffled. A table of allowed domains
+    (``domain``) may have any number of rows; its hosts are joined."""
+    if isinstance(allowed_domains, DataFrame):
+        return in_domains(extract_edges(pages, None, url_filter, strict), allowed_domains, "dst")
     staged = pages.select("url", without_code(F.col("html")).alias("_doc"))
     staged = staged.select("url", followed_hrefs(F.col("_doc")).alias("_hrefs"))
     found = crawlable_targets(F.col("url"), F.col("_hrefs"), allowed_domains, url_filter, strict)
     return staged.select(normalize_url(F.col("url")).alias("src"), F.explode(found).alias("dst"))
 
 
+def in_domains(rows: DataFrame, domains: DataFrame, column: str = "url") -> DataFrame:
+    """Rows whose URL lies in one of ``domains(domain)`` or below it: ``is_crawlable_url`` for lists of any length.
+
+    Each distinct host is cut at its dots, and the endings are looked up in the list; hosts then meet the rows, so
+    neither the list nor the rows are multiplied. A URL without a host is in no domain; a null or empty domain
+    names none."""
+    listed = domains.select(F.ltrim(F.col("domain"), F.lit(".")).alias("_ending")).filter("_ending <> ''").distinct()
+    keyed = rows.withColumn("_netloc", F.lower(url_parts(F.col(column))["netloc"]))
+    hosts = keyed.select("_netloc").filter("_netloc <> ''").distinct()
+    labels = F.split("_netloc", r"\.")
+    endings = F.transform(
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    )
+    found = hosts.select("_netloc", F.explode(endings).alias("_ending")).join(listed, "_ending", "left_semi")
+    return keyed.join(found.select("_netloc").distinct(), "_netloc", "left_semi").select(*rows.columns)
+
+
 def sitemap_html(pages: DataFrame) -> DataFrame:
     """(page_id, link_url): distinct links of HTML sitemaps that are not navigation."""
     links = extract_links(pages, use_base=False).select("page_id", "href", "link_url")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import let, strip
 from pagemill.functions.urls import host_of, unquote, url_parts
+from pagemill.session import cut
 
 _LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
@@ -175,16 +176,47 @@ def _checked_path(url: Column) -> Column:
     return F.when(plain != "", plain).otherwise(let(url_parts(unquote(url)), rest))
 
 
-def robots_can_fetch(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
+#: Rules of a policy that a URL meets one by one at most.
+FEW_RULES = 100
+
+
+def robots_can_fetch(urls: DataFrame, robots: DataFrame, agent: str = "*", few_rules: int = FEW_RULES) -> DataFrame:
     """``urls`` with ``allowed``: the first rule in file order whose path starts the URL's
-    path decides; no rule, no robots file: allowed. One policy row per host is joined,
+    path decides; no rule, no robots file: allowed.
+
+    One policy row per host is joined,
     so a URL meets its rules inside its row and no URL-rule pairs are made; a host with
-    many URLs is split by the adaptive skew join."""
-    policy = robots_policy(one_per_host(robots), agent).withColumnRenamed("host", "_host")
+    many URLs is split by the adaptive skew join. A policy of more than ``few_rules`` rules does not travel with
+    each URL: the beginnings of the path that are as long as some rule of the host are looked up among the
+    rules, so a URL costs as much as there are such lengths, however many rules there are."""
+    policy = cut(robots_policy(one_per_host(robots), agent).withColumnRenamed("host", "_host"))
     keyed = urls.withColumns({"_host": F.lower(host_of(F.col("url"))), "_path": _checked_path(F.col("url"))})
     hits = F.filter("rules", lambda r: F.startswith(F.col("_path"), r["path"]))
-    joined = keyed.join(policy, "_host", "left")
+    small = policy.filter(F.size("rules") <= few_rules)
+    joined = keyed.join(small, "_host", "left")
+    decided = F.get(hits, F.lit(0))["allow"]
+    large = policy.filter(F.size("rules") > few_rules)
+    if not large.isEmpty():
+        joined = joined.join(_looked_up(keyed, large), ["_host", "_path"], "left")
+        decided = F.coalesce(F.col("_found"), decided)
     return joined.select(
         *[F.col(c) for c in urls.columns],
-        F.coalesce(F.get(hits, F.lit(0))["allow"], F.lit(True)).alias("allowed"),
+        F.coalesce(decided, F.lit(True)).alias("allowed"),
+    )
+
+
+def _looked_up(keyed: DataFrame, policy: DataFrame) -> DataFrame:
+    """(_host, _path, _found): what the first matching rule says, for the paths of hosts with these policies. Each
+    path is looked up once."""
+    rules = policy.select("_host", F.posexplode("rules").alias("_at", "_rule"))
+    rules = rules.groupBy("_host", F.col("_rule.path").alias("_start")).agg(
+        F.min(F.struct("_at", "_rule.allow")).alias("_first")
+    )
+    rules = cut(rules)
+    sizes = rules.groupBy("_host").agg(F.collect_set(F.length("_start")).alias("_sizes"))
+    paths = keyed.select("_host", "_path").distinct().join(sizes, "_host")
+    starts = F.transform(
+        F.filter("_sizes", lambda n: n <= F.length("_path")), lambda n: F.substr(F.col("_path"), F.lit(1), n)
     )
+    tried = paths.select("_host", "_path", F.explode(starts).alias("_start"))
+    return tried.join(rules, ["_host", "_start"]).groupBy("_host", "_path").agg(F.min("_first")["allow"].alias("_found"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import files, js, text, urls
 from pagemill.operators.courses import sanity_filters
-from pagemill.operators.links import extract_links, should_crawl, urls_union
+from pagemill.operators.links import extract_links, in_domains, should_crawl, urls_union
 from pagemill.operators.pages import extract_patterns, extract_text
 from pagemill.plans.derived import choose, derived, given, with_derived
 from pagemill.sources import readers
@@ -207,6 +207,26 @@ def is_crawlable_url(spark, sf):
     return derived(spark, sf, "file_urls").select("orderkey", "line", "url", dotted.alias("dotted"), strict.alias("strict"))
 
 
+@query(
+    "crawlable_in_domains",
+    """SELECT l_orderkey AS orderkey, l_linenumber AS line, l_linenumber % 3 <> 2 AND l_orderkey IN
+    (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) AS allowed FROM lineitem WHERE l_linenumber % 5 <> 4""",
+)
+def crawlable_in_domains(spark, sf):
+    """As many allowed domains as there are even orders; URLs on them, below them, and on hosts that only end alike."""
+    domains = given(spark, sf, "orders").filter("o_orderkey % 2 = 0").selectExpr("'.o' || o_orderkey || '.example.com' AS domain")
+    start = "CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'Www.x.' ELSE 'x' END"
+    rows = given(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS orderkey",
+        "l_linenumber AS line",
+        f"'http://' || {start} || 'O' || l_orderkey || '.example.com/l' || IF(l_linenumber % 5 = 4, '.pdf', '') AS url",
+    )
+    crawlable = rows.filter(urls.is_crawlable_url(F.col("url")))
+    inside = in_domains(crawlable, domains).select("orderkey", "line", F.lit(True).alias("_in"))
+    marked = crawlable.join(inside.distinct(), ["orderkey", "line"], "left")
+    return marked.select("orderkey", "line", F.coalesce("_in", F.lit(False)).alias("allowed"))
+
+
 _NAV = "'/(contact|about|privacy|terms|login|logout|register|signup|search|help|faq|sitemap)'"
 
 

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.session import cut
+from pagemill.streaming.keyed import KeyedTable
 
 
 def stream_domain_metrics(log: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Requests, errors, bytes and mean latency per domain and window. Rows later than
     the watermark are dropped. Counts are combined before the shuffle, so a busy domain
-    is no hot key."""
+    is no hot key. In update mode (``upsert_available``) open windows are given as they stand."""
     return (
         log.withWatermark("ts", late)
         .groupBy(F.window("ts", window), "domain")
@@ -60,6 +62,23 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
+def upsert_available(stream: DataFrame, table: KeyedTable, checkpoint: str) -> None:
+    """Process what is there and commit the changed rows of every batch to ``table``, whose latest rows are then the
+    result: also that of windows which are still open. A run with the same checkpoint goes on."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        table.commit(rows, checkpoint, batch)
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def incremental_extract(
     spark: SparkSession,
     source: str,
@@ -68,9 +87,23 @@ def incremental_extract(
     checkpoint: str,
     extract: Callable[[DataFrame], DataFrame],
     source_format: str = "parquet",
-) -> None:
-    """Run ``extract`` over pages that arrived since the last run. The file source remembers finished files in
-    the checkpoint, and the stream's state remembers URLs, so a page captured again is not read again; of captures
-    that arrive together, one is read."""
+) -> KeyedTable:
+    """Run ``extract`` over pages that arrived since the last run and whose URLs were in no run before. The table at
+    ``sink`` has the done URLs; the rows extracted are attached to it under ``results``.
+
+    A batch's URLs meet the done ones in an anti join, so no state is kept by the stream, and runs with another
+    checkpoint know them too. Of captures that arrive together, one is read. A batch that is run again after its
+    commit adds nothing; URLs and results of a batch come in one commit. A page without a URL is read each time."""
+    done = KeyedTable(spark, sink, ["url"])
+
+    def write(pages: DataFrame, batch: int) -> None:
+        if done.committed(checkpoint, batch):
+            return
+        named = pages.filter("url IS NOT NULL").dropDuplicates(["url"])
+        fresh = cut(done.new(named, "url string").unionByName(pages.filter("url IS NULL")))
+        done.commit(fresh.filter("url IS NOT NULL").select("url"), checkpoint, batch, results=extract(fresh))
+
     pages = spark.readStream.schema(schema).format(source_format).load(source)
-    run_available(extract(pages.dropDuplicates(["url"])), sink, checkpoint)
+    query = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return done

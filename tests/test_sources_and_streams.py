@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pagemill.operators.pages import extract_metadata
 from pagemill.sources import readers, writers
 from pagemill.streaming import streams
+from pagemill.streaming.keyed import KeyedTable
 
 
 def urls(df):
@@ -55,14 +56,54 @@ def test_writers(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("C_1", ".", "s"), ("C_1", "readings", "r")]
 
 
-def test_incremental_extract_reads_new_files_only(spark, pages, tmp_path):
+def test_incremental_extract_reads_each_url_once(spark, pages, tmp_path):
     source, sink, progress = [str(tmp_path / n) for n in ("in", "out", "progress")]
     schema = "page_id long, url string, html string"
     titles = lambda df: extract_metadata(df).select("page_id", "title")
+    run = lambda checkpoint=progress: streams.incremental_extract(spark, source, schema, sink, checkpoint, titles)
+    results = lambda: sorted(r.title for r in run().attached("results", "page_id long, title string").collect())
     pages(("http://a/", "<title>one</title>")).write.parquet(source)
-    streams.incremental_extract(spark, source, schema, sink, progress, titles)
-    streams.incremental_extract(spark, source, schema, sink, progress, titles)
-    assert spark.read.parquet(sink).count() == 1
+    run()
+    assert results() == ["one"]
+    # The URL again in another file, twice, and a new one.
     pages(("http://b/", "<title>two</title>"), ("http://a/", "<title>again</title>")).write.mode("append").parquet(source)
-    streams.incremental_extract(spark, source, schema, sink, progress, titles)
-    assert sorted(r.title for r in spark.read.parquet(sink).collect()) == ["one", "two"]
+    pages(("http://b/", "<title>two</title>")).write.mode("append").parquet(source)
+    assert results() == ["one", "two"]
+    # A stream that knows nothing of the first one reads all files, and adds nothing.
+    run(str(tmp_path / "other"))
+    assert results() == ["one", "two"]
+
+
+def test_a_batch_counts_once(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"])
+    schema = "k int, v string"
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), schema)
+    assert not table.committed("s", 0) and table.latest(schema).count() == 0
+    table.commit(rows((1, "a"), (2, "b")), "s", 0, more=rows((9, "x")))
+    table.commit(rows((2, "c"), (3, None)), "s", 1)
+    # The second batch is tried again, with another outcome.
+    table.commit(rows((2, "d")), "s", 1)
+    assert table.committed("s", 1) and not table.committed("s", 2) and not table.committed("t", 1)
+    assert sorted(map(tuple, table.latest(schema).collect())) == [(1, "a"), (2, "d")]
+    assert sorted(map(tuple, table.new(rows((2, "n"), (4, "n")), schema).collect())) == [(4, "n")]
+    assert [tuple(r) for r in table.attached("more", schema).collect()] == [(9, "x")]
+
+
+def test_open_windows_are_given(spark, tmp_path):
+    log = [(1, "2024-01-01 00:10:00", True, 1.0, 5), (1, "2024-01-01 00:20:00", False, 1.0, 5), (2, "2024-01-01 03:00:00", True, 2.0, 7)]
+    schema = "domain bigint, ts string, ok boolean, latency double, bytes bigint"
+    frame = spark.createDataFrame(log, schema).withColumn("ts", F.to_timestamp("ts"))
+    source = str(tmp_path / "in")
+    frame.write.parquet(source)
+    stream = streams.stream_domain_metrics(spark.readStream.schema(frame.schema).parquet(source))
+    table = KeyedTable(spark, str(tmp_path / "out"), ["window_start", "domain"])
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
+    for _ in range(2):
+        streams.upsert_available(stream, table, str(tmp_path / "progress"))
+    got = sorted((r.domain, r.requests, r.errors, r.bytes) for r in table.latest(shape).collect())
+    assert got == [(1, 1, 1, 5), (2, 1, 0, 7)]
+    frame.limit(1).write.mode("append").parquet(source)
+    # Within the watermark the window is counted on, and its newer row counts.
+    frame.filter("domain = 2").write.mode("append").parquet(source)
+    streams.upsert_available(stream, table, str(tmp_path / "progress"))
+    assert {r.domain: r.requests for r in table.latest(shape).collect()}[2] == 2

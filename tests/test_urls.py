@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import files, urls
+from pagemill.operators import links
 
 BASES = [
     "http://a.b/c/d;p?q=1", "https://m.x.y/en/25#top", "http://a.b", "http://a.b/",
@@ -130,3 +131,21 @@ def test_file_type_strict_and_plain(spark):
     none = F.lit("")
     got = df.select("*", files.file_type(F.col("u"), none, none).alias("gs"), files.file_type(F.col("u"), none, none, strict=False).alias("gp"))
     assert got.filter("s <> gs OR p <> gp").collect() == []
+
+
+def test_long_domain_lists_equal_short_ones(spark):
+    hosts = ["a.b", "x.a.b", "xa.b", "b", "A.B", "a.b:8080", "c.d.e", "d.e", "e", "", "..a.b", "f.g."]
+    rows = [(n, f"http://{h}/p") for n, h in enumerate(hosts)] + [(20, None), (21, "mailto:x@a.b"), (22, "http://a.b/again"), (22, "http://a.b/again")]
+    frame = spark.createDataFrame(rows, "n int, url string")
+    for listed in (["a.b"], [".a.b", "d.e"], ["c.d.e", "g."], ["nowhere"], ["b:8080", "e"]):
+        want = sorted(r.n for r in frame.filter(urls.is_crawlable_url(F.col("url"), listed)).collect())
+        domains = spark.createDataFrame([(d,) for d in listed + listed] + [(None,), ("",)], "domain string")
+        crawlable = frame.filter(urls.is_crawlable_url(F.col("url")))
+        assert sorted(r.n for r in links.in_domains(crawlable, domains).collect()) == want
+
+
+def test_edges_inside_a_domain_table(spark):
+    page = '<a href="http://a.b/1">x</a><a href="http://q.a.b/2">x</a><a href="http://z/3">x</a>'
+    pages = spark.createDataFrame([(1, "http://s/", page)], "page_id long, url string, html string")
+    many = spark.createDataFrame([(f"d{n}.example",) for n in range(1000)] + [("a.b",)], "domain string")
+    assert sorted(r.dst for r in links.extract_edges(pages, many).collect()) == ["http://a.b/1", "http://q.a.b/2"]
