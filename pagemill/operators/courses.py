@@ -141,8 +141,36 @@ def media_files(pages: DataFrame) -> DataFrame:
     )
 
 
+def _links_in_context(pages: DataFrame) -> DataFrame:
+    """The columns of ``extract_links`` that files need, from the elements of the page, and ``file_date``: the first
+    date in the text of the element around the link. A date is looked for once per such element."""
+    rows, page = staged(pages, "page_id", "url")
+    found = F.filter(page.all, lambda e: e["tag"] == "a")
+    around = F.array_distinct(F.transform(found, lambda e: e["parent"]))
+    dates = F.map_from_arrays(
+        around,
+        F.transform(around, lambda i: F.when(i >= 0, find_date(element_value(page, F.get(page.all, F.greatest(i, F.lit(0))), "text")))),
+    )
+    rows = rows.withColumn("_dates", dates)
+
+    def link(e: Column) -> Column:
+        return F.struct(
+            attribute(e, "href").alias("href"),
+            element_value(page, e, "text").alias("text"),
+            F.coalesce(attribute(e, "title"), F.lit("")).alias("title"),
+            attribute(e, "download").alias("download"),
+            (F.array_join(_raw_texts(page, e), "") != "").alias("has_text"),
+            F.try_element_at(F.col("_dates"), e["parent"]).alias("file_date"),
+        )
+
+    links = rows.select("page_id", "url", F.posexplode_outer(F.transform(found, link)).alias("pos", "l"))
+    links = links.select("page_id", "url", "pos", "l.*").filter("href IS NOT NULL")
+    return links.withColumn("link_url", resolve_url(F.col("url"), strip(F.col("href"))))
+
+
 def linked_files(pages: DataFrame, strict: bool = True) -> DataFrame:
-    """(page_id, pos, name, file_url, type, description, file_date) of links to files."""
+    """(page_id, pos, name, file_url, type, description, file_date) of links to files. ``strict`` gives no dates;
+    otherwise the date is the first one in the text of the link's parent."""
 
     def wanted(link: Column) -> Column:
         return (
@@ -151,13 +179,15 @@ def linked_files(pages: DataFrame, strict: bool = True) -> DataFrame:
             & is_downloadable(link["link_url"], link["text"], link["download"].isNotNull())
         )
 
-    links = keep_rows(extract_links(pages, use_base=False), wanted)
+    found = extract_links(pages, use_base=False) if strict else _links_in_context(pages)
+    if strict:
+        found = found.withColumn("file_date", F.lit(None).cast("date"))
+    links = keep_rows(found, wanted)
     # A text of white space only names a file by that, which leaves no name, so the link gives no file.
     text = F.when((F.col("text") == "") & F.col("has_text"), " ").otherwise(F.col("text"))
     links = links.withColumn("name", filename_link(F.col("link_url"), text, F.col("download")))
     named = keep_rows(links, lambda link: link["name"] != "")
     described = F.when(F.col("text") != "", F.col("text")).when(F.col("title") != "", strip(F.col("title")))
-    date = F.lit(None).cast("date") if strict else find_date(F.col("text"))
     return named.select(
         "page_id",
         "pos",
@@ -165,7 +195,7 @@ def linked_files(pages: DataFrame, strict: bool = True) -> DataFrame:
         F.col("link_url").alias("file_url"),
         file_type(F.col("link_url"), F.col("name"), F.col("text"), strict).alias("type"),
         described.alias("description"),
-        date.alias("file_date"),
+        "file_date",
     )
 
 

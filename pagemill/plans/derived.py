@@ -468,6 +468,19 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
             + " || text",
         },
     ),
+    "dated_pages": (
+        "orders",
+        {
+            "page_id": "o_orderkey",
+            "url": "'http://d.example.edu/'",
+            "html": template(
+                '<p>Since 1 Jan 2020</p><ul><li>Due 2022-03-0[[1 + o_orderkey % 9]] <b></b><a href="/f/[[o_orderkey]].pdf">Notes</a></li>'
+                '<li><p>Week 3/14/2023: <a href="x.zip" download>zip</a></p> 1 Feb 2020</li>'
+                '<li><a href="/g/[[o_orderkey]].doc">no date</a></li>'
+                '<li><a href="/h/[[o_orderkey]].ppt">Slides</a> of <i>Nov&#32;5, 2021</i></li></ul>'
+            ),
+        },
+    ),
     "js_pages": (
         "orders",
         {

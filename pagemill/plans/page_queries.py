@@ -260,6 +260,20 @@ def course_files(spark, sf):
     return _shown_files(courses.course_files(derived(spark, sf, "course_pages")))
 
 
+@query(
+    "course_files_dated",
+    """SELECT o_orderkey AS page_id, f.* FROM orders, LATERAL (VALUES
+    (0, 'http://d.example.edu/f/' || o_orderkey || '.pdf', CAST('2022-03-0' || (1 + o_orderkey % 9) AS DATE)),
+    (1, 'http://d.example.edu/x.zip', DATE '2023-03-14'),
+    (2, 'http://d.example.edu/g/' || o_orderkey || '.doc', NULL),
+    (3, 'http://d.example.edu/h/' || o_orderkey || '.ppt', DATE '2021-11-05')) AS f(pos, file_url, file_date)""",
+)
+def course_files_dated(spark, sf):
+    """The date of a file stands in the element around its link."""
+    files = courses.course_files(derived(spark, sf, "dated_pages"), strict=False)
+    return files.filter("source = 'link'").select("page_id", "pos", "file_url", "file_date")
+
+
 @query("media_union", f"SELECT source, type, count(*) AS n, count(DISTINCT file_url) AS urls FROM ({_BOTH}) GROUP BY source, type")
 def media_union(spark, sf):
     files = courses.course_files(derived(spark, sf, "course_pages"))
@@ -332,47 +346,86 @@ def academic_fields(spark, sf):
     return rows.withColumns({f: F.array_join(f, "~") for f in fields}).drop("url")
 
 
+# What the links and the form of a course page hold, as one text each.
+_PAGE_LINKS = f"""'Homework ' || p_partkey || '>' || {_SITE}/files/hw' || p_partkey || '.pdf>Homework~Lecture slides>'
+    || {_SITE}/courses/' || p_partkey || '/lec-' || p_partkey || '.ppt>~Data, set! ' || p_size || '>' || {_SITE}/x/y' || p_partkey
+    || '>~pdf by mail>mailto:a@b.c>~Next>' || {_SITE}/courses/' || (p_partkey + 1) || '/index.html>~again>'
+    || {_SITE}/files/hw' || p_partkey || '.pdf>'"""
+_PAGE_FORM = """'f' || p_partkey || '>/enrol/' || p_partkey || '>POST>text,q,' || p_size || ',true,;text,s,,false,a=' || p_brand
+    || '|=Two;text,t,,false,'"""
+
+
+def _shown_links(links):
+    return F.array_join(F.transform(links, lambda l: F.concat_ws(">", l["text"], l["url"], l["title"])), "~")
+
+
+def _shown_forms(forms):
+    def field(f):
+        options = F.array_join(F.transform(f["options"], lambda o: F.concat_ws("=", o["value"], o["text"])), "|")
+        return F.concat_ws(",", f["type"], f["name"], f["value"], f["required"].cast("string"), F.coalesce(options, F.lit("")))
+
+    def form(f):
+        return F.concat_ws(">", f["id"], f["action"], f["method"], F.array_join(F.transform(f["fields"], field), ";"))
+
+    return F.array_join(F.transform(forms, form), "~")
+
+
 @query(
     "scrape_page",
     f"""SELECT p_partkey AS page_id, p_name || ' & notes' AS title, '/courses/' || p_partkey AS canonical_url,
-    '{{"card":"c' || p_partkey || '"}}' AS twitter_card, 'Office Hours: day ' || p_size AS office,
-    1 AS n_structured, 'f' || p_partkey || ':3' AS forms, {_SITE}/files/hw' || p_partkey || '.pdf' AS first_link,
-    6 AS n_links, '' AS error FROM part""",
+    '{{"card":"c' || p_partkey || '"}}' AS twitter_card, '{{"title":"' || p_name || '","type":"course"}}' AS open_graph,
+    'Office Hours: day ' || p_size AS office, p_partkey || ':' || p_name AS structured, {_PAGE_FORM} AS forms,
+    {_PAGE_LINKS} AS links, '' AS error FROM part""",
 )
 def scrape_page(spark, sf):
     rows = scrape.scrape_page(derived(spark, sf, "course_pages"), {"office": RULES["office"]})
-    forms = F.transform(
-        "forms", lambda f: F.concat(f["id"], F.lit(":"), F.size(f["fields"]).cast("string"))
-    )
+
+    def told(block):
+        parsed = F.try_parse_json(block)
+        return F.concat_ws(":", F.try_variant_get(parsed, "$.id", "string"), F.try_variant_get(parsed, "$.name", "string"))
+
     return rows.select(
         "page_id",
         "title",
         "canonical_url",
         map_json(F.col("twitter_card")).alias("twitter_card"),
+        map_json(F.col("open_graph")).alias("open_graph"),
         F.array_join("office", "~").alias("office"),
-        F.size("structured_data").alias("n_structured"),
-        F.array_join(forms, ",").alias("forms"),
-        F.get("links", F.lit(0))["url"].alias("first_link"),
-        F.size("links").alias("n_links"),
+        F.array_join(F.transform("structured_data", told), "~").alias("structured"),
+        _shown_forms(F.col("forms")).alias("forms"),
+        _shown_links(F.col("links")).alias("links"),
         F.coalesce("error", F.lit("")).alias("error"),
     )
 
 
 @query(
     "analyze_same_page",
-    """SELECT p_partkey AS page_id, true AS uses_javascript, 3 AS n_tables, 1 AS n_forms, 6 AS n_links,
-    p_name || ' & notes' AS found_title, 3 AS n_window_vars FROM part""",
+    f"""SELECT p_partkey AS page_id, true AS uses_javascript, '{{"Topic":"' || p_type || '","Week":"1"}}~{{"Topic":"a < b","Week":"'
+    || p_size || '"}}~{{"Item":"' || p_type || '","Price":"' || p_size || '","column_3":"x"}}' AS tables, {_PAGE_FORM} AS forms,
+    {_PAGE_LINKS} AS links, p_name || ' & notes' AS found_title, p_partkey || ':' || p_name AS json_ld,
+    'window.__STATE__=' || p_partkey || '~window.conf=' || p_size || '~window.conf=' || (p_size + 1) AS window_vars FROM part""",
 )
 def analyze_same_page(spark, sf):
     rows = scrape.analyze_pages(derived(spark, sf, "course_pages"), ["//title"])
+
+    def number(entry):
+        parsed = F.try_parse_json(entry["value"])
+        value = F.coalesce(F.try_variant_get(parsed, "$.size", "string"), F.try_variant_get(parsed, "$.id", "string"))
+        return F.concat_ws("=", entry["key"], value)
+
+    def told(block):
+        parsed = F.try_parse_json(block)
+        return F.concat_ws(":", F.try_variant_get(parsed, "$.id", "string"), F.try_variant_get(parsed, "$.name", "string"))
+
     return rows.select(
         "page_id",
         "javascript.uses_javascript",
-        F.size("tables").alias("n_tables"),
-        F.size("forms").alias("n_forms"),
-        F.size("links").alias("n_links"),
+        F.array_join(F.transform("tables", map_json), "~").alias("tables"),
+        _shown_forms(F.col("forms")).alias("forms"),
+        _shown_links(F.col("links")).alias("links"),
         F.get(F.try_element_at("found", F.lit("//title")), F.lit(0))["text"].alias("found_title"),
-        F.size("extracted_data.window_vars").alias("n_window_vars"),
+        F.array_join(F.transform("extracted_data.json_ld", told), "~").alias("json_ld"),
+        F.array_join(F.transform("extracted_data.window_vars", number), "~").alias("window_vars"),
     )
 
 

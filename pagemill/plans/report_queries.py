@@ -398,13 +398,13 @@ def sink_text(spark, sf):
     "sink_catalog_layout",
     with_derived(
         ["catalog_files"],
-        """SELECT replace(course, ' ', '_') AS course, CASE type WHEN 'lecture_video' THEN 'lectures/videos' WHEN 'lecture_slide'
+        """SELECT seq, dir, name, coalesce(type, 'other') AS type, replace(course, ' ', '_') AS course, CASE type WHEN 'lecture_video' THEN 'lectures/videos' WHEN 'lecture_slide'
         THEN 'lectures/slides' WHEN 'assignment' THEN 'assignments' WHEN 'reading' THEN 'readings' WHEN 'syllabus' THEN '.'
-        ELSE 'misc' END AS type_dir, count(*) AS n FROM catalog_files GROUP BY ALL""",
+        ELSE 'misc' END AS type_dir FROM catalog_files""",
     ),
 )
 def sink_catalog_layout(spark, sf):
     path = shared_path(spark, "catalog")
     files = derived(spark, sf, "catalog_files").withColumn("type", F.coalesce("type", F.lit("other")))
     writers.write_catalog(files, path)
-    return spark.read.parquet(path).groupBy("course", "type_dir").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("seq", "dir", "name", "type", "course", "type_dir")
