@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import strip
 from pagemill.functions.urls import harvest_urls, is_valid_url_basic
+from pagemill.sources.json_lists import listed_urls
 
 
 def _kept(urls: DataFrame, validate: bool) -> DataFrame:
@@ -31,8 +32,9 @@ def json_urls(text: Column) -> Column:
 
 
 def urls_json(spark: SparkSession, path: str, validate: bool = False) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
-    return _kept(files.select(F.explode(json_urls(F.col("value"))).alias("url")), validate)
+    """URLs of JSON list files: texts, objects with ``url``, or ``{"urls": []}``. Files of any size are read by several
+    tasks (``json_lists``); ``json_urls`` reads texts that are cells."""
+    return _kept(listed_urls(spark, path).select("url"), validate)
 
 
 def urls_xml(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import gzip
+import json
+import random
 
 from pyspark.sql import functions as F
 
 from pagemill.operators.pages import extract_metadata
-from pagemill.sources import readers, writers
+from pagemill.sources import json_lists, readers, writers
 from pagemill.streaming import streams
 from pagemill.streaming.keyed import KeyedTable
 
@@ -107,3 +109,53 @@ def test_open_windows_are_given(spark, tmp_path):
     frame.filter("domain = 2").write.mode("append").parquet(source)
     streams.upsert_available(stream, table, str(tmp_path / "progress"))
     assert {r.domain: r.requests for r in table.latest(shape).collect()}[2] == 2
+
+
+def plain_urls(text):
+    """URLs of JSON texts one after the other."""
+    decoder, at, out = json.JSONDecoder(), 0, []
+    text = text.strip()
+    while at < len(text):
+        value, at = decoder.raw_decode(text, at)
+        while at < len(text) and text[at].isspace():
+            at += 1
+        listed = value.get("urls") if isinstance(value, dict) else value
+        for item in listed if isinstance(listed, list) else []:
+            url = item.get("url") if isinstance(item, dict) else item
+            out += [url] if isinstance(url, str) else []
+    return sorted(out)
+
+
+def test_large_json_lists_are_read_by_several_tasks(spark, tmp_path):
+    dice = random.Random(1)
+
+    def item(n):
+        text = f'http://h/{n}?"q"=\\{n}' + dice.choice(["", "é[", "]}", "\\\\", ":", ",", '"'])
+        return dice.choice([
+            text, {"url": text}, {"x": [1, "no", {"url": "deep"}], "url": text, "urls": ["no"]}, {"x": "no"}, 5, None, ["no", {"url": "no"}], "", {"url": None},
+        ])
+
+    def listed(n):
+        items = [item(i) for i in range(n)]
+        return dice.choice([items, {"a": ["no"], "urls": items, "b": {"urls": ["no"]}}, {"urls": {"x": "no"}}, {"other": items}])
+
+    texts = ["", "[]", "{}", "[\n]", '["a"]\n["b"]', '{"urls": ["a"]}\n["b", {"url": "c"}]\n{"x": ["d"]}']
+    texts += [json.dumps(listed(dice.randint(0, 40)), ensure_ascii=dice.random() < 0.5, indent=dice.choice([None, 1])) for _ in range(12)]
+    for n, text in enumerate(texts):
+        (tmp_path / f"f{n}.json").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {n: [] for n in range(len(texts))}
+        for r in json_lists.listed_urls(spark, str(tmp_path)).collect():
+            got[int(r.file.split("/f")[-1][:-5])].append(r.url)
+        one = tmp_path / "one"
+        one.mkdir()
+        (one / "large.json").write_text(json.dumps(["http://h/" + "x" * 50] * 200))
+        tasks = spark.read.option("lineSep", '"').text(str(one)).rdd.getNumPartitions()
+        assert tasks > 8 and json_lists.listed_urls(spark, str(one)).count() == 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {n: sorted(u) for n, u in got.items()} == {n: plain_urls(t) for n, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 40
