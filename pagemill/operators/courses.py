@@ -268,10 +268,10 @@ def _raw_texts(page: Page, e: Column) -> Column:
     return text_nodes(inner_html(page.chunks, e))
 
 
-def _catalogs(pages: DataFrame) -> DataFrame:
-    """(page_id, url, courses ARRAY<STRUCT<...>>), read in one scan."""
+def _catalogs(pages: DataFrame, *keep: str) -> DataFrame:
+    """(page_id, url, courses ARRAY<STRUCT<...>>) and the columns ``keep``, read in one scan."""
     url = F.col("url")
-    rows, page = staged(pages, "page_id", "url")
+    rows, page = staged(pages, "page_id", "url", *keep)
     items = F.coalesce(
         *[let(select_elements(page, rule), lambda v: F.when(F.size(v) > 0, v)) for rule in CATALOG_RULES], no_elements()
     )
@@ -304,7 +304,7 @@ def _catalogs(pages: DataFrame) -> DataFrame:
 
     fallback = F.transform(select_elements(page, '//a[contains(@href, "course") or contains(@href, "class")]'), plain)
     courses = let(F.col("_listed"), lambda c: F.when(F.size(c) > 0, c).otherwise(fallback))
-    return rows.select("page_id", "url", courses.alias("courses"))
+    return rows.select("page_id", "url", *keep, courses.alias("courses"))
 
 
 def course_catalog(pages: DataFrame) -> DataFrame:
@@ -338,11 +338,11 @@ def catalog_candidates(sites: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("url").alias("site"),
         F.posexplode(F.array(*[F.lit(p) for p in CATALOG_PATHS])).alias("place", "path"),
     ).select("site", "place", resolve_url(F.col("site"), F.col("path")).alias("catalog_url"))
-    # The page with its courses travels as one value, so pages are scanned once.
-    listing = _catalogs(pages).withColumnRenamed("url", "catalog_url")
+    # Only pages at such a location are cut into elements.
+    captured = tries.join(pages.select("page_id", F.col("url").alias("catalog_url"), "html"), "catalog_url")
+    listing = _catalogs(captured.withColumnRenamed("catalog_url", "url"), "site", "place").withColumnRenamed("url", "catalog_url")
     best = (
-        tries.join(listing, "catalog_url")
-        .filter(F.size("courses") > 0)
+        listing.filter(F.size("courses") > 0)
         .groupBy("site")
         .agg(F.min_by(F.struct("catalog_url", "page_id", "courses"), "place").alias("b"))
         .select("site", "b.*")

@@ -24,19 +24,22 @@ def usable_pages(pages: DataFrame, content_type: str | None = None) -> DataFrame
     return kept
 
 
-def _meta_entries(doc: Column, key) -> Column:
-    tags = find_all(doc, void_pattern("meta"))
-    rows = F.transform(
-        tags,
+def meta_tags(doc: Column) -> Column:
+    """ARRAY<STRUCT<name, property, content>> of the ``meta`` tags of a page, read once."""
+    return F.transform(
+        find_all(doc, void_pattern("meta")),
         lambda t: F.struct(
             attr(t, "name").alias("name"),
             attr(t, "property").alias("property"),
             attr(t, "content").alias("content"),
         ),
     )
+
+
+def _meta_entries(tags: Column, key) -> Column:
     return F.filter(
         F.transform(
-            rows,
+            tags,
             lambda m: F.struct(
                 F.coalesce(key(m), F.lit("")).alias("key"), F.coalesce(m["content"], F.lit("")).alias("value")
             ),
@@ -45,7 +48,9 @@ def _meta_entries(doc: Column, key) -> Column:
     )
 
 
-def metadata_columns(doc: Column, html_tag: Column) -> dict[str, Column]:
+def metadata_columns(doc: Column, html_tag: Column, tags: Column) -> dict[str, Column]:
+    """Name -> column of what a page says about itself; ``tags`` is a column of its ``meta_tags``."""
+
     def either(m: Column) -> Column:
         return F.when(m["name"] != "", m["name"]).otherwise(m["property"])
 
@@ -59,9 +64,9 @@ def metadata_columns(doc: Column, html_tag: Column) -> dict[str, Column]:
     title = first_text(doc, "title")
     return {
         "title": F.when(title != "", title),
-        "meta": last_wins_map(_meta_entries(doc, either)),
-        "open_graph": meta_prefix_map(_meta_entries(doc, lambda m: m["property"]), "og:"),
-        "twitter_card": meta_prefix_map(_meta_entries(doc, lambda m: m["name"]), "twitter:"),
+        "meta": last_wins_map(_meta_entries(tags, either)),
+        "open_graph": meta_prefix_map(_meta_entries(tags, lambda m: m["property"]), "og:"),
+        "twitter_card": meta_prefix_map(_meta_entries(tags, lambda m: m["name"]), "twitter:"),
         "canonical_url": F.get(canonical, F.lit(0))["href"],
         "language": F.when(attr(html_tag, "lang") != "", attr(html_tag, "lang")),
     }
@@ -76,12 +81,9 @@ def extract_metadata(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         without_code(F.col("html")).alias("_doc"),
         F.regexp_extract("html", void_pattern("html"), 0).alias("_html"),
     )
-    return staged_pages.select(
-        "page_id",
-        "url",
-        *keep,
-        *[c.alias(n) for n, c in metadata_columns(F.col("_doc"), F.col("_html")).items()],
-    )
+    staged_pages = staged_pages.withColumn("_tags", meta_tags(F.col("_doc")))
+    facts = metadata_columns(F.col("_doc"), F.col("_html"), F.col("_tags"))
+    return staged_pages.select("page_id", "url", *keep, *[c.alias(n) for n, c in facts.items()])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pagemill.functions.html import ANCHOR, attr, element_text, find_all, has_at
 from pagemill.functions.rules import Page, select, select_all, staged
 from pagemill.functions.text import strip
 from pagemill.functions.urls import resolve_url
-from pagemill.operators.pages import metadata_columns
+from pagemill.operators.pages import meta_tags, metadata_columns
 from pagemill.operators.tables import form_structs, table_structs
 
 
@@ -38,8 +38,9 @@ def scrape_page(pages: DataFrame, rules: Mapping[str, str] | None = None) -> Dat
     error); a page without body has only the error."""
     rows, page = _staged(pages)
     doc = page.doc
+    rows = rows.withColumn("_tags", meta_tags(doc))
     facts = {
-        **metadata_columns(doc, F.col("_html")),
+        **metadata_columns(doc, F.col("_html"), F.col("_tags")),
         **{field: select(page, rule) for field, rule in (rules or {}).items()},
         "structured_data": js.jsonld(F.col("html")),
         "forms": form_structs(doc),
