@@ -80,7 +80,8 @@ def _passes(e: Column, tag: str, groups: list) -> Column:
 
 def _placed(found: Column, n: int) -> Column:
     """Of the elements found, the n-th of every parent."""
-    return let(ranks(found), lambda r: F.filter(found, lambda e, i: F.get(r, i) == n))
+    ranked = F.zip_with(found, ranks(found), lambda e, r: F.struct(e.alias("e"), r.alias("r")))
+    return F.transform(F.filter(ranked, lambda x: x["r"] == n), lambda x: x["e"])
 
 
 def _step(found: Column, tag: str, conditions: list[str]) -> Column:
@@ -142,7 +143,9 @@ def numbers_inside(page: Page, outers: Column, rule: str, first: bool = False) -
         each.append(inside_each(outers, *_step_lists(page, steps), first=first and "|" not in rule))
     if len(each) == 1:
         return each[0]
-    both = F.transform(each[0], lambda numbers, i: F.array_sort(F.array_distinct(F.flatten(F.array(numbers, *[F.get(e, i) for e in each[1:]])))))
+    both = each[0]
+    for more in each[1:]:
+        both = F.zip_with(both, more, lambda x, y: F.array_sort(F.array_union(x, y)))
     return F.transform(both, lambda numbers: F.coalesce(F.get(numbers, F.lit(0)), F.lit(-1))) if first else both
 
 

@@ -1,6 +1,10 @@
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
-from pagemill.functions.rules import css_rule, select, select_all, staged
+from pagemill.functions.rules import css_rule, numbers_inside, select, select_all, select_elements, staged
 from pagemill.operators import courses, links, pages as page_ops, scrape, tables
 
 PAGE = """<html lang="en"><head><title> A &amp; B </title><meta name="description" content="A long description of the course">
@@ -111,7 +115,7 @@ def test_rule_steps(spark):
     assert found('//*[contains(text(), "Professor")]') == ["xProfessor Y"]
     assert found('//p[contains(text(), "Q&A")]') == ["Q&A"]
     assert found('//a[contains(@href, ".pdf")]/@class') == ["k"]
-    assert found('//a[@href][2]') == []
+    assert found('//a[@href][2]') == [] and found('//li[@x or contains(text(), "")][2][1]') == ["b", "d"]
     everything = df.select(select_all(one, '//a[@class]')).first()[0][0]
     assert everything.attributes == {"href": "x.pdf", "class": "k"} and everything.text == "f"
     single = page_ops.extract_single(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"),
@@ -173,3 +177,79 @@ def test_link_plan_reads_no_shuffle(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = links.extract_edges(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_dates_of_the_links_parent(pages):
+    page = (
+        "<p>1 Jan 2020</p><ul><li>Due 2022-03-04 <a href='/a.pdf'>A</a> <a href='/b.pdf'>B</a></li>"
+        "<li><b><a href='/c.pdf'>C 2021-01-02</a></b> 2019-09-09</li><li><a href='/d.pdf'>D</a></li></ul><a href='/e.pdf'>E</a>"
+    )
+    rows = courses.course_files(pages((URL, page), (URL, None)), strict=False).orderBy("pos").collect()
+    assert [(r.name, str(r.file_date)) for r in rows] == [
+        ("a.pdf", "2022-03-04"), ("b.pdf", "2022-03-04"), ("c.pdf", "2021-01-02"), ("d.pdf", "None"), ("e.pdf", "None"),
+    ]
+    assert {r.file_date for r in courses.course_files(pages((URL, page))).collect()} == {None}
+
+
+def plain_inside(rows, steps):
+    """What path steps find, by looking at every pair of elements."""
+    now = None
+    for axis, test in steps:
+        here = [e for e in rows if test(e)]
+        if now is None:
+            now = here if axis == "//" else [e for e in here if e["parent"] == -1]
+            continue
+        near = (lambda e, a: a["no"] < e["no"] <= a["last"]) if axis == "//" else (lambda e, a: e["parent"] == a["no"])
+        now = [e for e in here if any(near(e, a) for a in now)]
+    return [e["no"] for e in now]
+
+
+def test_steps_equal_plain_pairs(spark):
+    dice = random.Random(3)
+    bits = ["<div>", "</div>", "<p>", "</p>", "<ul><li>", "</li>", "</ul>", "<a class=k href=x>", "</a>", "<b>t</b>", "<table><tr><td>", "</table>"]
+    made = ["".join(dice.choice(bits) for _ in range(dice.randint(0, 40))) for _ in range(60)] + [None, ""]
+    df, page = staged(spark.createDataFrame([(n, h) for n, h in enumerate(made)], "n int, html string"), "n")
+    paths = ["//div//a", "//div/a", "/div//p/b", "//ul//li//a[@href]", "//div//div//div", "/p", "//li/a[@class][1]"]
+    outers = select_elements(page, "//ul")
+    found = df.select(
+        "_all",
+        *[F.transform(select_elements(page, r), lambda e: e["no"]).alias(f"p{i}") for i, r in enumerate(paths[:-1])],
+        F.transform(outers, lambda e: e["no"]).alias("outers"),
+        numbers_inside(page, outers, "//div//a | //b").alias("each"),
+        numbers_inside(page, outers, "//a", first=True).alias("first"),
+    ).collect()
+    tag = lambda *names: lambda e: e["tag"] in names
+    plain = [
+        [("//", tag("div")), ("//", tag("a"))], [("//", tag("div")), ("/", tag("a"))], [("/", tag("div")), ("//", tag("p")), ("/", tag("b"))],
+        [("//", tag("ul")), ("//", tag("li")), ("//", tag("a"))], [("//", tag("div"))] * 3, [("/", tag("p"))],
+    ]
+    for row in found:
+        rows = [e.asDict() for e in row["_all"]]
+        for i, steps in enumerate(plain):
+            assert row[f"p{i}"] == plain_inside(rows, steps)
+        for no, each, first in zip(row.outers, row.each, row.first):
+            inner = [e for e in rows if no < e["no"] <= rows[no]["last"]]
+            both = plain_inside(inner, [("//", tag("div")), ("//", tag("a"))]) + plain_inside(inner, [("//", tag("b"))])
+            assert each == sorted(both)
+            assert first == next((e["no"] for e in inner if e["tag"] == "a"), -1)
+
+
+def test_rules_are_linear_in_the_page(pages):
+    def seconds(n):
+        page = "<div class=course-item>" + "".join(f"<p>é</p><div><a class=download href='/{i}.pdf'>{i}</a></div>" for i in range(n)) + "</div>"
+        rows = pages((URL, page))
+        started = time.perf_counter()
+        assert len(page_ops.extract_rules(rows, {"x": "//div//a"}).first().x) == n
+        assert courses.course_materials(rows).count() == n
+        return time.perf_counter() - started
+
+    seconds(100)
+    few = seconds(1000)
+    assert seconds(16_000) < 20 * few
+
+
+def test_nested_tables_count_on_their_own_and_for_the_outer_one(pages):
+    page = "<table><tr><th>A<tr><td>1 <table><tr><th>B<tr><td>2</table></table>"
+    rows = tables.extract_tables(pages((URL, page))).orderBy("table_no", "row_no").collect()
+    assert [r.cells for r in rows if r.table_no == 1] == [{"B": "2"}]
+    assert {"A", "B"} & set(rows[0].cells) and rows[0].table_no == 0
