@@ -136,10 +136,13 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _sets(named: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``c, s``: the full sets of the classes ``c``, read anew from the texts."""
     owners = cut(named.join(classes.select("c", "doc", "row"), "c"))
-    hit = filter_column(filter_of(owners.select("row")))
+    asked = filter_of(owners.select("row"))
+    hit = filter_column(asked)
     keyed = owners.select("c", F.col("row").alias("_row"), F.col("doc").alias("_own"))
     held = docs.filter(hit("_row")).join(keyed, ["_row"]).filter(F.col("_doc").eqNullSafe(F.col("_own")))
-    return cut(held.dropDuplicates(["c"]).select("c", _shingle_set(F.col("_text")).alias("s")))
+    sets = cut(held.dropDuplicates(["c"]).select("c", _shingle_set(F.col("_text")).alias("s")))
+    asked.destroy()
+    return sets
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,6 +200,8 @@ def _close(members: DataFrame, sets: DataFrame) -> DataFrame:
     held = [filter_of(seen.filter(F.col("seen") > step).select("x")) for step in STEPS]
     first = sets.join(members, "c").mapInArrow(_heads(held), "c bigint, root bigint, n bigint, x bigint, at bigint")
     first = cut(first)
+    for one in held:
+        one.destroy()
     apart = first.groupBy("x").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("x")
     first = cut(first.join(apart, "x"))
     in_order = F.array_sort(F.collect_list(F.struct("at", "x")))

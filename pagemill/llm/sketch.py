@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 #: Words that are worked on at once.
 CHUNK_WORDS = 400_000
-#: Bits of a filter: 16 MB whatever the number of keys. More keys only let more rows pass.
+#: Bits of a filter, as a power of two, at most: 16 MB. Past that, more keys only let more rows pass.
 FILTER_BITS = 27
+#: A filter of few keys is folded to so many bits for each bit that is set, or somewhat more.
+SPARE = 32
 _PART_BITS = 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -50,14 +52,25 @@ def chunks(batch: pa.RecordBatch, listed: str) -> Iterator[tuple[int, np.ndarray
         row = end
 
 
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits(keys: np.ndarray, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each key in a filter of 2 ** ``bits`` bits: those of a smaller filter are the first bits of
+    those of a larger one."""
     spread = mix(keys)
-    return spread >> np.uint64(64 - FILTER_BITS), mix(spread ^ _ODD) >> np.uint64(64 - FILTER_BITS)
+    return spread >> np.uint64(64 - bits), mix(spread ^ _ODD) >> np.uint64(64 - bits)
+
+
+def _folded(whole: np.ndarray) -> np.ndarray:
+    """A filter as small as its keys allow: neighbouring bytes become one bit, and so on while bits are spare."""
+    needed = SPARE * int(sum(np.unpackbits(part).sum() for part in np.array_split(whole, 64)))
+    while len(whole) >= needed and len(whole) > 128:
+        whole = np.packbits(whole > 0)
+    return whole
 
 
 def filter_of(keys: DataFrame) -> Broadcast:
     """A Bloom filter of the one bigint column of ``keys``, broadcast. Its parts are built by as many
-    tasks as the keys need; the driver sees 2 ** FILTER_BITS bits at most."""
+    tasks as the keys need; the driver sees 2 ** FILTER_BITS bits at most. Who has written what needed the filter
+    should ``destroy`` it."""
     name = keys.columns[0]
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +89,13 @@ def filter_of(keys: DataFrame) -> Broadcast:
     for row in parts.toLocalIterator():
         got = np.frombuffer(row["bits"], np.uint8)
         whole[row["part"] * len(got) : (row["part"] + 1) * len(got)] = got
-    return keys.sparkSession.sparkContext.broadcast(whole)
+    return keys.sparkSession.sparkContext.broadcast(_folded(whole))
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys may be in the filter; false only for keys that are not."""
     out = np.ones(len(keys), bool)
-    for place in _bits(keys):
+    for place in _bits(keys, len(bits).bit_length() + 2):
         place = place.astype(np.int64)
         out &= (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
     return out

@@ -216,6 +216,7 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     shared = once.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h")
     in_two = filter_of(shared)
     places = cut(hashed.mapInArrow(_shared_passages(in_two), "h bigint, f bigint, doc bigint, a int, n int"))
+    in_two.destroy()
     passages = cut(places.groupBy("h", "f").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo IS NOT NULL"))
     several = passages.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("l"), F.max("hi").alias("m"))
     several = several.filter("kinds > 1 AND l < m").select("h", (F.col("kinds") > HOT_ANCHOR).alias("hot"))

@@ -216,6 +216,16 @@ def brute_repeats(words):
     return len({i + k for i, t in enumerate(zip(words, words[1:], words[2:])) if seen[t] > 1 for k in range(3)})
 
 
+def test_filters_are_as_small_as_their_keys_allow(spark):
+    for n, most in [(0, 64), (10, 4096), (3000, 1 << 18)]:
+        keys = np.arange(n, dtype=np.uint64) * np.uint64(7)
+        held = filter_of(spark.range(n).select((F.col("id") * 7).alias("k")))
+        assert len(held.value) <= most and may_hold(held.value, keys).all()
+        others = np.arange(100_000, dtype=np.uint64) * np.uint64(7) + np.uint64(1)
+        assert may_hold(held.value, others).mean() < 0.01
+        held.destroy()
+
+
 def test_quality_rules_counts(docs, none):
     extra = "a b c d a b c x\nsame line.\nsame line.\n | | menu | home | about\nBuy ### it &&& now *** here.\n" + "fine words here. " * 40
     frame = docs.unionByName(docs.sparkSession.createDataFrame([(900, extra, "en", "s", 0, 0, "", 0)], SCHEMA))
