@@ -417,6 +417,14 @@ def test_search_against_full_scores(spark, none, monkeypatch, postings, terms):
     assert topk_search.search(topk_search.build_index(none), frame).count() == 0
 
 
+def test_search_keeps_null_and_large_ids(spark):
+    rows = [(2**53 + 1, "red fox"), (None, "red fox"), (2**53 + 3, "red fox"), (-1, "red fox"), (7, "grey wolf")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    for top, expected in [(10, [-1, 2**53 + 1, 2**53 + 3, None]), (3, [-1, 2**53 + 1, 2**53 + 3])]:
+        got = topk_search.search(topk_search.build_index(frame), spark.createDataFrame([(1, "red")], "doc_id bigint, text string"), top=top)
+        assert [r.doc_id for r in got.orderBy("rank").collect()] == expected
+
+
 def test_language_model_sums_to_one(spark):
     frame = spark.createDataFrame([("the cat sat on the mat. " * 3,), ("a dog!",), (None,), ("xy",)], "text string")
     logs = quality_model.log_probabilities(quality_model.train(frame))
