@@ -99,16 +99,24 @@ BLOCKS = frozenset(
     " option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = frozenset("script style textarea title iframe noframes".split())
-HIDDEN = frozenset("noscript template svg math object canvas audio video".split())
+HIDDEN = frozenset("noscript template svg object canvas audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav aside footer form button select fieldset menu dialog".split())
-#: Words in class and id names, and roles, that mark page furniture.
+#: Words in class and id names, and roles, that mark page furniture. A name counts only if all its words are among
+#: these or say where something is or what kind of box it is, so ``sidebar-left`` does and ``has-sidebar`` does not.
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo banner cookie cookies consent gdpr notice"
     " notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead"
     " comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe signup"
     " login search form pagination pager widget toolbar".split()
 )
+#: Marks of what readers wrote.
+READERS = frozenset("comment comments respond reply replies disqus".split())
+PLACES = frozenset(
+    "site page global main primary secondary top bottom left right inner outer upper lower fixed sticky list box wrap wrapper"
+    " container section area block slot unit item items link links bar panel content title heading body text button buttons"
+    " icons post posts article entry blog story news user reader google message info law thread count header row col column group inline small large".split()
+)
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar".split())
 #: Elements whose class says something about the whole page.
 WHOLE = frozenset(("html", "body", "article", "main"))
@@ -119,6 +127,7 @@ _ATTRIBUTE = re.compile(
 _NAMED = frozenset(("class", "id", "role", "style", "hidden"))
 _CLOSING = {tag: re.compile(rf"</{tag}(?=[\x20\t\n\f\r/>]|\Z)[^>]*+(?:>|\Z)", re.I | re.A) for tag in RAW}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SAID = MARKS | PLACES
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -130,9 +139,9 @@ class Block:
     article: bool
 
 
-def _names(attributes: str) -> tuple[bool, bool, bool]:
-    """(furniture by class, id or role; a header by them; hidden)."""
-    marked = header = hidden = False
+def _names(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """(furniture by class, id or role; a header by them; hidden; written by readers)."""
+    marked = header = hidden = readers = False
     seen: set[str] = set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
@@ -147,18 +156,23 @@ def _names(attributes: str) -> tuple[bool, bool, bool]:
         elif name == "role":
             marked |= value.strip().lower() in ROLES
         else:
-            parts = {x.lower() for x in _PART.findall(value)}
-            marked |= not MARKS.isdisjoint(parts)
-            header |= "header" in parts
-    return marked, header, hidden
+            for token in value.split():
+                parts = {x.lower() for x in _PART.findall(token) if len(x) > 1}
+                if parts <= _SAID:
+                    marked |= not MARKS.isdisjoint(parts)
+                    readers |= not READERS.isdisjoint(parts)
+                    header |= "header" in parts
+    return marked, header, hidden, readers
 
 
 def blocks(html: str) -> list[Block]:
     """The flat text blocks of a page in order, one pass over its tags."""
     found: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    # Open elements as (tag, furniture, article, hidden, link), each with what holds above it.
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    # Open elements as (tag, furniture, article, hidden, link), each with what holds above it. Furniture is 1 by a name
+    # alone, which the page's first article inside it overrules, 2 by the element itself or if readers wrote it.
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    articles = 0
     opened: dict[str, int] = {}
     unclosed: set[str] = set()
 
@@ -168,7 +182,7 @@ def blocks(html: str) -> list[Block]:
             if text:
                 _, furniture, article, _, _ = stack[-1]
                 linked = sum(len(_SPACE.sub(" ", p).split(" ")) - p[:1].isspace() - p[-1:].isspace() for p, link in pieces if link)
-                found.append(Block(text, max(linked, 0), furniture, article))
+                found.append(Block(text, max(linked, 0), furniture > 0, article))
             pieces.clear()
 
     def add(raw: str) -> None:
@@ -238,12 +252,22 @@ def blocks(html: str) -> list[Block]:
         elif tag == "a" and opened.get("a"):
             end_link()
         _, furniture, article, hidden, link = stack[-1]
-        marked, header, gone = _names(attributes) if attributes and tag not in WHOLE else (False, False, False)
+        marked, header, gone, readers = _names(attributes) if attributes else (False, False, False, False)
+        if tag in WHOLE:
+            # Their names speak of the whole page; an article may still be one reader's comment.
+            marked, header, gone, readers = readers and tag == "article", False, False, readers and tag == "article"
         hidden = hidden or gone or tag in HIDDEN
         main = article
         if not hidden:
             main = article or tag in ("article", "main")
-            furniture = furniture or tag in FURNITURE or marked or (tag == "header" or header) and not article
+            if tag == "article" and not marked:
+                articles += 1
+                if articles == 1 and furniture == 1:
+                    furniture = 0
+            if tag in FURNITURE or readers or tag == "header" and not article:
+                furniture = 2
+            elif marked or header and not article:
+                furniture = max(furniture, 1)
         stack.append((tag, furniture, main, hidden, link or tag == "a"))
         opened[tag] = opened.get(tag, 0) + 1
     close_block()

@@ -51,7 +51,7 @@ def test_no_text_is_lost_to_attributes_and_open_elements(tree):
         assert html_extract.main_text(tree, f"<article><p {attributes}>{words}</p></article>") == words
     for attributes in ("hidden", 'HIDDEN=""', 'class="x" hidden', "hidden=until-found", "style='display: none'", 'id="comments"', "class=ad"):
         assert html_extract.main_text(tree, f"<article><p>{words}</p><p {attributes}>{more}</p></article>") == words
-    for tag in ("svg", "canvas", "object", "audio", "video", "math", "template", "noscript"):
+    for tag in ("svg", "canvas", "object", "audio", "video", "template", "noscript"):
         page = f"<article><p>{words}</p><div><{tag} class=ad>gone</div><p>{more}</p></article>"
         assert html_extract.main_text(tree, page) == f"{words}\n{more}"
         page = f"<article><p>{words} <{tag}><div>gone</div><p>gone</{tag}> {more}</p></article>"
@@ -116,3 +116,31 @@ def test_trees_follow_the_labels_on_held_out_urls(spark):
 def test_urls_without_labels(spark):
     urls = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://a.com/x"), (3, None)], "page_id int, url string")
     assert {r.verdict for r in url_filter.url_verdicts(urls).collect()} == {"allow"}
+
+
+def test_names_that_only_hold_a_mark_lose_nothing(tree):
+    words, more = "plain words of the story go on here " * 5, "second part of the same story follows now " * 5
+    words, more = words.strip(), more.strip()
+    names = ("post no-comments", "social-science", "layout has-sidebar", "comments-open", "related-work", "login-free", "content-with-ad")
+    for name in names:
+        for page in (
+            f'<div class="{name}"><p>{words}</p><p>{more}</p></div>',
+            f'<article><div class="{name}"><p>{words}</p><p>{more}</p></div></article>',
+            f'<div id="{name}"><article><p>{words}</p><p>{more}</p></article></div>',
+        ):
+            assert html_extract.main_text(tree, page) == f"{words}\n{more}", page
+    article = f"<article><p>{words}</p></article>"
+    for name in ("modal", "overlay", "banner-wrapper"):
+        assert html_extract.main_text(tree, f'<div class="{name}">{article}</div>') == words
+    for name in ("comments", "comment-list", "post-comments", "ad-300x250", "sidebar-left", "cookie-banner", "ad-slot", "adSlot", "related posts", "site-footer", "newsletter"):
+        assert html_extract.main_text(tree, f'{article}<div class="{name}"><p>{more}</p></div>') == words
+        assert html_extract.main_text(tree, f'<article><p>{words}</p><div id="{name}"><p>{more}</p></div></article>') == words
+    assert html_extract.main_text(tree, f'{article}<div class="comments"><article><p>{more}</p></article></div>') == words
+    assert html_extract.main_text(tree, f'{article}<article class="comment"><p>{more}</p></article>') == words
+    assert html_extract.main_text(tree, f'{article}<div class="related"><article><p>{more}</p></article></div>') == words
+
+
+def test_formulas_are_text(tree):
+    words = "plain words of the story go on here " * 5
+    page = f"<article><p>{words}<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>gone</annotation></math> so</p></article>"
+    assert html_extract.main_text(tree, page) == f"{words}x=1 so"
