@@ -27,16 +27,15 @@ SHORT_LINE = 10
 LEAST_LEFT = 0.5
 
 
-def _line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules of one line. A line without words passes."""
-    n = F.size(words(line))
+def _line_fails(line: Column, n: Column) -> Column:
+    """Punctuation, navigation and boilerplate rules of one line of ``n`` words. A line without words passes."""
     marked = F.regexp_count(line, F.lit(f"{SYMBOLS}{{2,}}"))
     shouted = F.regexp_count(line, F.lit("!!"))
     bars = F.regexp_count(line, F.lit("[|»›•·]"))
     return (n > 0) & (
         (marked > MARKED * n)
-        | (shouted > MARKED * n)
-        | ((bars >= 2) & (bars >= 0.25 * n))
+        | (line.contains("!!") & (shouted > MARKED * n))
+        | (bars >= F.greatest(F.lit(2.0), 0.25 * n))
         | ((n >= LONG_LINE) & ~line.rlike("[.!?:;…。！？\"'”’»)\\]][\\x20\\x09-\\x0D]*$"))
         | ((n <= SHORT_LINE) & line.rlike(f"(?i)(^|[^a-z])({BOILERPLATE})([^a-z]|$)"))
     )
@@ -44,8 +43,9 @@ def _line_fails(line: Column) -> Column:
 
 def _covered(hashes: Column) -> Column:
     """Words in windows of three that occur twice or more: sort the windows' hashes with their
-    places, keep equal neighbours, and add up what each place covers anew."""
-    rows = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    places, keep equal neighbours, and add up what each place covers anew. Nothing is sorted where
+    all windows differ."""
+    rows = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     twice = let(
         rows,
         lambda r: F.transform(
@@ -53,12 +53,41 @@ def _covered(hashes: Column) -> Column:
         ),
     )
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).alias("last"))
-    return F.aggregate(
+    covered = F.aggregate(
         F.sort_array(twice),
         start,
         lambda a, i: F.struct((a.n + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a.n,
     )
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("bigint")).otherwise(covered)
+
+
+def _facts(body: Column) -> Column:
+    """What the rules read off a text, as one struct: each line is cut into words once, each word hashed once."""
+    lines = F.transform(F.split(body, "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("w")))
+    judged = lambda listed: F.transform(
+        listed, lambda x: F.struct(x.line.alias("line"), F.size(x.w).alias("n"), _line_fails(x.line, F.size(x.w)).alias("fails"))
+    )
+    filled = lambda rows: F.transform(F.filter(rows, lambda x: x.n > 0), lambda x: x.line)
+    passed = lambda rows: F.filter(rows, lambda x: ~x.fails)
+    hashes = lambda listed: F.transform(F.flatten(F.transform(listed, lambda x: x.w)), lambda w: F.xxhash64(w))
+
+    def counted(listed: Column) -> Column:
+        return let(
+            judged(listed),
+            lambda rows: F.struct(
+                F.aggregate(rows, F.lit(0).cast("bigint"), lambda a, x: a + x.n).alias("n_words"),
+                F.aggregate(
+                    listed, F.lit(0).cast("bigint"), lambda a, x: a + F.length(F.array_join(x.w, ""))
+                ).alias("word_chars"),
+                let(filled(rows), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+                let(ngram_hashes(hashes(listed), 3), _covered).alias("n_repeat_words"),
+                F.array_join(F.transform(passed(rows), lambda x: x.line), "\n").alias("clean_text"),
+                F.aggregate(passed(rows), F.lit(0).cast("bigint"), lambda a, x: a + x.n).alias("n_clean_words"),
+            ),
+        )
+
+    return let(lines, counted)
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -70,21 +99,10 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     empty. Equal rows are judged alike, one by one; other columns pass through, and one that has a
     new column's name is replaced. An empty table gives an empty table."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(body, "\n")
-    filled = F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    listed = words(body)
-    clean = F.array_join(F.filter(lines, lambda x: ~_line_fails(x)), "\n")
-    counted = docs.withColumns(
-        {
-            "n_words": F.size(listed).cast("bigint"),
-            "word_chars": F.length(F.array_join(listed, "")).cast("bigint"),
-            "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint"),
-            "n_dup_lines": let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-            "n_repeat_words": _covered(ngram_hashes(listed, 3)),
-            "clean_text": clean,
-        }
-    )
-    counted = counted.withColumn("n_clean_words", F.size(words(F.col("clean_text"))).cast("bigint"))
+    facts = "_facts" + "_" * max(map(len, docs.columns))
+    read = docs.withColumns({facts: _facts(body), "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint")})
+    new = ("n_words", "word_chars", "n_dup_lines", "n_repeat_words", "clean_text", "n_clean_words")
+    counted = read.withColumns({name: F.col(facts)[name] for name in new}).drop(facts)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumns(
         {"base_failed": base, "kept": ~base & (F.col("n_clean_words") >= LEAST_LEFT * F.col("n_words"))}
