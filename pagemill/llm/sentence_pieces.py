@@ -31,6 +31,8 @@ MARK = "▁"
 CHUNK_CHARS = 2_000_000
 #: Pairs of pieces whose fit a task remembers at most.
 MOST_PAIRS = 1_000_000
+#: Words, of at most so many characters, whose ids a task remembers at most.
+MOST_WORDS, LONGEST_WORD = 300_000, 40
 _NEVER = 1 << 40
 
 
@@ -51,6 +53,7 @@ class Pieces:
     barriers: str
     worst: float
     fits: dict[int, bool] = field(default_factory=dict)
+    known: dict[str, list[int]] = field(default_factory=dict)
 
     def fit(self, a: int, b: int) -> bool:
         """Whether BPE leaves pieces ``a`` and ``b`` apart. Of equal ranks the left one merges first."""
@@ -123,7 +126,7 @@ def splitter(held: Pieces) -> re.Pattern:
 
 def encode_sorted(held: Pieces, words: list[str]) -> list[list[int]]:
     """Piece ids of each word; the words come sorted. An unknown character gives its bytes' ids."""
-    ends, pieces, scores, bpe, fit = held.ends, held.pieces, held.scores, held.bpe, held.fit
+    ends, pieces, scores, bpe, fit, fits = held.ends, held.pieces, held.scores, held.bpe, held.fit, held.fits
     last, best, before, out = [-1], [0.0], "", []
     for word in words:
         same, most = 0, min(len(word), len(before))
@@ -131,7 +134,7 @@ def encode_sorted(held: Pieces, words: list[str]) -> list[list[int]]:
             same += 1
         del last[same + 1 :], best[same + 1 :]
         for i in range(same + 1, len(word) + 1):
-            found, score = -1, best[i - 1] + held.worst
+            found, score = -1, best[i - 1] + held.worst if not bpe else 0.0
             for j in range(i - 1, -1, -1):
                 piece = ends.get(word[j:i])
                 if piece is None:
@@ -139,7 +142,12 @@ def encode_sorted(held: Pieces, words: list[str]) -> list[list[int]]:
                 if piece < 0:
                     continue
                 if bpe:
-                    if last[j] < 0 or fit(last[j], piece):
+                    left = last[j]
+                    if left < 0:
+                        found = piece
+                        break
+                    fits_here = fits.get(left << 20 | piece)
+                    if fits_here or fits_here is None and fit(left, piece):
                         found = piece
                         break
                 elif best[j] + scores[piece] > score or found < 0 and best[j] + scores[piece] == score:
@@ -169,10 +177,16 @@ def encode_texts(held: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np.
         ends.append(len(units))
     coded = pa.array(units, pa.large_string()).dictionary_encode()
     words = coded.dictionary.to_pylist()
-    order = sorted(range(len(words)), key=words.__getitem__)
-    lists: list[list[int]] = [[]] * len(words)
+    # Words met in earlier portions are not walked again.
+    known = held.known
+    lists: list[list[int]] = [known.get(w, []) for w in words]
+    order = sorted([i for i, w in enumerate(words) if w not in known], key=words.__getitem__)
+    if len(known) + len(order) > MOST_WORDS:
+        known.clear()
     for at, ids in zip(order, encode_sorted(held, [words[i] for i in order])):
         lists[at] = ids
+        if len(words[at]) <= LONGEST_WORD and len(known) < MOST_WORDS:
+            known[words[at]] = ids
     lengths = np.array([len(x) for x in lists], np.int64)
     flat = np.array([i for x in lists for i in x], np.int32)
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
