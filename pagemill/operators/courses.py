@@ -116,10 +116,11 @@ def media_files(pages: DataFrame) -> DataFrame:
     rows = staged.select(
         "page_id",
         "url",
-        F.posexplode(
+        F.posexplode_outer(
             F.concat(tagged(sources(doc, "video"), "video"), tagged(sources(doc, "audio"), "audio"), tagged(frames, "iframe"))
         ).alias("pos", "m"),
-    ).select("page_id", "url", "pos", "m.*")
+    )
+    rows = rows.filter("pos IS NOT NULL").select("page_id", "url", "pos", "m.*")
     frame = F.col("source") == "iframe"
     rows = rows.withColumn(
         "file_url", F.when(frame, F.col("src")).otherwise(resolve_url(F.col("url"), F.col("src")))

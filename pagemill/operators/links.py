@@ -21,9 +21,10 @@ from pagemill.functions.urls import (
 
 def keep_rows(rows: DataFrame, test) -> DataFrame:
     """Rows that pass ``test``, a function of the row as a struct. A plain filter would be
-    pushed below the projection and work out its costly columns a second time."""
-    row = F.struct(*rows.columns)
-    return rows.select(F.inline(F.filter(F.array(row), test)))
+    pushed below the projection and work out its costly columns a second time; so would the size
+    test that the planner infers for ``inline``, but not for its outer form."""
+    row = F.struct(*rows.columns, F.lit(True).alias("_kept"))
+    return rows.select(F.inline_outer(F.filter(F.array(row), test))).filter("_kept").drop("_kept")
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -31,8 +32,8 @@ def anchors(pages: DataFrame) -> DataFrame:
     staged = pages.select("page_id", "url", without_code(F.col("html")).alias("_doc"))
     base = attr(F.regexp_extract("_doc", void_pattern("base"), 0), "href")
     return staged.select(
-        "page_id", "url", base.alias("base"), F.posexplode(find_all(F.col("_doc"), ANCHOR)).alias("pos", "element")
-    ).filter(has_attr(F.col("element"), "href"))
+        "page_id", "url", base.alias("base"), F.posexplode_outer(find_all(F.col("_doc"), ANCHOR)).alias("pos", "element")
+    ).filter(F.col("pos").isNotNull() & has_attr(F.col("element"), "href"))
 
 
 def extract_links(pages: DataFrame, use_base: bool = True) -> DataFrame:
@@ -79,7 +80,9 @@ def extract_edges(
     staged = pages.select("url", without_code(F.col("html")).alias("_doc"))
     staged = staged.select("url", followed_hrefs(F.col("_doc")).alias("_hrefs"))
     found = crawlable_targets(F.col("url"), F.col("_hrefs"), allowed_domains, url_filter, strict)
-    return staged.select(normalize_url(F.col("url")).alias("src"), F.explode(found).alias("dst"))
+    # The outer form infers no filter on the array, which would find all links again at the scan.
+    pairs = staged.select(normalize_url(F.col("url")).alias("src"), F.explode_outer(found).alias("dst"))
+    return pairs.filter("dst IS NOT NULL")
 
 
 def in_domains(rows: DataFrame, domains: DataFrame, column: str = "url") -> DataFrame:

@@ -108,9 +108,8 @@ def extract_patterns(pages: DataFrame, patterns: Mapping[str, str], group: int |
     found = F.map_from_arrays(
         F.array(*[F.lit(f) for f in patterns]), F.array(*[_found(F.col("_text"), p, group) for p in patterns.values()])
     )
-    return staged_pages.select("page_id", F.explode(found).alias("field", "values")).select(
-        "page_id", "field", F.posexplode("values").alias("pos", "value")
-    )
+    fields = staged_pages.select("page_id", F.explode_outer(found).alias("field", "values")).filter("field IS NOT NULL")
+    return fields.select("page_id", "field", F.posexplode_outer("values").alias("pos", "value")).filter("pos IS NOT NULL")
 
 
 def extract_rules(pages: DataFrame, rules: Mapping[str, str], kind: str = "text") -> DataFrame:
@@ -131,13 +130,13 @@ def extract_single(
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
     """(page_id, pos, json) of every JSON-LD block that parses."""
-    return pages.select("page_id", F.posexplode(js.jsonld(F.col("html"))).alias("pos", "json"))
+    return pages.select("page_id", F.posexplode_outer(js.jsonld(F.col("html"))).alias("pos", "json")).filter("pos IS NOT NULL")
 
 
 def extract_window_vars(pages: DataFrame) -> DataFrame:
     """(page_id, name, json) of data assigned to ``window``; the last of equal names counts."""
     found = last_wins_map(js.window_vars(F.col("html")))
-    return pages.select("page_id", F.explode(found).alias("name", "json"))
+    return pages.select("page_id", F.explode_outer(found).alias("name", "json")).filter("name IS NOT NULL")
 
 
 def detect_javascript(pages: DataFrame, strict: bool = True) -> DataFrame:
@@ -145,7 +144,8 @@ def detect_javascript(pages: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def ajax_endpoints(pages: DataFrame, strict: bool = True) -> DataFrame:
-    return pages.select("page_id", F.explode(js.ajax_endpoints(F.col("html"), strict)).alias("endpoint"))
+    found = js.ajax_endpoints(F.col("html"), strict)
+    return pages.select("page_id", F.explode_outer(found).alias("endpoint")).filter("endpoint IS NOT NULL")
 
 
 def spa_routing(pages: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def extract_tables(
     """(page_id, table_no, row_no, cells MAP<STRING, STRING>)."""
     rows, page = staged(pages, "page_id")
     tables = rows.select("page_id", F.posexplode_outer(table_structs(page, rule, header_rule, row_rule)).alias("table_no", "_t"))
-    return tables.select("page_id", "table_no", F.posexplode("_t").alias("row_no", "cells"))
+    return tables.select("page_id", "table_no", F.posexplode_outer("_t").alias("row_no", "cells")).filter("row_no IS NOT NULL")
 
 
 _FIELD = (

@@ -253,3 +253,19 @@ def test_nested_tables_count_on_their_own_and_for_the_outer_one(pages):
     rows = tables.extract_tables(pages((URL, page))).orderBy("table_no", "row_no").collect()
     assert [r.cells for r in rows if r.table_no == 1] == [{"B": "2"}]
     assert {"A", "B"} & set(rows[0].cells) and rows[0].table_no == 0
+
+
+def test_what_is_exploded_is_found_once(spark, pages):
+    """No size test on the exploded array is inferred: at the scan it would find links and tags a second time."""
+    from pagemill.operators import courses, links, tables
+    from pagemill.operators import pages as page_facts
+    from pagemill.plans import page_queries
+
+    frame = pages(("http://a.example/", '<a href="/x.pdf">x</a><script>fetch("/q")</script>'), ("http://b.example/", None))
+    rows = [links.extract_edges(frame), links.extract_links(frame), courses.linked_files(frame), courses.media_files(frame)]
+    rows += [page_facts.ajax_endpoints(frame), page_facts.extract_jsonld(frame), page_facts.extract_window_vars(frame)]
+    rows += [tables.extract_tables(frame), page_queries.meta_prefix(spark, "/root/testdata/sf0.001")]
+    for found in rows:
+        assert "Filter ((size(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.link_url for r in rows[1].collect()] == ["http://a.example/x.pdf"]
+    assert [r.name for r in rows[2].collect()] == ["x.pdf"]
