@@ -92,14 +92,17 @@ def incremental_extract(
     ``sink`` has the done URLs; the rows extracted are attached to it under ``results``.
 
     A batch's URLs meet the done ones in an anti join, so no state is kept by the stream, and runs with another
-    checkpoint know them too. Of captures that arrive together, one is read. A batch that is run again after its
+    checkpoint know them too. Of captures that arrive together, the least in the order of the other columns (the first
+    ``page_id``) is read. A batch that is run again after its
     commit adds nothing; URLs and results of a batch come in one commit. A page without a URL is read each time."""
     done = KeyedTable(spark, sink, ["url"])
 
     def write(pages: DataFrame, batch: int) -> None:
         if done.committed(checkpoint, batch):
             return
-        named = pages.filter("url IS NOT NULL").dropDuplicates(["url"])
+        rest = F.struct(*[c for c in pages.columns if c != "url"])
+        named = pages.filter("url IS NOT NULL").groupBy("url").agg(F.min(rest).alias("_first"))
+        named = named.select("url", "_first.*").select(*pages.columns)
         fresh = cut(done.new(named, "url string").unionByName(pages.filter("url IS NULL")))
         done.commit(fresh.filter("url IS NOT NULL").select("url"), checkpoint, batch, results=extract(fresh))
 

@@ -76,6 +76,15 @@ def test_incremental_extract_reads_each_url_once(spark, pages, tmp_path):
     assert results() == ["one", "two"]
 
 
+def test_of_captures_that_arrive_together_the_first_is_read(spark, tmp_path):
+    source, sink, progress = [str(tmp_path / n) for n in ("in", "out", "progress")]
+    schema = "page_id long, url string, html string"
+    rows = [(n, f"http://{n % 20}/", f"<title>{n}</title>") for n in range(99, -1, -1)]
+    spark.createDataFrame(rows, schema).repartition(3).sortWithinPartitions(F.desc("page_id")).write.parquet(source)
+    done = streams.incremental_extract(spark, source, schema, sink, progress, lambda df: df.select("page_id"))
+    assert sorted(r.page_id for r in done.attached("results", "page_id long").collect()) == list(range(20))
+
+
 def test_a_batch_counts_once(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path / "t"), ["k"])
     schema = "k int, v string"
