@@ -9,14 +9,15 @@ outside child elements. Results are in document order."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Mapping
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.elements import ELEMENT, attribute, elements, has_attribute, inner_html, outer_html
 from pagemill.functions.html import without_code
-from pagemill.functions.structure import inside_each, path_numbers, ranks
+from pagemill.functions.structure import all_path_numbers, firsts_inside_each, inside_each, path_numbers, ranks
 from pagemill.functions.text import let, text_content, text_nodes
 
 _STEP = re.compile(r"(//?)(\*|[a-z][a-z0-9]*)((?:\[[^\]]*\])*)")
@@ -28,11 +29,13 @@ _TAILS = {
 
 
 class Page(NamedTuple):
-    """The page without code, its elements, and the chunks it is cut into."""
+    """The page without code, its elements, the chunks it is cut into, and by path the numbers of the elements that
+    paths of several steps lead to, where these are known (see ``with_paths``)."""
 
     doc: Column
     all: Column
     chunks: Column
+    paths: Mapping[str, Column] = {}
 
     def at(self, numbers: Column) -> Column:
         """The elements with these numbers."""
@@ -128,10 +131,31 @@ def _found(page: Page, steps: list) -> Column:
     """The elements that the steps of a rule lead to, each once, in document order."""
     axes, lists = _step_lists(page, steps)
     if len(steps) > 1:
-        return page.at(path_numbers(axes, lists))
+        known = page.paths.get(repr(steps))
+        return page.at(path_numbers(axes, lists) if known is None else known)
     return F.filter(lists[0], lambda e: e["parent"] == -1) if axes[0] == "/" else lists[0]
 
 
+def with_paths(rows: DataFrame, page: Page, rules: Iterable[str]) -> tuple[DataFrame, Page]:
+    """``rows`` with ``_paths``, and the page that knows from it the paths of several steps in these rules."""
+    parsed = [_parse(part.strip())[0] for rule in rules for part in re.split(r"\s\|\s", rule)]
+    several = {repr(steps): steps for steps in parsed if len(steps) > 1}
+    if len(several) < 2:
+        return rows, page
+    found = all_path_numbers([_step_lists(page, steps) for steps in several.values()])
+    known = {path: F.get(F.col("_paths"), F.lit(i)) for i, path in enumerate(several)}
+    return rows.withColumn("_paths", found), page._replace(paths=known)
+
+
+def firsts_inside(page: Page, outers: Column, rules: Iterable[str]) -> Column:
+    """ARRAY<ARRAY<INT>>: for each rule, a path without a tail, and each of the elements ``outers`` the number of the
+    first element that the rule finds inside it, -1 without one."""
+    parsed = [_parse(rule) for rule in rules]
+    if any(tail or name for _, tail, name in parsed):
+        raise ValueError("a rule names no elements")
+    return firsts_inside_each(outers, [_step_lists(page, steps) for steps, _, _ in parsed])
+
+
 def numbers_inside(page: Page, outers: Column, rule: str, first: bool = False) -> Column:
     """For each of the elements ``outers``, the numbers of the elements that a rule without a tail finds inside it;
     with ``first``, only the first one's, -1 without one. Parts of a union are put in document order."""

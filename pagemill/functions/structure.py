@@ -79,6 +79,49 @@ def path_numbers(axes: Sequence[str], steps: Sequence[Column]) -> Column:
     return _iterated(run, len(steps), "array<int>")(*map(_refs, steps))
 
 
+def all_path_numbers(paths: Sequence[tuple[Sequence[str], Sequence[Column]]]) -> Column:
+    """ARRAY<ARRAY<INT>>: ``path_numbers`` of several paths. Pages wait with all their elements for what a function
+    gives back, so one function for all paths keeps them once and not once a path."""
+    shapes = [list(axes) for axes, _ in paths]
+    columns = [column for _, steps in paths for column in steps]
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            lists = [_Lists(c) for c in batch]
+            found = []
+            for i in range(len(batch[0])):
+                rows = iter([x.row(i) for x in lists])
+                found.append([_within(_PAGE, axes, [next(rows) for _ in axes]) for axes in shapes])
+            yield pa.array(found, pa.list_(pa.list_(pa.int32())))
+
+    return _iterated(run, len(columns), "array<array<int>>")(*map(_refs, columns))
+
+
+def firsts_inside_each(outers: Column, paths: Sequence[tuple[Sequence[str], Sequence[Column]]]) -> Column:
+    """ARRAY<ARRAY<INT>>: for each path and each of ``outers`` the number of the first element that the path leads to
+    from it, -1 if there is none; one function for all paths, as in ``all_path_numbers``."""
+    shapes = [list(axes) for axes, _ in paths]
+    columns = [outers, *[column for _, steps in paths for column in steps]]
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            outer, *lists = [_Lists(c) for c in batch]
+            found = []
+            for i in range(len(batch[0])):
+                rows = iter([x.row(i) for x in lists])
+                no, _, last = outer.row(i)
+                pairs = list(zip(no.tolist(), last.tolist()))
+                of_page = []
+                for axes in shapes:
+                    steps = [next(rows) for _ in axes]
+                    each = [_within(pair, axes, steps) for pair in pairs]
+                    of_page.append([int(x[0]) if len(x) else -1 for x in each])
+                found.append(of_page)
+            yield pa.array(found, pa.list_(pa.list_(pa.int32())))
+
+    return _iterated(run, len(columns), "array<array<int>>")(*map(_refs, columns))
+
+
 def inside_each(outers: Column, axes: Sequence[str], steps: Sequence[Column], first: bool = False) -> Column:
     """ARRAY<ARRAY<INT>>: for each of ``outers``, the numbers of the elements that the steps lead to from it. With
     ``first``, ARRAY<INT>: only the first one of each, -1 if there is none."""

@@ -27,8 +27,8 @@ from pagemill.functions.rules import (
     SEMESTER_RULES,
     Page,
     element_value,
+    firsts_inside,
     no_elements,
-    numbers_inside,
     select,
     select_elements,
     staged,
@@ -278,13 +278,13 @@ def _catalogs(pages: DataFrame, *keep: str) -> DataFrame:
     )
     rows = rows.withColumn("_items", items)
     # What is looked for inside a container.
-    inside = {
-        "_links": "//a[@href]",
-        "_persons": '//*[contains(@class, "instructor")]',
-        "_terms": '//*[contains(@class, "term") or contains(@class, "semester")]',
-    }
-    rows = rows.withColumns({c: numbers_inside(page, F.col("_items"), rule, first=True) for c, rule in inside.items()})
-    parts = lambda i: [F.get(F.col(c), i) for c in inside]
+    inside = [
+        "//a[@href]",
+        '//*[contains(@class, "instructor")]',
+        '//*[contains(@class, "term") or contains(@class, "semester")]',
+    ]
+    rows = rows.withColumn("_inside", firsts_inside(page, F.col("_items"), inside))
+    parts = lambda i: [F.get(F.get(F.col("_inside"), F.lit(n)), i) for n in range(len(inside))]
     listed = F.filter(F.transform("_items", lambda e, i: _course(page, e, *parts(i), url)), lambda c: c.isNotNull())
     rows = rows.withColumn("_listed", listed)
     null = F.lit(None).cast("string")

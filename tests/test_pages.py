@@ -269,3 +269,19 @@ def test_what_is_exploded_is_found_once(spark, pages):
         assert "Filter ((size(" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [r.link_url for r in rows[1].collect()] == ["http://a.example/x.pdf"]
     assert [r.name for r in rows[2].collect()] == ["x.pdf"]
+
+
+def test_paths_of_a_page_are_followed_at_once(pages):
+    """Pages wait with all their elements for every Python function, so there is one for all paths of all rules."""
+    from pagemill.operators import courses
+    from pagemill.operators.pages import extract_rules
+
+    html = '<ul><li><a href="/a">A</a></li></ul><div><p>x</p></div><div class="course-item"><a href="/courses/1">B</a></div>'
+    frame = pages(("http://a.example/", html), ("http://b.example/", None))
+    rules = {"links": "//li/a", "texts": "//div/p | //ul//a", "none": "//p//a", "single": "//p"}
+    found, listed = extract_rules(frame, rules), courses.course_catalog(frame)
+    for rows in (found, listed):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 2
+    assert [tuple(r)[2:] for r in found.orderBy("page_id").collect()] == [(["A"], ["A", "x"], [], ["x"]), ([], [], [], [])]
+    assert [(r.name, r.instructor) for r in listed.collect()] == [("B", None)]
