@@ -436,7 +436,7 @@ def robots_url(url: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """Host with port; most URLs are read by one pattern, the others in full."""
-    plain = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\s]+)", 1)
+    plain = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\s]+)(?:[/?#]|\z)", 1)
     return F.when(plain != "", plain).otherwise(url_parts(url)["netloc"])
 
 

@@ -11,12 +11,13 @@ from pagemill.functions.html import ANCHOR, attr, element_text, find_all, has_at
 from pagemill.functions.text import strip, strip_markup
 from pagemill.functions.urls import (
     crawlable_targets,
+    host_of,
     is_crawlable_url,
     is_navigation_url,
     normalize_url,
     resolve_url,
-    url_parts,
 )
+from pagemill.session import cut
 
 
 def keep_rows(rows: DataFrame, test) -> DataFrame:
@@ -85,20 +86,28 @@ def extract_edges(
     return pairs.filter("dst IS NOT NULL")
 
 
-def in_domains(rows: DataFrame, domains: DataFrame, column: str = "url") -> DataFrame:
+#: Hosts that meet one ending in one place at most; an ending that more of them have is looked up where they lie.
+MOST_HOSTS = 100_000
+
+
+def in_domains(rows: DataFrame, domains: DataFrame, column: str = "url", most_hosts: int = MOST_HOSTS) -> DataFrame:
     """Rows whose URL lies in one of ``domains(domain)`` or below it: ``is_crawlable_url`` for lists of any length.
 
     Each distinct host is cut at its dots, and the endings are looked up in the list; hosts then meet the rows, so
-    neither the list nor the rows are multiplied. A URL without a host is in no domain; a null or empty domain
-    names none."""
+    neither the list nor the rows are multiplied. Endings such as ``com``, which very many hosts have, are few: they
+    are looked up first, and the hosts that have them do not meet in one task. A URL without a host is in no domain; a
+    null or empty domain names none."""
     listed = domains.select(F.ltrim(F.col("domain"), F.lit(".")).alias("_ending")).filter("_ending <> ''").distinct()
-    keyed = rows.withColumn("_netloc", F.lower(url_parts(F.col(column))["netloc"]))
-    hosts = keyed.select("_netloc").filter("_netloc <> ''").distinct()
+    keyed = rows.withColumn("_netloc", F.lower(host_of(F.col(column))))
+    hosts = cut(keyed.select("_netloc").filter("_netloc <> ''").distinct())
     labels = F.split("_netloc", r"\.")
     endings = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    found = hosts.select("_netloc", F.explode(endings).alias("_ending")).join(listed, "_ending", "left_semi")
+    pairs = hosts.select("_netloc", F.explode(endings).alias("_ending"))
+    common = cut(pairs.groupBy("_ending").agg(F.count("*").alias("_n")).filter(F.col("_n") > most_hosts).select("_ending"))
+    found = pairs.join(common, "_ending", "left_anti").join(listed, "_ending", "left_semi")
+    found = found.unionByName(pairs.join(cut(common.join(listed, "_ending", "left_semi")), "_ending", "left_semi"))
     return keyed.join(found.select("_netloc").distinct(), "_netloc", "left_semi").select(*rows.columns)
 
 

@@ -149,3 +149,15 @@ def test_edges_inside_a_domain_table(spark):
     pages = spark.createDataFrame([(1, "http://s/", page)], "page_id long, url string, html string")
     many = spark.createDataFrame([(f"d{n}.example",) for n in range(1000)] + [("a.b",)], "domain string")
     assert sorted(r.dst for r in links.extract_edges(pages, many).collect()) == ["http://a.b/1", "http://q.a.b/2"]
+
+
+def test_hosts_of_a_common_ending_are_found_where_they_lie(spark):
+    hosts = [f"h{i}.example.com" for i in range(40)] + ["a.org", "b.a.org", "xa.org", "c.net", "", None]
+    df = rows(spark, [(None if h is None else h and f"http://{h.upper()}/x?y=1/2",) for h in hosts], "url string")
+    listed = rows(spark, [(".h3.example.com",), ("org",), ("a.org",), ("",), (None,), ("nothing.com",)], "domain string")
+    want = ["http://A.ORG/x?y=1/2", "http://B.A.ORG/x?y=1/2", "http://H3.EXAMPLE.COM/x?y=1/2", "http://XA.ORG/x?y=1/2"]
+    # With 1 all shared endings are common, with 10 "com" and "example.com", with 100 none.
+    for most in (1, 10, 100):
+        assert sorted(r.url for r in links.in_domains(df, listed, most_hosts=most).collect()) == want
+    every = rows(spark, [("com",)], "domain string")
+    assert links.in_domains(df, every, most_hosts=5).count() == 40
