@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import ATTRS, decode_entities, let, strip, strip_markup
 
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+# Flags and choices stand behind the "<", so that a search only stops where a tag may begin.
 _CODE = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script(?=[\s>])[^>]*>.*?</script\s*>"
-    r"|<style(?=[\s>])[^>]*>.*?</style\s*>"
+    r"<(?is)(?:!--.*?(?:-->|\z)"
+    r"|script(?=[\s>])[^>]*>.*?</script\s*>"
+    r"|style(?=[\s>])[^>]*>.*?</style\s*>)"
 )
 
 
@@ -26,19 +27,19 @@ def without_comments(html: Column) -> Column:
 
 
 def _open(tag: str) -> str:
-    return rf"<{tag}(?=[\s/>]){ATTRS}>"
+    return rf"<(?is){tag}(?=[\s/>]){ATTRS}>"
 
 
 def void_pattern(tag: str) -> str:
     """Pattern of an open tag."""
-    return "(?is)" + _open(tag)
+    return _open(tag)
 
 
 def element_pattern(tag: str, stop: str | None = None) -> str:
     """Pattern of an element from its open tag up to (not including) the first
     closing tag, or up to any tag whose name matches ``stop``."""
     ends = rf"/{tag}[\s>]" + (f"|{stop}" if stop else "")
-    return rf"(?is){_open(tag)}[^<]*+(?:<(?!{ends})[^<]*+)*+"
+    return rf"{_open(tag)}[^<]*+(?:<(?!{ends})[^<]*+)*+"
 
 
 # Elements that close one another implicitly.

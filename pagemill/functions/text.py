@@ -23,11 +23,11 @@ WORD = r"\p{L}\p{N}_"
 ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+"""
 
 _MARKUP = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script(?:\s[^>]*)?>(.*?)</script\s*>"
-    r"|<style(?:\s[^>]*)?>(.*?)</style\s*>"
-    r"|<[!?][^>]*>"
-    rf"|</?[a-z][^\s>/]*{ATTRS}>"
+    r"<(?is)(?:!--.*?(?:-->|\z)"
+    r"|script(?:\s[^>]*)?>(.*?)</script\s*>"
+    r"|style(?:\s[^>]*)?>(.*?)</style\s*>"
+    r"|[!?][^>]*>"
+    rf"|/?[a-z][^\s>/]*{ATTRS}>)"
 )
 
 
@@ -169,11 +169,13 @@ DATE_SHAPES = [
 
 def find_date(text: Column) -> Column:
     """First date shape found in ``text`` that is a real date."""
-    found = []
-    for pattern, fmt in DATE_SHAPES:
-        hit = F.regexp_replace(F.regexp_extract(text, f"(?i){pattern}", 0), r"[,\s]+", " ")
-        found.append(F.try_to_timestamp(F.initcap(hit), F.lit(fmt)).cast("date"))
-    return F.coalesce(*found)
+
+    def read(fmt: str) -> Callable[[Column], Column]:
+        # What is not found is not parsed: a failed parse costs far more than the search.
+        plain = lambda hit: F.initcap(F.regexp_replace(hit, r"[,\s]+", " "))
+        return lambda hit: F.when(hit != "", F.try_to_timestamp(plain(hit), F.lit(fmt)).cast("date"))
+
+    return F.coalesce(*[let(F.regexp_extract(text, f"(?i){pattern}", 0), read(fmt)) for pattern, fmt in DATE_SHAPES])
 
 
 def meta_prefix_map(entries: Column, prefix: str) -> Column:

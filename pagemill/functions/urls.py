@@ -64,6 +64,12 @@ def clean(url: Column) -> Column:
     return F.translate(F.ltrim(url, F.lit(_CONTROL_OR_SPACE)), "\t\r\n", "")
 
 
+def _cleaned(text: str) -> str:
+    """SQL expression of ``clean``."""
+    blanks = "".join(f"\\u{ord(c):04x}" for c in _CONTROL_OR_SPACE)
+    return f"translate(ltrim('{blanks}', {text}), '\t\r\n', '')"
+
+
 def _after(text: str, mark: str) -> str:
     return f"if(instr({text}, '{mark}') > 0, substr({text}, instr({text}, '{mark}') + 1), '')"
 
@@ -126,9 +132,24 @@ _URL_PARTS = _with_parts(
 )
 
 
+# Visible ASCII characters that end no part: of a host, and of a path without parameters.
+_HOST_CHAR, _PATH_CHAR = r"""[!"$-.0->@-~]""", r"""[!"$-.0-:<->@-~]"""
+
+# A URL of such characters, without parameters and fragment, whose parts lie between its marks.
+_PLAIN_URL = rf"""^[a-z][a-z0-9+.\-]*://{_PATH_CHAR}+(?:/[!"$-:<->@-~]*+)?(?:\?[!"$-~]*+)?\z"""
+_PLAIN_PARTS = (
+    "named_struct('scheme', substring_index(v, '://', 1),"
+    " 'netloc', substring_index(substring_index(substring_index(v, '?', 1), '/', 3), '/', -1),"
+    " 'path', substr(substring_index(v, '?', 1), length(substring_index(substring_index(v, '?', 1), '/', 3)) + 1),"
+    f" 'params', '', 'query', {_after('v', '?')}, 'fragment', '')"
+)
+
+
 def url_parts(url: Column) -> Column:
-    """struct(scheme, netloc, path, params, query, fragment); absent parts are empty."""
-    return apply_sql(clean(url), _URL_PARTS)
+    """struct(scheme, netloc, path, params, query, fragment); absent parts are empty. Plain URLs are cut at
+    their marks, the others read in full."""
+    full = let_sql("v", _cleaned("v"), _URL_PARTS)
+    return apply_sql(url, f"if(v rlike r'{_PLAIN_URL}', {_PLAIN_PARTS}, {full})")
 
 
 def _join(scheme: str, netloc: str, path: str, query: str, fragment: str) -> str:
@@ -170,6 +191,10 @@ def _merged(base: str, path: str) -> str:
     return f"if(startswith({path}, '/') and not contains({path}, '/.'), {path}, {let_sql('g', segments, _NO_DOTS)})"
 
 
+# The same in visible ASCII characters, which need no cleaning; and the origin of a plain page URL.
+_ROOTED_ASCII = rf"^(?:/(?![/.]){_PATH_CHAR}*+)++\z"
+_ORIGIN = rf"^(https?://{_HOST_CHAR}+)(?:[/?#][!-~]*+)?\z"
+
 # A rooted path without query, fragment, parameters, "//" and dot segments.
 _PLAIN_ROOTED = "(startswith({0}, '/') and not {0} rlike '[?#;]|/[./]')"
 
@@ -242,8 +267,15 @@ def _named(**columns: Column) -> Column:
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` found on the page ``base``."""
-    pieces = _named(raw_base=base, raw_href=href, base=clean(base), href=clean(href))
-    return apply_sql(pieces, _RESOLVED)
+    pieces = _named(raw_base=base, raw_href=href)
+    full = let_sql(
+        "v",
+        f"named_struct('raw_base', v.raw_base, 'raw_href', v.raw_href, 'base', {_cleaned('v.raw_base')},"
+        f" 'href', {_cleaned('v.raw_href')})",
+        _RESOLVED,
+    )
+    plain = f"v.raw_href rlike r'{_ROOTED_ASCII}' and v.raw_base rlike r'{_ORIGIN}'"
+    return apply_sql(pieces, f"if({plain}, concat(regexp_extract(v.raw_base, r'{_ORIGIN}', 1), v.raw_href), {full})")
 
 
 def _shown(parts: str) -> str:
@@ -261,24 +293,41 @@ def _shown(parts: str) -> str:
     )
 
 
-def link_targets(base: Column, hrefs: Column) -> Column:
-    """ARRAY<STRUCT<url, scheme, netloc, path>>: normalised targets of the references of
-    one page. The page URL is read once, and a target is not put together and read again."""
+def _of_references(base: Column, hrefs: Column, rooted: str, other: str) -> Column:
+    """Array of what the references of one page give. The page URL is read once; ``o`` has its origin in lower case, its
+    parts, and whether it is a web address. Most references x are rooted paths in plain characters, for which
+    ``rooted`` is the result; ``other`` is that for the normalised target t of any other."""
     body = _with_parts(
         "v.base",
         "b",
-        "transform(v.hrefs, x -> "
-        + let_sql(
-            "h",
-            "translate(ltrim(v.blanks, x), '\t\r\n', '')",
-            let_sql("t", _target("b", "h"), _shown("t")),
-        )
-        + ")",
+        let_sql(
+            "o",
+            "named_struct('url', concat(b.scheme, '://', lower(b.netloc)), 'scheme', b.scheme, 'netloc', lower(b.netloc),"
+            " 'web', b.scheme in ('http', 'https') and b.netloc <> '')",
+            f"transform(v.hrefs, x -> if(x rlike r'{_ROOTED_ASCII}', {rooted}, "
+            + let_sql(
+                "h",
+                "translate(ltrim(v.blanks, x), '\t\r\n', '')",
+                let_sql("r", _target("b", "h"), let_sql("t", _shown("r"), other)),
+            )
+            + "))",
+        ),
     )
     pieces = _named(base=clean(base), hrefs=hrefs, blanks=F.lit(_CONTROL_OR_SPACE))
     return apply_sql(pieces, body)
 
 
+#: The normalised target of a rooted path x.
+_ROOTED_TARGET = "concat(o.url, lower(if(endswith(x, '/') and length(x) > 1, substr(x, 1, length(x) - 1), x)))"
+
+
+def link_targets(base: Column, hrefs: Column) -> Column:
+    """ARRAY<STRUCT<url, scheme, netloc, path>>: normalised targets of the references of
+    one page. A target is not put together and read again."""
+    rooted = f"named_struct('url', {_ROOTED_TARGET}, 'scheme', o.scheme, 'netloc', o.netloc, 'path', lower(x))"
+    return _of_references(base, hrefs, rooted, "t")
+
+
 _NORMALIZED = _with_parts(
     "v",
     "p",
@@ -304,6 +353,12 @@ def normalize_url(url: Column) -> Column:
     return F.when(low.rlike(_ALREADY_NORMAL), low).otherwise(apply_sql(clean(low), _NORMALIZED))
 
 
+# A plain web address, and one whose path is never crawled.
+_PLAIN_WEB_URL = _PLAIN_URL.replace(r"[a-z][a-z0-9+.\-]*", "https?")
+_SKIPPED = "(?i:" + "|".join(e.replace(".", "[.]") for e in SKIP_EXTENSIONS) + ")"
+_SKIPPED_WEB_URL = rf"^https?://[^/?]++/[^?]*+(?<={_SKIPPED})(?:\?|\z)"
+
+
 def is_valid_url_basic(url: Column) -> Column:
     return let(url_parts(url), lambda p: (p["scheme"] != "") & (p["netloc"] != ""))
 
@@ -327,6 +382,8 @@ def is_crawlable_url(
     boolean column. ``strict`` compares domains as bare text endings, so
     ``evilexample.com`` passes for ``example.com``; otherwise a dot must precede."""
     ok = let(url_parts(url), lambda p: _crawlable(p, allowed_domains, strict))
+    if not allowed_domains:
+        ok = F.when(url.rlike(_PLAIN_WEB_URL), ~url.rlike(_SKIPPED_WEB_URL)).otherwise(ok)
     return ok & url_filter(url) if url_filter is not None else ok
 
 
@@ -339,6 +396,12 @@ def crawlable_targets(
 ) -> Column:
     """ARRAY<STRING>: distinct normalised targets of a page that may be crawled."""
 
+    if not allowed_domains and url_filter is None:
+        # No more than the URLs is kept of the targets.
+        rooted = rf"if(o.web and not x rlike r'{_SKIPPED}\z', {_ROOTED_TARGET}, null)"
+        other = rf"if(t.scheme rlike '^https?$' and t.netloc <> '' and not t.path rlike r'{_SKIPPED}\z', t.url, null)"
+        return F.array_distinct(F.array_compact(_of_references(base, hrefs, rooted, other)))
+
     def keep(t: Column) -> Column:
         ok = _crawlable(t, allowed_domains, strict)
         return ok & url_filter(t["url"]) if url_filter is not None else ok

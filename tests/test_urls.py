@@ -161,3 +161,50 @@ def test_hosts_of_a_common_ending_are_found_where_they_lie(spark):
         assert sorted(r.url for r in links.in_domains(df, listed, most_hosts=most).collect()) == want
     every = rows(spark, [("com",)], "domain string")
     assert links.in_domains(df, every, most_hosts=5).count() == 40
+
+
+ODD = [
+    "http://a\tb.com/x", "http://a b.com/x", " http://a.b/x", "http://a.b/x y", "http://a.b/x\n", "http://a.b?x=1/2;3", "http://a.b/?",
+    "http://a.b/p;q/r?s;t", "http://a.b/x#", "a+b://c/d", "http://", "http:///x", "http://é.b/ü", "HTTP://A.b", "http://a.b/x?y?z#w?v",
+]
+
+
+def test_odd_urls_have_the_parts_of_the_long_way(spark):
+    cases = [(u, urlparse(u.lstrip("".join(map(chr, range(0x21))))).netloc) for u in ODD]
+    got = rows(spark, cases, "u string, n string").select(
+        "*", urls.url_parts(F.col("u"))["netloc"].alias("p"), urls.host_of(F.col("u")).alias("h")
+    )
+    assert [(r.u, r.p, r.h) for r in got.collect() if not r.n == r.p == r.h] == []
+
+
+def test_odd_references_resolve_as_urljoin(spark):
+    hrefs = ["/", "/x/", "/x//y", "/.x", "/x/.y", "/x;y", "/x ", " /x", "/x\n", "/é/Ü", "/x?y#z", "/A/B.html", "/a.PDF", "/a.pdf/", "../a.Zip", "//h/x", "/'\"<>"]
+    bases = ["http://a.b/c?d#e", "https://U@a.b:80", "http://a.b;c/d", "http://é.b/c", "HTTP://a.b/c", " http://a.b/c", "ftp://a.b/c"]
+    cases = [(b, h, urljoin(b.strip(), h.lstrip())) for b in bases for h in hrefs]
+    resolved = urls.resolve_url(F.col("b"), F.col("h"))
+    target = urls.link_targets(F.col("b"), F.array("h"))[0]["url"]
+    df = rows(spark, cases, "b string, h string, e string")
+    got = df.select("*", resolved.alias("g"), target.alias("t"), urls.normalize_url(F.col("e")).alias("n"))
+    assert [(r.b, r.h, r.g, r.e) for r in got.collect() if r.g != r.e] == []
+    assert [(r.b, r.h, r.t, r.n) for r in got.collect() if r.t != r.n] == []
+    # Kept are those that pass the test of URLs, whichever way is taken.
+    some = lambda **more: urls.crawlable_targets(F.col("b"), F.array("h"), **more)
+    kept = df.select("*", some().alias("s"), some(url_filter=lambda u: F.lit(True)).alias("l"))
+    kept = kept.withColumn("c", urls.is_crawlable_url(F.concat("e", F.lit("#"))))
+    assert [(r.b, r.h, r.s, r.l, r.c) for r in kept.collect() if r.s != r.l or bool(r.s) != r.c] == []
+
+
+def test_plain_addresses_are_judged_as_all_others(spark):
+    odd = ["http://a.zip", "http://a.b/x.ZIP", "http://a.b/x.zip?y", "http://a.b/?x.zip", "http://a.b/x.zip/", "http://a.b/x.zip;p", "https://a.b/zip"]
+    df = rows(spark, [(u,) for u in [*ODD, *URLS, *odd]], "u string")
+    short, full = urls.is_crawlable_url(F.col("u")), urls.is_crawlable_url(F.concat("u", F.lit("#")))
+    assert df.select("u", short.alias("s"), full.alias("f")).filter("s <> f").collect() == []
+    assert df.filter(short).filter(F.col("u").isin(odd)).count() == 4
+
+
+def test_dates_are_parsed_only_where_found(spark):
+    from pagemill.functions.text import find_date
+
+    cases = [("", None), ("none", None), ("13/45/2023 then 2021-02-03", "2021-02-03"), ("on 1 mar, 2020 Mar 2, 2021", "2021-03-02"), (None, None)]
+    got = rows(spark, cases, "t string, e string").select("e", find_date(F.col("t")).cast("string").alias("d"))
+    assert [r for r in got.collect() if r.d != r.e] == []
