@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are worked on at once.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 100_000
 #: Bits of a filter, as a power of two, at most: 16 MB. Past that, more keys only let more rows pass.
 FILTER_BITS = 27
 #: A filter of few keys is folded to so many bits for each bit that is set, or somewhat more.

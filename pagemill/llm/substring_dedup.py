@@ -142,6 +142,29 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_key(h, f, doc).view(np.int64))], ["key"])
 
 
+def _with_words(search):
+    """``search`` over the passages with their words. Rows come sorted by ``k`` and ``f``, the one with the smallest
+    document of a passage before those with its words, which may be several or of a passage that is not asked for."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_passage = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, f = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "f"))
+            asked = batch.column("lo").is_valid().to_numpy(zero_copy_only=False)
+            lo = batch.column("lo").fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(asked[:-1] & ~asked[1:] & (h[:-1] == h[1:]) & (f[:-1] == f[1:])) + 1
+            least = lo[at - 1]
+            if not asked[0] and open_passage is not None and open_passage[:2] == (h[0], f[0]):
+                at, least = np.append(0, at), np.append(open_passage[2], least)
+            open_passage = (h[-1], f[-1], lo[-1]) if asked[-1] else None
+            rows = batch.take(pa.array(at))
+            yield rows.set_column(rows.schema.get_field_index("lo"), "lo", pa.array(least))
+
+    return lambda batches: search(whole(batches))
+
+
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by ``k``; passages of one ``k`` are indexed together, and a shard's keys in runs
     of about ``INDEX_WORDS`` words. Gives per passage its windows that another passage also holds, with
@@ -222,16 +245,22 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     several = several.filter("kinds > 1 AND l < m").select("h", (F.col("kinds") > HOT_ANCHOR).alias("hot"))
     to_index = cut(passages.join(several, "h").select("h", "f", "lo", "hot"))
 
+    def words_of(rows: DataFrame) -> DataFrame:
+        """The words of the passages, and of some others."""
+        wanted = filter_of(rows.select("h", "f", "lo").mapInArrow(_keys, "key bigint"))
+        return hashed.mapInArrow(_words_of(wanted), "h bigint, f bigint, w array<bigint>")
+
     def listed(rows: DataFrame) -> DataFrame:
         """Passages with their words."""
-        wanted = filter_of(rows.select("h", "f", "lo").mapInArrow(_keys, "key bigint"))
-        texts = hashed.mapInArrow(_words_of(wanted), "h bigint, f bigint, w array<bigint>")
-        return rows.join(texts.groupBy("h", "f").agg(F.first("w").alias("w")), ["h", "f"])
+        return rows.join(words_of(rows).groupBy("h", "f").agg(F.first("w").alias("w")), ["h", "f"])
 
     hot = to_index.filter("hot")
-    whole = listed(to_index.filter("NOT hot")).select(F.col("h").alias("k"), "h", "f", "lo", F.lit(0).alias("j"), "w")
-    shards = whole.repartition("k").sortWithinPartitions("k")
-    matched = shards.mapInArrow(_matched, "h bigint, f bigint, j int, lo bigint")
+    # Passages and their words go to the shards as they are and meet there, where they are sorted anyway.
+    cold = to_index.filter("NOT hot").select("h", "f", "lo", F.lit(None).cast("array<bigint>").alias("w"))
+    both = cold.unionByName(words_of(cold).withColumn("lo", F.lit(None).cast("bigint")))
+    shards = both.select(F.col("h").alias("k"), "h", "f", "lo", F.lit(0).alias("j"), "w")
+    shards = shards.repartition("k").sortWithinPartitions("k", "f", F.col("lo").isNull())
+    matched = shards.mapInArrow(_with_words(_matched), "h bigint, f bigint, j int, lo bigint")
     if not hot.isEmpty():
         prints = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda j: F.xxhash64(F.slice("w", j + 1, WINDOW)))
         split = cut(listed(hot).select("h", "f", "lo", F.posexplode(prints).alias("j", "k")))

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ import corpus_pipeline
 from pagemill.llm import mixing, near_dedup, quality_model, quality_rules, sentence_pieces, substring_dedup, token_counts, topk_search
 from pagemill.llm.fm_index import FMIndex, WaveletMatrix
 from pagemill.llm.sketch import filter_of, may_hold
+from pagemill.session import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, c bigint, row string, size int"
@@ -546,3 +548,29 @@ def test_pipeline_stages(spark, docs, none, folder, tmp_path):
         frame = spark.read.parquet(f"{tmp_path}/{name}")
         assert stage(spark, none, path).count() == 0
     assert corpus_pipeline.run(spark, path).count() == frame.count()
+
+
+def test_passages_meet_their_words_across_batches():
+    """Words that come twice, for a passage nobody asked for, or in the batch after the passage."""
+    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("f", pa.int64()), ("lo", pa.int64()), ("j", pa.int32()), ("w", pa.list_(pa.int64()))])
+    rows = [(1, 1, 5, None), (1, 2, None, [2]), (1, 3, 7, None), (1, 3, None, [3]), (1, 3, None, [3]), (2, 3, None, [4]), (2, 4, 0, None), (2, 4, None, [6])]
+    # The first passage has no words of its own: they belong to another one.
+    expected = [(1, 3, 7, [3]), (2, 4, 0, [6])]
+    for size in range(1, len(rows) + 1):
+        parts = [[(h, h, f, lo, 0, w) for h, f, lo, w in rows[i : i + size]] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in part], schema) for part in parts]
+        found = [r for b in substring_dedup._with_words(lambda x: x)(iter(batches)) for r in b.to_pylist()]
+        assert [(r["h"], r["f"], r["lo"], r["w"]) for r in found] == expected
+
+
+def test_substring_dedup_joins_no_passages_with_their_words(spark, monkeypatch):
+    """Words meet their passages in the shards; only anchors of very many passages are joined."""
+    plans = []
+    monkeypatch.setattr(substring_dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    rng = random.Random(3)
+    shared = " ".join(f"p{i}" for i in range(14))
+    rows = [(i, f"a{rng.random()} {shared} b{rng.random()}") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = substring_dedup.without_repeats(frame, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert key(map(tuple, found.collect())) == key(brute_removed(rows))
+    assert plans and not any("first(w" in p for p in plans)
