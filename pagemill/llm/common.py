@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows with long lists that travel to Python together, at most.
+LIST_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +21,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send at most ``LIST_ROWS`` rows to Python at once: the default batch holds the word hashes of
+    10,000 documents, in the JVM and in Python, for each task."""
+    before = int(spark.conf.get(_BATCH))
+    spark.conf.set(_BATCH, str(min(before, LIST_ROWS) if before > 0 else LIST_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, str(before))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for a null or empty text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

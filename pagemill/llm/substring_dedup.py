@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import table, word_hashes
+from pagemill.llm.common import small_batches, table, word_hashes
 from pagemill.llm.fm_index import FMIndex
 from pagemill.llm.sketch import _ODD, chunks, filter_column, filter_of, grams, held_rows, may_hold, mix
 from pagemill.session import cut
@@ -337,7 +337,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     white space after it too; with ``digest``, ``n_words, n_removed, kept_sha256`` instead of the text.
     Only documents that lose words travel to meet their ranges. Null texts stay null (digest of
     no words); equal rows are treated alike; other columns pass through."""
-    ranges = cut(repeated_windows(docs, id_column, text))
+    with small_batches(docs.sparkSession):
+        ranges = cut(repeated_windows(docs, id_column, text))
     held = filter_of(ranges.select("doc"))
     if digest:
         docs = docs.drop("n_words", "n_removed", "kept_sha256")

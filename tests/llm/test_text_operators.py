@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import mixing, near_dedup, quality_model, quality_rules, sentence_pieces, substring_dedup, token_counts, topk_search
+from pagemill.llm import common, mixing, near_dedup, quality_model, quality_rules, sentence_pieces, substring_dedup, token_counts, topk_search
 from pagemill.llm.fm_index import FMIndex, WaveletMatrix
 from pagemill.llm.sketch import filter_of, may_hold
 from pagemill.session import cut
@@ -574,3 +574,21 @@ def test_substring_dedup_joins_no_passages_with_their_words(spark, monkeypatch):
     found = substring_dedup.without_repeats(frame, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert key(map(tuple, found.collect())) == key(brute_removed(rows))
     assert plans and not any("first(w" in p for p in plans)
+
+
+def test_word_hashes_travel_in_small_batches(spark, monkeypatch):
+    anchors, setting = substring_dedup._all_anchors, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+
+    def counted(batches):
+        for batch in batches:
+            assert batch.num_rows <= 7
+            yield from anchors(iter([batch]))
+
+    monkeypatch.setattr(common, "LIST_ROWS", 7)
+    monkeypatch.setattr(substring_dedup, "_all_anchors", counted)
+    rows = [(i, " ".join(f"w{j + i % 40}" for j in range(40))) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = substring_dedup.without_repeats(frame, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert key(map(tuple, found.collect())) == key(brute_removed(rows))
+    assert spark.conf.get(setting) == before
