@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ from pagemill.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters that are worked on at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Pairs of pieces whose fit a task remembers at most.
 MOST_PAIRS = 1_000_000
 #: Words, of at most so many characters, whose ids a task remembers at most.
@@ -205,29 +206,30 @@ def decode(held: Pieces, ids: list[int]) -> str:
     return (whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace")
 
 
-def _portions(texts: list[str | None]) -> Iterator[slice]:
+def _portions(column: pa.Array) -> Iterator[slice]:
     start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
+    for i, n in enumerate(pc.utf8_length(column).fill_null(0).to_pylist()):
+        size += n
         if size >= CHUNK_CHARS:
             yield slice(start, i + 1)
             start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(column):
+        yield slice(start, len(column))
 
 
 def _encoded(held: Broadcast, text: str, name: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for part in _portions(texts):
-                ids, offsets = encode_texts(vocabulary, texts[part])
+            for part in _portions(batch.column(text)):
                 rows = batch.slice(part.start, part.stop - part.start)
+                # Texts of a portion only, not of the batch, become Python strings.
+                texts = rows.column(text).to_pylist()
+                ids, offsets = encode_texts(vocabulary, texts)
                 if digest:
                     listed, bounds = ids.tolist(), offsets.tolist()
                     same = [
-                        decode(vocabulary, listed[a:z]) == (t or "") for t, a, z in zip(texts[part], bounds, bounds[1:])
+                        decode(vocabulary, listed[a:z]) == (t or "") for t, a, z in zip(texts, bounds, bounds[1:])
                     ]
                     prints = [hashlib.sha256(ids[a:z].astype("<i4").tobytes()).hexdigest() for a, z in zip(bounds, bounds[1:])]
                     names = [n for n in rows.schema.names if n != text]

@@ -592,3 +592,44 @@ def test_word_hashes_travel_in_small_batches(spark, monkeypatch):
     found = substring_dedup.without_repeats(frame, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert key(map(tuple, found.collect())) == key(brute_removed(rows))
     assert spark.conf.get(setting) == before
+
+
+def test_texts_of_one_portion_become_strings(monkeypatch):
+    """Not those of the whole batch: a worker holds the Python strings of some texts only."""
+    held, most, asked = sentence_pieces.load(), 0, sentence_pieces.encode_texts
+
+    def counted(vocabulary, texts):
+        nonlocal most
+        most = max(most, sum(len(t or "") for t in texts))
+        return asked(vocabulary, texts)
+
+    monkeypatch.setattr(sentence_pieces, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(sentence_pieces, "encode_texts", counted)
+    texts = [r[1] for r in ROWS] + ["é😀 x", None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+
+    class Unlisted:
+        schema, num_rows, slice = batch.schema, batch.num_rows, batch.slice
+
+        def column(self, name):
+            found = batch.column(name)
+            return found if name != "text" else _NoList(found)
+
+    class _NoList:
+        def __init__(self, found):
+            self.found = found
+
+        def __len__(self):
+            return len(self.found)
+
+        def __arrow_c_array__(self, requested_schema=None):
+            return self.found.__arrow_c_array__(requested_schema)
+
+        def to_pylist(self):
+            raise AssertionError("the whole batch became Python strings")
+
+    monkeypatch.setattr(sentence_pieces.pc, "utf8_length", lambda c, f=sentence_pieces.pc.utf8_length: f(pa.array(c)))
+    parts = list(sentence_pieces._encoded(type("Held", (), {"value": held}), "text", "ids", False)(iter([Unlisted()])))
+    model = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    assert [r["ids"] for b in parts for r in b.to_pylist()] == [model.encode(t or "") for t in texts]
+    assert len(parts) > 1 and most < 50 + max(len(t or "") for t in texts)
