@@ -293,27 +293,71 @@ def _shown(parts: str) -> str:
     )
 
 
+# A relative reference in visible ASCII: steps up, then segments that begin with no dot, without scheme, query and parameters.
+_SEGMENT = r"""(?!\.)[!"$-.0-9<->@-~]++"""
+_RELATIVE_ASCII = rf"^(?:\.\./)*+{_SEGMENT}(?:/{_SEGMENT})*+/?+(?:#[!-~]*+)?\z"
+
+# A plain web address: its origin and its folder, without a slash at the end, which has neither empty segments nor such
+# that begin with a dot.
+_PLAIN_FOLDER = (
+    rf"^(https?://{_PATH_CHAR}++)((?:/(?![/.]){_PATH_CHAR}++(?=/))*+)(?:/(?![/.]){_PATH_CHAR}*+)?+(?:\?[!\"$-~]*+)?+\z"
+)
+
+# The parts of such an address; the path has no parameters.
+_PLAIN_BASE = (
+    "named_struct('scheme', substring_index(v.base, '://', 1), 'netloc', substring_index(v.origin, '/', -1),"
+    " 'path', substr(substring_index(v.base, '?', 1), length(v.origin) + 1),"
+    f" 'query', {_after('v.base', '?')}, 'fragment', '')"
+)
+
+# The rooted path of a relative reference x on a page in the folder v.folder, which has o.depth segments; steps above
+# the root stay there.
+_ROOTED_PATH = (
+    "concat(substring_index(v.folder, '/', greatest(o.depth + 1 - cast((length(x) - length(ltrim('./', x))) / 3 as int), 0)),"
+    " '/', substring_index(ltrim('./', x), '#', 1))"
+)
+
+
 def _of_references(base: Column, hrefs: Column, rooted: str, other: str) -> Column:
     """Array of what the references of one page give. The page URL is read once; ``o`` has its origin in lower case, its
     parts, and whether it is a web address. Most references x are rooted paths in plain characters, for which
-    ``rooted`` is the result; ``other`` is that for the normalised target t of any other."""
-    body = _with_parts(
+    ``rooted`` is the result, or relative ones on a plain page, which are made rooted first; ``other`` is
+    that for the normalised target t of any other."""
+    origin = (
+        "named_struct('url', lower(v.origin), 'scheme', substring_index(v.origin, ':', 1),"
+        " 'netloc', lower(substring_index(v.origin, '/', -1)), 'web', true,"
+        " 'depth', length(v.folder) - length(replace(v.folder, '/', '')), 'parts', null)"
+    )
+    full = _with_parts(
         "v.base",
         "b",
+        "named_struct('url', concat(b.scheme, '://', lower(b.netloc)), 'scheme', b.scheme, 'netloc', lower(b.netloc),"
+        " 'web', b.scheme in ('http', 'https') and b.netloc <> '', 'depth', 0, 'parts', b)",
+    )
+    relative = f"v.origin <> '' and not startswith(x, '/') and x rlike r'{_RELATIVE_ASCII}'"
+    odd = let_sql(
+        "b",
+        f"coalesce(o.parts, {_PLAIN_BASE})",
         let_sql(
-            "o",
-            "named_struct('url', concat(b.scheme, '://', lower(b.netloc)), 'scheme', b.scheme, 'netloc', lower(b.netloc),"
-            " 'web', b.scheme in ('http', 'https') and b.netloc <> '')",
-            f"transform(v.hrefs, x -> if(x rlike r'{_ROOTED_ASCII}', {rooted}, "
-            + let_sql(
-                "h",
-                "translate(ltrim(v.blanks, x), '\t\r\n', '')",
-                let_sql("r", _target("b", "h"), let_sql("t", _shown("r"), other)),
-            )
-            + "))",
+            "h",
+            "translate(ltrim(v.blanks, x), '\t\r\n', '')",
+            let_sql("r", _target("b", "h"), let_sql("t", _shown("r"), other)),
         ),
     )
-    pieces = _named(base=clean(base), hrefs=hrefs, blanks=F.lit(_CONTROL_OR_SPACE))
+    body = let_sql(
+        "o",
+        f"if(v.origin <> '', {origin}, {full})",
+        f"transform(transform(v.hrefs, x -> if({relative}, {_ROOTED_PATH}, x)),"
+        f" x -> if(x rlike r'{_ROOTED_ASCII}', {rooted}, {odd}))",
+    )
+    plain = base.rlike(_PLAIN_FOLDER)
+    pieces = _named(
+        base=F.when(plain, base).otherwise(clean(base)),
+        origin=F.regexp_extract(base, _PLAIN_FOLDER, 1),
+        folder=F.regexp_extract(base, _PLAIN_FOLDER, 2),
+        hrefs=hrefs,
+        blanks=F.lit(_CONTROL_OR_SPACE),
+    )
     return apply_sql(pieces, body)
 
 
@@ -355,7 +399,7 @@ def normalize_url(url: Column) -> Column:
 
 # A plain web address, and one whose path is never crawled.
 _PLAIN_WEB_URL = _PLAIN_URL.replace(r"[a-z][a-z0-9+.\-]*", "https?")
-_SKIPPED = "(?i:" + "|".join(e.replace(".", "[.]") for e in SKIP_EXTENSIONS) + ")"
+_SKIPPED = "[.](?i:" + "|".join(e.removeprefix(".") for e in SKIP_EXTENSIONS) + ")"
 _SKIPPED_WEB_URL = rf"^https?://[^/?]++/[^?]*+(?<={_SKIPPED})(?:\?|\z)"
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 from urllib.parse import parse_qs, urljoin, urlparse
 
 import pytest
@@ -208,3 +209,34 @@ def test_dates_are_parsed_only_where_found(spark):
     cases = [("", None), ("none", None), ("13/45/2023 then 2021-02-03", "2021-02-03"), ("on 1 mar, 2020 Mar 2, 2021", "2021-03-02"), (None, None)]
     got = rows(spark, cases, "t string, e string").select("e", find_date(F.col("t")).cast("string").alias("d"))
     assert [r for r in got.collect() if r.d != r.e] == []
+
+
+def test_relative_references_cost_about_as_much_as_rooted_ones(spark):
+    def seconds(form):
+        refs = F.array(*[F.concat(F.lit(form), F.lit(f"{n}p"), F.col("id").cast("string")) for n in range(30)])
+        targets = urls.crawlable_targets(F.concat(F.lit("http://h.i/a/"), F.col("id").cast("string")), refs)
+        frame = spark.range(60_000).select(targets.alias("t"))
+        taken = []
+        for _ in range(3):
+            started = time.perf_counter()
+            frame.write.format("noop").mode("overwrite").save()
+            taken.append(time.perf_counter() - started)
+        return min(taken)
+
+    assert seconds("../b/") < 4 * seconds("/b/")
+
+
+@pytest.mark.parametrize("base", ["http://H.i/A/b/c", "http://h.i", "http://h.i/a/b?q=/x", "http://h.i/a//b", "http://h.i/.a/b", "ftp://h.i/a/b"])
+def test_relative_references_equal_the_long_way(spark, base):
+    hrefs = [up + rest for up in ["", "../", "../../", "../../../"] for rest in ["x", "X/y/", "x#f/g", "x.pdf", "x.pdf/", "x:y", "x;p", "x?q", "..x", "x/../y"]]
+    found = rows(spark, [(base, hrefs)], "b string, h array<string>").select(
+        urls.link_targets(F.col("b"), F.col("h"))["url"].alias("t"), urls.crawlable_targets(F.col("b"), F.col("h")).alias("c")
+    )
+    full = rows(spark, [(base, h) for h in hrefs], "b string, h string").select(
+        urls.normalize_url(urls.resolve_url(F.col("b"), F.col("h"))).alias("t")
+    )
+    every = [r.t for r in full.collect()]
+    got = found.first()
+    assert got.t == every
+    kept = dict.fromkeys(t for t in every if t.startswith("http:") and not t.rstrip("/").endswith(".pdf"))
+    assert [t for t in got.c if ".pdf" not in t] == list(kept)
