@@ -53,6 +53,8 @@ _SHARED = [".pdf", ".html"]
 _BAD_IN_NAME = '<>:"|?*\\/\0'
 _BAD_IN_PATH = '<>:"|?*\0'
 _CONTROL = r"[\x00-\x1F]"
+# Blanks and underscores; most other characters are told apart by two ranges, before the long class is tried.
+_BLANKS = rf"(?![!-^`-~])[{SPACE}_]+"
 
 
 def stable_number(url: Column) -> Column:
@@ -162,7 +164,7 @@ def filename_async(url: Column) -> Column:
 
 def _safe(name: Column, limit: int) -> Column:
     tidy = F.translate(name, _BAD_IN_NAME, "_" * len(_BAD_IN_NAME))
-    tidy = F.regexp_replace(F.regexp_replace(tidy, _CONTROL, ""), f"[{SPACE}_]+", "_")
+    tidy = F.regexp_replace(F.regexp_replace(tidy, _CONTROL, ""), _BLANKS, "_")
     return let(
         F.substring(F.btrim(tidy, F.lit(". ")), 1, limit),
         lambda s: F.when(s != "", s).otherwise("unnamed"),
@@ -216,12 +218,12 @@ def prepare_filename(
     """File name with optional course prefix and ``YYYYMMDD`` run date prefix."""
     out = sanitize_filename(name, preserve_extension=True) if sanitize else name
     if course_prefix:
-        prefix = F.substring(sanitize_filename(course), 1, 20)
-        plain = out
-        out = F.when(F.startswith(plain, prefix), plain).otherwise(F.concat(prefix, F.lit("_"), plain))
+        # Each name is made once and then looked at.
+        pair = F.struct(F.substring(sanitize_filename(course), 1, 20).alias("p"), out.alias("n"))
+        out = let(pair, lambda v: F.when(F.startswith(v["n"], v["p"]), v["n"]).otherwise(F.concat(v["p"], F.lit("_"), v["n"])))
     if date_prefix:
-        plain = out
-        out = F.when(plain.rlike("^[0-9]{8}_"), plain).otherwise(F.concat(F.lit(date_prefix + "_"), plain))
+        dated = F.lit(date_prefix + "_")
+        out = let(out, lambda n: F.when(n.rlike("^[0-9]{8}_"), n).otherwise(F.concat(dated, n)))
     return out
 
 

@@ -522,4 +522,5 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = DERIVED[name]
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     # Only the columns in use are dealt out, the text is made afterwards.
-    return spread(rows).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    rows = spread(rows, narrow=table != "documents")
+    return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])

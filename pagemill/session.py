@@ -56,9 +56,14 @@ def gather(parts: list[DataFrame], more: DataFrame, most: int = 20) -> list[Data
     return parts if len(parts) < most else [cut(reduce(DataFrame.unionByName, parts))]
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Rows dealt out evenly when a scan has fewer partitions than the cluster has cores.
     Reading pages costs far more time than their bytes suggest, so a small file must not
-    keep the other cores waiting. A scan of many files is left alone."""
+    keep the other cores waiting. A scan of many files is left alone.
+
+    A file is read by no more tasks than it has row groups, however many partitions its scan has; ``narrow`` rows, which
+    cost little to move, are dealt out of fewer files than cores for that reason."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.rdd.getNumPartitions()
+    few = parts < cores or (narrow and len(df.inputFiles()) < cores)
+    return df.repartition(max(cores, parts)) if few else df

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import layout, log_runs, ordered, reports
+from pagemill.session import spread
 
 START = dt.datetime(2024, 1, 1)
 
@@ -114,3 +115,16 @@ def test_empty_log(spark):
     row = reports.global_metrics(empty).first()
     assert (row.total_requests, row.avg_latency, row.domains) == (0, 0.0, 0)
     assert log_runs.failure_runs(empty).count() == 0 and log_runs.short_gaps(empty, 5.0).count() == 0
+
+
+def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path):
+    spark.range(0, 100_000, 1, 1).write.parquet(str(tmp_path / "one"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = spark.read.parquet(str(tmp_path / "one"))
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        dealt = spread(rows, narrow=True).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r["count"] for r in dealt) == 100_000
+    assert max(r["count"] for r in dealt) < 30_000
