@@ -265,6 +265,31 @@ def _named(**columns: Column) -> Column:
     return F.named_struct(*[part for name, column in columns.items() for part in (F.lit(name), column)])
 
 
+# A relative reference in visible ASCII: steps up, then segments that begin with no dot, without scheme, query and parameters.
+_SEGMENT = r"""(?!\.)[!"$-.0-9<->@-~]++"""
+_RELATIVE_ASCII = rf"^(?:\.\./)*+{_SEGMENT}(?:/{_SEGMENT})*+/?+(?:#[!-~]*+)?\z"
+
+# A plain web address: its origin and its folder, without a slash at the end, which has neither empty segments nor such
+# that begin with a dot.
+_PLAIN_FOLDER = (
+    rf"^(https?://{_PATH_CHAR}++)((?:/(?![/.]){_PATH_CHAR}++(?=/))*+)(?:/(?![/.]){_PATH_CHAR}*+)?+(?:\?[!\"$-~]*+)?+\z"
+)
+
+
+_FOLDER = f"regexp_extract(v.raw_base, r'{_PLAIN_FOLDER}', 2)"
+
+
+def _rooted(ref: str, rest: str, folder: str, depth: str) -> str:
+    """SQL expression: the rooted path of a relative reference, of which ``rest`` follows its steps up, in a folder of
+    ``depth`` segments; steps above the root stay there."""
+    steps = f"cast((length({ref}) - length(ltrim('./', {ref}))) / 3 as int)"
+    return f"concat(substring_index({folder}, '/', greatest({depth} + 1 - {steps}, 0)), '/', {rest})"
+
+
+def _depth(folder: str) -> str:
+    return f"length({folder}) - length(replace({folder}, '/', ''))"
+
+
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` found on the page ``base``."""
     pieces = _named(raw_base=base, raw_href=href)
@@ -275,7 +300,14 @@ def resolve_url(base: Column, href: Column) -> Column:
         _RESOLVED,
     )
     plain = f"v.raw_href rlike r'{_ROOTED_ASCII}' and v.raw_base rlike r'{_ORIGIN}'"
-    return apply_sql(pieces, f"if({plain}, concat(regexp_extract(v.raw_base, r'{_ORIGIN}', 1), v.raw_href), {full})")
+    relative = f"v.raw_href rlike r'{_RELATIVE_ASCII}' and not endswith(v.raw_href, '#') and v.raw_base rlike r'{_PLAIN_FOLDER}'"
+    path = _rooted("v.raw_href", "ltrim('./', v.raw_href)", "f", _depth("f"))
+    under = f"concat(regexp_extract(v.raw_base, r'{_PLAIN_FOLDER}', 1), {let_sql('f', _FOLDER, path)})"
+    return apply_sql(
+        pieces,
+        f"case when {plain} then concat(regexp_extract(v.raw_base, r'{_ORIGIN}', 1), v.raw_href)"
+        f" when {relative} then {under} else {full} end",
+    )
 
 
 def _shown(parts: str) -> str:
@@ -293,30 +325,13 @@ def _shown(parts: str) -> str:
     )
 
 
-# A relative reference in visible ASCII: steps up, then segments that begin with no dot, without scheme, query and parameters.
-_SEGMENT = r"""(?!\.)[!"$-.0-9<->@-~]++"""
-_RELATIVE_ASCII = rf"^(?:\.\./)*+{_SEGMENT}(?:/{_SEGMENT})*+/?+(?:#[!-~]*+)?\z"
-
-# A plain web address: its origin and its folder, without a slash at the end, which has neither empty segments nor such
-# that begin with a dot.
-_PLAIN_FOLDER = (
-    rf"^(https?://{_PATH_CHAR}++)((?:/(?![/.]){_PATH_CHAR}++(?=/))*+)(?:/(?![/.]){_PATH_CHAR}*+)?+(?:\?[!\"$-~]*+)?+\z"
-)
-
-# The parts of such an address; the path has no parameters.
+# The parts of a plain address; the path has no parameters.
 _PLAIN_BASE = (
     "named_struct('scheme', substring_index(v.base, '://', 1), 'netloc', substring_index(v.origin, '/', -1),"
     " 'path', substr(substring_index(v.base, '?', 1), length(v.origin) + 1),"
     f" 'query', {_after('v.base', '?')}, 'fragment', '')"
 )
 
-# The rooted path of a relative reference x on a page in the folder v.folder, which has o.depth segments; steps above
-# the root stay there.
-_ROOTED_PATH = (
-    "concat(substring_index(v.folder, '/', greatest(o.depth + 1 - cast((length(x) - length(ltrim('./', x))) / 3 as int), 0)),"
-    " '/', substring_index(ltrim('./', x), '#', 1))"
-)
-
 
 def _of_references(base: Column, hrefs: Column, rooted: str, other: str) -> Column:
     """Array of what the references of one page give. The page URL is read once; ``o`` has its origin in lower case, its
@@ -326,7 +341,7 @@ def _of_references(base: Column, hrefs: Column, rooted: str, other: str) -> Colu
     origin = (
         "named_struct('url', lower(v.origin), 'scheme', substring_index(v.origin, ':', 1),"
         " 'netloc', lower(substring_index(v.origin, '/', -1)), 'web', true,"
-        " 'depth', length(v.folder) - length(replace(v.folder, '/', '')), 'parts', null)"
+        f" 'depth', {_depth('v.folder')}, 'parts', null)"
     )
     full = _with_parts(
         "v.base",
@@ -335,6 +350,7 @@ def _of_references(base: Column, hrefs: Column, rooted: str, other: str) -> Colu
         " 'web', b.scheme in ('http', 'https') and b.netloc <> '', 'depth', 0, 'parts', b)",
     )
     relative = f"v.origin <> '' and not startswith(x, '/') and x rlike r'{_RELATIVE_ASCII}'"
+    path = _rooted("x", "substring_index(ltrim('./', x), '#', 1)", "v.folder", "o.depth")
     odd = let_sql(
         "b",
         f"coalesce(o.parts, {_PLAIN_BASE})",
@@ -347,7 +363,7 @@ def _of_references(base: Column, hrefs: Column, rooted: str, other: str) -> Colu
     body = let_sql(
         "o",
         f"if(v.origin <> '', {origin}, {full})",
-        f"transform(transform(v.hrefs, x -> if({relative}, {_ROOTED_PATH}, x)),"
+        f"transform(transform(v.hrefs, x -> if({relative}, {path}, x)),"
         f" x -> if(x rlike r'{_ROOTED_ASCII}', {rooted}, {odd}))",
     )
     plain = base.rlike(_PLAIN_FOLDER)

@@ -212,9 +212,10 @@ def test_dates_are_parsed_only_where_found(spark):
 
 
 def test_relative_references_cost_about_as_much_as_rooted_ones(spark):
-    def seconds(form):
+    def seconds(form, resolved=False):
         refs = F.array(*[F.concat(F.lit(form), F.lit(f"{n}p"), F.col("id").cast("string")) for n in range(30)])
-        targets = urls.crawlable_targets(F.concat(F.lit("http://h.i/a/"), F.col("id").cast("string")), refs)
+        base = F.concat(F.lit("http://h.i/a/"), F.col("id").cast("string"))
+        targets = F.transform(refs, lambda r: urls.resolve_url(base, r)) if resolved else urls.crawlable_targets(base, refs)
         frame = spark.range(60_000).select(targets.alias("t"))
         taken = []
         for _ in range(3):
@@ -224,6 +225,7 @@ def test_relative_references_cost_about_as_much_as_rooted_ones(spark):
         return min(taken)
 
     assert seconds("../b/") < 4 * seconds("/b/")
+    assert seconds("../b/", True) < 4 * seconds("/b/", True)
 
 
 @pytest.mark.parametrize("base", ["http://H.i/A/b/c", "http://h.i", "http://h.i/a/b?q=/x", "http://h.i/a//b", "http://h.i/.a/b", "ftp://h.i/a/b"])
