@@ -33,6 +33,12 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH, str(before))
 
 
+def unsized(rows: DataFrame) -> DataFrame:
+    """``rows``, whose joins sort and never broadcast. Spark sizes a table by its file and by one entry for each list, so a table of
+    lists, and what is exploded from one, may be many times as large as Spark takes it for."""
+    return rows.hint("merge")
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for a null or empty text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ascii_lower, let, ngram_hashes, table, word_hashes, words
+from pagemill.llm.common import ascii_lower, let, ngram_hashes, table, unsized, word_hashes, words
 from pagemill.llm.components import components, joined_components
 from pagemill.llm.sketch import _ODD, chunks, filter_column, filter_of, grams, may_hold, mix
 from pagemill.session import cut
@@ -104,7 +104,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     tokens = spread.select("c", F.shiftleft(F.col("i").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint")).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
     mine = Window.partitionBy("c")
-    ranked = tokens.join(shared, "token").withColumns(
+    ranked = unsized(tokens).join(shared, "token").withColumns(
         {
             "known": F.count(F.lit(1)).over(mine),
             "fame": F.sum("seen").over(mine),
@@ -126,7 +126,7 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose sizes and signatures agree."""
-    signs = classes.select("c", "n", "sign")
+    signs = unsized(classes.select("c", "n", "sign"))
     both = pairs.join(signs.withColumnsRenamed({"c": "a", "n": "na", "sign": "sa"}), "a").join(
         signs.withColumnsRenamed({"c": "b", "n": "nb", "sign": "sb"}), "b"
     )
@@ -206,13 +206,13 @@ def _close(members: DataFrame, sets: DataFrame) -> DataFrame:
     first = cut(first.join(apart, "x"))
     in_order = F.array_sort(F.collect_list(F.struct("at", "x")))
     heads = first.groupBy("c").agg(F.transform(F.slice(in_order, 1, HEAD), lambda e: e.x).alias("head"))
-    here = cut(first.join(heads, "c"))
+    here = cut(first.join(unsized(heads), "c"))
     other = here.select([F.col(x).alias(f"{x}_b") for x in here.columns])
     # Pairs meet at the first shingle their heads share; those that share none there may meet more than once.
     once = F.coalesce(F.get(F.array_intersect("head", "head_b"), F.lit(0)), F.col("x")) == F.col("x")
     least = F.ceil(PERCENT * (F.col("n") + F.col("n_b")) / (100 + PERCENT))
     enough = 1 + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= least
-    both = here.join(other, (F.col("x") == F.col("x_b")) & (F.col("root") < F.col("root_b")) & enough & once)
+    both = unsized(here).join(other, (F.col("x") == F.col("x_b")) & (F.col("root") < F.col("root_b")) & enough & once)
     return cut(both.select(F.col("c").alias("a"), F.col("c_b").alias("b")).distinct())
 
 

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import small_batches, table, word_hashes
+from pagemill.llm.common import small_batches, table, unsized, word_hashes
 from pagemill.llm.fm_index import FMIndex
 from pagemill.llm.sketch import _ODD, chunks, filter_column, filter_of, grams, held_rows, may_hold, mix
 from pagemill.session import cut
@@ -272,7 +272,7 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "te
         matched = matched.unionByName(others.select("h", "f", "j", F.col("least").alias("lo")))
     found = matched.groupBy("h", "f").agg(F.collect_list(F.struct("j", "lo")).alias("others"))
     # Written, so that the join below has two plain sides and a passage of very many documents is split.
-    known = cut(passages.join(found, ["h", "f"], "left").filter("lo < hi OR others IS NOT NULL"))
+    known = cut(passages.join(unsized(found), ["h", "f"], "left").filter("lo < hi OR others IS NOT NULL"))
     none = F.array().cast("array<struct<s:int,e:int>>")
     a, last = F.col("a"), F.col("a") + F.col("n") - 1
     ranges = F.when(F.col("lo") < F.col("doc"), F.array(F.struct(a.alias("s"), last.alias("e")))).otherwise(
@@ -284,7 +284,7 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "te
             none,
         )
     )
-    joined = places.join(known, ["h", "f"]).select("doc", ranges.alias("r")).filter(F.size("r") > 0)
+    joined = places.join(unsized(known), ["h", "f"]).select("doc", ranges.alias("r")).filter(F.size("r") > 0)
     return joined.groupBy("doc").agg(F.flatten(F.collect_list("r")).alias("starts"))
 
 
@@ -349,7 +349,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         schema += ", n_words bigint, n_removed bigint, kept_sha256 string"
     whole = plain.mapInArrow(_finished(text, digest, "_starts", (held, id_column)), schema)
     loses = plain.filter(filter_column(held)(ident)).withColumn("_doc", ident)
-    joined = loses.join(ranges.withColumnsRenamed({"doc": "_doc", "starts": "_starts"}), "_doc", "left").drop("_doc")
+    joined = loses.join(unsized(ranges).withColumnsRenamed({"doc": "_doc", "starts": "_starts"}), "_doc", "left").drop("_doc")
     run = _finished(text, digest, "_starts")
     return whole.unionByName(joined.mapInArrow(run, schema))
 

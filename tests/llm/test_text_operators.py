@@ -633,3 +633,13 @@ def test_texts_of_one_portion_become_strings(monkeypatch):
     model = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
     assert [r["ids"] for b in parts for r in b.to_pylist()] == [model.encode(t or "") for t in texts]
     assert len(parts) > 1 and most < 50 + max(len(t or "") for t in texts)
+
+
+def test_exploded_signatures_are_not_broadcast(spark):
+    """Spark sizes the file as if a signature had one entry, so the posting lists seem small enough to send to all."""
+    classes = cut(spark.range(300).selectExpr("id AS c", "transform(sequence(0, 63), i -> CAST((id * 31 + i) % 97 AS INT)) AS sign"))
+    plan = near_dedup._prefixes(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    pairs = cut(spark.range(299).selectExpr("id AS a", "id + 1 AS b"))
+    plan = near_dedup._agreeing(pairs, classes.withColumn("n", F.lit(64)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastExchange" not in plan
