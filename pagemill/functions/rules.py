@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.elements import ELEMENT, attribute, elements, has_attribute, inner_html, outer_html
 from pagemill.functions.html import without_code
-from pagemill.functions.structure import all_path_numbers, firsts_inside_each, inside_each, path_numbers, ranks
+from pagemill.functions.structure import firsts_inside_each, inside_each, path_numbers, path_places, ranks
 from pagemill.functions.text import let, text_content, text_nodes
 
 _STEP = re.compile(r"(//?)(\*|[a-z][a-z0-9]*)((?:\[[^\]]*\])*)")
@@ -29,8 +29,8 @@ _TAILS = {
 
 
 class Page(NamedTuple):
-    """The page without code, its elements, the chunks it is cut into, and by path the numbers of the elements that
-    paths of several steps lead to, where these are known (see ``with_paths``)."""
+    """The page without code, its elements, the chunks it is cut into, and by path the elements that it leads to, where
+    these are known (see ``with_paths``)."""
 
     doc: Column
     all: Column
@@ -39,7 +39,7 @@ class Page(NamedTuple):
 
     def at(self, numbers: Column) -> Column:
         """The elements with these numbers."""
-        return F.transform(numbers, lambda i: F.get(self.all, i))
+        return _at(self.all, numbers)
 
 
 def staged(pages, *more: str | Column):
@@ -129,22 +129,71 @@ def _step_lists(page: Page, steps: list) -> tuple[list[str], list[Column]]:
 
 def _found(page: Page, steps: list) -> Column:
     """The elements that the steps of a rule lead to, each once, in document order."""
+    known = page.paths.get(repr(steps))
+    if known is not None:
+        return known
     axes, lists = _step_lists(page, steps)
     if len(steps) > 1:
-        known = page.paths.get(repr(steps))
-        return page.at(path_numbers(axes, lists) if known is None else known)
+        return page.at(path_numbers(axes, lists))
     return F.filter(lists[0], lambda e: e["parent"] == -1) if axes[0] == "/" else lists[0]
 
 
-def with_paths(rows: DataFrame, page: Page, rules: Iterable[str]) -> tuple[DataFrame, Page]:
-    """``rows`` with ``_paths``, and the page that knows from it the paths of several steps in these rules."""
-    parsed = [_parse(part.strip())[0] for rule in rules for part in re.split(r"\s\|\s", rule)]
-    several = {repr(steps): steps for steps in parsed if len(steps) > 1}
-    if len(several) < 2:
-        return rows, page
-    found = all_path_numbers([_step_lists(page, steps) for steps in several.values()])
-    known = {path: F.get(F.col("_paths"), F.lit(i)) for i, path in enumerate(several)}
-    return rows.withColumn("_paths", found), page._replace(paths=known)
+def _parts(rule: str) -> list[tuple]:
+    return [_parse(part.strip()) for part in re.split(r"\s\|\s", rule)]
+
+
+def has_path(rule: str) -> bool:
+    """Whether a rule has a path of several steps."""
+    return any(len(steps) > 1 for steps, _, _ in _parts(rule))
+
+
+def _fields(e: Column, names: Iterable[str]) -> Column:
+    return F.struct(*[e[name].alias(name) for name in names])
+
+
+def with_paths(rows: DataFrame, page: Page, rules: Iterable[str], *keep: str | Column, kind: str = "text") -> tuple[DataFrame, Page]:
+    """The columns ``keep`` of ``rows``, and a page to read these rules from, as ``kind``.
+
+    Rows wait for the function that follows paths of several steps, by thousands and on disk if memory is short. So they
+    keep of the elements only those that a path may end at, with what is read of them, and the chunks if a rule reads these."""
+    parts = [part for rule in rules for part in _parts(rule)]
+    paths = {repr(steps): steps for steps, _, _ in parts}
+    fields = ["no", "parent", "last", "c0", "c1", "c2"]
+    fields += ["attrs"] * (kind == "all" or any(name for _, _, name in parts)) + ["own"] * any(tail == "own" for _, tail, _ in parts)
+    ends, known, joined = [], {}, []
+    for i, (path, steps) in enumerate(paths.items()):
+        axes, lists = _step_lists(page, steps)
+        last = _found(page, steps) if len(steps) == 1 else lists[-1]
+        ends.append(F.transform(last, lambda e: _fields(e, fields)).alias(f"_end{i}"))
+        known[path] = F.col(f"_end{i}")
+        if len(steps) > 1:
+            steps_before = [f"_step{i}_{k}" for k in range(len(axes) - 1)]
+            ends += [F.transform(x, lambda e: _fields(e, fields[:3])).alias(s) for s, x in zip(steps_before, lists)]
+            joined.append((path, axes, [*map(F.col, steps_before), known[path]]))
+    around = F.transform(page.all, lambda e: _fields(e, ["no", "parent", "own"])).alias("_all")
+    rows = rows.select(*keep, *ends, around, page.chunks.alias("_chunks"))
+    if joined:
+        rows = rows.withColumn("_places", path_places([(axes, lists) for _, axes, lists in joined]))
+    for n, (path, _, _) in enumerate(joined):
+        known[path] = _at(known[path], F.get(F.col("_places"), F.lit(n)))
+    return rows, Page(F.lit(None).cast("string"), F.col("_all"), F.col("_chunks"), known)
+
+
+def _at(found: Column, places: Column) -> Column:
+    return F.transform(places, lambda i: F.get(found, i))
+
+
+def _in_order(lists: list[Column]) -> Column:
+    """The elements of several lists, each once, in document order."""
+    return let(
+        F.flatten(F.array(*lists)),
+        lambda flat: let(
+            F.array_sort(F.transform(flat, lambda e, i: F.struct(e["no"].alias("no"), i.alias("i")))),
+            lambda placed: F.transform(
+                F.filter(placed, lambda x, k: (k == 0) | (x["no"] != F.get(placed, k - 1)["no"])), lambda x: F.get(flat, x["i"])
+            ),
+        ),
+    )
 
 
 def firsts_inside(page: Page, outers: Column, rules: Iterable[str]) -> Column:
@@ -184,6 +233,8 @@ def select_elements(page: Page, rule: str) -> Column:
         raise ValueError(f"rule names no elements: {rule}")
     if len(parts) == 1:
         return _found(page, parts[0][0])
+    if page.paths:
+        return _in_order([_found(page, steps) for steps, _, _ in parts])
     places = F.flatten(F.array(*[F.transform(_found(page, steps), lambda e: e["no"]) for steps, _, _ in parts]))
     return page.at(F.array_sort(F.array_distinct(places)))
 

@@ -79,9 +79,9 @@ def path_numbers(axes: Sequence[str], steps: Sequence[Column]) -> Column:
     return _iterated(run, len(steps), "array<int>")(*map(_refs, steps))
 
 
-def all_path_numbers(paths: Sequence[tuple[Sequence[str], Sequence[Column]]]) -> Column:
-    """ARRAY<ARRAY<INT>>: ``path_numbers`` of several paths. Pages wait with all their elements for what a function
-    gives back, so one function for all paths keeps them once and not once a path."""
+def path_places(paths: Sequence[tuple[Sequence[str], Sequence[Column]]]) -> Column:
+    """ARRAY<ARRAY<INT>>: for several paths the places, in the list of the last step, of the elements that lead through
+    the steps. Pages wait for what a function gives back, so one function for all paths keeps them once and not once a path."""
     shapes = [list(axes) for axes, _ in paths]
     columns = [column for _, steps in paths for column in steps]
 
@@ -91,7 +91,11 @@ def all_path_numbers(paths: Sequence[tuple[Sequence[str], Sequence[Column]]]) ->
             found = []
             for i in range(len(batch[0])):
                 rows = iter([x.row(i) for x in lists])
-                found.append([_within(_PAGE, axes, [next(rows) for _ in axes]) for axes in shapes])
+                of_page = []
+                for axes in shapes:
+                    steps = [next(rows) for _ in axes]
+                    of_page.append(np.searchsorted(steps[-1][0], _within(_PAGE, axes, steps)))
+                found.append(of_page)
             yield pa.array(found, pa.list_(pa.list_(pa.int32())))
 
     return _iterated(run, len(columns), "array<array<int>>")(*map(_refs, columns))
@@ -99,7 +103,7 @@ def all_path_numbers(paths: Sequence[tuple[Sequence[str], Sequence[Column]]]) ->
 
 def firsts_inside_each(outers: Column, paths: Sequence[tuple[Sequence[str], Sequence[Column]]]) -> Column:
     """ARRAY<ARRAY<INT>>: for each path and each of ``outers`` the number of the first element that the path leads to
-    from it, -1 if there is none; one function for all paths, as in ``all_path_numbers``."""
+    from it, -1 if there is none; one function for all paths, as in ``path_places``."""
     shapes = [list(axes) for axes, _ in paths]
     columns = [outers, *[column for _, steps in paths for column in steps]]
 

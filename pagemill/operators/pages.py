@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import js
 from pagemill.functions.html import attr, find_all, first_text, void_pattern, without_code
-from pagemill.functions.rules import first, select, select_all, staged, with_paths
+from pagemill.functions.rules import first, has_path, select, select_all, staged, with_paths
 from pagemill.functions.text import last_wins_map, meta_prefix_map, page_text, text_content
 
 
@@ -115,9 +115,15 @@ def extract_patterns(pages: DataFrame, patterns: Mapping[str, str], group: int |
 def extract_rules(pages: DataFrame, rules: Mapping[str, str], kind: str = "text") -> DataFrame:
     """One column per rule: ARRAY<STRING> for the kinds ``text`` and ``html``, ARRAY<STRUCT<text, html,
     attributes>> for ``all``."""
-    rows, page = with_paths(*staged(pages, "page_id", "url"), rules.values())
+    rows, page = staged(pages, "page_id", "url")
     read = select_all if kind == "all" else lambda p, rule: select(p, rule, kind)
-    return rows.select("page_id", "url", *[read(page, rule).alias(f) for f, rule in rules.items()])
+    late = [rule for rule in rules.values() if has_path(rule)]
+    # Rules without a path of several steps are read first, so that no page waits for the others with all its elements.
+    found = {rule: read(page, rule) for rule in rules.values() if rule not in late}
+    if late:
+        rows, page = with_paths(rows, page, late, "page_id", "url", *[c.alias(f"_value{i}") for i, c in enumerate(found.values())], kind=kind)
+        found = {rule: F.col(f"_value{i}") for i, rule in enumerate(found)} | {rule: read(page, rule) for rule in late}
+    return rows.select("page_id", "url", *[found[rule].alias(f) for f, rule in rules.items()])
 
 
 def extract_single(

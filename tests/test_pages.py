@@ -285,3 +285,45 @@ def test_paths_of_a_page_are_followed_at_once(pages):
         assert plan.count("ArrowEvalPython") == 2
     assert [tuple(r)[2:] for r in found.orderBy("page_id").collect()] == [(["A"], ["A", "x"], [], ["x"]), ([], [], [], [])]
     assert [(r.name, r.instructor) for r in listed.collect()] == [("B", None)]
+
+
+PATHS = {
+    "links": "//li/a",
+    "again": "//li/a",
+    "both": "//div/p | //title | //ul//a | //li/a",
+    "attributes": "//ul//a/@href | //title/text()",
+    "own": "//ul/li/text()",
+    "texts": "//ul//li//text()",
+    "after": "//ul/li[1]/following-sibling::*/text()",
+    "top": "/ul/li",
+    "none": "//p//a",
+    "url": "//p",
+}
+
+
+def _waiting(rows) -> str:
+    """The schema of what waits for the last Python function of a plan."""
+    nodes = [rows._jdf.queryExecution().optimizedPlan()]
+    while "ArrowEvalPython" not in nodes[0].nodeName():
+        nodes = [*[nodes[0].children().apply(i) for i in range(nodes[0].children().size())], *nodes[1:]]
+    return nodes[0].children().apply(0).schema().json()
+
+
+@pytest.mark.parametrize("kind", ["text", "html", "all"])
+def test_paths_of_slim_pages_find_what_whole_pages_have(pages, kind):
+    html = '<title>T &amp; t</title><ul><li>1<li><a href="/a">A<b>c</b></a> 2<li>x &lt; y<ul><li><a>B</a></ul></ul><div><p>x</p><p>z</div>'
+    frame = pages((URL, html), (URL, None), (URL, "<ul><li><a href=/q>Q</a></ul>"))
+    rows, page = staged(frame, "page_id")
+    read = select_all if kind == "all" else lambda p, rule: select(p, rule, kind)
+    expected = rows.select("page_id", *[read(page, rule).alias(f"x{i}") for i, rule in enumerate(PATHS.values())])
+    found = page_ops.extract_rules(frame, PATHS, kind)
+    plain = [[r[0], *r[2:]] for r in found.orderBy("page_id").collect()]
+    assert plain == [list(r) for r in expected.orderBy("page_id").collect()]
+    assert len(plain[0][3]) == 5 and plain[2][1] and not plain[1][1]
+
+
+def test_pages_wait_for_paths_without_their_elements(pages):
+    """What waits for a Python function is on disk if memory is short, so it is not the whole page with all its elements."""
+    frame = pages((URL, "<ul><li><a href=/a>A</a></ul>"))
+    for field in ("nth_any", "attrs", "html"):
+        assert f'"{field}"' not in _waiting(page_ops.extract_rules(frame, {"heading": "//h1", "third": "//ul/li[3]/a", "p": "//p/@id"}))
