@@ -28,10 +28,12 @@ from pagemill.functions.rules import (
     Page,
     element_value,
     firsts_inside,
+    has_path,
     no_elements,
     select,
     select_elements,
     staged,
+    with_paths,
 )
 from pagemill.functions.text import collapse_space, find_date, first_semester, let, strip, text_content, text_nodes
 from pagemill.functions.urls import course_id, is_downloadable, resolve_url
@@ -74,22 +76,29 @@ def course_page(pages: DataFrame) -> DataFrame:
     def head(values: Column) -> Column:
         return strip(F.get(values, F.lit(0)))
 
-    name = _first_passing(
-        page, NAME_RULES, lambda v: collapse_space(head(v)), lambda v: (v != "") & (F.length(v) < 200)
-    )
+    def name_of(page: Page, rules: Sequence[str]) -> Column:
+        return _first_passing(page, rules, lambda v: collapse_space(head(v)), lambda v: (v != "") & (F.length(v) < 200))
+
     instructor = _first_passing(
         page, INSTRUCTOR_RULES, _joined, lambda v: (v != "") & (F.length(v) < 100)
     )
     semester = _first_passing(page, SEMESTER_RULES, head, lambda v: (v != "") & (F.length(v) < 50))
     description = _first_passing(page, DESCRIPTION_RULES, _joined, lambda v: F.length(v) > 20)
-    return rows.select(
-        "page_id",
-        "url",
-        F.coalesce(name, F.lit("Unknown Course")).alias("name"),
-        instructor.alias("instructor"),
-        F.coalesce(semester, first_semester(text_content(F.col("html")))).alias("semester"),
-        F.substring(description, 1, 500).alias("description"),
+    rows = rows.withColumns(
+        {
+            "instructor": instructor,
+            "semester": F.coalesce(semester, first_semester(text_content(F.col("html")))),
+            "description": F.substring(description, 1, 500),
+        }
     )
+    # Everything but the path of several steps is read first, so that no page waits for that path with all its elements.
+    at = next(i for i, rule in enumerate(NAME_RULES) if has_path(rule))
+    rows = rows.withColumn("_before", name_of(page, NAME_RULES[:at]))
+    after = F.when(F.col("_before").isNull(), name_of(page, NAME_RULES[at + 1 :]))
+    found = ["page_id", "url", "instructor", "semester", "description"]
+    rows, page = with_paths(rows, page, [NAME_RULES[at]], *found, "_before", after.alias("_after"))
+    name = F.coalesce("_before", name_of(page, [NAME_RULES[at]]), "_after", F.lit("Unknown Course"))
+    return rows.select("page_id", "url", name.alias("name"), "instructor", "semester", "description")
 
 
 def media_files(pages: DataFrame) -> DataFrame:

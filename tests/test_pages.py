@@ -327,3 +327,11 @@ def test_pages_wait_for_paths_without_their_elements(pages):
     frame = pages((URL, "<ul><li><a href=/a>A</a></ul>"))
     for field in ("nth_any", "attrs", "html"):
         assert f'"{field}"' not in _waiting(page_ops.extract_rules(frame, {"heading": "//h1", "third": "//ul/li[3]/a", "p": "//p/@id"}))
+
+
+def test_course_pages_wait_for_the_path_of_a_name_without_their_elements(pages):
+    frame = pages((URL, "<div class=course-header><b><h1> N </h1></b></div><title>T</title>"), (URL, "<title>T</title>"), (URL, None))
+    found = courses.course_page(frame)
+    for field in ("nth_any", "attrs", "html", "_chunks"):
+        assert f'"{field}"' not in _waiting(found)
+    assert [r.name for r in found.orderBy("page_id").collect()] == ["N", "T", "Unknown Course"]
