@@ -643,3 +643,43 @@ def test_exploded_signatures_are_not_broadcast(spark):
     pairs = cut(spark.range(299).selectExpr("id AS a", "id + 1 AS b"))
     plan = near_dedup._agreeing(pairs, classes.withColumn("n", F.lit(64)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and "BroadcastExchange" not in plan
+
+
+def test_search_holds_one_shard_and_few_documents_at_once(spark, monkeypatch):
+    """A shard is one row of many MB, so rows by the thousand would put all shards of a task into one batch."""
+    shards, searched, seen = topk_search._shards, topk_search._searched, spark.sparkContext.accumulator(0)
+
+    def built(batches):
+        for batch in batches:
+            assert batch.num_rows <= 7
+            yield from shards(iter([batch]))
+
+    def counted(*args):
+        def each(batches):
+            for batch in batches:
+                assert batch.num_rows == 1
+                seen.add(1)
+                yield batch
+
+        return lambda batches: searched(*args)(each(batches))
+
+    monkeypatch.setattr(common, "LIST_ROWS", 7)
+    monkeypatch.setattr(topk_search, "_shards", built)
+    monkeypatch.setattr(topk_search, "_searched", counted)
+    rows = [(i, f"red w{i} w{i % 5} " + "fox " * (i % 4)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = topk_search.search(topk_search.build_index(frame), frame.filter("doc_id % 9 = 0"), top=3)
+    expected = brute_search(rows, [r for r in rows if r[0] % 9 == 0], 3)
+    assert [(q, r, i) for q, r, i, _ in sorted(map(tuple, got.collect()))] == [(q, r, i) for q, r, i, _ in sorted(expected)]
+    assert seen.value >= 9
+
+
+def test_shards_leave_out_what_earlier_ones_surpass():
+    batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array([[7, 7], [7, 7], [7, 9, 9, 9, 9], [7, 7]], pa.list_(pa.int64()))], ["doc", "w"])
+    index = [next(topk_search._shards(iter([part]))) for part in (batch.slice(0, 2), batch.slice(2, 2))]
+
+    class Held:
+        value = np.array([5]), np.array([0, 1]), np.array([7]), np.array([1.0])
+
+    found = [b.column("doc_id").to_pylist() for b in topk_search._searched(Held, 2.0, 2)(iter(index))]
+    assert found == [[1, 2], [4]]
